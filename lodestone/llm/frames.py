@@ -1,0 +1,44 @@
+"""What the operators share: cutting lineage in the cluster's shared folder, and connected components."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """`df`, written to the folder in ``spark.checkpoint.dir``, so that a lost executor costs no recomputation.
+
+    Only where that setting is absent, as in local tests, is a temporary folder of this machine used.
+    """
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node``, ``root``: the least node of each node's component, for links ``a``, ``b`` of any ordered type.
+
+    Alternates two steps until nothing changes, each one grouping and joining by node: larger neighbours take
+    over a node's least neighbour, then the smaller ones do. The number of rounds grows with the logarithm of
+    the longest path, and no step gathers a node's neighbours.
+    """
+    edges = cut_lineage(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        wide = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        wide = cut_lineage(wide.distinct())
+        least = wide.groupBy("a").agg(F.min("b").alias("m"))
+        small = wide.join(least, "a")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        edges = cut_lineage(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        seen = state
