@@ -101,16 +101,14 @@ def _stream(min_docs: int):
     return read
 
 
-def keep_bitmaps(docs: DataFrame, *, least: int = 20, min_docs: int = 3) -> DataFrame:
-    """``doc_id``, ``text_id``, ``n_dropped``, ``keep``: for each document that loses lines, a zlib-compressed bitmap.
+def beyond_first(keys: DataFrame, min_docs: int) -> DataFrame:
+    """``doc``, ``text_id``, ``at`` of the rows of `keys` that are not in the first document of their hash.
 
-    Bit k of ``keep`` (least significant first) is 1 if line k stays; lines past its end stay. A key of at
-    least `least` code points in at least `min_docs` documents loses its lines in all but the largest
-    ``doc_id``. A document is a ``doc_id``: rows that repeat one count once, and ``text_id`` tells its texts
-    apart. Rows without ``doc_id`` count for nothing and lose nothing; null texts are one empty line.
+    `keys` has ``h1``, ``h2``, ``doc``, ``text_id``, ``at``; the largest ``doc`` is the first. Hashes in fewer
+    than `min_docs` documents are left alone.
     """
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("text_id")]
-    ordered = _hashes(docs, least).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     read = cut_lineage(ordered.mapInArrow(_stream(min_docs), "kind int, h1 long, h2 long, doc long, text_id long, at array<int>, low long, n long"))
     # documents strictly between the ends of a part are in no other part of the run
     ends = F.array_distinct(F.flatten(F.collect_list(F.array("doc", "low"))))
@@ -118,7 +116,22 @@ def keep_bitmaps(docs: DataFrame, *, least: int = 20, min_docs: int = 3) -> Data
     runs = runs.filter(F.col("docs") >= min_docs)
     # two runs a partition at most: small by construction
     settled = read.filter(F.col("kind") == OPEN).join(F.broadcast(runs), ["h1", "h2"]).filter(F.col("doc") != F.col("top"))
-    drops = read.filter(F.col("kind") == DROP).select("doc", "text_id", "at").unionByName(settled.select("doc", "text_id", "at"))
+    return read.filter(F.col("kind") == DROP).select("doc", "text_id", "at").unionByName(settled.select("doc", "text_id", "at"))
+
+
+def keep_bitmaps(docs: DataFrame, *, least: int = 20, min_docs: int = 3) -> DataFrame:
+    """``doc_id``, ``text_id``, ``n_dropped``, ``keep``: for each document that loses lines, a zlib-compressed bitmap.
+
+    Bit k of ``keep`` (least significant first) is 1 if line k stays; lines past its end stay. A key of at
+    least `least` code points in at least `min_docs` documents loses its lines in all but the largest
+    ``doc_id``. A document is a ``doc_id``: rows that repeat one count once, and ``text_id`` tells its texts
+    apart. Rows without ``doc_id`` count for nothing and lose nothing; null texts are one empty line.
+    """
+    drops = beyond_first(_hashes(docs, least), min_docs)
+    return bitmaps_of(drops)
+
+
+def bitmaps_of(drops: DataFrame) -> DataFrame:
     lost = drops.groupBy("doc", "text_id").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,16 +7,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, line_dedup, near_dedup, quality_rules, token_counts
+from . import bpe_codec, line_dedup, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts
+from .spans import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _of(spans: str, kinds) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    counts = [F.size(_of("found", [k])).cast("long").alias(f"n_{k}") for k in (*secret_scan.BASE, "entropy")]
+    return found.select("doc_id", *counts, F.sha2(written(_of("found", secret_scan.BASE)), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = """
+WITH docs AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         md5(concat_ws(':', doc_id::VARCHAR, md5(coalesce(text, '')))) AS place
+  FROM documents
+), sizes AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM docs GROUP BY source
+), weighed AS (SELECT *, (no % 3 + 1)::DOUBLE AS weight, 3 * source_size AS most FROM sizes
+), levels AS (
+  SELECT *, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(most) OVER w, 0)::BIGINT) / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM weighed WINDOW w AS (ORDER BY most / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), open AS (SELECT level FROM levels WHERE level * weight <= most ORDER BY most / weight, no LIMIT 1
+), targets AS (
+  SELECT source, source_size, no, least(most::DOUBLE, (SELECT level FROM open) * weight) AS target FROM levels
+), queued AS (
+  SELECT d.doc_id, d.place, d.size, t.source_size, t.no, t.target,
+         (sum(d.size) OVER (PARTITION BY t.no ORDER BY d.place, d.doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS words
+  FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), copies AS (
+  SELECT *, (words + epoch * source_size) / target AS finish FROM queued, (SELECT unnest([0, 1, 2]) AS epoch) WHERE size > 0 AND target > 0
+), summed AS (
+  SELECT *, sum(size) OVER (ORDER BY finish, no, epoch, place ROWS UNBOUNDED PRECEDING) AS so_far FROM copies
+), times AS (
+  SELECT no, place, doc_id, count(*) AS n FROM summed WHERE so_far <= (SELECT sum(size) FROM docs) GROUP BY ALL
+)
+SELECT doc_id, size, source_size, target, size * coalesce(n, 0) AS taken FROM queued LEFT JOIN times USING (no, place, doc_id)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -40,6 +84,13 @@ def codec_digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal(documents(spark, sf_dir))
+    counts = [F.size(_of("found", [k])).cast("long").alias(f"n_{k}") for k in (*pii.BASE, *pii.MORE)]
+    score = F.array_max(F.transform("found", lambda s: s["score"])).alias("best_score")
+    return found.select("doc_id", *counts, F.sha2(written(_of("found", pii.BASE)), 256).alias("base_sha256"), written(F.col("found")).alias("spans"), score)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, least=20, min_docs=3))
@@ -96,10 +147,13 @@ FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_source_mix": op2_source_mix,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe_codec": op6_bpe_codec,
+    "op7_personal_data": op7_personal_data,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
