@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, line_dedup, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts
+from . import bpe_codec, fingerprints, line_dedup, mixing, near_dedup, pii, quality_rules, secret_scan, substring_dedup, token_counts
 from .spans import written
 
 
@@ -61,6 +61,13 @@ SELECT doc_id, size, source_size, target, size * coalesce(n, 0) AS taken FROM qu
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    places = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"), places.alias("removed_spans"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -91,6 +98,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(_of("found", pii.BASE)), 256).alias("base_sha256"), written(F.col("found")).alias("spans"), score)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, least=20, min_docs=3))
@@ -149,10 +160,12 @@ FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe_codec": op6_bpe_codec,
     "op7_personal_data": op7_personal_data,
+    "op8_fingerprints": op8_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
