@@ -25,7 +25,7 @@ BITS, SYMBOLS, PERIOD = 256, 1024, 4096
 #: Characters below which a text is walked again from its start, until there are so many.
 SHORTEST = 512
 #: Bands and the bits that each samples.
-BANDS, SAMPLED = 24, 12
+BANDS, SAMPLED = 32, 8
 #: Characters embedded at a time.
 AT_ONCE = 10_000_000
 

@@ -64,8 +64,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     return shared.withColumn("target", F.least(F.col("most").cast("double"), open_level["level"] * F.col("weight"))).select("source_no", "source", "source_size", "target", F.sum("source_size").over(every).alias("budget"))
 
 
+def place_of() -> Column:
+    """The digest by which a source's documents are shuffled; equal for rows with the same id and text only."""
+    return F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``doc_id``, ``size``, ``source_size``, ``target``, ``taken`` and ``times`` for each row of `docs`.
+    """``doc_id``, ``place``, ``size``, ``source_size``, ``target``, ``taken`` and ``times`` for each row of `docs`.
 
     ``size`` counts words of ``text`` (null: 0), ``target`` is the source's, ``taken`` is ``times`` the size.
     The budget is the sum of all sizes. Null sources are one source, the last. The order within a source is
@@ -73,7 +78,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     Rows without words are never taken. An empty table gives no rows; other columns aren't looked at.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(text))).alias("place"))
+    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), place_of().alias("place"))
     rows = cut_lineage(rows)
     sizes = cut_lineage(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
     # few sources are sent to every task; beyond that the join splits the rows of a hot source
@@ -91,7 +96,7 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     summed = running_sum(copies, [], cell, order, "size", "so_far")
     last = summed.filter("so_far <= budget").agg(F.max(F.struct("finish", "source_no", "epoch")).alias("last")).first()["last"]  # one row
     if last is None:
-        return queued.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"))
+        return queued.select("doc_id", "place", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("times"))
     limit = F.struct(F.lit(float(last["finish"])).alias("finish"), F.lit(int(last["source_no"])).alias("source_no"), F.lit(int(last["epoch"])).alias("epoch"))
 
     def taken_at(epoch: int) -> Column:
@@ -99,4 +104,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
         return F.when(F.struct(finish.alias("finish"), F.col("source_no"), F.lit(epoch).alias("epoch")) <= limit, 1).otherwise(0)
 
     times = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((taken_at(e) for e in range(EPOCHS)), F.lit(0))).otherwise(0).cast("int")
-    return queued.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+    return queued.select("doc_id", "place", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
+
+
+def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of `docs`, each as often as `mix` takes it. Rows with the same id and text share their copies."""
+    shares = mixed.filter("times > 0").groupBy("place").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
+    found = docs.withColumn("place", place_of()).join(shares, "place").withColumn("_no", F.row_number().over(W.partitionBy("place").orderBy("place")))
+    copies = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_no") <= F.col("_times") % F.col("_rows")).cast("int")
+    return found.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)

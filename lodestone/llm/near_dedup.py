@@ -159,6 +159,18 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
+    """The rows of `docs` without near-duplicates: of each component the row with the least ``doc_id`` stays.
+
+    Of rows that repeat its id one stays, too. Rows without ``doc_id`` stay.
+    """
+    found = near_duplicates(docs, size).filter("kept")
+    kept = found.groupBy("doc_id").agg(F.min("text_id").alias("_text")).filter("doc_id is not null").withColumnRenamed("doc_id", "_doc")
+    rows = docs.filter("doc_id is not null").withColumn("_text_id", F.xxhash64(F.coalesce("text", F.lit(""))))
+    stays = rows.join(kept, (rows["doc_id"] == kept["_doc"]) & (rows["_text_id"] == kept["_text"])).dropDuplicates(["doc_id", "_text_id"])
+    return stays.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def _across(long_: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs in long lists of members from different components, one of them outside the list's main component."""
     part = cut_lineage(long_.select("value", "set_id").join(found.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
