@@ -1,6 +1,751 @@
-"""Every registered query over the test tables, with its SQL where SQL can express it."""
+"""Every registered query over the test tables, with its SQL where SQL can express it.
+
+A query and its SQL name their columns alike and round doubles to the same digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import normalise as norm
+from ..functions.special import approx_lgamma
+from ..operators import clusters, edges, gamma, layout, likelihood, linear, lookups, neighbours, sampling, stats, trajectory, traverse
+from ..sources import tables
+from ..streaming import stats as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def add(query: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[query.__name__] = query
+        if sql is not None:
+            ORACLES[query.__name__] = sql
+        return query
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
+    """A double rounded for comparing; minus zero becomes zero."""
+    column = F.col(c) if isinstance(c, str) else c
+    return (F.round(column.cast("double"), digits) + F.lit(0.0)).alias(name or c)
+
+
+# -- matrices: quantities by part and supplier --------------------------------------------------------
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.sum("l_quantity").alias("value"), F.sum("l_extendedprice").alias("price"))
+
+
+CELLS = "cells AS (SELECT l_partkey AS row, l_suppkey AS col, sum(l_quantity) AS value, sum(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2)"
+
+
+@registered("""
+WITH n AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1),
+s AS (SELECT p_type AS name, l_returnflag AS "group", sum(CASE WHEN l_quantity > 0 THEN 1 ELSE 0 END)::BIGINT AS nnz, sum(l_quantity) AS tot, sum(l_quantity * l_quantity) AS s2
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
+SELECT name, "group", nnz, round(tot, 6) AS tot, round(tot / n, 6) AS mu, round(sqrt(greatest(s2 / n - (tot / n) * (tot / n), 0)), 6) AS sig
+FROM s JOIN n ON "group" = l_returnflag
+""")
+def grouped_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics by part type and return flag; lines of other types count as zeros of the flag's lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", F.col("l_quantity").alias("value"))
+    sizes = lines.groupBy("l_returnflag").agg(F.count("*").alias("size"))
+    named = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    partial = named.join(sizes, "l_returnflag").select(F.col("p_type").alias("name"), F.col("l_returnflag").alias("group"), "size", "value")
+    got = stats.running_stats(partial, ["name", "group", "size"], F.col("size"))
+    return got.select("name", "group", "nnz", r("tot"), r("mu"), r("sig"))
+
+
+@registered("""
+SELECT l_suppkey, sum(CASE WHEN l_extendedprice > 0 THEN 1 ELSE 0 END)::BIGINT AS nnz, round(sum(l_extendedprice), 2) AS tot, round(avg(l_extendedprice), 4) AS mu,
+       round(sqrt(greatest(sum(l_extendedprice * l_extendedprice) / count(*) - avg(l_extendedprice) * avg(l_extendedprice), 0)), 2) AS sig
+FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1
+""")
+def column_running_stats_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    got = stats.running_stats(lines, ["l_suppkey"], value="l_extendedprice")
+    return got.select("l_suppkey", "nnz", r("tot", 2), r("mu", 4), r("sig", 2))
+
+
+def _normalised(name: str, change: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return change(cells(spark, sf_dir)).select("row", "col", r("value"))
+
+    query.__name__ = name
+    registered(f"WITH {CELLS} SELECT row, col, round({sql}, 6) + 0.0 AS value FROM cells")(query)
+
+
+_normalised("sum_to_one_columns", lambda c: norm.sum_to_one(c, "col"), "value / sum(value) OVER (PARTITION BY col)")
+_normalised("sum_to_one_rows", lambda c: norm.sum_to_one(c, "row"), "value / sum(value) OVER (PARTITION BY row)")
+_normalised("unit_length_columns", lambda c: norm.unit_length(c, "col"), "value / greatest(sqrt(sum(value * value) OVER (PARTITION BY col)), 1e-8)")
+_normalised("centre_rows", lambda c: norm.centre(c, "row"), "value - avg(value) OVER (PARTITION BY row) + 0.0")
+_normalised("scale_columns", lambda c: norm.scale(c, "col"), "CASE WHEN stddev_pop(value) OVER (PARTITION BY col) > 0 THEN (value - avg(value) OVER (PARTITION BY col)) / stddev_pop(value) OVER (PARTITION BY col) ELSE value - avg(value) OVER (PARTITION BY col) END + 0.0")
+_normalised("scale_rows", lambda c: norm.scale(c, "row"), "CASE WHEN stddev_pop(value) OVER (PARTITION BY row) > 0 THEN (value - avg(value) OVER (PARTITION BY row)) / stddev_pop(value) OVER (PARTITION BY row) ELSE value - avg(value) OVER (PARTITION BY row) END + 0.0")
+_TOP = "max(value) OVER (PARTITION BY col)"
+ORACLES_LSE = f"WITH {CELLS}, t AS (SELECT row, col, value, {_TOP} AS top FROM cells) SELECT row, col, round("
+
+
+def log_softmax_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.log_softmax(cells(spark, sf_dir), "col").select("row", "col", r("value"))
+
+
+def softmax_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.softmax(cells(spark, sf_dir), "col").select("row", "col", r("value"))
+
+
+registered(ORACLES_LSE + "value - top - ln(sum(exp(value - top)) OVER (PARTITION BY col)), 6) + 0.0 AS value FROM t")(log_softmax_columns)
+registered(ORACLES_LSE + "exp(value - top - ln(sum(exp(value - top)) OVER (PARTITION BY col))), 6) AS value FROM t")(softmax_columns)
+_normalised("log1p_cells", norm.log1p, "ln(1 + value)")
+
+
+@registered(f"""
+WITH {CELLS}
+SELECT row, col, round(CASE WHEN price > 0 THEN value / (price * (sum(value) OVER (PARTITION BY col) / sum(price) OVER (PARTITION BY col))) ELSE value END, 6) AS ratio FROM cells
+""")
+def poisson_ratio_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.poisson_ratio(cells(spark, sf_dir), "col", "value", "price").select("row", "col", r("ratio"))
+
+
+@registered(f"""
+WITH {CELLS}, a AS (SELECT row, col, 2 * sqrt(greatest(value, 0) + 0.375) AS x FROM cells),
+b AS (SELECT row, col, x - avg(x) OVER (PARTITION BY row) AS x FROM a), c AS (SELECT row, col, x, 4 * stddev_pop(x) OVER (PARTITION BY col) + 1e-6 AS s FROM b)
+SELECT row, col, round(s * tanh(x / s), 6) + 0.0 AS residual FROM c
+""")
+def anscombe_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm.anscombe_residual(cells(spark, sf_dir), "row", "col").select("row", "col", r("residual"))
+
+
+TERMS = "terms AS (SELECT doc_id, term, count(*)::DOUBLE AS value FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS term FROM documents) GROUP BY 1, 2)"
+
+
+@registered(f"""
+WITH {TERMS}, d AS (SELECT term, count(*) AS df FROM terms GROUP BY 1)
+SELECT doc_id, term, round(value * ln((SELECT count(*) FROM documents) / (df + 1)), 6) + 0.0 AS value FROM terms JOIN d USING (term)
+""")
+def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    terms = docs.select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("value"))
+    return norm.tf_idf(terms, "term", "doc_id", docs.select("doc_id")).select("doc_id", "term", r("value"))
+
+
+# -- quantiles, tests, correlations -------------------------------------------------------------------
+
+
+@registered("""
+WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+q AS (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS q)
+SELECT event_type, q.q::DOUBLE AS q, value AS quantile FROM e, q WHERE k = floor(q.q::DOUBLE * (n - 1)) + 1
+""")
+def floor_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.floor_quantiles(table(spark, sf_dir, "events"), ["event_type"], "value", [0.05, 0.25, 0.5, 0.75, 0.95])
+
+
+@registered("SELECT o_orderpriority, round(median(o_totalprice), 6) AS median FROM orders GROUP BY 1")
+def median_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.medians(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice").select("o_orderpriority", r("median"))
+
+
+@registered("""
+WITH t AS (SELECT o_orderkey AS id, ((o_orderkey * 7919) % 10007 + 1) / 10008.0::DOUBLE AS p FROM orders),
+k AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS rank, count(*) OVER () AS m FROM t)
+SELECT id, round(least(1.0, min(p * m / rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM k
+""")
+def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    tests = orders.select(F.col("o_orderkey").alias("id"), (((F.col("o_orderkey") * 7919) % 10007 + 1) / F.lit(10008.0)).alias("p"))
+    return stats.benjamini_hochberg(tests).select("id", r("q", 9))
+
+
+@registered("""
+WITH a AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+k AS (SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2 AS ry FROM a)
+SELECT g AS l_returnflag, round(corr(rx, ry), 6) AS rho FROM k GROUP BY 1
+""")
+def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.spearman(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice"), ["l_returnflag"], "l_quantity", "l_extendedprice").select("l_returnflag", r("rho"))
+
+
+@registered("SELECT l_shipmonth, round(corr(ln(1 + greatest(l_quantity, 0)), ln(1 + greatest(l_extendedprice, 0))), 6) AS r FROM (SELECT *, month(l_shipdate) AS l_shipmonth FROM lineitem) GROUP BY 1")
+def pearson_log1p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("l_shipmonth", F.month("l_shipdate").cast("long"))
+    return stats.pearson_log1p(lines, ["l_shipmonth"], "l_quantity", "l_extendedprice").select("l_shipmonth", r("r"))
+
+
+@registered(f"""
+WITH {CELLS}, p AS (SELECT row, value, price * (sum(value) OVER (PARTITION BY row) / sum(price) OVER (PARTITION BY row)) AS predicted, count(*) OVER (PARTITION BY row) AS n FROM cells)
+SELECT row, round(corr(ln(1 + value), ln(1 + predicted)), 5) AS r FROM p WHERE n >= 3 GROUP BY row HAVING stddev_pop(value) > 1e-9 AND stddev_pop(predicted) > 1e-9
+""")
+def agreement_from_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of a part's quantities with those that its prices predict, for parts with three suppliers or more."""
+    scaled = stats.rate_to_counts(cells(spark, sf_dir), ["row"], "value", "price")
+    several = scaled.groupBy("row").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("a"), F.stddev_pop("predicted").alias("b")).filter("n >= 3 and a > 1e-9 and b > 1e-9")
+    return stats.pearson_log1p(scaled.join(several.select("row"), "row"), ["row"], "value", "predicted").select("row", r("r", 5))
+
+
+@registered("""
+WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+p AS (SELECT *, CASE WHEN n >= 40 THEN 4 WHEN n >= 8 THEN 2 ELSE 1 END AS parts FROM e), s AS (SELECT *, floor(n / parts)::BIGINT AS len FROM p),
+g AS (SELECT user_id, parts, len, (k // len) AS seg, avg(value) AS m, var_samp(value) AS v FROM s WHERE k // len < parts GROUP BY 1, 2, 3, 4),
+b AS (SELECT user_id, parts, len, avg(v) AS w, var_samp(m) AS b FROM g GROUP BY 1, 2, 3)
+SELECT user_id, round(CASE WHEN parts = 1 THEN 1.0 ELSE sqrt(((len - 1) / len * w + b) / w) END, 6) AS rhat FROM b
+""")
+def split_rhat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.split_rhat(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", r("rhat"))
+
+
+@registered("SELECT user_id, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY 1")
+def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.chain_summary(table(spark, sf_dir, "events"), ["user_id"]).select("user_id", *(r(c) for c in ("mean", "variance", "q05", "q50", "q95")))
+
+
+@registered()
+def chain_ess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ess(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "n", r("ess"))
+
+
+@registered("SELECT user_id, round(sqrt((h + 0.5) / (n + 1) * (1 - (h + 0.5) / (n + 1)) / n), 9) AS se FROM (SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS h FROM events GROUP BY 1)")
+def mcse_of_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum((F.col("event_type") == "click").cast("int")).alias("h"))
+    return got.select("user_id", r(stats.mcse_proportion(F.col("h"), F.col("n")), 9, "se"))
+
+
+@registered()
+def bootstrap_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.bootstrap_mean(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value").select("event_type", *(r(c) for c in ("mean", "se", "low", "high")))
+
+
+@registered()
+def sign_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether users' values lie around their event type's mean."""
+    events = table(spark, sf_dir, "events")
+    means = events.groupBy("event_type").agg(F.avg("value").alias("m"))
+    return stats.sign_flip_p(events.join(means, "event_type").withColumn("d", F.col("value") - F.col("m")), ["user_id"], "event_id", "d").select("user_id", r("p"))
+
+
+# -- top-k, triplets, lookups -------------------------------------------------------------------------
+
+
+@registered(f"WITH {CELLS} SELECT row, col, rank, round(score, 6) AS score FROM (SELECT *, ln(1 + value) AS score, row_number() OVER (PARTITION BY row ORDER BY ln(1 + value) DESC, col) AS rank FROM cells) WHERE rank <= 3")
+def topk_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.top_k(cells(spark, sf_dir), 3).select("row", "col", F.col("rank").cast("long").alias("rank"), r("score"))
+
+
+@registered(f"""
+WITH {CELLS}, t AS (SELECT row, col, value FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY value DESC, col) AS rank FROM cells) WHERE rank <= 4),
+l AS (SELECT row, list(col ORDER BY col) AS i, list(value ORDER BY col) AS v FROM t GROUP BY 1)
+SELECT row, array_to_string(list_concat(i, list_resize([]::BIGINT[], 4 - len(i), 0)), ',') AS indices, round(list_sum(v), 6) AS total FROM l
+""")
+def packed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lookups.packed(cells(spark, sf_dir), 4)
+    return got.select("row", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"), r(norm.total(F.col("values")), 6, "total"))
+
+
+@registered("SELECT vec_id AS row, generate_subscripts(embedding, 1) - 1 AS col, unnest(embedding)::DOUBLE AS value FROM embeddings")
+def melt_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lookups.melt(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return got.select("row", F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value"))
+
+
+@registered("SELECT vec_id AS row, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, len(embedding)::BIGINT AS width FROM embeddings")
+def triplets_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triplets = lookups.to_triplets(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("value", F.col("value").cast("double"))
+    dense = lookups.from_triplets(triplets, 64)
+    return dense.select("row", r(norm.total(F.col("features")), 4, "total"), F.size("features").cast("long").alias("width"))
+
+
+ORACLES["triplets_round_trip"] = ORACLES["triplets_round_trip"].replace(", 6) AS total", ", 4) AS total")
+
+
+@registered("""
+WITH g AS (SELECT n_name AS key, r_name AS grp, n_nationkey AS no FROM nation JOIN region ON n_regionkey = r_regionkey),
+k AS (SELECT DISTINCT key FROM (SELECT n_name AS key FROM nation UNION ALL SELECT n_name || '_x' FROM nation UNION ALL SELECT substr(n_name, 1, 4) FROM nation UNION ALL SELECT n_name || 'land' FROM nation UNION ALL SELECT c_mktsegment FROM customer)),
+m AS (SELECT k.key, 0 AS r, g.no, g.grp FROM k JOIN g ON k.key = g.key UNION ALL SELECT k.key, 1, g.no, g.grp FROM k JOIN g ON split_part(k.key, '_', 1) = g.key
+      UNION ALL SELECT k.key, 2, g.no, g.grp FROM k JOIN g ON starts_with(k.key, g.key) UNION ALL SELECT k.key, 3, g.no, g.grp FROM k JOIN g ON starts_with(g.key, k.key)),
+b AS (SELECT key, min({'r': r, 'no': no, 'grp': grp}) AS best FROM m GROUP BY 1)
+SELECT k.key, best.grp AS "group", coalesce(['exact', 'base', 'prefix', 'reverse'][best.r + 1], 'unmatched') AS rule FROM k LEFT JOIN b USING (key)
+""")
+def membership_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings of nations, and market segments, to regions."""
+    nation = table(spark, sf_dir, "nation")
+    groups = nation.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("key"), F.col("r_name").alias("group"), F.col("n_nationkey").alias("no"))
+    spelled = nation.select(F.explode(F.array("n_name", F.concat("n_name", F.lit("_x")), F.substring("n_name", 1, 4), F.concat("n_name", F.lit("land")))).alias("key"))
+    keys = spelled.unionByName(table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("key"))).distinct()
+    return lookups.match_groups(keys, groups, "_")
+
+
+@registered("""
+WITH a AS (SELECT DISTINCT p_partkey AS id, unnest([p_name] || string_split(p_name, ' ')) AS alias FROM part)
+SELECT alias, max(id) AS id, count(*) - 1 AS collisions FROM a WHERE alias <> '' GROUP BY 1
+""")
+def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.aliases(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), " ")
+
+
+@registered("SELECT p_partkey, 'chr' || p_size || ':' || p_partkey || '-' || (p_partkey + 10) AS locus, p_size || '_' || p_partkey || '_' || (p_partkey + 10) AS canonical FROM part")
+def canonical_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelled = table(spark, sf_dir, "part").select("p_partkey", F.format_string("chr%d:%d-%d", "p_size", "p_partkey", F.col("p_partkey") + 10).alias("locus"))
+    return spelled.withColumn("canonical", lookups.canonical_locus(F.col("locus")))
+
+
+@registered("SELECT p_partkey::VARCHAR AS p_partkey, coalesce(p_name, '') AS p_name, p_size::VARCHAR AS p_size FROM part")
+def table_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_table(spark, f"{sf_dir}/part.parquet", ["p_partkey", "p_name", "p_size"])
+
+
+@registered("SELECT c_custkey::VARCHAR AS row, round(c_custkey + c_nationkey + c_acctbal, 6) AS total FROM customer")
+def matrix_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey").cast("string"))
+    return tables.matrix_of(df, "key").select("row", r(norm.total(F.col("features")), 6, "total"))
+
+
+@registered(f"""
+WITH {CELLS}, g AS (SELECT p_partkey AS row, p_brand AS "group" FROM part), n AS (SELECT "group", count(*) AS size FROM g GROUP BY 1)
+SELECT "group", col, round(sum(value) / size, 6) AS value, size FROM cells JOIN g USING (row) JOIN n USING ("group") GROUP BY "group", col, size
+""")
+def group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.col("p_brand").alias("group"))
+    return lookups.group_means(cells(spark, sf_dir), groups).select("group", "col", r("value"), "size")
+
+
+# -- neighbours and graphs ----------------------------------------------------------------------------
+
+K = 10
+VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings)"
+KNN = f"""{VECTORS}, d AS (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(a.x, b.x) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+knn AS (SELECT id, other, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d) WHERE rank <= {K})"""
+EDGES = KNN + ", e AS (SELECT least(id, other) AS src, greatest(id, other) AS dst, min(distance) AS distance, count(*) AS n FROM knn GROUP BY 1, 2), both AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e)"
+EDGES = EDGES.replace("both AS", "adj AS")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"), "label")
+
+
+def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.exact(vectors(spark, sf_dir), K)
+
+
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.settle(edges.from_neighbours(knn(spark, sf_dir)))
+
+
+@registered(f"WITH {KNN} SELECT id, rank, other, round(distance, 6) AS distance FROM knn")
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn(spark, sf_dir).select("id", F.col("rank").cast("long").alias("rank"), "other", r("distance"))
+
+
+@registered()
+def knn_by_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.by_cells(vectors(spark, sf_dir), K).select("id", F.col("rank").cast("long").alias("rank"), "other", r("distance"))
+
+
+@registered(f"""
+WITH {VECTORS}, d AS (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(a.x, b.x) AS distance FROM v a JOIN v b ON a.label < 5 AND b.label >= 5)
+SELECT id, rank, other, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d) WHERE rank <= 3
+""")
+def knn_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the first five labels against those of the others."""
+    v = vectors(spark, sf_dir)
+    return neighbours.between(v.filter("label < 5"), v.filter("label >= 5"), 3).select("id", F.col("rank").cast("long").alias("rank"), "other", r("distance"))
+
+
+@registered(f"WITH {KNN} SELECT k.id, k.other, round(list_cosine_similarity(a.x, b.x), 6) AS cosine, round(k.distance / 8, 6) AS rms FROM knn k JOIN v a ON k.id = a.vec_id JOIN v b ON k.other = b.vec_id")
+def pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", norm.doubles(F.col("features")).alias("x"))
+    pairs = knn(spark, sf_dir).select("id", "other").join(v, "id").join(v.toDF("other", "y"), "other")
+    return pairs.select("id", "other", r(neighbours.cosine(F.col("x"), F.col("y")), 6, "cosine"), r(neighbours.rms_distance(F.col("x"), F.col("y")), 6, "rms"))
+
+
+@registered(f"""
+WITH {KNN}, p AS (SELECT vec_id, list_transform(x, lambda y: exp(y)) AS x FROM v), s AS (SELECT vec_id, list_transform(x, lambda y: sqrt(y / list_sum(x))) AS x FROM p)
+SELECT k.id, k.other, round(list_distance(a.x, b.x) / sqrt(2), 6) AS hellinger FROM knn k JOIN s a ON k.id = a.vec_id JOIN s b ON k.other = b.vec_id
+""")
+def hellinger_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir).select("id", norm.array_log_softmax(norm.doubles(F.col("features"))).alias("x"))
+    pairs = knn(spark, sf_dir).select("id", "other").join(v, "id").join(v.toDF("other", "y"), "other")
+    return pairs.select("id", "other", r(neighbours.hellinger(F.col("x"), F.col("y")), 6, "hellinger"))
+
+
+@registered(f"WITH {EDGES} SELECT src, dst, round(distance, 6) AS distance FROM e")
+def knn_edges_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.from_neighbours(knn(spark, sf_dir)).select("src", "dst", r("distance"))
+
+
+@registered(f"WITH {EDGES} SELECT src, dst, round(distance, 6) AS distance FROM e WHERE n = 2")
+def knn_edges_reciprocal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.from_neighbours(knn(spark, sf_dir), reciprocal=True).select("src", "dst", r("distance"))
+
+
+@registered(f"""
+WITH {EDGES}, same AS (SELECT id AS src, other AS dst, distance FROM d JOIN v a ON id = a.vec_id JOIN v b ON other = b.vec_id WHERE id < other AND a.label = b.label),
+a AS (SELECT src, dst, (row_number() OVER (ORDER BY distance, src, dst) - 1) / ((count(*) OVER ()) - 1) AS distance, 1 AS s FROM e),
+b AS (SELECT src, dst, (row_number() OVER (ORDER BY distance, src, dst) - 1) / ((count(*) OVER ()) - 1) AS distance, 2 AS s FROM same)
+SELECT src, dst, round(min(distance), 6) AS distance, bit_or(s) AS source FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2
+""")
+def edge_union_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours united with pairs of the same label, distances ranked within each source."""
+    v = vectors(spark, sf_dir).select("id", "label", norm.doubles(F.col("features")).alias("x"))
+    same = v.toDF("src", "label", "x").join(v.toDF("dst", "label", "y"), "label").filter("src < dst").select("src", "dst", neighbours.euclidean(F.col("x"), F.col("y")).alias("distance"))
+    got = edges.union(knn_edges(spark, sf_dir), traverse.settle(same), by_rank=True)
+    return got.select("src", "dst", r("distance"), F.col("source").cast("int").alias("source"))
+
+
+@registered(f"WITH {EDGES} SELECT src, dst, round(exp(-distance / (SELECT median(distance) FROM e)), 6) AS weight FROM e")
+def kernel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", r("weight"))
+
+
+@registered()
+def fuzzy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.fuzzy_union(edges.memberships(knn(spark, sf_dir))).select("src", "dst", r("weight"))
+
+
+@registered("""
+WITH p AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM p a JOIN p b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey)
+SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1
+""")
+def copurchase_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With how many other parts each part was ordered."""
+    parts = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src")).distinct()
+    pairs = parts.join(parts.toDF("l_orderkey", "dst"), "l_orderkey").filter("src < dst").select("src", "dst")
+    return edges.degrees(edges.canonical(pairs))
+
+
+_SHARED = "m AS (SELECT a.src AS src, b.src AS dst, count(*) AS shared FROM adj a JOIN adj b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2)"
+
+
+@registered(f"WITH {EDGES}, {_SHARED} SELECT e.src, e.dst, coalesce(shared, 0)::BIGINT AS shared FROM e LEFT JOIN m ON e.src = m.src AND e.dst = m.dst")
+def shared_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.shared_neighbours(knn_edges(spark, sf_dir))
+
+
+@registered(f"WITH {EDGES}, {_SHARED} SELECT e.src, e.dst, shared FROM e JOIN m ON e.src = m.src AND e.dst = m.dst WHERE shared >= 2")
+def snn_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.prune_by_shared(knn_edges(spark, sf_dir), 2)
+
+
+@registered(f"WITH {EDGES}, {_SHARED} SELECT src, dst FROM e UNION SELECT src, dst FROM m WHERE shared >= 4")
+def snn_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.augment(knn_edges(spark, sf_dir), 4)
+
+
+@registered(f"""
+WITH {EDGES}, {_SHARED}, s AS (SELECT e.src, e.dst, coalesce(shared, 0) AS shared FROM e LEFT JOIN m ON e.src = m.src AND e.dst = m.dst),
+t AS (SELECT src, dst, shared, src AS me, dst AS oth FROM s UNION ALL SELECT src, dst, shared, dst, src FROM s)
+SELECT DISTINCT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY shared DESC, oth) AS k FROM t) WHERE k <= 5
+""")
+def hub_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.cap_degree(knn_edges(spark, sf_dir), 5)
+
+
+@registered(f"""
+WITH {EDGES}, {_SHARED}, g AS (SELECT src AS node, count(*) AS d FROM adj GROUP BY 1),
+o AS (SELECT m.src, m.dst, shared, a.d + b.d - shared AS either FROM m JOIN g a ON a.node = m.src JOIN g b ON b.node = m.dst ANTI JOIN e ON e.src = m.src AND e.dst = m.dst),
+t AS (SELECT *, src AS me, dst AS oth FROM o UNION ALL SELECT *, dst, src FROM o)
+SELECT DISTINCT src, dst, shared, either FROM (SELECT *, row_number() OVER (PARTITION BY me ORDER BY shared / either DESC, shared DESC, oth) AS k FROM t) WHERE k <= 3
+""")
+def two_hop_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.two_hop(knn_edges(spark, sf_dir), top=3)
+
+
+@registered(f"WITH {EDGES} SELECT least(a.label, b.label) AS src, greatest(a.label, b.label) AS dst, round(sum(distance), 6) AS weight FROM e JOIN v a ON src = a.vec_id JOIN v b ON dst = b.vec_id WHERE a.label <> b.label GROUP BY 1, 2")
+def collapse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = vectors(spark, sf_dir).select(F.col("id").alias("node"), "label")
+    return edges.contract(knn_edges(spark, sf_dir), labels, "distance").select("src", "dst", r("weight"))
+
+
+@registered(f"""
+WITH {EDGES}, w AS (SELECT sum(distance) AS w FROM e), i AS (SELECT sum(distance) AS i FROM e JOIN v a ON src = a.vec_id JOIN v b ON dst = b.vec_id WHERE a.label = b.label),
+s AS (SELECT sum(n * n)::DOUBLE AS q FROM (SELECT label, count(*) AS n FROM v GROUP BY 1))
+SELECT round((2 * i - 0.05 * q) / (2 * w), 6) AS cpm FROM w, i, s
+""")
+def cpm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = vectors(spark, sf_dir).select(F.col("id").alias("node"), "label", F.lit(1.0).alias("weight"))
+    return edges.quality(knn_edges(spark, sf_dir).withColumnRenamed("distance", "weight"), nodes.select("node", "label"), nodes.select("node", "weight"), 0.05).select(r("cpm"))
+
+
+NEAREST = KNN.replace(f"rank <= {K})", "rank <= 1)")
+
+
+@registered(f"""
+WITH RECURSIVE {NEAREST}, adj AS (SELECT id AS a, other AS b FROM knn UNION SELECT other, id FROM knn),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT x.a, y.b FROM reach x JOIN adj y ON x.b = y.a), root AS (SELECT a, min(b) AS r FROM reach GROUP BY 1)
+SELECT a AS node, dense_rank() OVER (ORDER BY r) - 1 AS component FROM root
+""")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return traverse.connected_components(edges.from_neighbours(neighbours.exact(v, 1)), v.select(F.col("id").alias("node")))
+
+
+@registered(f"""
+WITH RECURSIVE {EDGES}, walk AS (SELECT (SELECT min(vec_id) FROM v) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN adj ON node = src WHERE depth < 12)
+SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY 1
+""")
+def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = vectors(spark, sf_dir).agg(F.min("id")).first()[0]
+    return traverse.depths(knn_edges(spark, sf_dir), start).select("node", "depth")
+
+
+@registered()
+def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.core(knn_edges(spark, sf_dir), 12)
+
+
+@registered()
+def ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.personal_ranks(knn_edges(spark, sf_dir), 5, least=1e-3).select("source", "rank", "node", r("score"))
+
+
+@registered()
+def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traverse.spanning_tree(knn_edges(spark, sf_dir).withColumnRenamed("distance", "weight")).select("src", "dst", r("weight"))
+
+
+@registered()
+def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = traverse.settle(edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight"))
+    return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")), rounds=8, levels=3)
+
+
+# -- sums over vectors --------------------------------------------------------------------------------
+
+
+@registered(f"""
+WITH {VECTORS}, x AS (SELECT vec_id, generate_subscripts(x, 1) - 1 AS k, unnest(x) AS y FROM v)
+SELECT a.k::INTEGER AS i, b.k::INTEGER AS j, round(sum(a.y * b.y), 6) + 0.0 AS g FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.k <= b.k GROUP BY 1, 2
+""")
+def geometry_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.gram(vectors(spark, sf_dir)).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), r("g"))
+
+
+@registered(f"""
+WITH {VECTORS}, x AS (SELECT vec_id, generate_subscripts(x, 1) AS k, unnest(x) AS y FROM v), g AS (SELECT a.k AS i, b.k AS j, sum(a.y * b.y) AS g FROM x a JOIN x b USING (vec_id) GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM v) AS n, round(sum(CASE WHEN i = j THEN g ELSE 0 END) ** 2 / sum(g * g), 4) AS participation FROM g
+""")
+def participation_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.geometry(vectors(spark, sf_dir)).select("n", r("participation", 4))
+
+
+@registered()
+def principal_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linear.scores(vectors(spark, sf_dir), 3).select("id", *(r(F.element_at("scores", k + 1), 4, f"pc{k + 1}") for k in range(3)))
+
+
+@registered(f"""
+WITH {VECTORS}, c AS (SELECT label, k, avg(y) AS m FROM (SELECT label, generate_subscripts(x, 1) AS k, unnest(x) AS y FROM v) GROUP BY 1, 2), m AS (SELECT label, list(m ORDER BY k) AS m FROM c GROUP BY 1),
+d AS (SELECT vec_id, m.label, list_distance(x, m) ** 2 AS d FROM v, m)
+SELECT vec_id AS id, first(label ORDER BY d, label)::INTEGER AS cluster, round(min(d), 6) AS distance FROM d GROUP BY 1
+""")
+def kmeans_assign_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector to the nearest mean of a label."""
+    import numpy as np
+
+    v = vectors(spark, sf_dir)
+    means = clusters.means_of(v.select("label", norm.doubles(F.col("features")).alias("v")), "label").orderBy("label").collect()
+    return clusters.assign(v, np.array([m["mean"] for m in means])).select("id", "cluster", r("distance"))
+
+
+@registered(f"WITH {VECTORS} SELECT label, k::INTEGER AS place, n, round(avg(y), 6) + 0.0 AS mean FROM (SELECT label, generate_subscripts(x, 1) - 1 AS k, unnest(x) AS y, count(*) OVER (PARTITION BY label) AS n FROM v) GROUP BY 1, 2, 3")
+def centroid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = clusters.means_of(vectors(spark, sf_dir).select("label", norm.doubles(F.col("features")).alias("v")), "label")
+    return means.select("label", "n", F.posexplode("mean").alias("place", "m")).select("label", "place", "n", r("m", 6, "mean"))
+
+
+@registered()
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.kmeans(vectors(spark, sf_dir), 10, rounds=10).select("id", "cluster", r("distance"))
+
+
+@registered()
+def batch_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = clusters.harmonise(vectors(spark, sf_dir), "label", k=5, rounds=3)
+    return got.select("id", r(norm.total(F.col("corrected")), 6, "total"))
+
+
+@registered()
+def anchor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as mixtures of five that span the others."""
+    import numpy as np
+
+    v = vectors(spark, sf_dir)
+    found = clusters.anchors(v, 5)
+    rows = {x.id: x.features for x in v.filter(F.col("id").isin(found)).collect()}  # the anchors alone
+    return clusters.simplex_weights(v, np.array([rows[i] for i in found], float), steps=50).select("id", r("rss"), r(F.array_max("weights"), 6, "top"))
+
+
+@registered(f"""
+WITH {KNN}, p AS (SELECT vec_id AS other, x[1] AS x, x[2] AS y FROM v), s AS (SELECT *, max(distance) OVER (PARTITION BY id) AS sigma FROM knn),
+w AS (SELECT id, other, CASE WHEN sigma > 0 THEN exp(-((distance / sigma) ** 40)) ELSE 1 END AS w FROM s)
+SELECT id, round(sum(w * x) / sum(w), 6) + 0.0 AS x, round(sum(w * y) / sum(w), 6) + 0.0 AS y FROM w JOIN p USING (other) GROUP BY 1
+""")
+def nystrom_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = vectors(spark, sf_dir).select(F.col("id").alias("other"), norm.doubles(F.col("features"))[0].alias("x"), norm.doubles(F.col("features"))[1].alias("y"))
+    return linear.nystrom_place(knn(spark, sf_dir), places).select("id", r("x"), r("y"))
+
+
+@registered()
+def diffusion_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight")
+    return layout.diffusion_map(weighted, rounds=6).select("node", r("x"), r("y"))
+
+
+@registered()
+def force_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighted = edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight")
+    start = vectors(spark, sf_dir).select(F.col("id").alias("node"), (20 * sampling.uniform(1, "id") - 10).alias("x"), (20 * sampling.uniform(2, "id") - 10).alias("y"))
+    return layout.attract_repel(weighted, start, rounds=5).select("node", r("x", 3), r("y", 3))
+
+
+@registered()
+def pseudotime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    nodes, tree = trajectory.principal_graph(v, 12, rounds=5)
+    return trajectory.pseudotime(v, nodes, tree, 0).select("id", "edge", r("along", 4), r("time", 4))
+
+
+# -- posteriors and likelihoods -----------------------------------------------------------------------
+
+
+def posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cells(spark, sf_dir)
+    keys = c.select(F.col("row"), F.col("col").alias("column"), F.col("value").alias("da"), (F.col("price") / 1000).alias("db"))
+    return gamma.add(gamma.prior(keys, 1.0, 1.0), keys)
+
+
+@registered(f"WITH {CELLS}, p AS (SELECT row, col AS column, 1 + value AS a, 1 + price / 1000 AS b FROM cells) SELECT row, \"column\", round(a / b, 6) AS mean, round(sqrt(a) / b, 6) AS sd, round((a - 1) / (b - 1), 6) AS evidence FROM p".replace("AS column", 'AS "column"'))
+def gamma_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = gamma.evidence_mean(gamma.calibrate(posterior(spark, sf_dir), logs=False), 1.0, 1.0)
+    return got.select("row", "column", r("mean"), r("sd"), r("evidence"))
+
+
+@registered()
+def gamma_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gamma.calibrate(posterior(spark, sf_dir)).select("row", "column", r("log_mean"), r("log_sd"))
+
+
+@registered()
+def gamma_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gamma.sample(posterior(spark, sf_dir)).select("row", "column", r("draw"))
+
+
+_LG = "(-0.0810614667 - ({0}) - ln({0}) + (({0}) + 0.5) * ln(1 + ({0})))"
+RATES = f"{CELLS}, t AS (SELECT row, value AS x, (sum(value) OVER (PARTITION BY row)) / (count(*) OVER (PARTITION BY row)) AS mu FROM cells)"
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    return cells(spark, sf_dir).select("row", "col", F.col("value").alias("x"), F.avg("value").over(W.partitionBy("row")).alias("mu"))
+
+
+@registered(f"WITH {RATES} SELECT row, round(sum(x * ln(mu) - mu), 5) AS llik FROM t GROUP BY 1")
+def poisson_llik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.summed(rates(spark, sf_dir), ["row"], likelihood.poisson(F.col("x"), F.col("mu"))).select("row", r("llik", 5))
+
+
+@registered(f"WITH {RATES} SELECT row, round(sum({_LG.format('x + exp(1.0)')} - {_LG.format('exp(1.0)')} - {_LG.format('x + 1')} + exp(1.0) * ln(exp(1.0) / (exp(1.0) + mu)) + x * ln(mu / (exp(1.0) + mu))), 5) AS llik FROM t GROUP BY 1")
+def nb_llik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.summed(rates(spark, sf_dir), ["row"], likelihood.negative_binomial(F.col("x"), F.col("mu"), F.lit(1.0))).select("row", r("llik", 5))
+
+
+@registered(f"WITH {RATES} SELECT row, round({_LG.format('sum(mu)')} - {_LG.format('sum(x) + sum(mu)')} + sum({_LG.format('x + mu')} - {_LG.format('mu')}), 4) AS llik FROM t GROUP BY 1")
+def dirichlet_llik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.dirichlet_multinomial(rates(spark, sf_dir), ["row"], "x", "mu").select("row", r("llik", 4))
+
+
+@registered(f"WITH {RATES}, s AS (SELECT row, x, ln(mu + x) AS s, max(ln(mu + x)) OVER (PARTITION BY row) AS top FROM t) SELECT row, round(sum(x) * (max(top) + ln(sum(exp(s - top)))) - sum(x * s), 5) + 0.0 AS nll FROM s GROUP BY 1")
+def multinomial_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rates(spark, sf_dir).withColumn("s", F.log(F.col("mu") + F.col("x")))
+    return likelihood.multinomial_profiled(scored, ["row"], "x", "s").select("row", r("nll", 5))
+
+
+@registered(f"WITH {KNN} SELECT round(sum(greatest(1 - distance / 1.5, 0) ** 2) / count(*), 6) AS loss FROM knn")
+def pair_hinge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.pair_hinge(knn(spark, sf_dir).withColumn("w", F.lit(1.0)), "distance", "w", 1.5).select(r("loss"))
+
+
+@registered("SELECT x, round(-0.0810614667 - x - ln(x) + (x + 0.5) * ln(1 + x), 9) AS lg FROM (SELECT DISTINCT l_quantity AS x FROM lineitem)")
+def approximate_lgamma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("x")).distinct().select("x", r(approx_lgamma(F.col("x")), 9, "lg"))
+
+
+@registered()
+def hidden_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An eighth of each vector's places, hidden by a keyed draw."""
+    return likelihood.hidden_cells(vectors(spark, sf_dir).select(F.col("id").alias("row")), 64, 0.125)
+
+
+# -- array functions ----------------------------------------------------------------------------------
+
+
+@registered(f"WITH {VECTORS}, s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda y: exp(y))) AS z FROM v) SELECT vec_id AS id, round(0.9 * exp(x[1]) / z + 0.1 / 64, 9) AS smoothed FROM s")
+def smoothed_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log_theta = norm.array_log_softmax(norm.doubles(F.col("features")))
+    return vectors(spark, sf_dir).select("id", r(F.exp(norm.smooth_topics(log_theta, 0.1)[0]), 9, "smoothed"))
+
+
+@registered(f"WITH {VECTORS} SELECT vec_id AS id, round(1.0, 6) AS total FROM v")
+def stick_breaking_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proportions of a broken stick add up to one."""
+    return vectors(spark, sf_dir).select("id", r(norm.total(F.transform(norm.stick_breaking(norm.doubles(F.col("features"))), F.exp)), 6, "total"))
+
+
+@registered(f"""
+WITH {VECTORS}, z AS (SELECT vec_id, x, unnest(list_sort(list_transform(x, lambda y: 8 * y), 'DESC')) AS z, generate_subscripts(x, 1) AS k FROM v), c AS (SELECT vec_id, z, k, sum(z) OVER (PARTITION BY vec_id ORDER BY k) AS s FROM z),
+t AS (SELECT vec_id, max(k) AS k FROM c WHERE 1 + k * z > s GROUP BY 1), u AS (SELECT c.vec_id, (s - 1) / c.k AS tau FROM c JOIN t ON c.vec_id = t.vec_id AND c.k = t.k)
+SELECT v.vec_id AS id, len(list_filter(x, lambda y: 8 * y > tau))::BIGINT AS support, round(greatest(list_max(x) * 8 - tau, 0), 6) AS top FROM v JOIN u USING (vec_id)
+""")
+def sparsemax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).select("id", norm.sparsemax(F.transform(norm.doubles(F.col("features")), lambda x: 8 * x)).alias("p"))
+    return rows.select("id", F.size(F.filter("p", lambda x: x > 0)).cast("long").alias("support"), r(F.array_max("p"), 6, "top"))
+
+
+@registered("SELECT p_partkey, round(least(v, 0) - ln(1 + exp(-abs(v))), 9) AS log_sigmoid, round(8 * tanh(v / 8), 9) AS clamped, round(sin(p_size), 9) + 0.0 AS s0, round(cos(p_size / 10.0), 9) + 0.0 AS c1 FROM (SELECT *, p_size - 25.0 AS v FROM part)".replace("p_size / 10.0", "p_size / (10000.0 ** 0.5)"))
+def value_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").withColumn("v", F.col("p_size") - 25.0).withColumn("e", norm.positional_embedding(F.col("p_size").cast("double"), 4))
+    return parts.select("p_partkey", r(norm.log_sigmoid(F.col("v")), 9, "log_sigmoid"), r(norm.soft_clamp(F.col("v")), 9, "clamped"), r(F.col("e")[0], 9, "s0"), r(F.col("e")[1], 9, "c1"))
+
+
+# -- draws and streams --------------------------------------------------------------------------------
+
+
+@registered()
+def keyed_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.bootstrap(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@registered()
+def thinned_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.poisson_thin(cells(spark, sf_dir).select("row", "col", "value"), 0.5, ["row", "col"])
+
+
+@registered("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, sum(CASE WHEN value > 0 THEN 1 ELSE 0 END)::BIGINT AS nnz, round(sum(value), 6) AS tot, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sig FROM events GROUP BY 1, 2, 3")
+def streaming_running_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = streams.windowed_stats(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", "1 hour", "2 hours")
+    return got.select("start", "end", "event_type", "nnz", r("tot"), r("mu"), r("sig"))
+
+
+@registered("""
+WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n, round(sum(value), 6) AS tot FROM s GROUP BY user_id, k
+""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.sessions(table(spark, sf_dir, "events"), ["user_id"], "ts", "6 hours", "1 day", "value").select("start", "end", "user_id", "n", r("tot"))
+
+
+@registered()
+def running_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.running_quantile_batch(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 0.9).select("user_id", "n", r("quantile"))
