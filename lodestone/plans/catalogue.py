@@ -81,10 +81,10 @@ def column_running_stats_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normalised(name: str, change: Callable[[DataFrame], DataFrame], sql: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return change(cells(spark, sf_dir)).select("row", "col", r("value"))
+        return change(cells(spark, sf_dir)).select("row", "col", r("value", 9))
 
     query.__name__ = name
-    registered(f"WITH {CELLS} SELECT row, col, round({sql}, 6) + 0.0 AS value FROM cells")(query)
+    registered(f"WITH {CELLS} SELECT row, col, round({sql}, 9) + 0.0 AS value FROM cells")(query)
 
 
 _normalised("sum_to_one_columns", lambda c: norm.sum_to_one(c, "col"), "value / sum(value) OVER (PARTITION BY col)")
@@ -205,9 +205,9 @@ def split_rhat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.split_rhat(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", r("rhat"))
 
 
-@registered("SELECT user_id, round(avg(value), 6) AS mean, round(var_samp(value), 6) AS variance, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY 1")
+@registered("SELECT user_id, round(avg(value), 6) AS mean, round(var_samp(value), 7) AS variance, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY 1")
 def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.chain_summary(table(spark, sf_dir, "events"), ["user_id"]).select("user_id", *(r(c) for c in ("mean", "variance", "q05", "q50", "q95")))
+    return stats.chain_summary(table(spark, sf_dir, "events"), ["user_id"]).select("user_id", r("variance", 7), *(r(c) for c in ("mean", "q05", "q50", "q95")))
 
 
 @registered()
@@ -516,7 +516,7 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = traverse.settle(edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight"))
-    return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")), rounds=8, levels=3)
+    return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")), rounds=4, levels=2)
 
 
 # -- sums over vectors --------------------------------------------------------------------------------
