@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .frames import cut_lineage
+from .frames import components, cut_lineage
 
 BITS, SYMBOLS, PERIOD = 256, 1024, 4096
 #: Characters below which a text is walked again from its start, until there are so many.
 SHORTEST = 512
 #: Bands and the bits that each samples.
 BANDS, SAMPLED = 32, 8
+#: Classes of a band that are compared at a time.
+BAND_BLOCK = 2_048
 #: Characters embedded at a time.
 AT_ONCE = 10_000_000
 
@@ -206,16 +208,38 @@ def band_keys(fingerprint: Column) -> Column:
 
 
 def alike(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """``doc_id``, ``other``, ``likeness``: documents whose fingerprints share a band and have that likeness.
+    """``doc_id``, ``component``: what documents are alike, by their ``fingerprint``.
 
-    Equal fingerprints are one class, shown by its least ``doc_id``: each row gets the least ids of the alike
-    classes. A band's classes are compared with the least one of the band, so no group is paired with itself.
+    Two documents are linked if their fingerprints share a band and have a likeness of `least`; the component is
+    the least ``doc_id`` that links reach. Equal fingerprints are one class from the start. A band's classes are
+    compared in blocks of `BAND_BLOCK`; a pair of blocks gives the links of a spanning forest, never all its pairs.
     """
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head"))
+    classes = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")))
     keyed = classes.select("head", "fingerprint", F.explode(band_keys(F.col("fingerprint"))).alias("band"))
-    least_of = keyed.groupBy("band").agg(F.min(F.struct("head", "fingerprint")).alias("one"))
-    pairs = keyed.join(least_of, "band").filter("head <> one.head").select("head", "fingerprint", F.col("one.head").alias("other"), F.col("one.fingerprint").alias("print")).distinct()
-    words = [F.bit_count(F.conv(F.substring("fingerprint", 1 + 8 * k, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("print", 1 + 8 * k, 8), 16, 10).cast("long"))) for k in range(BITS // 32)]
-    near = F.greatest(F.lit(0.0), F.cos(F.lit(np.pi / BITS) * sum(words[1:], words[0])))
-    found = pairs.withColumn("likeness", near).filter(F.col("likeness") >= least).select("fingerprint", "other", "likeness")
-    return prints.select("doc_id", "fingerprint").join(found, "fingerprint").select("doc_id", "other", "likeness")
+    sizes = keyed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band", F.ceil(F.col("size") / F.lit(BAND_BLOCK)).cast("int").alias("blocks"))
+    placed = cut_lineage(keyed.join(sizes, "band").withColumn("at", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")))
+    left = placed.withColumn("p", F.col("at")).withColumn("q", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))).select("band", "p", "q", "head", "fingerprint")
+    right = placed.withColumn("q", F.col("at")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("at")))).select("band", "p", "q", "head", "fingerprint").toDF("band_y", "p_y", "q_y", "head_y", "print_y")
+
+    def forest(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids = [*a["head"].to_pylist(), *b["head_y"].to_pylist()]
+        bits = np.frombuffer(bytes.fromhex("".join([*a["fingerprint"].to_pylist(), *b["print_y"].to_pylist()])), np.uint8).reshape(-1, BITS // 8)
+        root, out, m = list(range(len(ids))), [], a.num_rows
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for k in range(m):
+            for j in (np.flatnonzero(likeness(bits[m:], bits[k]) >= least) + m).tolist():
+                x, y = find(k), find(j)
+                if x != y:
+                    root[y] = x
+                    out.append((ids[k], ids[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    links = left.groupBy("band", "p", "q").cogroup(right.groupBy("band_y", "p_y", "q_y")).applyInArrow(forest, "a long, b long")
+    found = classes.join(components(links).toDF("head", "root"), "head", "left").select("fingerprint", F.coalesce("root", "head").alias("component"))
+    return prints.select("doc_id", "fingerprint").join(found, "fingerprint").select("doc_id", "component")

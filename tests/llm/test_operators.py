@@ -265,3 +265,20 @@ def test_unicode_is_normalised():
     own = bpe.WordBpe(bpe.default_path())
     assert own.words("É") == ["é"] == [unicodedata.normalize("NFC", "é")]
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+def test_alike_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BAND_BLOCK", 5)  # several blocks a band
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(1500)) for _ in range(4)]
+    texts = [t[:k] + "#" + t[k:] for t in base for k in rng.sample(range(1500), 9)] + base
+    prints = fingerprints.embed(texts)
+    rows = [(i, p.tobytes().hex()) for i, p in enumerate(prints)]
+    got = {r.doc_id: r.component for r in fingerprints.alike(spark.createDataFrame(rows, "doc_id long, fingerprint string"), 0.8).collect()}
+    root = list(range(len(texts)))
+    bits = np.unpackbits(prints, axis=1)[:, fingerprints.band_bits()]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (bits[i] == bits[j]).all(axis=1).any() and fingerprints.likeness(prints[i : i + 1], prints[j : j + 1])[0] >= 0.8:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) < len(texts)
