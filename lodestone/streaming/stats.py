@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream's watermark; it needs a time with a zone. A table has none."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def windowed_stats(events: DataFrame, keys: list[str], time: str, value: str, width: str, late: str, slide: str | None = None) -> DataFrame:
     """``window``, keys, ``nnz``, ``tot``, ``mu``, ``sig`` for a streaming or batch table; events later than `late` are left out."""
     at = F.window(time, width, slide) if slide else F.window(time, width)
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _watermarked(events, time, late)
     x = F.col(value).cast("double")
     got = rows.groupBy(at.alias("window"), *keys).agg(F.sum((x > 0).cast("long")).alias("nnz"), F.sum(x).alias("tot"), F.avg(x).alias("mu"), F.stddev_pop(x).alias("sig"))
     return got.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "nnz", "tot", "mu", "sig")
@@ -20,7 +25,7 @@ def windowed_stats(events: DataFrame, keys: list[str], time: str, value: str, wi
 
 def sessions(events: DataFrame, keys: list[str], time: str, gap: str, late: str, value: str) -> DataFrame:
     """Events of a key that lie less than `gap` apart: ``start``, ``end``, keys, ``n``, ``tot``."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _watermarked(events, time, late)
     got = rows.groupBy(F.session_window(time, gap).alias("s"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("tot"))
     return got.select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), *keys, "n", "tot")
 
