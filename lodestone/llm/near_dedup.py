@@ -3,11 +3,15 @@
 A document's sketch is the `K` smallest hashes of its word shingles. Two sets with a similarity of 0.8 share
 at least `SHARED` of the `K` smallest hashes of their union (fewer have a chance of 1e-10), so:
 
-* inverted lists: each retained value lists its documents. A pair shares at least `SHARED` lists, so each
-  document may leave out its `SHARED` - 1 most frequent values: the rest, taken in one order for all, still
-  meets. That removes the lists of common shingles without losing a pair;
-* long lists (groups of copies) don't emit their pairs. Their members are first compared with two leaders;
-  then only members outside the list's main component are compared with the members of other components;
+* inverted lists: a document may leave out its `SHARED` - `MEET` most frequent values: of the rest, taken in one
+  order for all, a pair still shares `MEET`. The values fall in `MEET` - 1 classes by their hash, so a pair shares
+  two of one class: the lists are those of two values of a class. Lists of common shingles are gone, and what
+  meets in a list is mostly alike;
+* short lists emit their pairs;
+* long lists don't emit their pairs. Their members are first compared with a few leaders, one of them the member
+  of the most and longest lists, which stands in the middle of a group of copies. The lists with the same middle
+  are a family; what a family's links leave outside its main component is compared with the whole family in
+  blocks of full sets, where an inverted list within the task counts what sets share. Only links come out;
 * union sketches estimate each candidate pair's similarity; those below the bound go;
 * exact Jaccard on the full sets, computed from the texts, confirms the rest.
 
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +35,18 @@ from .line_dedup import LOWER
 K, SHARED = 40, 14
 #: Sets of at most so many shingles only meet sets that lie within the sketch as a whole.
 WHOLE = 32
+#: Kept values that a similar pair shares at least; up to WHOLE, sets share as many for sure from `MEET` on.
+MEET = 6
+#: Smallest sets that share `MEET` for sure: 4/5 of them are so many.
+TWO_FROM = 8
 #: Lists of at most so many classes emit their pairs.
-SHORT = 8
+SHORT = 16
+#: Further leaders of a long list, by hash: the same in all lists as far as they are in them.
+LEADERS = 3
+#: Shingles of a block of a family.
+BLOCK = 500_000
+#: Most classes whose texts are found by sending their ids to every task; more are joined by shuffling.
+SENT_IDS = 500_000
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -66,27 +81,54 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def rare_lists(classes: DataFrame) -> DataFrame:
-    """``value``, ``set_id``: the inverted lists that are needed, those of two classes or more."""
-    postings = classes.filter("n > 3").select("set_id", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
-    shared = cut_lineage(postings.groupBy("value").agg(F.count("*").alias("classes")).filter("classes > 1"))
-    mine = postings.join(shared, "value").groupBy("set_id", "n", "k").agg(F.array_sort(F.collect_list(F.struct("classes", "value"))).alias("values"))
+    """``value``, ``cid``, ``n``: the inverted lists of two values that are needed.
+
+    Sets of fewer than `MEET` shingles that must be shared keep all they have, in lists of one value.
+    """
+    postings = classes.filter("n > 3").select(F.explode("sketch").alias("value"), "cid")
+    shared = cut_lineage(postings.groupBy("value").agg(F.count("*").cast("int").alias("classes")).filter("classes > 1"))
+    mine = postings.join(shared, "value").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("classes", "value"))).alias("values"))
+    mine = mine.join(classes.select("cid", "n", F.size("sketch").alias("k")), "cid")
     needed = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * 4 / 5)).otherwise(F.lit(SHARED)).cast("int")
     # values of one class are the rarest: they fill the first places, and no list needs them
-    places = F.col("k") - needed + 1 - (F.col("k") - F.size("values"))
-    kept = mine.withColumn("values", F.slice("values", 1, F.greatest(places, F.lit(0))))
-    return kept.select("set_id", F.explode("values.value").alias("value"))
+    places = F.col("k") - needed + F.least(F.lit(MEET), needed) - (F.col("k") - F.size("values"))
+    kept = mine.withColumn("values", F.slice(F.transform("values", lambda t: t["value"]), 1, F.greatest(places, F.lit(0))))
+
+    def pairs_in(c: int):
+        own = F.filter("values", lambda v: F.pmod(v, F.lit(MEET - 1)) == c)
+        return F.flatten(F.transform(own, lambda v: F.transform(F.filter(own, lambda u: u > v), lambda u: F.xxhash64(v, u))))
+
+    # a small set meets a slightly larger one, which may have lists of two: both kinds are made for sizes around
+    small = F.when(F.col("n") < TWO_FROM, F.col("values"))
+    around = F.when(F.col("n") <= TWO_FROM * 5 // 4 + 1, F.col("values"))
+    none = F.array().cast("array<bigint>")
+    twos = F.when(F.col("n") >= TWO_FROM, F.flatten(F.array(*(pairs_in(c) for c in range(MEET - 1))))).otherwise(none)
+    keys = F.concat(F.coalesce(small, around, none), twos)
+    return kept.select(F.explode(keys).alias("value"), "cid", F.col("n").cast("int").alias("n"))
+
+
+def _sizes_fit(n_a: str, n_b: str):
+    return 5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that may be similar enough by the sketch of their union and by their sizes."""
-    own = classes.select("set_id", "n", "sketch")
+    """The pairs that may be similar enough by the sketch of their union."""
+    own = classes.select("cid", "n", "sketch")
     both = pairs.join(own.toDF("a", "n_a", "s_a"), "a").join(own.toDF("b", "n_b", "s_b"), "b")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, K)
     shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    small = F.greatest("n_a", "n_b") <= K
-    sizes = 5 * F.least("n_a", "n_b") >= 4 * F.greatest("n_a", "n_b")
-    enough = F.when(small, 5 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * F.size(F.array_union("s_a", "s_b"))).otherwise(shared >= SHARED)
-    return both.filter(sizes & enough).select("a", "b")
+    whole = F.greatest("n_a", "n_b") <= K
+    enough = F.when(whole, 5 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * F.size(F.array_union("s_a", "s_b"))).otherwise(shared >= SHARED)
+    return both.filter(_sizes_fit("n_a", "n_b") & enough).select("a", "b")
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cid``, ``text``: one text for each class in `pairs`."""
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    at = cut_lineage(classes.join(needed, "cid").select("cid", F.col("one.doc").alias("doc"), F.col("one.text_id").alias("text_id")))
+    side = F.broadcast(at) if at.count() <= SENT_IDS else at
+    return cut_lineage(rows.join(side, ["doc", "text_id"]).select("cid", "text"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -106,8 +148,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     keep.append(100 * both >= 80 * (len(left) + len(right) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    texts = texts.dropDuplicates(["cid"])  # rows may repeat a document
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -122,28 +165,29 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     known = cut_lineage(sketches(docs, size))
     numbered = known.filter("doc is not null and n > 0")
     # the class's text is any member's; its sketch is every member's
-    classes = cut_lineage(numbered.groupBy("set_id", "n").agg(F.min(F.struct("doc", "text_id")).alias("one"), F.first("sketch").alias("sketch")))
+    classes = numbered.groupBy("set_id", "n").agg(F.min(F.struct("doc", "text_id")).alias("one"), F.first("sketch").alias("sketch"))
+    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
     lists = cut_lineage(rare_lists(classes))
-    lengths = cut_lineage(lists.groupBy("value").agg(F.count("*").alias("m"), F.min("set_id").alias("low"), F.max("set_id").alias("high")).filter("m > 1"))
+    lengths = cut_lineage(lists.groupBy("value").agg(F.count("*").cast("int").alias("m")).filter("m > 1"))
     members = lists.join(lengths, "value")
-    short, long_ = members.filter(F.col("m") <= SHORT).select("value", "set_id"), members.filter(F.col("m") > SHORT)
-    close = short.toDF("value", "a").join(short.toDF("value", "b"), "value").filter("a < b").select("a", "b")
-    led = long_.select("set_id", F.explode(F.array("low", "high")).alias("to")).filter("set_id <> to").select(F.least("set_id", "to").alias("a"), F.greatest("set_id", "to").alias("b"))
+    short, long_ = members.filter(F.col("m") <= SHORT).select("value", "cid", "n"), cut_lineage(members.filter(F.col("m") > SHORT))
+    close = short.toDF("value", "a", "n_a").join(short.toDF("value", "b", "n_b"), "value").filter((F.col("a") < F.col("b")) & _sizes_fit("n_a", "n_b"))
+    close = close.select("a", "b").distinct()
+    common = long_.groupBy("cid").agg(F.sum("m").alias("common"))
+    middle = F.max(F.struct("common", "cid", "n"))
+    leaders = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n")) for k in range(LEADERS)]
+    heads = cut_lineage(long_.join(common, "cid").groupBy("value").agg(F.array(*(F.struct(c["cid"].alias("cid"), c["n"].alias("n")) for c in (middle, *leaders))).alias("leaders")))
+    led = long_.join(heads, "value").select("cid", "n", F.explode(F.array_distinct("leaders")).alias("to")).filter(F.col("cid") != F.col("to.cid")).filter(_sizes_fit("n", "to.n"))
+    led = led.select(F.least("cid", "to.cid").alias("a"), F.greatest("cid", "to.cid").alias("b")).distinct()
     first = cut_lineage(estimated(close.unionByName(led).distinct(), classes))
-
-    # the texts that any comparison may need: one for each class in a pair or in a long list
-    needed = first.select(F.col("a").alias("set_id")).unionByName(first.select(F.col("b").alias("set_id"))).unionByName(long_.select("set_id")).distinct()
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
-    at = classes.join(needed, "set_id").select("set_id", F.col("one.doc").alias("doc"), F.col("one.text_id").alias("text_id"))
-    texts = cut_lineage(rows.join(at, ["doc", "text_id"]).select("set_id", "text"))
-    links = cut_lineage(verified(first, texts, size))
+    links = cut_lineage(verified(first, texts_of(docs, first, classes), size))
     found = components(links)
 
-    rest = cut_lineage(estimated(_across(long_, found).join(first, ["a", "b"], "left_anti"), classes))
+    rest = cut_lineage(_within_families(docs, long_, heads, classes, found, size))
     if not rest.isEmpty():
-        found = components(links.unionByName(cut_lineage(verified(rest, texts, size))))
+        found = components(links.unionByName(rest))
 
-    of = classes.select("set_id", F.col("one.doc").alias("least")).join(found.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    of = classes.select("cid", "set_id", F.col("one.doc").alias("least")).join(found.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     heads = of.groupBy("root").agg(F.min("least").alias("component_id"))
     of = of.join(heads, "root").select("set_id", "component_id")
     return (
@@ -171,12 +215,55 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     return stays.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
-def _across(long_: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs in long lists of members from different components, one of them outside the list's main component."""
-    part = cut_lineage(long_.select("value", "set_id").join(found.toDF("set_id", "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")))
-    mains = part.groupBy("value", "root").agg(F.count("*").alias("m")).groupBy("value").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("parts"))
-    mains = cut_lineage(mains.filter("parts > 1").select("value", F.col("main.root").alias("main")))
-    inner = part.join(mains, "value")
-    odd = cut_lineage(inner.filter("root <> main").select("value", F.col("set_id").alias("x"), F.col("root").alias("r")))
-    pairs = odd.join(inner.select("value", "set_id", "root"), "value").filter("root <> r")
-    return pairs.select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct()
+def _within_families(docs: DataFrame, long_: DataFrame, heads: DataFrame, classes: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """Links ``a``, ``b`` between members of a family that are still in different components."""
+    family = long_.join(heads.select("value", F.col("leaders")[0]["cid"].alias("family")), "value").select("family", "cid").distinct()
+    placed = classes.select("cid").join(found.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    family = cut_lineage(family.join(placed.select("cid", "root"), "cid"))
+    several = family.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("family")
+    family = family.join(several, "family")
+    family = family.join(classes.select("cid", "n"), "cid")
+    roots = family.groupBy("family", "root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    blocks = F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int")
+    mains = roots.groupBy("family").agg(F.max(F.struct("m", "root"))["root"].alias("main"), blocks.alias("blocks"), F.count("*").alias("roots")).filter("roots > 1")
+    family = cut_lineage(family.join(mains, "family"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sets = [shingle_hashes(t or b"", size) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "set"])
+
+    asked = family.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    sets = texts_of(docs, asked, classes).dropDuplicates(["cid"]).mapInArrow(shingled, "cid long, set array<long>")
+    whole = family.join(sets, "cid")
+    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    points = whole.withColumn("p", own).withColumn("q", F.explode(every)).select("family", "p", "q", "cid", "root", "set")
+    queries = whole.filter("root <> main").withColumn("q", own).withColumn("p", F.explode(every)).select("family", "p", "q", "cid", "root", "set").toDF("family_x", "p_x", "q_x", "x", "root_x", "set_x")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            lists = left["set"].combine_chunks()
+            flat = lists.flatten().to_numpy()
+            lengths = pa.compute.list_value_length(lists).to_numpy()
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            ids, roots = left["cid"].to_numpy(), left["root"].to_numpy()
+            for cid, root, mine in zip(right["x"].to_pylist(), right["root_x"].to_pylist(), right["set_x"], strict=True):
+                mine = mine.values.to_numpy()
+                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                hits = [owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if y > x]
+                if not hits:
+                    continue
+                both = np.bincount(np.concatenate(hits), minlength=len(ids))
+                good = np.flatnonzero((100 * both >= 80 * (lengths + len(mine) - both)) & (roots != root))
+                _, first = np.unique(roots[good], return_index=True)  # one link to each other component
+                b += ids[good[first]].tolist()
+                a += [cid] * len(first)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return points.groupBy("family", "p", "q").cogroup(queries.groupBy("family_x", "p_x", "q_x")).applyInArrow(compare, "a long, b long")
