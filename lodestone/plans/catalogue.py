@@ -500,7 +500,7 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.core(knn_edges(spark, sf_dir), 12)
+    return traverse.core(knn_edges(spark, sf_dir), 8)
 
 
 @registered()
