@@ -72,6 +72,7 @@ def poisson_ratio(cells: DataFrame, by: str, value: str, expected: str, out: str
 
 # -- values ------------------------------------------------------------------------------------------
 
+# Fixed values of the value transform: floor of the divisor, deviations of the soft clip, and its least width.
 DIVISOR_FLOOR, TANH_SPREADS, EPSILON = 0.1, 4.0, 1e-6
 
 

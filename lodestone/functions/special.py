@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+# Fixed value: the constant of the one-term formula.
+STIRLING = -0.0810614667
+
+
 def approx_lgamma(x: Column) -> Column:
     """ln Γ(x) for x > 0 by a one-term Stirling formula at x + 1."""
-    return F.lit(-0.0810614667) - x - F.log(x) + (x + 0.5) * F.log(1 + x)
+    return F.lit(STIRLING) - x - F.log(x) + (x + 0.5) * F.log(1 + x)
 
 
 def _shifted(x: np.ndarray, least: float, term) -> tuple[np.ndarray, np.ndarray]:

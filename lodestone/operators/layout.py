@@ -37,7 +37,11 @@ def diffusion_map(edges: DataFrame, *, rounds: int = 60, seed: int = 42) -> Data
     return v.select("node", (F.col("x") / F.col("t")).alias("x"), (F.col("y") / F.col("t")).alias("y"))
 
 
-def attract_repel(edges: DataFrame, start: DataFrame, *, rounds: int = 50, negatives: int = 5, a: float = 1.929, b: float = 0.7915, rate: float = 1.0, seed: int = 42) -> DataFrame:
+# The curve that turns a distance into an attraction.
+CURVE_A, CURVE_B = 1.929, 0.7915
+
+
+def attract_repel(edges: DataFrame, start: DataFrame, *, rounds: int = 50, negatives: int = 5, a: float = CURVE_A, b: float = CURVE_B, rate: float = 1.0, seed: int = 42) -> DataFrame:
     """``node``, ``x``, ``y``: neighbours pull by their weight, and keyed random nodes push, round by round.
 
     All nodes move at once from the last round's places, so the result doesn't depend on partitions. The
