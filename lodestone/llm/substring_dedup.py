@@ -1,79 +1,184 @@
-"""Repeated passages: units of lines are hashed, grouped globally, and all but the earliest go.
-
-A line is a unit, and a long line is cut behind words that are chosen by their own letters, so a passage that
-is pasted into other text is cut in the same places and its inner units meet. A unit that an earlier document
-(or an earlier place of the same one) has is a repeat; a run of repeats goes if it has enough words, so that
-short phrases which many texts share by nature stay.
+"""Repeated passages: chosen windows of words are hashed, grouped globally, and all but the earliest go.
+
+Of every `NEXT` successive windows of `WINDOW` words the one with the least hash is chosen (winnowing), so the
+choice depends on the words alone: two texts that share `RUN` words in a row share a chosen window, whatever
+stands around them. A window that an earlier document (or an earlier place of the same one) has is a repeat. It
+grows word by word while the words beside it are those beside the kept window; chosen windows are so close that
+nothing more than `NEXT` - 1 words is ever left to grow. A run of repeated words goes if it has enough of them,
+so that short phrases which many texts share by nature stay.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .line_dedup import LOWER, beyond_first, bitmaps_of
+from .fingerprints import _mixed
+from .frames import cut_lineage
+from .line_dedup import LOWER
 
-#: Words that a unit has at least before its line is cut, one word in `EVERY` is a place to cut, and the words
-#: of the shortest run that goes.
-UNIT, EVERY, RUN = 4, 4, 16
+#: Words of the shortest run that goes, of a window, and the windows of which one is chosen.
+RUN, WINDOW, NEXT = 16, 9, 8
+#: Bits that stand for a word beside a window, and how many such words a long holds.
+BITS, HELD = 12, 5
+SIDE = NEXT - 1
+WORDS = [f"c{k}" for k in range(-(-2 * SIDE // HELD))]
+DROP, OPEN, PART = 0, 1, 2
 
 _white = np.zeros(256, bool)
 _white[[32, *range(9, 14)]] = True
+_letters = _mixed(np.arange(256) + (1 << 41))
+_factors = _mixed(np.arange(WINDOW) + (1 << 42)) | np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+
+
+@cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, np.uint64)])) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of `values`, the same wherever the range lies."""
+    power, inverse = _powers(1 << max(12, int(len(values)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)])])
+    return _mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words of a text in UTF-8."""
+    edges = np.flatnonzero(np.diff((~_white[raw]).astype(np.int8), prepend=0, append=0))
+    return edges[::2], edges[1::2]
+
+
+class Units:
+    """A lowered text's words and its units: ``keys`` of chosen windows, the words ``at`` which they start, and ``beside``."""
+
+    def __init__(self, text: bytes):
+        raw = np.frombuffer(text, np.uint8)
+        self.starts, self.ends = words_of(raw)
+        n = len(self.starts)
+        self.at, self.keys = np.empty(0, np.int64), np.empty(0, np.uint64)
+        words = _ranges(_letters[raw], self.starts, self.ends) if n else self.keys
+        if n >= WINDOW + NEXT - 1:
+            count = n - WINDOW + 1
+            windows = _mixed(sum(words[j : j + count] * f for j, f in enumerate(_factors)))
+            least = np.lib.stride_tricks.sliding_window_view(windows, NEXT).argmin(axis=1) + np.arange(count - NEXT + 1)
+            chosen = np.zeros(count, bool)
+            chosen[least] = True
+            self.at = np.flatnonzero(chosen)
+            self.keys = windows[self.at]
+        short = np.zeros(n + 2 * SIDE, np.int64)  # 0 stands for no word
+        short[SIDE : SIDE + n] = np.maximum(words >> np.uint64(64 - BITS), 1)
+        offsets = np.array([*range(SIDE - 1, -1, -1), *range(SIDE + WINDOW, 2 * SIDE + WINDOW)])
+        self.beside = short[self.at[:, None] + offsets]
+
+
+def packed(beside: np.ndarray) -> list[np.ndarray]:
+    out = []
+    for k in range(len(WORDS)):
+        part = beside[:, k * HELD : (k + 1) * HELD]
+        out.append((part << (BITS * np.arange(part.shape[1]))).sum(axis=1))
+    return out
 
 
-def units(text: bytes) -> list[tuple[int, int, int]]:
-    """(first byte, end, words) of each unit of a lowered text in UTF-8."""
-    raw = np.frombuffer(text, np.uint8)
-    if not len(raw):
-        return []
-    inside = ~_white[raw]
-    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-    starts, ends = edges[::2], edges[1::2]
-    n = len(starts)
-    if not n:
-        return []
-    cuts = (raw[starts].astype(np.int64) * 31 + raw[ends - 1] * 17 + (ends - starts) * 7) % EVERY == 0
-    line = np.cumsum(raw == 10)[starts]
-    last = np.append(line[1:] != line[:-1], True)
-    out, first = [], 0
-    for k in np.flatnonzero(cuts | last).tolist():
-        if last[k] or k - first + 1 >= UNIT:
-            out.append((int(starts[first]), int(ends[k]), k - first + 1))
-            first = k + 1
-    return out
+def unpacked(longs: list[np.ndarray]) -> np.ndarray:
+    return np.stack([(longs[j // HELD] >> (BITS * (j % HELD))) & ((1 << BITS) - 1) for j in range(2 * SIDE)], axis=1)
 
 
-def unit_key(text: bytes, start: int, end: int) -> bytes:
-    """Digest of a unit with single spaces between its words."""
-    return xxhash.xxh3_128_digest(b" ".join(text[start:end].split()))
+KEYS = f"h long, doc long, text_id long, at int, {', '.join(f'{c} long' for c in WORDS)}"
 
 
 def _hashes(docs: DataFrame) -> DataFrame:
+    """A row for each document and unit, with the words beside the unit's first place."""
+
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
-                digests, docs_, texts, at = [], [], [], []
-                for doc, text_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                    low, places = text.translate(LOWER), {}
-                    for k, (start, end, _) in enumerate(units(low)):
-                        places.setdefault(unit_key(low, start, end), []).append(k)
-                    digests += places
-                    docs_ += [~doc] * len(places)  # the least id comes first
-                    texts += [text_id] * len(places)
-                    at += places.values()
-                h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(docs_, pa.int64()), pa.array(texts, pa.int64()), pa.array(at, pa.list_(pa.int32()))], ["h1", "h2", "doc", "text_id", "at"])
+                keys, at, beside = [], [], []
+                for text in batch.column(2).cast(pa.binary()).to_pylist():
+                    mine = Units(text.translate(LOWER))
+                    found, first = np.unique(mine.keys, return_index=True)
+                    keys.append(found)
+                    at.append(first)
+                    beside.append(mine.beside[first])
+                sizes = [len(x) for x in keys]
+                doc, text_id = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
+                columns = [np.concatenate(keys).view(np.int64), ~doc, text_id, np.concatenate(at).astype(np.int32), *packed(np.concatenate(beside))]  # the least id comes first
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "text_id", "at", *WORDS])
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("text_id"), text.alias("text"))
-    return rows.mapInArrow(extract, "h1 long, h2 long, doc long, text_id long, at array<int>")
+    return rows.mapInArrow(extract, KEYS)
+
+
+def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads sorted rows; gives rows to drop with the words beside the kept one, rows of the first hash, which may have begun next door, and what is known of the first and the last hash."""
+    names = ["kind", "h", "doc", "text_id", "at", *WORDS]
+    first, top = None, None  # the partition's first hash; (h, doc, words beside) of the kept row of the present one
+
+    def known(row: tuple) -> pa.RecordBatch:
+        columns = [PART, row[0], row[1], None, None, *row[2:]]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k in (0, 4) else pa.int64()) for k, x in enumerate(columns)], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, doc, text_id, at, *beside = (c.to_numpy() for c in batch.columns)
+        new = np.append(True, h[1:] != h[:-1])
+        if top is not None and top[0] == h[0]:
+            new[0] = False
+        begins = np.flatnonzero(new)
+        if top is None:
+            first = int(h[0])
+            yield known((first, int(doc[0]), *(int(c[0]) for c in beside)))
+        run = np.cumsum(new)  # 0: the run that the last batch left
+        kept = [np.concatenate([[0 if top is None else top[k + 1]], c[begins]])[run] for k, c in enumerate((doc, *beside))]
+        open_, drop = h == first, (doc != kept[0]) & (h != first)
+        for kind, rows, words in ((DROP, drop, kept[1:]), (OPEN, open_, beside)):
+            if rows.any():
+                columns = [np.full(int(rows.sum()), kind, np.int32), *(c[rows].astype(c.dtype) for c in (h, doc, text_id, at, *words))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        top = (int(h[-1]), *(int(c[-1]) for c in kept))
+    if top is not None and top[0] != first:
+        yield known(top)
+
+
+def _repeats(keys: DataFrame) -> DataFrame:
+    """``doc``, ``text_id``, ``at`` of the rows of `keys` that an earlier document has too, and the words beside its copy."""
+    ordered = keys.repartitionByRange(F.col("h"), F.col("doc").desc()).sortWithinPartitions(F.col("h"), F.col("doc").desc())
+    read = cut_lineage(ordered.mapInArrow(_stream, f"kind int, {KEYS}"))
+    tops = read.filter(F.col("kind") == PART).groupBy("h").agg(F.max(F.struct("doc", *WORDS)).alias("top"))
+    # two hashes a partition at most: small by construction
+    settled = read.filter(F.col("kind") == OPEN).drop(*WORDS).join(F.broadcast(tops), "h").filter(F.col("doc") != F.col("top.doc"))
+    return read.filter(F.col("kind") == DROP).select("doc", "text_id", "at", *WORDS).unionByName(settled.select("doc", "text_id", "at", *(F.col(f"top.{c}").alias(c) for c in WORDS)))
+
+
+def _removed(mine: Units, at: np.ndarray, beside: np.ndarray, least_words: int) -> list[tuple[int, int]]:
+    """Runs of words (first, end) that go, for the units `at` which an earlier document has with these words `beside`."""
+    if not len(mine.keys):
+        return []
+    _, first, same = np.unique(mine.keys, return_index=True, return_inverse=True)
+    kept = first[same]  # the first place of the same text
+    repeat, words = kept != np.arange(len(kept)), mine.beside[kept]
+    earlier = np.full(len(first), -1)
+    earlier[same[at]] = np.arange(len(at))
+    other = earlier[same]
+    repeat |= other >= 0
+    words[other >= 0] = beside[other[other >= 0]]
+    grown = (words == mine.beside) & (words > 0)
+    before, after = (np.cumprod(x, axis=1).sum(axis=1) for x in (grown[:, :SIDE], grown[:, SIDE:]))
+    change = np.zeros(len(mine.starts) + 1, np.int64)
+    np.add.at(change, (mine.at - before)[repeat], 1)
+    np.add.at(change, (mine.at + WINDOW + after)[repeat], -1)
+    edges = np.flatnonzero(np.diff((np.cumsum(change) > 0).astype(np.int8), prepend=0, append=0))
+    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= least_words]
 
 
 def remove_repeats(docs: DataFrame, *, least_words: int = RUN) -> DataFrame:
@@ -83,31 +188,23 @@ def remove_repeats(docs: DataFrame, *, least_words: int = RUN) -> DataFrame:
     end exclusive; ``kept_text`` is the rest. Texts are compared with A-Z lowered and white space as single
     spaces. The earliest place is that of the least ``doc_id``, and within it the first; rows that repeat a
     ``doc_id`` are one document. Rows without ``doc_id`` lose nothing to others; null texts have no units.
+    Words beside a window are compared by `BITS` bits: an end takes a word too many with a chance of 1 in 4,095.
     """
-    drops = beyond_first(_hashes(docs), 2)
-    marks = bitmaps_of(drops).select((-F.col("doc_id") - 1).alias("_doc"), F.col("text_id").alias("_text"), "keep")
+    marks = _repeats(_hashes(docs)).groupBy("doc", "text_id").agg(F.collect_list(F.struct("at", *WORDS)).alias("marks"))
+    marks = marks.select((-F.col("doc") - 1).alias("_doc"), F.col("text_id").alias("_text"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
                 counts, spans, rest = [], [], []
-                for text, keep in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    low = text.translate(LOWER)
-                    mine, seen, runs = units(low), set(), []
-                    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), bitorder="little") if keep else ()
-                    before = None
-                    for k, (start, end, words) in enumerate(mine):
-                        key = unit_key(low, start, end)
-                        if key in seen or (k < len(bits) and not bits[k]):
-                            if before == k - 1 and runs:
-                                runs[-1] = (runs[-1][0], end, runs[-1][2] + words)
-                            else:
-                                runs.append((start, end, words))
-                            before = k
-                        seen.add(key)
-                    runs = [r for r in runs if r[2] >= least_words]
-                    counts.append(len(mine))
+                offsets, marked = batch.column(2).offsets.to_numpy(), batch.column(2).values
+                at, *longs = (marked.field(k).to_numpy(zero_copy_only=False) for k in range(1 + len(WORDS)))
+                for no, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
+                    a, b = offsets[no], offsets[no + 1]
+                    mine = Units(text.translate(LOWER))
+                    runs = [(int(mine.starts[x]), int(mine.ends[y - 1]), y - x) for x, y in _removed(mine, at[a:b], unpacked([c[a:b] for c in longs]), least_words)]
+                    counts.append(len(mine.keys))
                     place = np.cumsum(np.append(0, (np.frombuffer(text, np.uint8) & 0xC0) != 0x80)) if runs else None
                     spans.append([{"start": int(place[a]), "end": int(place[b]), "words": w} for a, b, w in runs])
                     ends = [0, *(x for a, b, _ in runs for x in (a, b)), len(text)]
@@ -117,6 +214,6 @@ def remove_repeats(docs: DataFrame, *, least_words: int = RUN) -> DataFrame:
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_text_id"))
-    joined = rows.join(marks, (rows["doc_id"] == marks["_doc"]) & (rows["_text_id"] == marks["_text"]), "left").select("doc_id", "text", "keep")
+    joined = rows.join(marks, (rows["doc_id"] == marks["_doc"]) & (rows["_text_id"] == marks["_text"]), "left").select("doc_id", "text", "marks")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(cut, f"doc_id {kind}, n_units long, removed array<struct<start:int,end:int,words:int>>, kept_text string")

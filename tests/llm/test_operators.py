@@ -236,6 +236,22 @@ def test_repeated_passages(spark):
     assert sum(s.words for s in got[2].removed) >= 30
 
 
+def test_passages_are_caught_in_any_surroundings(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["th", "on", "er", "ing", "an", "re"]) for _ in range(rng.randrange(3, 7)))
+    some = lambda a, b: " ".join(word() for _ in range(rng.randrange(a, b)))
+    passages = [" ".join(word() for _ in range(51)) for _ in range(200)]
+    docs = [(k, some(0, 60) + " " + passages[k % 200].replace(" ", " \n" if k % 7 == 0 else " ") + " " + some(0, 60)) for k in range(400)]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()}
+    assert not any(got[k].removed for k in range(200))
+    exact = 0
+    for k, text in docs[200:]:
+        (span,) = got[k].removed
+        assert passages[k - 200] in " ".join(text[span.start : span.end].split())
+        exact += span.words == 51
+    assert exact >= 195  # the word beside a passage may be the same by chance
+
+
 def test_fingerprints(spark):
     rng = random.Random(10)
     texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(rng.choice([0, 3, 50, 700, 3000]))) for _ in range(40)]
