@@ -5,7 +5,8 @@ choice depends on the words alone: two texts that share `RUN` words in a row sha
 stands around them. A window that an earlier document (or an earlier place of the same one) has is a repeat. It
 grows word by word while the words beside it are those beside the kept window; chosen windows are so close that
 nothing more than `NEXT` - 1 words is ever left to grow. A run of repeated words goes if it has enough of them,
-so that short phrases which many texts share by nature stay.
+so that short phrases which many texts share by nature stay. A whole line of `LINE` code points is a unit too, and
+a repeat of it goes at any number of words. Where a script has no spaces, each character counts as a word.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ RUN, WINDOW, NEXT = 16, 9, 8
 #: Bits that stand for a word beside a window, and how many such words a long holds.
 BITS, HELD = 12, 5
 SIDE = NEXT - 1
+#: Code points of the shortest line that is a unit, and of the shortest run that goes.
+LINE = 20
 WORDS = [f"c{k}" for k in range(-(-2 * SIDE // HELD))]
 DROP, OPEN, PART = 0, 1, 2
 
@@ -53,11 +56,21 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First bytes and ends of the words of a text in UTF-8."""
     edges = np.flatnonzero(np.diff((~_white[raw]).astype(np.int8), prepend=0, append=0))
-    return edges[::2], edges[1::2]
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts) or raw.max() < 0xE0:
+        return starts, ends
+    # Thai, Lao, Burmese and Khmer, kana and ideographs: the first byte alone, or with the second one
+    second = np.append(raw[1:], 0)
+    single = (raw >= 0xE3) & (raw <= 0xE9) | (raw == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (raw == 0xE1) & ((second <= 0x81) | (second >= 0x9E) & (second <= 0x9F)) | (raw == 0xF0) & (second >= 0xA0)
+    chars = np.flatnonzero(((raw & 0xC0) != 0x80) & ~_white[raw])
+    alone = single[chars]
+    begins = alone | np.append(False, alone[:-1])
+    cuts = np.union1d(starts, chars[begins])
+    return cuts, np.minimum(np.append(cuts[1:], len(raw)), ends[np.searchsorted(ends, cuts, side="right")])
 
 
 class Units:
-    """A lowered text's words and its units: ``keys`` of chosen windows, the words ``at`` which they start, and ``beside``."""
+    """A lowered text's words and its units: ``keys`` of chosen windows and then of lines, the words from ``at`` to ``to``, and ``beside``."""
 
     def __init__(self, text: bytes):
         raw = np.frombuffer(text, np.uint8)
@@ -77,6 +90,20 @@ class Units:
         short[SIDE : SIDE + n] = np.maximum(words >> np.uint64(64 - BITS), 1)
         offsets = np.array([*range(SIDE - 1, -1, -1), *range(SIDE + WINDOW, 2 * SIDE + WINDOW)])
         self.beside = short[self.at[:, None] + offsets]
+        self.to, self.windows = self.at + WINDOW, len(self.at)
+        if not n:
+            return
+        chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+        #: Code points before each word, with white space as single spaces.
+        self.chars = np.append(0, np.cumsum(chars[self.ends] - chars[self.starts] + np.append(self.starts[1:] > self.ends[:-1], False)))
+        line = np.append(0, np.cumsum(raw == 10))[self.starts]
+        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        to = np.append(first[1:], n)
+        long_ = self.chars[to] - self.chars[first] - (to < n) >= LINE
+        first, to = first[long_], to[long_]
+        self.at, self.to = np.append(self.at, first), np.append(self.to, to)
+        self.keys = np.append(self.keys, _mixed(_ranges(words, first, to)))
+        self.beside = np.append(self.beside, np.zeros((len(first), 2 * SIDE), np.int64), axis=0)
 
 
 def packed(beside: np.ndarray) -> list[np.ndarray]:
@@ -174,11 +201,24 @@ def _removed(mine: Units, at: np.ndarray, beside: np.ndarray, least_words: int)
     words[other >= 0] = beside[other[other >= 0]]
     grown = (words == mine.beside) & (words > 0)
     before, after = (np.cumprod(x, axis=1).sum(axis=1) for x in (grown[:, :SIDE], grown[:, SIDE:]))
-    change = np.zeros(len(mine.starts) + 1, np.int64)
-    np.add.at(change, (mine.at - before)[repeat], 1)
-    np.add.at(change, (mine.at + WINDOW + after)[repeat], -1)
-    edges = np.flatnonzero(np.diff((np.cumsum(change) > 0).astype(np.int8), prepend=0, append=0))
-    return [(a, b) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True) if b - a >= least_words]
+    lines = repeat & (np.arange(len(repeat)) >= mine.windows)
+    goes = _covered(len(mine.starts), mine.at[lines], mine.to[lines])
+    for a, b in _runs(_covered(len(goes), (mine.at - before)[repeat], (mine.to + after)[repeat])):
+        if b - a >= least_words and mine.chars[b] - mine.chars[a] >= LINE:
+            goes[a:b] = True
+    return _runs(goes)
+
+
+def _covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    change = np.zeros(size + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, ends, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def remove_repeats(docs: DataFrame, *, least_words: int = RUN) -> DataFrame:

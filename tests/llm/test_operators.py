@@ -252,6 +252,15 @@ def test_passages_are_caught_in_any_surroundings(spark):
     assert exact >= 195  # the word beside a passage may be the same by chance
 
 
+def test_repeated_lines_and_text_without_spaces(spark):
+    rng = random.Random(13)
+    fresh = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    line, short, han = "Share this page with friends", "Read more here", fresh(60)
+    texts = ["one two\n" + line + "\n" + short, "three four\n  " + line.upper() + "\n" + short + "\nfive", fresh(30) + han + fresh(30), fresh(7) + han + fresh(40), fresh(50) + "\n" + han]
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [[texts[i][s.start : s.end] for s in got[i].removed] for i in range(5)] == [[], [line.upper()], [], [han], [han]]
+
+
 def test_fingerprints(spark):
     rng = random.Random(10)
     texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(rng.choice([0, 3, 50, 700, 3000]))) for _ in range(40)]
