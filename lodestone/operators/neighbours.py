@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.normalise import dot, doubles, squared_distance
+from ..llm.frames import cut_lineage
 
 BLOCK = 2048
 OUT = "id long, other long, distance double"
+#: Queries on which the number of probed cells is measured, the share of their true neighbours that must lie in
+#: these cells, and the least number.
+TRIED, REACHED, PROBES = 512, 0.95, 16
 
 
 def _matrix(vectors: list) -> np.ndarray:
@@ -99,11 +103,33 @@ def nearest_centroids(points: DataFrame, centroids: np.ndarray, probes: int, vec
     return F.transform(F.slice(F.array_sort(scored), 1, probes), lambda t: t["c"])
 
 
-def by_cells(points: DataFrame, k: int, cells: int | None = None, probes: int = 16, ident: str = "id", vector: str = "features", seed: int = 20240517) -> DataFrame:
+def _probes_needed(rows: DataFrame, centroids: np.ndarray, k: int) -> int:
+    if len(centroids) <= PROBES:
+        return PROBES
+    tried = cut_lineage(rows.orderBy(F.xxhash64("id"), "id").limit(TRIED))
+    true = cut_lineage(_best(_blocked(tried, rows, k, True), k).filter(F.col("distance") < float("inf")).select("id", "other"))
+    # bounded by TRIED * k
+    near = rows.join(F.broadcast(true.select(F.col("other").alias("id")).distinct()), "id", "left_semi")
+    vector = {r["id"]: r["v"] for d in (tried, near) for r in d.collect()}
+    pairs = [(r["id"], r["other"]) for r in true.collect()]
+    if not pairs:
+        return PROBES
+    ids = sorted(vector)
+    v, at = _matrix([vector[i] for i in ids]), {i: n for n, i in enumerate(ids)}
+    with np.errstate(invalid="ignore", over="ignore"):
+        d = (v * v).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2 * v @ centroids.T
+    order = np.argsort(np.where(np.isfinite(d), d, np.inf), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    needed = np.sort([place[at[a], order[at[b], 0]] + 1 for a, b in pairs])
+    return max(PROBES, int(needed[int(np.ceil(REACHED * len(needed))) - 1]))
+
+
+def by_cells(points: DataFrame, k: int, cells: int | None = None, probes: int | None = None, ident: str = "id", vector: str = "features", seed: int = 20240517) -> DataFrame:
     """`exact`, but each row looks only in the `probes` nearest of about √n cells; with all of them it is exact.
 
     Cells are assigned by an equi-join on the cell, so that each task holds a cell. The centroids are fitted on
-    at most 256 rows a cell; every row is indexed.
+    at most 256 rows a cell; every row is indexed. Without `probes`, the number is what the data needs: the least,
+    from `PROBES` on, with which `TRIED` rows (the first by a hash of the id) find `REACHED` of their true neighbours.
     """
     from .clusters import fit_centroids
 
@@ -111,7 +137,7 @@ def by_cells(points: DataFrame, k: int, cells: int | None = None, probes: int =
     n = rows.count()
     cells = max(1, min(cells or int(np.ceil(np.sqrt(n))), n))
     centroids = fit_centroids(rows, cells, seed=seed, rounds=10, most_rows=256 * cells)
-    probes = min(probes, cells)
+    probes = min(probes or _probes_needed(rows, centroids, k), cells)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,6 +42,13 @@ def test_neighbours_by_cells_are_exact_with_all_cells(spark):
     assert len(few & {(i, j) for (i, _), j in a.items()}) >= 0.9 * len(a)
 
 
+def test_cells_reach_most_neighbours_of_data_without_clusters(spark):
+    x = np.random.default_rng(4).normal(size=(2500, 32))
+    df = points(spark, x)
+    true = {(r.id, r.other) for r in neighbours.exact(df, 10).collect()}
+    assert len({(r.id, r.other) for r in neighbours.by_cells(df, 10).collect()} & true) >= 0.9 * len(true)
+
+
 def test_ties_go_to_the_smaller_id_and_bad_rows_come_last(spark):
     df = points(spark, [[0, 0], [0, 0], [0, 0], [5, 5], [float("nan"), 0]])
     got = [(r.rank, r.other) for r in neighbours.exact(df, 4).filter("id = 1").orderBy("rank").collect()]
