@@ -90,8 +90,16 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     # copies in the order of their finish time, up to the budget
     times = F.sequence(F.lit(0), F.lit(EPOCHS - 1))
     copies = queued.filter("size > 0 and target > 0").select("source_no", "size", "place", "budget", F.explode(times).alias("epoch"), "words", "source_size", "target")
-    copies = copies.withColumn("finish", (F.col("words") + F.col("epoch") * F.col("source_size")) / F.col("target")).filter("finish < 2")
-    cell = F.least(F.floor(F.col("finish") * (CELLS * CELLS // 2)), F.lit(CELLS * CELLS - 1)).cast("int")
+    copies = copies.withColumn("finish", (F.col("words") + F.col("epoch") * F.col("source_size")) / F.col("target"))
+    # of the powers of two, the least one up to which there are more words than the budget: later copies can't be taken
+    copies = copies.withColumn("power", F.greatest(F.ceil(F.log2("finish")), F.lit(1)).cast("int"))
+    top, so_far = 1, 0
+    for power, words, budget in copies.groupBy("power").agg(F.sum("size"), F.max("budget")).orderBy("power").collect():  # a row for each power
+        top, so_far = power, so_far + words
+        if so_far > budget:
+            break
+    copies = copies.filter(F.col("power") <= top).drop("power")
+    cell = F.least(F.floor(F.col("finish") * (CELLS * CELLS / 2.0**top)), F.lit(CELLS * CELLS - 1)).cast("int")
     order = [F.col("finish"), F.col("source_no"), F.col("epoch"), F.col("place")]
     summed = running_sum(copies, [], cell, order, "size", "so_far")
     last = summed.filter("so_far <= budget").agg(F.max(F.struct("finish", "source_no", "epoch")).alias("last")).first()["last"]  # one row

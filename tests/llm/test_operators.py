@@ -261,6 +261,19 @@ def test_repeated_lines_and_text_without_spaces(spark):
     assert [[texts[i][s.start : s.end] for s in got[i].removed] for i in range(5)] == [[], [line.upper()], [], [han], [han]]
 
 
+def test_mix_takes_late_copies_within_the_budget(spark):
+    duckdb = pytest.importorskip("duckdb")
+    sizes = [("a", 200), ("b", 500), *[("c", 1)] * 100, ("d", 1), ("e", 1), *[("f", 1)] * 100]
+    documents = [(k, "w " * n, s) for k, (s, n) in enumerate(sizes)]
+    got = {r.doc_id: r.taken for r in mixing.mix(spark.createDataFrame(documents, "doc_id long, text string, source string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", documents)
+    columns = [c[0] for c in con.execute(queries.OP2_SQL).description]
+    want = [dict(zip(columns, r, strict=True)) for r in con.execute(queries.OP2_SQL).fetchall()]
+    assert got == {r["doc_id"]: r["taken"] for r in want} and got[0] == 200
+
+
 def test_fingerprints(spark):
     rng = random.Random(10)
     texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(rng.choice([0, 3, 50, 700, 3000]))) for _ in range(40)]
