@@ -86,6 +86,16 @@ def embed(texts: list[str]) -> np.ndarray:
             sums[bucket[j], :k] -= signs[row].take(read)
         at += moves[row].take(read)
         np.minimum(at, ends[:k], out=at)
+    inside = np.flatnonzero(place < ends)  # these walk on, each from its own last step
+    while len(inside):
+        step = steps[inside]
+        random = _mixed(step + (1 << 40))
+        read, row = symbols[place[inside]], step % PERIOD
+        sign = np.where((random >> np.uint64(32)) & np.uint64(1), 1, -1)
+        sums[(random % np.uint64(BITS)).astype(np.int64), inside] += (sign * signs[row, read]).astype(np.int32)
+        place[inside] += moves[row, read]
+        steps[inside] += 1
+        inside = inside[place[inside] < ends[inside]]
     out = np.empty((len(texts), BITS // 8), np.uint8)
     out[order] = np.packbits(sums.T > 0, axis=1)
     return out

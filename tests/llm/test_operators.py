@@ -261,6 +261,15 @@ def test_repeated_lines_and_text_without_spaces(spark):
     assert [[texts[i][s.start : s.end] for s in got[i].removed] for i in range(5)] == [[], [line.upper()], [], [han], [han]]
 
 
+def test_fingerprints_read_the_whole_text():
+    rng = random.Random(14)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = [some(20_000) for _ in range(40)]
+    prints, edited = fingerprints.embed(texts), fingerprints.embed([t[:-100] + some(100) for t in texts])
+    assert (prints != edited).any(axis=1).all()
+    assert (fingerprints.embed(texts[3:4]) == prints[3]).all()
+
+
 def test_mix_takes_late_copies_within_the_budget(spark):
     duckdb = pytest.importorskip("duckdb")
     sizes = [("a", 200), ("b", 500), *[("c", 1)] * 100, ("d", 1), ("e", 1), *[("f", 1)] * 100]
