@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import cut_lineage
 from .edges import both_ways, degrees
 from .sampling import uniform
-from .traverse import settle
 
 
 def diffusion_map(edges: DataFrame, *, rounds: int = 60, seed: int = 42) -> DataFrame:
@@ -16,15 +16,15 @@ def diffusion_map(edges: DataFrame, *, rounds: int = 60, seed: int = 42) -> Data
     Each round multiplies two columns by (I + D^-½WD^-½)/2, takes the first eigenvector (√degree) off, and makes
     them orthonormal; sums over nodes are all that meets in one place. For one connected component.
     """
-    d = settle(degrees(edges, "weight").select("node", "degree"))
+    d = cut_lineage(degrees(edges, "weight").select("node", "degree"))
     around = both_ways(edges.select("src", "dst", "weight"))
     scaled = around.join(d.toDF("src", "da"), "src").join(d.toDF("dst", "db"), "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("da") * F.col("db"))).alias("w"))
-    scaled = settle(scaled)
+    scaled = cut_lineage(scaled)
     v = d.select("node", F.sqrt("degree").alias("t"), (uniform(seed, F.lit(1), "node") - 0.5).alias("x"), (uniform(seed, F.lit(2), "node") - 0.5).alias("y"))
     for _ in range(rounds):
         moved = scaled.join(v.select(F.col("node").alias("dst"), "x", "y"), "dst").groupBy("src").agg(F.sum(F.col("w") * F.col("x")).alias("mx"), F.sum(F.col("w") * F.col("y")).alias("my"))
         v = v.join(moved.withColumnRenamed("src", "node"), "node").select("node", "t", ((F.col("x") + F.col("mx")) / 2).alias("x"), ((F.col("y") + F.col("my")) / 2).alias("y"))
-        v = settle(v)
+        v = cut_lineage(v)
         s = v.agg(*(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("tt", "tx", "ty", "xx", "xy", "yy"))).first()  # one row
         if s.tt is None:
             break
@@ -47,11 +47,11 @@ def attract_repel(edges: DataFrame, start: DataFrame, *, rounds: int = 50, negat
     All nodes move at once from the last round's places, so the result doesn't depend on partitions. The
     nodes to push from are found by an equi-join on hashed places in the list of nodes.
     """
-    nodes = settle(start.select("node", "x", "y"))
+    nodes = cut_lineage(start.select("node", "x", "y"))
     n = nodes.count()
     if not n:
         return nodes
-    around = settle(both_ways(edges.select("src", "dst", "weight")))
+    around = cut_lineage(both_ways(edges.select("src", "dst", "weight")))
     for r in range(rounds):
         step = rate * (1 - r / rounds)
         here = nodes.toDF("src", "x", "y")
@@ -66,5 +66,5 @@ def attract_repel(edges: DataFrame, start: DataFrame, *, rounds: int = 50, negat
         moves = pulled.select("src", held(pull, "x", "u").alias("dx"), held(pull, "y", "v").alias("dy")).unionByName(pushed.select("src", held(push, "x", "u").alias("dx"), held(push, "y", "v").alias("dy")))
         total = moves.groupBy("src").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"))
         new = nodes.join(total.withColumnRenamed("src", "node"), "node", "left")
-        nodes = settle(new.select("node", (F.col("x") + step * F.coalesce("dx", F.lit(0.0))).alias("x"), (F.col("y") + step * F.coalesce("dy", F.lit(0.0))).alias("y")))
+        nodes = cut_lineage(new.select("node", (F.col("x") + step * F.coalesce("dx", F.lit(0.0))).alias("x"), (F.col("y") + step * F.coalesce("dy", F.lit(0.0))).alias("y")))
     return nodes

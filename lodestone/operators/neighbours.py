@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.normalise import dot, doubles, squared_distance
-from ..llm.frames import cut_lineage
+from ..frames import cut_lineage
 
 BLOCK = 2048
 OUT = "id long, other long, distance double"

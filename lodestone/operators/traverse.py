@@ -6,43 +6,19 @@ costs no recomputation of earlier rounds.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..frames import components, cut_lineage, numbered
 from .edges import both_ways, degrees
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """`df` written to ``spark.checkpoint.dir``; only where that is unset, a local folder is taken."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node``, ``component``: components numbered from 0 in the order of their least node; `nodes` has ``node``."""
-    links = settle(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a <> b").distinct())
-    seen = None
-    while True:
-        two = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = two.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        links = settle(two.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        least = links.groupBy("a").agg(F.min("b").alias("m"))
-        links = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        links = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    rooted = nodes.select("node").join(links.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # a row for each component
-    numbers = rooted.select("root").distinct().withColumn("component", F.row_number().over(W.orderBy("root")) - 1)
-    return rooted.join(numbers, "root").select("node", F.col("component").cast("long"))
+    found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    rooted = cut_lineage(nodes.select("node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return rooted.join(numbered(rooted.select("root").distinct(), "root", "component"), "root").select("node", "component")
 
 
 def depths(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
@@ -54,20 +30,20 @@ def depths(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
     while most is None or depth < most:
         depth += 1
         new = layer.select(F.col("node").alias("src")).join(around, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        layer = settle(new.join(reached.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
+        layer = cut_lineage(new.join(reached.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
         if layer.isEmpty():
             break
-        reached = settle(reached.unionByName(layer))
+        reached = cut_lineage(reached.unionByName(layer))
     return reached
 
 
 def core(edges: DataFrame, k: int) -> DataFrame:
     """The edges of the `k`-core: nodes of a lower degree go until none is left."""
-    edges = settle(edges.select("src", "dst"))
+    edges = cut_lineage(edges.select("src", "dst"))
     n = edges.count()
     while True:
         stay = degrees(edges).filter(F.col("degree") >= k).select("node")
-        edges = settle(edges.join(stay.toDF("src"), "src", "left_semi").join(stay.toDF("dst"), "dst", "left_semi"))
+        edges = cut_lineage(edges.join(stay.toDF("src"), "src", "left_semi").join(stay.toDF("dst"), "dst", "left_semi"))
         m = edges.count()
         if m == n:
             return edges
@@ -83,7 +59,7 @@ def personal_ranks(edges: DataFrame, top: int, *, restart: float = 0.15, least:
     around = both_ways(edges.select("src", "dst"))
     d = degrees(edges).withColumnRenamed("degree", "d")
     start = d.select(F.col("node").alias("source")) if sources is None else sources
-    rest = settle(start.select("source", F.col("source").alias("node"), F.lit(1.0).alias("r")).join(d.select("node"), "node", "left_semi"))
+    rest = cut_lineage(start.select("source", F.col("source").alias("node"), F.lit(1.0).alias("r")).join(d.select("node"), "node", "left_semi"))
     score = None
     while True:
         sized = rest.join(d, "node")
@@ -92,10 +68,10 @@ def personal_ranks(edges: DataFrame, top: int, *, restart: float = 0.15, least:
             break
         gained = pushed.select("source", "node", (restart * F.col("r")).alias("s"))
         score = gained if score is None else score.unionByName(gained)
-        score = settle(score.groupBy("source", "node").agg(F.sum("s").alias("s")))
+        score = cut_lineage(score.groupBy("source", "node").agg(F.sum("s").alias("s")))
         spread = pushed.join(around.toDF("node", "to"), "node").select("source", F.col("to").alias("node"), ((1 - restart) * F.col("r") / F.col("d")).alias("r"))
         stay = sized.filter(F.col("r") < least * F.col("d")).select("source", "node", "r")
-        rest = settle(stay.unionByName(spread).groupBy("source", "node").agg(F.sum("r").alias("r")))
+        rest = cut_lineage(stay.unionByName(spread).groupBy("source", "node").agg(F.sum("r").alias("r")))
     if score is None:
         return start.sparkSession.createDataFrame([], "source long, rank int, node long, score double")
     ranked = score.filter("node <> source").withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("s"), "node")))
@@ -109,15 +85,15 @@ def communities(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0,
     the largest gain, weight to it − k·K·resolution / 2W; then the communities become nodes. All is joins and
     groupings; `nodes` has ``node``, `edges` a ``weight``.
     """
-    graph = settle(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    graph = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = graph.agg(F.sum("weight")).first()[0]
-    members = settle(nodes.select("node", F.col("node").alias("label")))
+    members = cut_lineage(nodes.select("node", F.col("node").alias("label")))
     if not total:
         return members
-    masses = settle(degrees(graph, "weight").toDF("node", "k"))
+    masses = cut_lineage(degrees(graph, "weight").toDF("node", "k"))
     for level in range(levels):
-        labels = settle(masses.select("node", F.col("node").alias("label")))
-        around = settle(both_ways(graph).filter("src <> dst"))
+        labels = cut_lineage(masses.select("node", F.col("node").alias("label")))
+        around = cut_lineage(both_ways(graph).filter("src <> dst"))
         for r in range(rounds):
             mass = masses.join(labels, "node").groupBy("label").agg(F.sum("k").alias("mass"))
             toward = around.join(labels.toDF("dst", "to"), "dst").groupBy("src", "to").agg(F.sum("weight").alias("w"))
@@ -127,33 +103,33 @@ def communities(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0,
             gain = F.col("w") - F.col("k") * rest * resolution / (2 * total)
             best = scored.groupBy("src").agg(F.max(F.struct(gain.alias("g"), (-F.col("to")).alias("t"))).alias("best"), F.max(F.when(F.col("to") == F.col("label"), gain)).alias("stay"), F.first(-F.col("k") * (F.col("mine") - F.col("k")) * resolution / (2 * total)).alias("alone"))
             moves = best.filter((F.col("best.g") > F.coalesce("stay", "alone") + 1e-12) & (F.pmod(F.xxhash64("src", F.lit(r), F.lit(level)), F.lit(2)) == 0)).select(F.col("src").alias("node"), (-F.col("best.t")).alias("to"))
-            moves = settle(moves)
+            moves = cut_lineage(moves)
             if moves.isEmpty() and r > 1:
                 break
-            labels = settle(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")))
-        members = settle(members.toDF("node", "_at").join(labels.toDF("_at", "_to"), "_at", "left").select("node", F.coalesce("_to", "_at").alias("label")))
+            labels = cut_lineage(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")))
+        members = cut_lineage(members.toDF("node", "_at").join(labels.toDF("_at", "_to"), "_at", "left").select("node", F.coalesce("_to", "_at").alias("label")))
         moved = labels.filter("node <> label").limit(1).count()
         if not moved:
             break
         a, b = labels.toDF("src", "_a"), labels.toDF("dst", "_b")
         joined = graph.join(a, "src").join(b, "dst").select(F.least("_a", "_b").alias("src"), F.greatest("_a", "_b").alias("dst"), "weight")
-        masses = settle(masses.join(labels, "node").groupBy("label").agg(F.sum("k").alias("k")).toDF("node", "k"))
-        graph = settle(joined.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+        masses = cut_lineage(masses.join(labels, "node").groupBy("label").agg(F.sum("k").alias("k")).toDF("node", "k"))
+        graph = cut_lineage(joined.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     return members
 
 
 def spanning_tree(edges: DataFrame) -> DataFrame:
     """``src``, ``dst``, ``weight``: a minimum spanning forest, by each part's lightest edge to another, round by round."""
-    graph = settle(edges.select("src", "dst", "weight"))
-    part = settle(both_ways(graph).select(F.col("src").alias("node"), F.col("src").alias("part")).distinct())
+    graph = cut_lineage(edges.select("src", "dst", "weight"))
+    part = cut_lineage(both_ways(graph).select(F.col("src").alias("node"), F.col("src").alias("part")).distinct())
     tree = None
     while True:
         cut = graph.join(part.toDF("src", "_a"), "src").join(part.toDF("dst", "_b"), "dst").filter("_a <> _b")
         edge = F.struct("weight", "src", "dst")
         ends = cut.select(F.explode(F.array("_a", "_b")).alias("part"), edge.alias("e"))
-        light = settle(ends.groupBy("part").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.weight").distinct())
+        light = cut_lineage(ends.groupBy("part").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.weight").distinct())
         if light.isEmpty():
             return tree if tree is not None else graph.limit(0)
-        tree = light if tree is None else settle(tree.unionByName(light))
+        tree = light if tree is None else cut_lineage(tree.unionByName(light))
         nodes = part.select("node")
-        part = settle(connected_components(tree, nodes).toDF("node", "part"))
+        part = cut_lineage(connected_components(tree, nodes).toDF("node", "part"))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frames import cut_lineage
 from ..functions import normalise as norm
 from ..functions.special import approx_lgamma
 from ..operators import clusters, edges, gamma, layout, likelihood, linear, lookups, neighbours, sampling, stats, trajectory, traverse
@@ -338,7 +339,7 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.settle(edges.from_neighbours(knn(spark, sf_dir)))
+    return cut_lineage(edges.from_neighbours(knn(spark, sf_dir)))
 
 
 @registered(f"WITH {KNN} SELECT id, rank, other, round(distance, 6) AS distance FROM knn")
@@ -398,7 +399,7 @@ def edge_union_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbours united with pairs of the same label, distances ranked within each source."""
     v = vectors(spark, sf_dir).select("id", "label", norm.doubles(F.col("features")).alias("x"))
     same = v.toDF("src", "label", "x").join(v.toDF("dst", "label", "y"), "label").filter("src < dst").select("src", "dst", neighbours.euclidean(F.col("x"), F.col("y")).alias("distance"))
-    got = edges.union(knn_edges(spark, sf_dir), traverse.settle(same), by_rank=True)
+    got = edges.union(knn_edges(spark, sf_dir), cut_lineage(same), by_rank=True)
     return got.select("src", "dst", r("distance"), F.col("source").cast("int").alias("source"))
 
 
@@ -515,7 +516,7 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = traverse.settle(edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight"))
+    weighted = cut_lineage(edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight"))
     return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")), rounds=4, levels=2)
 
 

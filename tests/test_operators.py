@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import frames
 from lodestone.functions import normalise, special
 from lodestone.operators import clusters, edges, gamma, layout, linear, lookups, neighbours, sampling, stats, trajectory, traverse
 from lodestone.sources import sinks, tables
@@ -225,3 +226,29 @@ def test_fdr_of_empty_and_tied(spark):
     df = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03), (3, 0.005)], "id long, p double")
     assert [round(r.q, 9) for r in stats.benjamini_hochberg(df).orderBy("id").collect()] == [0.02, 0.04, 0.04, 0.02]
     assert stats.benjamini_hochberg(df.limit(0)).count() == 0
+
+
+def test_components_of_long_paths(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    links = [(k, k + 1) for k in range(400)] + [(1000, 1001), (7, 7)] + [(k, 2000) for k in range(2001, 2300)]
+    rng.shuffle(links)
+    for held in (1_000_000, 3):
+        monkeypatch.setattr(frames, "HELD", held)
+        got = frames.components(spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long").repartition(7)).collect()
+        assert {r.node: r.root for r in got} == {k: 0 for k in range(1, 401)} | {1001: 1000} | {k: 2000 for k in range(2001, 2300)} and len(got) == 400 + 1 + 299
+    assert frames.components(spark.createDataFrame([("b", "a"), ("b", "c")], "a string, b string")).count() == 2
+    assert frames.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_orders_in_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, None if i % 5 == 0 else "hot" if i % 3 else f"k{i % 7}", int(rng.integers(0, 40))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, key string, x int").repartition(9)
+    got = {r.id: r for r in frames.running(df, ["key"], [F.col("x"), F.col("id")], {"total": F.col("x"), "at": F.lit(1)}).collect()}
+    want, seen = {}, {}
+    for i, key, x in sorted(rows, key=lambda r: (r[2], r[0])):
+        t, n = seen.get(key, (0, 0))
+        seen[key] = want[i] = (t + x, n + 1)
+    assert {i: (r.total, r["at"]) for i, r in got.items()} == want
+    ids = frames.numbered(df.select("id"), "id", "no").collect()
+    assert all(r.id == r.no for r in ids) and len(ids) == 2000
