@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.frames import cut_lineage
 from lodestone.llm import bpe_codec, line_dedup, mixing, near_dedup, quality_rules
-from lodestone.llm.frames import cut_lineage
 from lodestone.llm.queries import codec_digests
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
