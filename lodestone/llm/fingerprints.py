@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .frames import components, cut_lineage
+from ..frames import components, cut_lineage
 
 BITS, SYMBOLS, PERIOD = 256, 1024, 4096
 #: Characters below which a text is walked again from its start, until there are so many.

@@ -8,14 +8,17 @@ at least `SHARED` of the `K` smallest hashes of their union (fewer have a chance
   two of one class: the lists are those of two values of a class. Lists of common shingles are gone, and what
   meets in a list is mostly alike;
 * short lists emit their pairs;
-* long lists don't emit their pairs. Their members are first compared with a few leaders, one of them the member
-  of the most and longest lists, which stands in the middle of a group of copies. The lists with the same middle
-  are a family; what a family's links leave outside its main component is compared with the whole family in
-  blocks of full sets, where an inverted list within the task counts what sets share. Only links come out;
-* union sketches estimate each candidate pair's similarity; those below the bound go;
-* exact Jaccard on the full sets, computed from the texts, confirms the rest.
-
-Documents with equal sets are one class from the start, so exact copies are never paired.
+* a long list emits each member's pair with its head, the member with the most frequent values: in a group of
+  copies that is the one in the middle, and the same one for all of the group's lists. Lists with one head are a
+  family: of m members, it emits m pairs;
+* union sketches estimate each pair's similarity; those below the bound go;
+* exact Jaccard on the full sets, computed from the texts, confirms the rest;
+* members of a family that are not linked to its head are compared with the whole family, in blocks of full sets
+  of a bounded size, where an inverted list within the task counts what sets share. A block gives no more links
+  than it has members.
+
+Documents with equal sets are one class from the start, so exact copies are never paired. Rows that meet at a
+head are joined by its id; Spark splits such a join where it is skewed (``spark.sql.adaptive.skewJoin``).
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import components, cut_lineage
+from ..frames import components, cut_lineage, drop
 from .line_dedup import LOWER
 
 K, SHARED = 40, 14
@@ -41,12 +44,8 @@ MEET = 6
 TWO_FROM = 8
 #: Lists of at most so many classes emit their pairs.
 SHORT = 16
-#: Further leaders of a long list, by hash: the same in all lists as far as they are in them.
-LEADERS = 3
-#: Shingles of a block of a family.
-BLOCK = 500_000
-#: Most classes whose texts are found by sending their ids to every task; more are joined by shuffling.
-SENT_IDS = 500_000
+#: Most members and shingles of a block of a family (a set that is larger by itself is a block).
+BLOCK_SETS, BLOCK = 512, 500_000
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -81,14 +80,14 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def rare_lists(classes: DataFrame) -> DataFrame:
-    """``value``, ``cid``, ``n``: the inverted lists of two values that are needed.
+    """``value``, ``cid``, ``n``, ``score``: the inverted lists of two values that are needed.
 
-    Sets of fewer than `MEET` shingles that must be shared keep all they have, in lists of one value.
+    Sets of fewer than `MEET` shingles that must be shared keep all they have, in lists of one value. ``score``
+    adds up in how many classes each of the sketch's values is.
     """
-    postings = classes.filter("n > 3").select(F.explode("sketch").alias("value"), "cid")
-    shared = cut_lineage(postings.groupBy("value").agg(F.count("*").cast("int").alias("classes")).filter("classes > 1"))
-    mine = postings.join(shared, "value").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("classes", "value"))).alias("values"))
-    mine = mine.join(classes.select("cid", "n", F.size("sketch").alias("k")), "cid")
+    postings = classes.filter("n > 3").select(F.explode("sketch").alias("value"), "cid", "n", F.size("sketch").alias("k"))
+    shared = postings.groupBy("value").agg(F.count("*").cast("int").alias("classes")).filter("classes > 1")
+    mine = postings.join(shared, "value").groupBy("cid").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.sum("classes").alias("score"), F.array_sort(F.collect_list(F.struct("classes", "value"))).alias("values"))
     needed = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * 4 / 5)).otherwise(F.lit(SHARED)).cast("int")
     # values of one class are the rarest: they fill the first places, and no list needs them
     places = F.col("k") - needed + F.least(F.lit(MEET), needed) - (F.col("k") - F.size("values"))
@@ -104,17 +103,27 @@ def rare_lists(classes: DataFrame) -> DataFrame:
     none = F.array().cast("array<bigint>")
     twos = F.when(F.col("n") >= TWO_FROM, F.flatten(F.array(*(pairs_in(c) for c in range(MEET - 1))))).otherwise(none)
     keys = F.concat(F.coalesce(small, around, none), twos)
-    return kept.select(F.explode(keys).alias("value"), "cid", F.col("n").cast("int").alias("n"))
+    return kept.select(F.explode(keys).alias("value"), "cid", F.col("n").cast("int").alias("n"), "score")
 
 
 def _sizes_fit(n_a: str, n_b: str):
     return 5 * F.least(n_a, n_b) >= 4 * F.greatest(n_a, n_b)
 
 
+def listed(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a``, ``b`` of short lists, and the members ``head``, ``head_n``, ``cid``, ``n`` of the long ones' families."""
+    head = F.max(F.struct("score", "cid", "n")).alias("head")
+    lengths = cut_lineage(lists.groupBy("value").agg(F.count("*").alias("m"), head).filter("m > 1"))
+    short = lists.join(lengths.filter(F.col("m") <= SHORT).select("value"), "value").select("value", "cid", "n")
+    pairs = short.toDF("value", "a", "n_a").join(short.toDF("value", "b", "n_b"), "value").filter((F.col("a") < F.col("b")) & _sizes_fit("n_a", "n_b"))
+    long_ = lists.join(lengths.filter(F.col("m") > SHORT).select("value", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")), "value")
+    return pairs.select("a", "b").distinct(), cut_lineage(long_.select("head", "head_n", "cid", "n").distinct())
+
+
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that may be similar enough by the sketch of their union."""
     own = classes.select("cid", "n", "sketch")
-    both = pairs.join(own.toDF("a", "n_a", "s_a"), "a").join(own.toDF("b", "n_b", "s_b"), "b")
+    both = pairs.join(own.toDF("b", "n_b", "s_b"), "b").join(own.toDF("a", "n_a", "s_a"), "a")
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, K)
     shared = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
     whole = F.greatest("n_a", "n_b") <= K
@@ -122,13 +131,14 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.filter(_sizes_fit("n_a", "n_b") & enough).select("a", "b")
 
 
-def texts_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``cid``, ``text``: one text for each class in `pairs`."""
+def texts_of(docs: DataFrame, needed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cid``, ``text``: one text for each class in `needed`, whose sides Spark broadcasts or shuffles by their sizes."""
+    at = cut_lineage(classes.join(needed.distinct(), "cid").select("cid", F.col("one.doc").alias("doc"), F.col("one.text_id").alias("text_id")))
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    at = cut_lineage(classes.join(needed, "cid").select("cid", F.col("one.doc").alias("doc"), F.col("one.text_id").alias("text_id")))
-    side = F.broadcast(at) if at.count() <= SENT_IDS else at
-    return cut_lineage(rows.join(side, ["doc", "text_id"]).select("cid", "text"))
+    # rows may repeat a document
+    texts = cut_lineage(rows.join(at, ["doc", "text_id"]).dropDuplicates(["doc", "text_id"]).select("cid", "text"))
+    drop(at)
+    return texts
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -148,11 +158,73 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     keep.append(100 * both >= 80 * (len(left) + len(right) - both))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = texts.dropDuplicates(["cid"])  # rows may repeat a document
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
+def _within_families(families: DataFrame, links: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links ``a``, ``b`` of members that are not linked to the head of their family with other members.
+
+    With P blocks of members and Q blocks of those, a set is copied Q times, and P times as one to be compared.
+    """
+    to_head = links.select(F.col("a").alias("head"), F.col("b").alias("cid"), F.lit(True).alias("linked"))
+    members = families.join(to_head, ["head", "cid"], "left").select("head", "cid", "n", (F.col("linked").isNull() & (F.col("head") != F.col("cid"))).alias("loose"))
+    members = cut_lineage(members)
+    blocks = lambda m, n: F.ceil(F.greatest(m / F.lit(BLOCK_SETS), n / F.lit(BLOCK))).cast("int")
+    loose = F.col("loose").cast("int")
+    sizes = members.groupBy("head").agg(blocks(F.count("*"), F.sum("n")).alias("ps"), blocks(F.sum(loose), F.sum(loose * F.col("n"))).alias("qs")).filter("qs > 0")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sets = [shingle_hashes(t or b"", size) for t in part.column(5).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.list_(pa.int64()))], ["head", "cid", "loose", "ps", "qs", "set"])
+
+    whole = members.join(sizes, "head").join(texts, "cid").select("head", "cid", "loose", "ps", "qs", "text")
+    whole = whole.mapInArrow(shingled, "head long, cid long, loose boolean, ps int, qs int, set array<long>")
+    p, q = (F.pmod(F.xxhash64("cid"), F.col(c)).cast("int") for c in ("ps", "qs"))
+    place = lambda a, b, asks: F.struct(a.alias("p"), b.alias("q"), F.lit(asks).alias("asks"))
+    held = F.transform(F.sequence(F.lit(0), F.col("qs") - 1), lambda k: place(p, k, False))
+    asked = F.when(F.col("loose"), F.transform(F.sequence(F.lit(0), F.col("ps") - 1), lambda k: place(k, q, True)))
+    placed = whole.select("head", F.explode(F.concat(held, F.coalesce(asked, F.array().cast("array<struct<p:int,q:int,asks:boolean>>")))).alias("at"), "cid", "loose", "set")
+    placed = placed.select("head", "at.p", "at.q", "at.asks", "cid", "loose", "set")
+    links = placed.groupBy("head", "p", "q").applyInArrow(_compared, "a long, b long")
+    return links
+
+
+def _compared(block: pa.Table) -> pa.Table:
+    """Links between the members of a block and those that ask: of all similar pairs, a spanning forest."""
+    asks = block["asks"].to_numpy()
+    held, asking = block.filter(pa.array(~asks)), block.filter(pa.array(asks))
+    a, b = [], []
+    if held.num_rows and asking.num_rows:
+        lists = held["set"].combine_chunks()
+        flat, lengths = lists.flatten().to_numpy(), pa.compute.list_value_length(lists).to_numpy()
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        ids = held["cid"].to_numpy()
+        roots = np.where(held["loose"].to_numpy(), ids, block["head"][0].as_py())  # the others are linked to the head
+        for x, mine in zip(asking["cid"].to_pylist(), asking["set"], strict=True):
+            mine = mine.values.to_numpy()
+            low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+            hits = [owner[s:e] for s, e in zip(low.tolist(), high.tolist(), strict=True) if e > s]
+            if not hits:
+                continue
+            both = np.bincount(np.concatenate(hits), minlength=len(ids))
+            found = np.flatnonzero((100 * both >= 80 * (lengths + len(mine) - both)) & (ids != x))
+            own = roots[ids == x]
+            others, first = np.unique(roots[found], return_index=True)  # one link to each other component of the block
+            new = others != (own[0] if len(own) else x)
+            a += [x] * int(new.sum())
+            b += ids[found[first[new]]].tolist()
+            if len(others):
+                least = min(int(others[0]), int(own[0])) if len(own) else int(others[0])
+                roots[np.isin(roots, np.append(others, own))] = least
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """``doc_id``, ``text_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of `docs`.
 
@@ -161,35 +233,26 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     row without words has an empty set and is linked with nothing; null texts are such rows. Rows that repeat
     a ``doc_id`` are told apart by ``text_id``, a hash of the text. A row without ``doc_id`` is left out of
     the comparison: it has no component and is kept. Other columns aren't looked at; no rows give no rows.
+    Texts of any length are compared as a whole: one task holds the sets of the two texts of a pair.
     """
     known = cut_lineage(sketches(docs, size))
-    numbered = known.filter("doc is not null and n > 0")
     # the class's text is any member's; its sketch is every member's
-    classes = numbered.groupBy("set_id", "n").agg(F.min(F.struct("doc", "text_id")).alias("one"), F.first("sketch").alias("sketch"))
+    classes = known.filter("doc is not null and n > 0").groupBy("set_id", "n").agg(F.min(F.struct("doc", "text_id")).alias("one"), F.first("sketch").alias("sketch"))
     classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
     lists = cut_lineage(rare_lists(classes))
-    lengths = cut_lineage(lists.groupBy("value").agg(F.count("*").cast("int").alias("m")).filter("m > 1"))
-    members = lists.join(lengths, "value")
-    short, long_ = members.filter(F.col("m") <= SHORT).select("value", "cid", "n"), cut_lineage(members.filter(F.col("m") > SHORT))
-    close = short.toDF("value", "a", "n_a").join(short.toDF("value", "b", "n_b"), "value").filter((F.col("a") < F.col("b")) & _sizes_fit("n_a", "n_b"))
-    close = close.select("a", "b").distinct()
-    common = long_.groupBy("cid").agg(F.sum("m").alias("common"))
-    middle = F.max(F.struct("common", "cid", "n"))
-    leaders = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n")) for k in range(LEADERS)]
-    heads = cut_lineage(long_.join(common, "cid").groupBy("value").agg(F.array(*(F.struct(c["cid"].alias("cid"), c["n"].alias("n")) for c in (middle, *leaders))).alias("leaders")))
-    led = long_.join(heads, "value").select("cid", "n", F.explode(F.array_distinct("leaders")).alias("to")).filter(F.col("cid") != F.col("to.cid")).filter(_sizes_fit("n", "to.n"))
-    led = led.select(F.least("cid", "to.cid").alias("a"), F.greatest("cid", "to.cid").alias("b")).distinct()
-    first = cut_lineage(estimated(close.unionByName(led).distinct(), classes))
-    links = cut_lineage(verified(first, texts_of(docs, first, classes), size))
-    found = components(links)
-
-    rest = cut_lineage(_within_families(docs, long_, heads, classes, found, size))
-    if not rest.isEmpty():
-        found = components(links.unionByName(rest))
+    pairs, families = listed(lists)
+    led = families.filter((F.col("cid") != F.col("head")) & _sizes_fit("n", "head_n")).select(F.col("head").alias("a"), F.col("cid").alias("b"))
+    likely = cut_lineage(estimated(pairs.unionByName(led), classes))
+    drop(lists)
+    needed = likely.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(families.select("cid"))
+    texts = texts_of(docs, needed, classes)
+    links = cut_lineage(verified(likely, texts, size))
+    found = components(links.unionByName(_within_families(families, links, texts, size)))
+    drop(likely, texts, links, families)
 
     of = classes.select("cid", "set_id", F.col("one.doc").alias("least")).join(found.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    heads = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(heads, "root").select("set_id", "component_id")
+    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = of.join(ids, "root").select("set_id", "component_id")
     return (
         known.select("doc", "text_id", "n", "set_id")
         .join(of, "set_id", "left")
@@ -213,57 +276,3 @@ def one_of_each(docs: DataFrame, size: int = 5) -> DataFrame:
     rows = docs.filter("doc_id is not null").withColumn("_text_id", F.xxhash64(F.coalesce("text", F.lit(""))))
     stays = rows.join(kept, (rows["doc_id"] == kept["_doc"]) & (rows["_text_id"] == kept["_text"])).dropDuplicates(["doc_id", "_text_id"])
     return stays.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
-
-
-def _within_families(docs: DataFrame, long_: DataFrame, heads: DataFrame, classes: DataFrame, found: DataFrame, size: int) -> DataFrame:
-    """Links ``a``, ``b`` between members of a family that are still in different components."""
-    family = long_.join(heads.select("value", F.col("leaders")[0]["cid"].alias("family")), "value").select("family", "cid").distinct()
-    placed = classes.select("cid").join(found.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    family = cut_lineage(family.join(placed.select("cid", "root"), "cid"))
-    several = family.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("family")
-    family = family.join(several, "family")
-    family = family.join(classes.select("cid", "n"), "cid")
-    roots = family.groupBy("family", "root").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    blocks = F.ceil(F.sum("n") / F.lit(BLOCK)).cast("int")
-    mains = roots.groupBy("family").agg(F.max(F.struct("m", "root"))["root"].alias("main"), blocks.alias("blocks"), F.count("*").alias("roots")).filter("roots > 1")
-    family = cut_lineage(family.join(mains, "family"))
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                sets = [shingle_hashes(t or b"", size) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["cid", "set"])
-
-    asked = family.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    sets = texts_of(docs, asked, classes).dropDuplicates(["cid"]).mapInArrow(shingled, "cid long, set array<long>")
-    whole = family.join(sets, "cid")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    points = whole.withColumn("p", own).withColumn("q", F.explode(every)).select("family", "p", "q", "cid", "root", "set")
-    queries = whole.filter("root <> main").withColumn("q", own).withColumn("p", F.explode(every)).select("family", "p", "q", "cid", "root", "set").toDF("family_x", "p_x", "q_x", "x", "root_x", "set_x")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
-        if left.num_rows and right.num_rows:
-            lists = left["set"].combine_chunks()
-            flat = lists.flatten().to_numpy()
-            lengths = pa.compute.list_value_length(lists).to_numpy()
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], owner[order]
-            ids, roots = left["cid"].to_numpy(), left["root"].to_numpy()
-            for cid, root, mine in zip(right["x"].to_pylist(), right["root_x"].to_pylist(), right["set_x"], strict=True):
-                mine = mine.values.to_numpy()
-                low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-                hits = [owner[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True) if y > x]
-                if not hits:
-                    continue
-                both = np.bincount(np.concatenate(hits), minlength=len(ids))
-                good = np.flatnonzero((100 * both >= 80 * (lengths + len(mine) - both)) & (roots != root))
-                _, first = np.unique(roots[good], return_index=True)  # one link to each other component
-                b += ids[good[first]].tolist()
-                a += [cid] * len(first)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return points.groupBy("family", "p", "q").cogroup(queries.groupBy("family_x", "p_x", "q_x")).applyInArrow(compare, "a long, b long")

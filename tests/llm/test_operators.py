@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, bpe_codec, fingerprints, frames, line_dedup, mixing, near_dedup, pii, quality_rules, queries, secret_scan, substring_dedup, token_counts
+from lodestone.llm import bpe, bpe_codec, fingerprints, line_dedup, mixing, near_dedup, pii, quality_rules, queries, secret_scan, substring_dedup, token_counts
 
 from . import brute
 
@@ -157,6 +157,7 @@ def test_shared_lines(spark):
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_components(spark, size, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 2_000)  # several blocks a family
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 20)
     rng = random.Random(7 + size)
     words = [f"w{k}" for k in range(400)] + ["the"] * 60
     docs = {}
@@ -186,12 +187,6 @@ def test_near_components(spark, size, monkeypatch):
     assert sorted(r.doc_id for r in near_dedup.one_of_each(df, size).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
-def test_components_of_long_paths(spark):
-    links = [(k, k + 1) for k in range(40)] + [(100, 101)]
-    got = {r.node: r.root for r in frames.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got[k] == 0 for k in range(1, 41)) and got[101] == 100
-
-
 def test_mixture(spark):
     rng = random.Random(8)
     sources = ["a", "b", "c", "é", None]
