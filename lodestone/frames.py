@@ -112,9 +112,9 @@ def ranged(rows: DataFrame, *order: Column) -> DataFrame:
     return cut_lineage(placed)
 
 
-def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: Column, name: str) -> DataFrame:
     """`rows` with `name`: their number from 0 in the order of `order`. Only counts of ranges meet in one task."""
-    placed = ranged(rows, F.col(order))
+    placed = ranged(rows, order)
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return placed.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")

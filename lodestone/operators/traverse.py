@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node``, ``component``: components numbered from 0 in the order of their least node; `nodes` has ``node``."""
     found = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     rooted = cut_lineage(nodes.select("node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    return rooted.join(numbered(rooted.select("root").distinct(), "root", "component"), "root").select("node", "component")
+    return rooted.join(numbered(rooted.select("root").distinct(), F.col("root"), "component"), "root").select("node", "component")
 
 
 def depths(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:

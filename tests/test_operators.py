@@ -250,5 +250,5 @@ def test_orders_in_ranges(spark):
         t, n = seen.get(key, (0, 0))
         seen[key] = want[i] = (t + x, n + 1)
     assert {i: (r.total, r["at"]) for i, r in got.items()} == want
-    ids = frames.numbered(df.select("id"), "id", "no").collect()
+    ids = frames.numbered(df.select("id"), F.col("id"), "no").collect()
     assert all(r.id == r.no for r in ids) and len(ids) == 2000
