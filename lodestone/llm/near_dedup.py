@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import components, cut_lineage, drop
+from ..frames import components, cut_lineage, drop, ranged
 from .line_dedup import LOWER
 
 K, SHARED = 40, 14
@@ -132,11 +132,11 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, needed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``cid``, ``text``: one text for each class in `needed`, whose sides Spark broadcasts or shuffles by their sizes."""
+    """``cid``, ``text``: one text for each class in `needed`. Both sides are shuffled, at every size."""
     at = cut_lineage(classes.join(needed.distinct(), "cid").select("cid", F.col("one.doc").alias("doc"), F.col("one.text_id").alias("text_id")))
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_id"), "text")
     # rows may repeat a document
-    texts = cut_lineage(rows.join(at, ["doc", "text_id"]).dropDuplicates(["doc", "text_id"]).select("cid", "text"))
+    texts = cut_lineage(rows.join(at.hint("merge"), ["doc", "text_id"]).dropDuplicates(["doc", "text_id"]).select("cid", "text"))
     drop(at)
     return texts
 
@@ -237,8 +237,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """
     known = cut_lineage(sketches(docs, size))
     # the class's text is any member's; its sketch is every member's
-    classes = known.filter("doc is not null and n > 0").groupBy("set_id", "n").agg(F.min(F.struct("doc", "text_id")).alias("one"), F.first("sketch").alias("sketch"))
-    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()))
+    grouped = known.filter("doc is not null and n > 0").groupBy("set_id", "n").agg(F.min(F.struct("doc", "text_id")).alias("one"), F.first("sketch").alias("sketch"))
+    # the number of a class rises with its first document, so a component's least number has its least id
+    classes = ranged(grouped, F.col("one")).withColumn("cid", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_at"))
     lists = cut_lineage(rare_lists(classes))
     pairs, families = listed(lists)
     led = families.filter((F.col("cid") != F.col("head")) & _sizes_fit("n", "head_n")).select(F.col("head").alias("a"), F.col("cid").alias("b"))
@@ -250,9 +251,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     found = components(links.unionByName(_within_families(families, links, texts, size)))
     drop(likely, texts, links, families)
 
-    of = classes.select("cid", "set_id", F.col("one.doc").alias("least")).join(found.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    ids = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(ids, "root").select("set_id", "component_id")
+    least = classes.select("cid", F.col("one.doc").alias("least"))
+    roots = found.join(least.toDF("root", "component_id"), "root").select(F.col("node").alias("cid"), "component_id")
+    of = classes.select("cid", "set_id", F.col("one.doc").alias("least")).join(roots, "cid", "left").select("set_id", F.coalesce("component_id", "least").alias("component_id"))
     return (
         known.select("doc", "text_id", "n", "set_id")
         .join(of, "set_id", "left")
