@@ -23,13 +23,14 @@ BASE = {
 }
 WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
-#: Least entropy in bits of a window, by character class.
-HEX_BITS, BASE64_BITS = 3.0, 3.9
+#: Least entropy in bits of a window, by character class: the first pattern that fits tells it.
+LEAST_BITS = ((r"^(?:[0-9a-f]++|[0-9A-F]++)$", 3.0), (r"^(?:[0-9a-z]++|[0-9A-Z]++)$", 3.85), (r"", 3.9))
 #: No secret: numbers, words of letters, paths and identifiers made of such, counted alphabets, placeholders, UUIDs.
+#: Repeated groups are possessive: java.util.regex goes one call deeper for each repetition of others.
 ALLOWED = (
     r"^[0-9]+$",
     r"^[A-Z]?[a-z]+$|^[A-Z]+$",
-    r"^([A-Za-z]+[-_/])+[A-Za-z]*$",
+    r"^(?:[A-Za-z]++[-_/])++[A-Za-z]*+$",
     r"(?i)abcdefgh|01234567|example|placeholder|changeme|xxxxxx",
     r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
 )
@@ -59,8 +60,7 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
 
 
 def is_random(value: Column) -> Column:
-    hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    least = F.when(hexadecimal, HEX_BITS).otherwise(BASE64_BITS)
+    least = F.coalesce(*(F.when(value.rlike(pattern), bits) for pattern, bits in LEAST_BITS))
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)
@@ -72,11 +72,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Kinds are those of `BASE`, then ``entropy`` for what only the sliding window finds. A null text is empty and
     has no spans, neither has a text without matches. Rows are scanned one by one: repeated rows and null ids
-    each give a row, no rows give none; other columns aren't looked at.
+    each give a row, no rows give none; other columns aren't looked at. Work grows with a text's length.
     """
     accept = {"assign": lambda m: F.length(F.regexp_extract(m, BASE["assign"], 1)) >= 6, "entropy": is_random}
     seen = spans.find(docs.select("doc_id", "text"), "text", BASE | {"entropy": CANDIDATE}, accept, {"access": lambda t: t.contains("AKIA")})
-    base = F.concat(*map(F.col, BASE))
-    new = F.filter("entropy", lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    seen = seen.withColumn("_base", base).withColumn("entropy", F.when(F.size("entropy") > 0, new).otherwise(F.col("entropy")))
+    seen = seen.withColumn("_base", F.concat(*map(F.col, BASE))).withColumn("entropy", F.expr(spans.outside("entropy", "_base")))
     return seen.select("doc_id", spans.listed([*BASE, "entropy"], by_start=True).alias("found"))

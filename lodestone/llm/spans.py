@@ -33,10 +33,9 @@ def find(df: DataFrame, text: str, patterns: dict[str, str], accept: dict[str, C
     df = df.select(*df.columns, *(v.alias(f"_g_{k}") for k, v in gaps.items()))
 
     def steps(k: str) -> Column:
-        return F.transform(
-            F.col(f"_m_{k}"),
-            lambda m, i: F.struct(F.length(F.element_at(F.col(f"_g_{k}"), i + 1)).alias("gap"), F.length(m).alias("len"), accept[k](m).alias("ok") if k in accept else F.lit(True).alias("ok"), m.alias("value")),
-        )
+        # both lists are arguments here: named within the function they could be made anew for each match
+        one = lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), accept[k](m).alias("ok") if k in accept else F.lit(True).alias("ok"), m.alias("value"))
+        return F.filter(F.zip_with(f"_m_{k}", F.coalesce(f"_g_{k}", nothing), one), lambda x: x["value"].isNotNull())
 
     df = df.select(*own, *(steps(k).alias(f"_s_{k}") for k in patterns))
     return df.select(*own, *(F.expr(_placed(f"`_s_{k}`")).alias(k) for k in patterns))
@@ -68,3 +67,24 @@ def listed(kinds: list[str], more: Callable[[Column, str], dict[str, Column]] |
 def written(spans: Column) -> Column:
     """Spans as ``kind:start:end``, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def outside(spans: str, others: str) -> str:
+    """SQL for the spans of one column that overlap none of another's; both are ordered by start, and no two of `spans` overlap.
+
+    One pass over all of them in the order of their starts, in blocks.
+    """
+    pending = "cast(null as struct<start:int,end:int,value:string>)"
+    none = f"cast(array() as {_SPAN})"
+    events = f"""array_sort(concat(transform({others}, s -> named_struct('start', s.start, 'mine', false, 'end', s.end, 'value', s.value)),
+        transform({spans}, s -> named_struct('start', s.start, 'mine', true, 'end', s.end, 'value', s.value))))"""
+    span = "named_struct('start', x.start, 'end', x.end, 'value', x.value)"
+    step = f"""if(x.mine,
+        named_struct('reach', a.reach, 'held', if(a.reach > x.start, {pending}, {span}), 'out', if(a.held is null, a.out, concat(a.out, array(a.held)))),
+        named_struct('reach', greatest(a.reach, x.end), 'held', if(a.held.end > x.start, {pending}, a.held), 'out', a.out))"""
+    block = f"aggregate(slice(e, b * {BLOCK} + 1, {BLOCK}), named_struct('reach', z.reach, 'held', z.held, 'out', {none}), (a, x) -> {step})"
+    walked = f"""transform(array({events}), e -> aggregate(sequence(0, cast((size(e) - 1) div {BLOCK} as int)),
+        named_struct('reach', 0, 'held', {pending}, 'outs', cast(array() as array<{_SPAN}>)),
+        (z, b) -> transform(array({block}), y -> named_struct('reach', y.reach, 'held', y.held, 'outs', concat(z.outs, array(y.out))))[0],
+        z -> concat(flatten(z.outs), if(z.held is null, {none}, array(z.held)))))[0]"""
+    return f"if(size({spans}) = 0 or size({others}) = 0, {spans}, {walked})"
