@@ -30,6 +30,8 @@ SCORES = {
     "local_phone": (0.3, "phone|tel|call|fax|mobile|cell"),
 }
 NEAR, RAISE, LEAST = 40, 0.3, 0.5
+#: Code points of the chunks in which a span's surroundings are looked up.
+CHUNK = 1_024
 
 
 def _digits(m: Column) -> Column:
@@ -64,15 +66,22 @@ def find_personal(docs: DataFrame) -> DataFrame:
 
     Kinds are those of `BASE`, whose confirmed spans all count, then those of `MORE`, which count from a score of
     `LEAST` on. A null text is empty and has no spans. Rows are searched one by one: repeated rows and null ids
-    each give a row, no rows give none; other columns aren't looked at.
+    each give a row, no rows give none; other columns aren't looked at. Work grows with a text's length.
     """
-    text = F.coalesce("text", F.lit(""))
     may = {"email": lambda t: t.contains("@"), "phone": lambda t: t.contains("+"), "ip": lambda t: t.contains("."), "ssn": lambda t: t.contains("-")}
     seen = spans.find(docs.select("doc_id", "text"), "text", BASE | MORE, ACCEPT, may)
+    some = F.greatest(*(F.size(k) for k in (*BASE, *MORE))) > 0
+    seen = seen.withColumn("_chunks", F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+
+    def near(start: Column, n: Column) -> Column:
+        """`n` code points of the text from `start` on, at most `CHUNK`: of two chunks, wherever in the text they lie."""
+        no = F.floor(start / CHUNK).cast("int")
+        two = F.concat(F.coalesce(F.get("_chunks", no), F.lit("")), F.coalesce(F.get("_chunks", no + 1), F.lit("")))
+        return two.substr(start - no * CHUNK + 1, n)
 
     def score(s: Column, kind: str) -> dict[str, Column]:
         first = F.greatest(s["start"] - NEAR, F.lit(0))
-        around = text.substr(first + 1, s["end"] - first + NEAR)
+        around = F.concat(near(first, s["start"] - first), s["value"], near(s["end"], F.lit(NEAR)))
         return {"score": F.lit(SCORES[kind][0]) + F.when(around.rlike(rf"(?i)\b(?:{SCORES[kind][1]})"), RAISE).otherwise(0.0)}
 
     found = spans.listed([*BASE, *MORE], score)
