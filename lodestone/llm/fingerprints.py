@@ -4,7 +4,10 @@ All texts share random walks: at step j the walk reads the character it stands o
 shared random bits say whether it moves on. Two walks that have read the same text stand on the same character,
 and walks parted by an edit soon meet again, so the edit distance of texts becomes the Hamming distance of what
 the walks read. Each step adds a shared random sign for its character to one of `BITS` sums; the signs of the
-sums are the fingerprint. Bands of sampled bits find candidates, and the fingerprints' likeness verifies them.
+sums are the fingerprint. Long texts are cut where their content says so, and each part has a walk of its own, so
+that the number of steps in a row is bounded and an edit moves no cut but those beside it.
+
+Bands of sampled bits find candidates, and the fingerprints' likeness verifies them.
 """
 
 from __future__ import annotations
@@ -14,22 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..frames import components, cut_lineage
+from ..frames import components, cut_lineage, drop, ranged
 
 BITS, SYMBOLS, PERIOD = 256, 1024, 4096
 #: Characters below which a text is walked again from its start, until there are so many.
 SHORTEST = 512
-#: Bands and the bits that each samples.
-BANDS, SAMPLED = 32, 8
-#: Classes of a band that are compared at a time.
-BAND_BLOCK = 2_048
+#: A text is cut behind `SEEN` characters with a hash that `CUT` divides, after `LEAST` characters and at most `MOST`.
+SEEN, CUT, LEAST, MOST = 8, 4_096, 512, 16_384
+#: Bands and the bits that each samples, and the least likeness of documents that are linked.
+BANDS, SAMPLED, ALIKE = 16, 24, 0.97
+#: Lists of at most so many classes emit their pairs; longer ones are compared in blocks of so many classes.
+SHORT, BAND_BLOCK = 16, 1_024
 #: Characters embedded at a time.
-AT_ONCE = 10_000_000
+AT_ONCE = 4_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,43 +53,86 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _shared: list[tuple[np.ndarray, np.ndarray]] = []
 
 
-def embed(texts: list[str]) -> np.ndarray:
-    """A fingerprint of `BITS` bits for each text, as rows of bytes."""
-    if not texts:
-        return np.empty((0, BITS // 8), np.uint8)
+def _cuts(codes: np.ndarray, first: bool) -> tuple[list[int], np.ndarray]:
+    """Starts of the parts of a text, or of what follows a cut, and the hash before each place of it."""
+    mixed = np.zeros(len(codes) + 1, np.uint64)
+    for k in range(SEEN):
+        mixed[SEEN:] = (mixed[SEEN:] + codes[k : len(codes) - SEEN + 1 + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) if len(codes) >= SEEN else 0
+    mixed[SEEN:] = _mixed(mixed[SEEN:])
+    starts = [0 if first else SEEN]
+    for at in [*(np.flatnonzero(mixed[SEEN + 1 :] % np.uint64(CUT) == 0) + SEEN + 1).tolist(), len(codes)]:
+        while at - starts[-1] > MOST:
+            starts.append(starts[-1] + MOST)
+        if at < len(codes) and at - starts[-1] >= LEAST:
+            starts.append(at)
+    return starts, mixed
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Characters of about `AT_ONCE` at a time, the bounds of the parts among them, the texts they are of, and the hashes before them."""
+    held, bounds, total = [], [], 0
+
+    def ready():
+        starts, ends, owners, hashes = zip(*bounds, strict=True)
+        return np.concatenate(held), np.array(starts), np.array(ends), np.array(owners), np.array(hashes, np.uint64)
+
+    for owner, text in enumerate(texts):
+        if not text:
+            continue
+        text = text * (-(-SHORTEST // len(text)))
+        at, first = 0, True
+        while at < len(text):
+            before = 0 if first else SEEN
+            codes = np.frombuffer(text[at - before : at + AT_ONCE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            starts, hashes = _cuts(codes, first)
+            ends = [*starts[1:], len(codes)]
+            if at - before + len(codes) < len(text):  # the last part goes on: it comes again with what follows
+                starts, ends = starts[:-1], ends[:-1]
+            bounds += [(s + total, e + total, owner, 0 if first and not s else int(hashes[s])) for s, e in zip(starts, ends, strict=True)]
+            held.append(codes)
+            total += len(codes)
+            at, first = at - before + ends[-1], False
+            if total >= AT_ONCE:
+                yield ready()
+                held, bounds, total = [], [], 0
+    if bounds:
+        yield ready()
+
+
+def _walked(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The `BITS` sums of the walk over each part."""
     if not _shared:
         _shared.append(_tables())
     moves, signs = _shared[0]
-    lengths = np.array([len(t) for t in texts])
-    again = np.where((lengths > 0) & (lengths < SHORTEST), -(-SHORTEST // np.maximum(lengths, 1)), 1)
-    lengths = lengths * again
-    order = np.argsort(-lengths, kind="stable")
-    flat = np.frombuffer("".join(texts[k] * again[k] + "\0" for k in order.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     symbols = flat * np.uint64(0x9E3779B1)
     symbols[:-1] += flat[1:] * np.uint64(0x85EBCA6B)
     symbols = ((symbols >> np.uint64(7)) % np.uint64(SYMBOLS)).astype(np.int16)
-    symbols[flat == 0] = 0
-    del flat
-    lengths = lengths[order]
-    ends = np.cumsum(lengths + 1) - 1
-    place = ends - lengths
-    steps = np.maximum(2 * lengths + 64, 2 * SHORTEST)
+    lengths = ends - starts
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    lasts = starts + lengths - 1
+    symbols = np.append(symbols, np.int16(0))
+    # the last character of a part is read without a successor, as the next part may be another text's
+    symbols[lasts] = ((flat[lasts] * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(SYMBOLS)).astype(np.int16)
+    place, ends = starts.copy(), lasts + 1
+    steps = 2 * lengths + 2 * np.sqrt(lengths).astype(np.int64)
     last = int(steps[0])
     active = np.searchsorted(-steps, -np.arange(last), side="left").tolist()
     random = _mixed(np.arange(last) + (1 << 40))
     bucket, flip = (random % np.uint64(BITS)).tolist(), ((random >> np.uint64(32)) & np.uint64(1)).tolist()
-    sums = np.zeros((BITS, len(texts)), np.int32)
+    sums = np.zeros((BITS, len(starts)), np.int32)
     for j in range(last):
         k = active[j]
         at = place[:k]
+        inside = at < ends[:k]
         read = symbols.take(at)
         row = j % PERIOD
+        step = signs[row].take(read) * inside
         if flip[j]:
-            sums[bucket[j], :k] += signs[row].take(read)
+            sums[bucket[j], :k] += step
         else:
-            sums[bucket[j], :k] -= signs[row].take(read)
-        at += moves[row].take(read)
-        np.minimum(at, ends[:k], out=at)
+            sums[bucket[j], :k] -= step
+        at += moves[row].take(read) & inside
     inside = np.flatnonzero(place < ends)  # these walk on, each from its own last step
     while len(inside):
         step = steps[inside]
@@ -96,11 +143,31 @@ def embed(texts: list[str]) -> np.ndarray:
         place[inside] += moves[row, read]
         steps[inside] += 1
         inside = inside[place[inside] < ends[inside]]
-    out = np.empty((len(texts), BITS // 8), np.uint8)
-    out[order] = np.packbits(sums.T > 0, axis=1)
+    out = np.empty((len(starts), BITS), np.int32)
+    out[order] = sums.T
     return out
 
 
+def walk_sums(texts: list[str]) -> np.ndarray:
+    """The `BITS` sums of each text.
+
+    Those of a text's parts are added; a later part's are turned by the hash before it, so that parts which begin
+    alike by chance don't add up.
+    """
+    sums = np.zeros((len(texts), BITS), np.int64)
+    for flat, starts, ends, owners, hashes in _parts(texts):
+        walked = _walked(flat, starts, ends)
+        turn = (np.arange(BITS) + (hashes >> np.uint64(20))[:, None] % np.uint64(BITS)).astype(np.int64) % BITS
+        walked = np.take_along_axis(walked, turn, axis=1) * np.where(hashes >> np.uint64(40) & np.uint64(1), -1, 1)[:, None]
+        np.add.at(sums, owners, walked)
+    return sums
+
+
+def embed(texts: list[str]) -> np.ndarray:
+    """A fingerprint of `BITS` bits for each text, as rows of bytes."""
+    return np.packbits(walk_sums(texts) > 0, axis=1)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Share of steps on which two walks agree, estimated from the angle that differing bits tell of."""
     differing = np.unpackbits(a ^ b, axis=1).sum(axis=1)
@@ -124,10 +191,6 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - third] + other[:third]
 
 
-def fingerprint_texts(texts: list[str]) -> list[str]:
-    return [row.tobytes().hex() for row in embed(texts)]
-
-
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands_edited", "bands_next", "text", "edge", "part"]
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited long, bands_next long, text string, edge int, part long"
@@ -150,7 +213,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """For each row of `docs` its fingerprint, that of its edited text, and their likeness (`NAMES` without the last three).
+    """For each row of `docs` its fingerprint, that of its edited text, their likeness (`NAMES` without the last three), and ``component``.
+
+    ``component`` is the least ``doc_id`` among the documents that are `alike`.
 
     The next document is the next smaller ``doc_id``; after the least comes the largest, and a lone row is its
     own next. Rows that repeat a ``doc_id`` follow each other by a hash of their text, rows without one come
@@ -161,18 +226,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
 
+        unpack = zstandard.ZstdDecompressor().decompress
         part, carry = TaskContext.get().partitionId(), None
         for whole in batches:
             ids, begin = whole.column(0).to_pylist(), 0
-            sizes = pa.compute.utf8_length(whole.column(1)).to_pylist()
+            sizes = whole.column(2).to_pylist()
             while begin < whole.num_rows:
                 end, chars = begin + 1, sizes[begin]
                 while end < whole.num_rows and chars + sizes[end] <= AT_ONCE:
                     chars += sizes[end]
                     end += 1
-                texts = whole.column(1).slice(begin, end - begin).to_pylist()
+                texts = [unpack(t).decode("utf-8", "surrogatepass") if t else "" for t in whole.column(1).slice(begin, end - begin).to_pylist()]
                 rows = list(zip(ids[begin:end], texts, embed(texts), strict=True))
                 if carry is None:
                     yield _batch([_edge(rows[0], FIRST, part)])
@@ -185,13 +252,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if carry is not None:
             yield _batch([_edge(carry, LAST, part)])
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t) if t else b"" for t in texts], pa.binary()), *batch.columns[2:]], ["doc_id", "text", "n", "place"])
+
     def _edge(row: tuple, kind: int, part: int) -> tuple:
         return (row[0], None, None, row[2].tobytes().hex(), None, None, None, None, None, row[1], kind, part)
 
     text = F.coalesce("text", F.lit(""))
     order = [F.col("doc_id").desc_nulls_last(), F.col("place")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("place"))
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.length(text).alias("n"), F.xxhash64(text).alias("place"))
+    rows = rows.mapInArrow(pack, "doc_id long, text binary, n int, place long")
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text", "n")
     read_ = cut_lineage(ordered.mapInArrow(read, _SCHEMA))
 
     # two rows a partition: the order of the partitions needs their numbers only
@@ -208,48 +284,71 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 yield _batch(_compared([(doc, a, bits[0])], [(None, b, bits[1])]))
 
     closed = lasts.join(firsts, "next").select("doc_id", "text", "fingerprint", "text_b", "print_b").mapInArrow(close, _SCHEMA)
-    return read_.filter(F.col("edge") == DONE).unionByName(closed).select(*NAMES[:-3])
+    prints = cut_lineage(read_.filter(F.col("edge") == DONE).unionByName(closed).select(*NAMES[:-3]))
+    drop(read_)
+    return prints.join(alike(prints), "fingerprint").select(*NAMES[:-3], "component")
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``cid``, the fingerprint as four longs, and the keys of its bands: the band's number and the bits that it samples."""
+    at, powers = band_bits(), 1 << np.arange(SAMPLED, dtype=np.int64)
+    for batch in batches:
+        prints = np.frombuffer(bytes.fromhex("".join(batch.column(1).to_pylist())), np.uint8).reshape(-1, BITS // 8)
+        keys = np.unpackbits(prints, axis=1)[:, at] @ powers + (np.arange(BANDS) << 32)
+        longs = np.ascontiguousarray(prints).view(np.int64).reshape(-1, BITS // 64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(longs[:, k]) for k in range(BITS // 64)), pa.array(list(keys), pa.list_(pa.int64()))], ["cid", *LONGS, "keys"])
 
 
-def band_keys(fingerprint: Column) -> Column:
-    """The keys of a hexadecimal fingerprint's bands: its number and the bits that it samples."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring(fingerprint, 1 + 4 * k, 4), 16, 2), 16, "0") for k in range(BITS // 16)))
-    return F.array(*(F.concat(F.lit(f"{k}:"), *(F.substring(bits, int(b) + 1, 1) for b in row)) for k, row in enumerate(band_bits())))
+LONGS = [f"f{k}" for k in range(BITS // 64)]
 
 
-def alike(prints: DataFrame, least: float = 0.8) -> DataFrame:
-    """``doc_id``, ``component``: what documents are alike, by their ``fingerprint``.
+def alike(prints: DataFrame, least: float = ALIKE) -> DataFrame:
+    """``fingerprint``, ``component``: what documents are alike, by their ``fingerprint`` and ``doc_id``.
 
     Two documents are linked if their fingerprints share a band and have a likeness of `least`; the component is
-    the least ``doc_id`` that links reach. Equal fingerprints are one class from the start. A band's classes are
-    compared in blocks of `BAND_BLOCK`; a pair of blocks gives the links of a spanning forest, never all its pairs.
+    the least ``doc_id`` that links reach. Equal fingerprints are one class from the start. The lists of a band's
+    key emit their pairs if they are short; long ones are compared in blocks of `BAND_BLOCK` classes, and a pair
+    of blocks gives the links of a spanning forest, never all its pairs. Rows without ``doc_id`` are classes, too,
+    and a component of nothing else has none; no rows give no rows.
     """
-    classes = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head")))
-    keyed = classes.select("head", "fingerprint", F.explode(band_keys(F.col("fingerprint"))).alias("band"))
-    sizes = keyed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1").select("band", F.ceil(F.col("size") / F.lit(BAND_BLOCK)).cast("int").alias("blocks"))
-    placed = cut_lineage(keyed.join(sizes, "band").withColumn("at", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")))
-    left = placed.withColumn("p", F.col("at")).withColumn("q", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))).select("band", "p", "q", "head", "fingerprint")
-    right = placed.withColumn("q", F.col("at")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("at")))).select("band", "p", "q", "head", "fingerprint").toDF("band_y", "p_y", "q_y", "head_y", "print_y")
-
-    def forest(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids = [*a["head"].to_pylist(), *b["head_y"].to_pylist()]
-        bits = np.frombuffer(bytes.fromhex("".join([*a["fingerprint"].to_pylist(), *b["print_y"].to_pylist()])), np.uint8).reshape(-1, BITS // 8)
-        root, out, m = list(range(len(ids))), [], a.num_rows
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        for k in range(m):
-            for j in (np.flatnonzero(likeness(bits[m:], bits[k]) >= least) + m).tolist():
-                x, y = find(k), find(j)
-                if x != y:
-                    root[y] = x
-                    out.append((ids[k], ids[j]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    links = left.groupBy("band", "p", "q").cogroup(right.groupBy("band_y", "p_y", "q_y")).applyInArrow(forest, "a long, b long")
-    found = classes.join(components(links).toDF("head", "root"), "head", "left").select("fingerprint", F.coalesce("root", "head").alias("component"))
-    return prints.select("doc_id", "fingerprint").join(found, "fingerprint").select("doc_id", "component")
+    most = int(np.floor(BITS * np.arccos(least) / np.pi))
+    grouped = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("head"))
+    # the number of a class rises with its head, so a component's least number has its least id
+    classes = ranged(grouped, F.col("head").asc_nulls_last(), F.col("fingerprint")).withColumn("cid", F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_at"))
+    coded = classes.select("cid", "fingerprint").mapInArrow(_coded, f"cid long, {', '.join(f'{c} long' for c in LONGS)}, keys array<long>")
+    keyed = coded.select("cid", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    lists = cut_lineage(keyed.join(shared, "key"))
+    short = lists.filter(F.col("m") <= SHORT).select("key", "cid")
+    pairs = short.toDF("key", "a").join(short.toDF("key", "b"), "key").filter("a < b").select("a", "b").distinct()
+    own = coded.select("cid", *LONGS)
+    both = pairs.join(own.toDF("a", *(f"{c}_a" for c in LONGS)), "a").join(own.toDF("b", *(f"{c}_b" for c in LONGS)), "b")
+    differing = sum(F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in LONGS)
+    close = both.filter(differing <= most).select("a", "b")
+
+    blocks = F.ceil(F.col("m") / F.lit(BAND_BLOCK)).cast("int")
+    placed = lists.filter(F.col("m") > SHORT).withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("p"), F.greatest(k, F.col("own")).alias("q")))
+    placed = placed.select("key", "cid", "own", F.explode(others).alias("at")).join(own, "cid").select("key", "at.p", "at.q", "own", "cid", *LONGS)
+
+    def forest(block: pa.Table) -> pa.Table:
+        bits = np.stack([block[c].to_numpy() for c in LONGS], axis=1)
+        ids, at, p, q = (block[c].to_numpy() for c in ("cid", "own", "p", "q"))
+        left, right = np.flatnonzero(at == p[0]), np.flatnonzero(at == q[0])
+        roots, a, b = ids.copy(), [], []
+        for k in left.tolist():
+            near = right[np.bitwise_count(bits[right] ^ bits[k]).sum(axis=1) <= most]
+            found, first = np.unique(roots[near], return_index=True)
+            new = found != roots[k]
+            a += [int(ids[k])] * int(new.sum())
+            b += ids[near[first[new]]].tolist()
+            roots[np.isin(roots, np.append(found, roots[k]))] = min(roots[k], found[0]) if len(found) else roots[k]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    far = placed.groupBy("key", "p", "q").applyInArrow(forest, "a long, b long")
+    roots = components(close.unionByName(far))
+    drop(lists)
+    found = classes.join(roots.toDF("cid", "root"), "cid", "left").select("fingerprint", "head", "root")
+    heads = classes.select(F.col("cid").alias("root"), F.col("head").alias("least"))
+    linked = found.filter("root is not null").join(heads, "root").select("fingerprint", F.col("least").alias("component"))
+    return found.filter("root is null").select("fingerprint", F.col("head").alias("component")).unionByName(linked)
