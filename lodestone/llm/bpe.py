@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 #: Unicode white space, as the tokenizer's pattern has it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Scripts in which this Python's and the library's Unicode tables agree on classes and case
-#: (`tests/llm/test_bpe.py` compares them code point by code point). The library itself takes other texts.
+#: (`tests/llm/test_operators.py` compares them code point by code point). Others are split by the library itself.
 AGREED = "\\x00-\\u0557\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf\\u3001-\\u3003\\u3008-\\u3011\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
 
 

@@ -20,21 +20,23 @@ TEXT, INSIDE, END, SPECIAL = 0, 1, 2, 3
 _space = re.compile(r"[\t-\r ]")
 
 
-def _encode(bpe: WordBpe, cache: WordCache, text: str) -> list[int]:
-    if not text:
-        return []
-    if not bpe.plain(text):
-        return bpe.library.encode(text, add_special_tokens=False).ids if len(text) < 4096 else [i for part, special in bpe.segments(text) for i in ([bpe.special[part]] if special else [i for w in bpe.symbol_words(part) for i in bpe.tree(w)])]
+def _encode(bpe: WordBpe, cache: WordCache, encoded: WordCache, text: str) -> list[int]:
     ids: list[int] = []
-    for part, special in bpe.segments(text):
+    for part, special in bpe.segments(text) if text else ():
         if special:
             ids.append(bpe.special[part])
         else:
-            for word_ids in map(cache.__getitem__, bpe.words(part)):
+            for word_ids in map(cache.__getitem__, bpe.words(part)) if bpe.plain(part) else map(encoded.__getitem__, bpe.symbol_words(part)):
                 ids += word_ids
     return ids
 
 
+def _caches(bpe: WordBpe) -> tuple[WordCache, WordCache]:
+    """The ids of words, and of words in byte symbols."""
+    encoded = WordCache(bpe.tree)
+    return WordCache(lambda word: encoded[bpe.symbols(word)]), encoded
+
+
 def pieces_of(bpe: WordBpe, text: str, size: int) -> Iterator[tuple[int, str]]:
     """Kind and text of the pieces of a long text, in order; pieces are of about `size` characters."""
     start = 0
@@ -72,11 +74,11 @@ def encode_decode(docs: DataFrame, path: str | None = None, *, long_text: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        cache = WordCache(lambda w: bpe.tree(bpe.symbols(w)))
+        caches = _caches(bpe)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                ids = [_encode(bpe, cache, t) for t in batch.column(1).to_pylist()]
+                ids = [_encode(bpe, *caches, t) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, ids_type), pa.array([decode(x, bpe) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +91,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, *, long_text: int =
 
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        cache = WordCache(lambda w: bpe.tree(bpe.symbols(w)))
+        caches = _caches(bpe)
         for batch in batches:
-            ids = [_encode(bpe, cache, t) if kind == TEXT else [bpe.special[t]] if kind == SPECIAL else bpe.piece(t, kind == END) for kind, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            ids = [_encode(bpe, *caches, t) if kind == TEXT else [bpe.special[t]] if kind == SPECIAL else bpe.piece(t, kind == END) for kind, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ids, ids_type)], ["doc_id", "row", "no", "kind", "ids"])
 
     def join(table: pa.Table) -> pa.Table:

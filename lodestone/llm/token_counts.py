@@ -1,77 +1,60 @@
 """Token counts by a two-tier lookup on the map side.
 
-Tier one is a broadcast table: the token counts of the pre-tokens that are most frequent in the corpus.
-Tier two is a cache in each Python worker, filled by encoding what the table misses. Pre-tokens are never
-shuffled; only each task's own most frequent ones are, to build the table.
+Tier one is a broadcast table: the token counts of the pre-tokens that were frequent where the tokenizer was
+made, its vocabulary's whole words. Tier two is a cache in each Python worker, filled by encoding what the table
+misses. Texts are read once, and no pre-token is shuffled.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WordCache, default_path, loaded
+from .bpe import WordBpe, WordCache, default_path, loaded
 
-#: Longest pre-token in the table, in characters: with `entries`, the bound on the broadcast's size.
-LONGEST = 48
+#: Longest pre-token in the table, in bytes, and most pre-tokens: together the bound on the broadcast's size.
+LONGEST, ENTRIES = 48, 65_536
 
 
-def frequent_pre_tokens(docs: DataFrame, path: str, entries: int, per_task: int) -> DataFrame:
-    """The most frequent pre-tokens over all texts: ``word``, ``n``.
-
-    Each task counts what it reads and passes on its `per_task` most frequent pre-tokens, so a count may be
-    too low; it only orders the table, and no token count depends on it.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = loaded(path), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and bpe.plain(text):
-                    for part, special in bpe.segments(text):
-                        if not special:
-                            seen.update(bpe.words(part))
-                if len(seen) > 300_000:
-                    seen = Counter(dict(seen.most_common(30_000)))
-        top = [(w, n) for w, n in seen.most_common(per_task) if len(w) <= LONGEST]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-    words = docs.select("text").mapInArrow(count, "word string, n long")
-    return words.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries)
+def frequent_pre_tokens(bpe: WordBpe, entries: int = ENTRIES) -> dict[str, int]:
+    """Token counts of the vocabulary's first `entries` whole words, in byte symbols."""
+    words = (t.removesuffix(bpe.suffix) for _, t in sorted(bpe.token.items()) if bpe.suffix and t.endswith(bpe.suffix))
+    short = [w for w in words if w and len(w) <= LONGEST][:entries]
+    return {w: len(bpe.piece(w, True)) for w in short}
 
 
-def count_tokens(docs: DataFrame, path: str | None = None, *, entries: int = 16_384, per_task: int = 1_024) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, *, entries: int = ENTRIES) -> DataFrame:
     """All columns of `docs` that are not named so already, with ``n_bytes`` (UTF-8) and ``n_tokens`` of ``text``.
 
     `path` is the tokenizer's file. A null text counts as empty, with no bytes and no tokens. Rows are
     independent of each other: repeated rows and tied ids each get their own counts, an empty table gives an
     empty one, and a column named like a result is replaced. The broadcast holds at most `entries` pre-tokens
-    of at most `LONGEST` characters, whatever the size of the corpus.
+    of at most `LONGEST` bytes, whatever the size of the corpus; a cache is emptied when it is full. A very long
+    text is counted by one task, word by word.
     """
     path = path or default_path()
-    bpe = loaded(path)
-    table = {r.word: len(bpe.piece(bpe.symbols(r.word), True)) for r in frequent_pre_tokens(docs, path, entries, per_task).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_pre_tokens(loaded(path), entries))
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "text")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        cache = WordCache(lambda w: len(bpe.tree(bpe.symbols(w))))
-        known = shared.value
+        bpe, known = loaded(path), shared.value
+        encoded = WordCache(lambda symbols: len(bpe.tree(symbols)))
+        # the table answers first; what it misses goes to the worker's own cache
+        cache = WordCache(lambda word: known.get(symbols := bpe.symbols(word)) or encoded[symbols])
         for batch in batches:
             out = []
             for text in batch.column(batch.schema.names.index("text")).to_pylist():
                 n = 0
-                if text and bpe.plain(text):
-                    for part, special in bpe.segments(text):
-                        # the table answers first; what it misses goes to the worker's own cache
-                        n += 1 if special else sum(known.get(w) or cache[w] for w in bpe.words(part))
-                elif text:
-                    n = len(bpe.library.encode(text, add_special_tokens=False).ids)
+                for part, special in bpe.segments(text) if text else ():
+                    if special:
+                        n += 1
+                    elif bpe.plain(part):
+                        n += sum(map(cache.__getitem__, bpe.words(part)))
+                    else:
+                        n += sum(known.get(w) or encoded[w] for w in bpe.symbol_words(part))
                 out.append(n)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in (*kept, "n_bytes")), pa.array(out, pa.int64())], [*kept, "n_bytes", "n_tokens"])
 
