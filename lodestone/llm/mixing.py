@@ -15,13 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..frames import cut_lineage
+from ..frames import cut_lineage, numbered, running
 
 #: Most times that a document is taken.
 EPOCHS = 3
 CELLS = 64
-#: Most sources whose targets are sent to every task.
-SENT_SOURCES = 10_000
 
 
 def running_sum(rows: DataFrame, keys: list[str], cell: Column, order: list[Column], value: str, name: str) -> DataFrame:
@@ -49,19 +47,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
     the source's size; what it leaves is shared again by weight. That level is found in closed form: with the
     sources ordered by size over weight, the first whose limit is above the level that the rest would have.
     """
-    every = W.partitionBy()  # a row for each source
-    numbered = sizes.withColumn("source_no", F.row_number().over(every.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ordered = numbered(sizes, F.col("source").asc_nulls_last(), "source_no")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("source_no") % len(weights) + 1).cast("int"))
-    by_limit = every.orderBy(F.col("most") / F.col("weight"), "source_no").rowsBetween(W.unboundedPreceding, -1)
-    shared = (
-        numbered.withColumn("weight", weight.cast("double"))
-        .withColumn("most", EPOCHS * F.col("source_size"))
-        .withColumn("full", F.coalesce(F.sum("most").over(by_limit), F.lit(0)))
-        .withColumn("used", F.coalesce(F.sum("weight").over(by_limit), F.lit(0.0)))
-        .withColumn("level", (F.sum("source_size").over(every) - F.col("full")) / (F.sum("weight").over(every) - F.col("used")))
-    )
-    open_level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), F.col("source_no"), F.col("level").alias("level")))).over(every)
-    return shared.withColumn("target", F.least(F.col("most").cast("double"), open_level["level"] * F.col("weight"))).select("source_no", "source", "source_size", "target", F.sum("source_size").over(every).alias("budget"))
+    weighed = ordered.withColumn("weight", weight.cast("double")).withColumn("most", EPOCHS * F.col("source_size"))
+    budget, heft = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    limit = F.col("most") / F.col("weight")
+    filled = running(weighed, [], [limit, F.col("source_no")], {"full": F.col("most"), "used": F.col("weight")})
+    # what is left to a source and those after it, whose limits are higher
+    level = (F.lit(budget) - F.col("full") + F.col("most")) / (F.lit(heft) - F.col("used") + F.col("weight"))
+    filled = cut_lineage(filled.withColumn("level", level))
+    first = filled.filter(F.col("level") * F.col("weight") <= F.col("most")).agg(F.min(F.struct(limit, F.col("source_no"), F.col("level").alias("level")))["level"]).first()[0]
+    shared = F.lit(first).cast("double") * F.col("weight")
+    return filled.select("source_no", "source", "source_size", F.least(F.col("most").cast("double"), shared).alias("target"), F.lit(budget).cast("long").alias("budget"))
 
 
 def place_of() -> Column:
@@ -81,9 +78,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), place_of().alias("place"))
     rows = cut_lineage(rows)
     sizes = cut_lineage(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
-    # few sources are sent to every task; beyond that the join splits the rows of a hot source
-    side = F.broadcast(sizes) if sizes.count() <= SENT_SOURCES else sizes
-    rows = rows.join(side, rows["source"].eqNullSafe(side["source"])).drop("source")
+    # Spark sends a small table of sources to every task, and else splits the rows of a hot source
+    rows = rows.join(sizes, rows["source"].eqNullSafe(sizes["source"])).drop("source")
     twelve_bits = F.conv(F.substring("place", 1, 3), 16, 10).cast("int")
     queued = cut_lineage(running_sum(rows, ["source_no"], twelve_bits, [F.col("place"), F.col("doc_id")], "size", "words"))
 
@@ -116,8 +112,12 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
 
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as `mix` takes it. Rows with the same id and text share their copies."""
-    shares = mixed.filter("times > 0").groupBy("place").agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
-    found = docs.withColumn("place", place_of()).join(shares, "place").withColumn("_no", F.row_number().over(W.partitionBy("place").orderBy("place")))
-    copies = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_no") <= F.col("_times") % F.col("_rows")).cast("int")
-    return found.filter(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    """The rows of `docs`, each as often as `mix` takes it; columns may have any names.
+
+    Rows with the same id and text share their copies. Rows without words are left out, no rows give none.
+    """
+    shares = mixed.filter("times > 0").groupBy("place").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
+    found = docs.select(F.struct(*docs.columns).alias("row"), place_of().alias("place")).join(shares, "place")
+    found = found.withColumn("no", F.row_number().over(W.partitionBy("place").orderBy("place")))
+    copies = F.floor(F.col("times") / F.col("rows")) + (F.col("no") <= F.col("times") % F.col("rows")).cast("int")
+    return found.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select("row.*")
