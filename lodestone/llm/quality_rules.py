@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: (least bytes, lowest ratio, highest ratio): from each length on, the ratios that a text may have.
-BANDS = ((0, 0.0, 9.9), (200, 0.25, 1.00), (500, 0.22, 0.80), (1_000, 0.20, 0.74), (4_000, 0.18, 0.70), (16_000, 0.15, 0.70))
+#: (least bytes, lowest ratio, highest ratio): from each length on, the ratios that a text may have. Clean texts of
+#: 10,000 documents have ratios from 0.54, 0.46, 0.42, 0.38 and 0.34 on; the limits are about two thirds of these.
+BANDS = ((0, 0.0, 9.9), (200, 0.34, 1.00), (500, 0.30, 0.80), (1_000, 0.27, 0.74), (4_000, 0.25, 0.70), (16_000, 0.22, 0.70))
 #: Bytes of a chunk, its lowest and highest ratio, and the share of a text's chunks that may be beyond.
-CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4_096, 0.12, 0.74, 0.25
+CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4_096, 0.22, 0.74, 0.25
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, LEVEL = 50, 50, 3
 
