@@ -46,57 +46,72 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each step of a period and symbol whether the walk moves, and its sign; the end of a part has neither."""
     bits = _mixed(np.arange(PERIOD * SYMBOLS)).reshape(PERIOD, SYMBOLS)
-    return (bits & np.uint64(1)).astype(np.uint8), ((bits >> np.uint64(1)) & np.uint64(1)).astype(np.int8) * np.int8(2) - np.int8(1)
+    moves, signs = np.zeros((2, PERIOD, SYMBOLS + 1), np.int8)
+    moves[:, :SYMBOLS], signs[:, :SYMBOLS] = bits & np.uint64(1), ((bits >> np.uint64(1)) & np.uint64(1)).astype(np.int8) * np.int8(2) - np.int8(1)
+    return moves, signs
 
 
 _shared: list[tuple[np.ndarray, np.ndarray]] = []
+_odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
-def _cuts(codes: np.ndarray, first: bool) -> tuple[list[int], np.ndarray]:
-    """Starts of the parts of a text, or of what follows a cut, and the hash before each place of it."""
-    mixed = np.zeros(len(codes) + 1, np.uint64)
-    for k in range(SEEN):
-        mixed[SEEN:] = (mixed[SEEN:] + codes[k : len(codes) - SEEN + 1 + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) if len(codes) >= SEEN else 0
-    mixed[SEEN:] = _mixed(mixed[SEEN:])
-    starts = [0 if first else SEEN]
-    for at in [*(np.flatnonzero(mixed[SEEN + 1 :] % np.uint64(CUT) == 0) + SEEN + 1).tolist(), len(codes)]:
+def _before(flat: np.ndarray) -> np.ndarray:
+    """A hash of the `SEEN` characters before each place; 0 at the first ones."""
+    h = flat * _odd[0]
+    h ^= h >> np.uint64(29)
+    for width, factor in zip((1, 2, 4), _odd[1:], strict=True):
+        h = h[:-width] * factor + h[width:]
+    h ^= h >> np.uint64(32)
+    return np.concatenate([np.zeros(SEEN, np.uint64), h])
+
+
+def _cuts(places: list[int], begin: int, end: int) -> list[int]:
+    """Starts of the parts from `begin` to `end`, which `places` may cut."""
+    starts = [begin]
+    for at in [*places, end]:
         while at - starts[-1] > MOST:
             starts.append(starts[-1] + MOST)
-        if at < len(codes) and at - starts[-1] >= LEAST:
+        if at < end and at - starts[-1] >= LEAST:
             starts.append(at)
-    return starts, mixed
-
-
-def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Characters of about `AT_ONCE` at a time, the bounds of the parts among them, the texts they are of, and the hashes before them."""
-    held, bounds, total = [], [], 0
-
-    def ready():
-        starts, ends, owners, hashes = zip(*bounds, strict=True)
-        return np.concatenate(held), np.array(starts), np.array(ends), np.array(owners), np.array(hashes, np.uint64)
-
+    return starts
+
+
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
+    """Characters of about `AT_ONCE` at a time, and the parts among them: start, end, text, and the hash before it."""
+
+    def cut(held: list[tuple[int, str, int, bool]]) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        flat = np.frombuffer("".join(t for _, t, _, _ in held).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        hashes = _before(flat)
+        places = np.flatnonzero((hashes >> np.uint64(20)) % np.uint64(CUT) == 0)
+        parts, base = [], 0
+        for owner, text, before, goes_on in held:
+            begin, end = base + before, base + len(text)
+            low, high = np.searchsorted(places, [begin + LEAST, end])
+            starts = _cuts(places[low:high].tolist(), begin, end)
+            ends = [*starts[1:], end][: len(starts) - goes_on]  # a last part that goes on comes again with what follows
+            parts += [(s, e, owner, int(hashes[s]) if before or s > begin else 0) for s, e in zip(starts, ends, strict=False)]
+            base = end
+        return flat, parts
+
+    held, total = [], 0
     for owner, text in enumerate(texts):
         if not text:
             continue
         text = text * (-(-SHORTEST // len(text)))
-        at, first = 0, True
-        while at < len(text):
-            before = 0 if first else SEEN
-            codes = np.frombuffer(text[at - before : at + AT_ONCE].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            starts, hashes = _cuts(codes, first)
-            ends = [*starts[1:], len(codes)]
-            if at - before + len(codes) < len(text):  # the last part goes on: it comes again with what follows
-                starts, ends = starts[:-1], ends[:-1]
-            bounds += [(s + total, e + total, owner, 0 if first and not s else int(hashes[s])) for s, e in zip(starts, ends, strict=True)]
-            held.append(codes)
-            total += len(codes)
-            at, first = at - before + ends[-1], False
-            if total >= AT_ONCE:
-                yield ready()
-                held, bounds, total = [], [], 0
-    if bounds:
-        yield ready()
+        at, before = 0, 0
+        while len(text) - at + before > AT_ONCE:
+            flat, parts = cut([(owner, text[at - before : at - before + AT_ONCE], before, True)])
+            yield flat, parts
+            at, before = at - before + parts[-1][1], SEEN
+        held.append((owner, text[at - before :], before, False))
+        total += len(held[-1][1])
+        if total >= AT_ONCE:
+            yield cut(held)
+            held, total = [], 0
+    if held:
+        yield cut(held)
 
 
 def _walked(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -105,16 +120,15 @@ def _walked(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
         _shared.append(_tables())
     moves, signs = _shared[0]
     symbols = flat * np.uint64(0x9E3779B1)
+    alone = symbols[ends - 1]  # the last character of a part is read without a successor
     symbols[:-1] += flat[1:] * np.uint64(0x85EBCA6B)
-    symbols = ((symbols >> np.uint64(7)) % np.uint64(SYMBOLS)).astype(np.int16)
+    symbols[ends - 1] = alone
+    symbols = np.insert(((symbols >> np.uint64(7)) % np.uint64(SYMBOLS)).astype(np.int16), ends, SYMBOLS)
     lengths = ends - starts
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    lasts = starts + lengths - 1
-    symbols = np.append(symbols, np.int16(0))
-    # the last character of a part is read without a successor, as the next part may be another text's
-    symbols[lasts] = ((flat[lasts] * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(SYMBOLS)).astype(np.int16)
-    place, ends = starts.copy(), lasts + 1
+    place = (starts + np.arange(len(starts)))[order]
+    lengths = lengths[order]
+    ends = place + lengths
     steps = 2 * lengths + 2 * np.sqrt(lengths).astype(np.int64)
     last = int(steps[0])
     active = np.searchsorted(-steps, -np.arange(last), side="left").tolist()
@@ -124,15 +138,13 @@ def _walked(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     for j in range(last):
         k = active[j]
         at = place[:k]
-        inside = at < ends[:k]
         read = symbols.take(at)
         row = j % PERIOD
-        step = signs[row].take(read) * inside
         if flip[j]:
-            sums[bucket[j], :k] += step
+            sums[bucket[j], :k] += signs[row].take(read)
         else:
-            sums[bucket[j], :k] -= step
-        at += moves[row].take(read) & inside
+            sums[bucket[j], :k] -= signs[row].take(read)
+        at += moves[row].take(read)
     inside = np.flatnonzero(place < ends)  # these walk on, each from its own last step
     while len(inside):
         step = steps[inside]
@@ -155,7 +167,9 @@ def walk_sums(texts: list[str]) -> np.ndarray:
     alike by chance don't add up.
     """
     sums = np.zeros((len(texts), BITS), np.int64)
-    for flat, starts, ends, owners, hashes in _parts(texts):
+    for flat, parts in _parts(texts):
+        starts, ends, owners, hashes = zip(*parts, strict=True)
+        starts, ends, owners, hashes = np.array(starts), np.array(ends), np.array(owners), np.array(hashes, np.uint64)
         walked = _walked(flat, starts, ends)
         turn = (np.arange(BITS) + (hashes >> np.uint64(20))[:, None] % np.uint64(BITS)).astype(np.int64) % BITS
         walked = np.take_along_axis(walked, turn, axis=1) * np.where(hashes >> np.uint64(40) & np.uint64(1), -1, 1)[:, None]

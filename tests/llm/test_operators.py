@@ -443,7 +443,7 @@ def test_parts_of_texts_do_not_depend_on_slices(monkeypatch):
     rng = random.Random(18)
     texts = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (0, 1, 700, 90_000, 40_000)] + ["z" * 70_000, "ab" * 30_000]
     want = fingerprints.embed(texts)
-    monkeypatch.setattr(fingerprints, "AT_ONCE", 40_000)
+    monkeypatch.setattr(fingerprints, "AT_ONCE", 40_000)  # long texts are read in slices
     assert (fingerprints.embed(texts) == want).all() and all((fingerprints.embed([t]) == want[k]).all() for k, t in enumerate(texts))
     inserted = texts[3][:45_000] + "an insertion" + texts[3][45_000:]
     assert fingerprints.likeness(fingerprints.embed([inserted]), want[3:4])[0] > 0.8
