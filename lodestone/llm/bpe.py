@@ -46,20 +46,23 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.path = path
-        with open(path, encoding="utf-8") as f:
-            self._conf = json.load(f)
+        conf = self._read()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        pattern = next(p["pattern"]["Regex"] for p in self._conf["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        pattern = next(p["pattern"]["Regex"] for p in conf["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self._words = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self._other = re.compile(f"[^{AGREED}]").search
-        self.special = {t["content"]: t["id"] for t in self._conf["added_tokens"]}
+        self.special = {t["content"]: t["id"] for t in conf["added_tokens"]}
         self._special = re.compile("(" + "|".join(re.escape(s) for s in self.special) + ")") if self.special else None
         self._symbol = dict(enumerate(byte_symbols()))
-        self.suffix = self._conf["model"]["end_of_word_suffix"] or ""
+        self.suffix = conf["model"]["end_of_word_suffix"] or ""
         self._inside = None
-        self.token = {i: t for t, i in self._conf["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
+        self.token = {i: t for t, i in conf["model"]["vocab"].items()} | {i: t for t, i in self.special.items()}
+
+    def _read(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)
 
     # -- text to words ---------------------------------------------------------------------------
 
@@ -101,7 +104,7 @@ class WordBpe:
         if self._inside is None:
             from tokenizers import models
 
-            m = self._conf["model"]
+            m = self._read()["model"]
             self._inside = models.BPE(vocab=m["vocab"], merges=[tuple(x) for x in m["merges"]])
         return [t.id for t in self._inside.tokenize(symbols)]
 
@@ -141,7 +144,7 @@ class WordBpe:
 class WordCache(dict):
     """What `make` gives for a word, kept for short words until there are too many."""
 
-    def __init__(self, make: Callable[[str], object], most: int = 400_000, longest: int = 64):
+    def __init__(self, make: Callable[[str], object], most: int = 100_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest = make, most, longest
 

@@ -33,8 +33,7 @@ def _encode(bpe: WordBpe, cache: WordCache, encoded: WordCache, text: str) -> li
 
 def _caches(bpe: WordBpe) -> tuple[WordCache, WordCache]:
     """The ids of words, and of words in byte symbols."""
-    encoded = WordCache(bpe.tree)
-    return WordCache(lambda word: encoded[bpe.symbols(word)]), encoded
+    return WordCache(lambda word: bpe.tree(bpe.symbols(word))), WordCache(bpe.tree)
 
 
 def pieces_of(bpe: WordBpe, text: str, size: int) -> Iterator[tuple[int, str]]:

@@ -248,8 +248,10 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     needed = likely.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(families.select("cid"))
     texts = texts_of(docs, needed, classes)
     links = cut_lineage(verified(likely, texts, size))
-    found = components(links.unionByName(_within_families(families, links, texts, size)))
-    drop(likely, texts, links, families)
+    # written, so that a task has one Python worker at a time
+    more = cut_lineage(_within_families(families, links, texts, size))
+    found = components(links.unionByName(more))
+    drop(likely, texts, links, families, more)
 
     least = classes.select("cid", F.col("one.doc").alias("least"))
     roots = found.join(least.toDF("root", "component_id"), "root").select(F.col("node").alias("cid"), "component_id")
