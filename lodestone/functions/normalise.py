@@ -8,40 +8,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-
-def _per(key: str) -> W:
-    return W.partitionBy(key)
+from ..frames import with_totals
 
 
 def sum_to_one(cells: DataFrame, by: str, value: str = "value") -> DataFrame:
     """Each value over its `by`'s sum; left as it is where the sum is not above zero."""
-    total = F.sum(value).over(_per(by))
-    return cells.withColumn(value, F.when(total > 0, F.col(value) / total).otherwise(F.col(value)))
+    share = F.when(F.col("_sum") > 0, F.col(value) / F.col("_sum")).otherwise(F.col(value))
+    return with_totals(cells, [by], _sum=F.sum(value)).withColumn(value, share).drop("_sum")
 
 
 def unit_length(cells: DataFrame, by: str, value: str = "value", least: float = 1e-8) -> DataFrame:
     """Each value over the Euclidean length of its `by`, which counts as `least` at least."""
-    length = F.sqrt(F.sum(F.col(value) * F.col(value)).over(_per(by)))
-    return cells.withColumn(value, F.col(value) / F.greatest(length, F.lit(least)))
+    squares = with_totals(cells, [by], _sum=F.sum(F.col(value) * F.col(value)))
+    return squares.withColumn(value, F.col(value) / F.greatest(F.sqrt("_sum"), F.lit(least))).drop("_sum")
 
 
 def centre(cells: DataFrame, by: str, value: str = "value") -> DataFrame:
     """Each stored value less the mean of its `by`'s stored values; absent cells stay absent."""
-    return cells.withColumn(value, F.col(value) - F.avg(value).over(_per(by)))
+    return with_totals(cells, [by], _mean=F.avg(value)).withColumn(value, F.col(value) - F.col("_mean")).drop("_mean")
 
 
 def scale(cells: DataFrame, by: str, value: str = "value") -> DataFrame:
     """z-scores over the stored values of each `by` with the population's deviation; constant groups are centred only."""
-    spread = F.stddev_pop(value).over(_per(by))
-    centred = F.col(value) - F.avg(value).over(_per(by))
-    return cells.withColumn(value, F.when(spread > 0, centred / spread).otherwise(centred))
+    centred = F.col(value) - F.col("_mean")
+    scaled = F.when(F.col("_spread") > 0, centred / F.col("_spread")).otherwise(centred)
+    return with_totals(cells, [by], _mean=F.avg(value), _spread=F.stddev_pop(value)).withColumn(value, scaled).drop("_mean", "_spread")
 
 
 def log_softmax(cells: DataFrame, by: str, value: str = "value") -> DataFrame:
-    top = F.max(value).over(_per(by))
-    return cells.withColumn(value, F.col(value) - top - F.log(F.sum(F.exp(F.col(value) - top)).over(_per(by))))
+    topped = with_totals(cells, [by], _top=F.max(value))
+    summed = with_totals(topped, [by], _sum=F.sum(F.exp(F.col(value) - F.col("_top"))))
+    return summed.withColumn(value, F.col(value) - F.col("_top") - F.log("_sum")).drop("_top", "_sum")
 
 
 def softmax(cells: DataFrame, by: str, value: str = "value") -> DataFrame:
@@ -66,8 +64,8 @@ def tf_idf(cells: DataFrame, row: str, column: str, columns: DataFrame, value: s
 
 def poisson_ratio(cells: DataFrame, by: str, value: str, expected: str, out: str = "ratio") -> DataFrame:
     """value / (expected · λ) where expected is above zero, λ = Σ value / Σ expected in each `by`; else the value."""
-    rate = F.sum(value).over(_per(by)) / F.sum(expected).over(_per(by))
-    return cells.withColumn(out, F.when(F.col(expected) > 0, F.col(value) / (F.col(expected) * rate)).otherwise(F.col(value)))
+    ratio = F.when(F.col(expected) > 0, F.col(value) / (F.col(expected) * F.col("_seen") / F.col("_asked"))).otherwise(F.col(value))
+    return with_totals(cells, [by], _seen=F.sum(value), _asked=F.sum(expected)).withColumn(out, ratio).drop("_seen", "_asked")
 
 
 # -- values ------------------------------------------------------------------------------------------
@@ -87,10 +85,14 @@ def clean_rate(x: Column, null_rate: Column, mean: Column) -> Column:
 
 def anscombe_residual(cells: DataFrame, row: str, column: str, value: str = "value", out: str = "residual") -> DataFrame:
     """Anscombe of the values, centred in rows, then squeezed by s·tanh(r/s) with s four deviations of the column."""
-    risen = anscombe(F.col(value))
-    centred = cells.withColumn(out, risen - F.avg(risen).over(_per(row)))
-    s = TANH_SPREADS * F.stddev_pop(out).over(_per(column)) + EPSILON
-    return centred.withColumn(out, s * F.tanh(F.col(out) / s))
+    centred = centre(cells.withColumn(out, anscombe(F.col(value))), row, out)
+    s = TANH_SPREADS * F.col("_spread") + EPSILON
+    return with_totals(centred, [column], _spread=F.stddev_pop(out)).withColumn(out, s * F.tanh(F.col(out) / s)).drop("_spread")
+
+
+def anscombe_lite(x: Column, null_rate: Column, mean: Column) -> Column:
+    """`anscombe` of the `clean_rate`."""
+    return anscombe(clean_rate(x, null_rate, mean))
 
 
 def log_sigmoid(x: Column) -> Column:
@@ -134,36 +136,46 @@ def unit(v: Column, least: float = 1e-9) -> Column:
     return F.when(length > least, F.transform(v, lambda x: x / length)).otherwise(v)
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once a row; named within a function over an array it could be computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def array_log_softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    lse = top + F.log(total(F.transform(v, lambda x: F.exp(x - top))))
-    return F.transform(v, lambda x: x - lse)
+    def less(v: Column, top: Column) -> Column:
+        return _let(top + F.log(total(F.transform(v, lambda x: F.exp(x - top)))), lambda lse: F.transform(v, lambda x: x - lse))
+
+    return _let(v, lambda v: _let(F.array_max(v), lambda top: less(v, top)))
 
 
 def smooth_topics(log_theta: Column, alpha: float) -> Column:
     """log((1 − α)θ + α/K)."""
-    k = F.size(log_theta)
-    return F.transform(log_theta, lambda x: F.log((1 - alpha) * F.exp(x) + alpha / k))
+    return _let(log_theta, lambda v: F.transform(v, lambda x: F.log((1 - alpha) * F.exp(x) + alpha / F.size(v))))
 
 
 def stick_breaking(logits: Column) -> Column:
     """Log proportions of a broken stick; the last logit isn't read, one alone gives 0."""
-    n = F.size(logits)
 
-    def rest(k: Column) -> Column:
-        return total(F.transform(F.slice(logits, 1, k), lambda x: log_sigmoid(-x)))
+    def step(a: Column, x: Column) -> Column:
+        rest = a["rest"] + log_sigmoid(-x)
+        return F.struct(rest.alias("rest"), F.concat(a["out"], F.array(x + rest)).alias("out"))
 
-    return F.transform(logits, lambda x, k: F.when(k < n - 1, x + rest(k + 1)).otherwise(rest(n - 1)))
+    start = F.struct(F.lit(0.0).alias("rest"), F.array().cast("array<double>").alias("out"))
+    return _let(logits, lambda v: F.aggregate(F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), start, step, lambda a: F.concat(a["out"], F.array(a["rest"]))))
 
 
 def sparsemax(v: Column) -> Column:
     """The nearest point of the simplex: sort, find how many stay above the threshold, subtract it."""
-    ordered = F.sort_array(v, asc=False)
+
     # of the k largest: 1 + k·z_k > Σ z; the support is the last k for which that holds
-    sums = F.transform(F.sequence(F.lit(1), F.size(v)), lambda k: F.struct(k.alias("k"), total(F.slice(ordered, 1, k)).alias("s"), F.element_at(ordered, k).alias("z")))
-    last = F.element_at(F.filter(sums, lambda t: 1 + t["k"] * t["z"] > t["s"]), -1)
-    threshold = (last["s"] - 1) / last["k"]
-    return F.transform(v, lambda x: F.greatest(x - threshold, F.lit(0.0)))
+    def step(a: Column, z: Column) -> Column:
+        k, s = a["k"] + 1, a["s"] + z
+        above = 1 + k * z > s
+        return F.struct(k.alias("k"), s.alias("s"), F.when(above, (s - 1) / k).otherwise(a["t"]).alias("t"))
+
+    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("s"), F.lit(0.0).alias("t"))
+    threshold = lambda v: F.aggregate(F.sort_array(v, asc=False), start, step, lambda a: a["t"])
+    return _let(v, lambda v: _let(threshold(v), lambda t: F.transform(v, lambda x: F.greatest(x - t, F.lit(0.0)))))
 
 
 def positional_embedding(x: Column, width: int) -> Column:

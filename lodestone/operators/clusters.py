@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..frames import numbered
 from ..functions.normalise import doubles
 
 ROWS = ("id", "v")
@@ -99,8 +100,8 @@ def assign(points: DataFrame, centroids: np.ndarray, ident: str = "id", vector:
 def compact_labels(labels: DataFrame, ident: str = "id", label: str = "label") -> DataFrame:
     """Labels numbered from 0 by their first appearance in the order of `ident`."""
     firsts = labels.groupBy(label).agg(F.min(ident).alias("_first"))
-    numbered = firsts.withColumn("compact", (F.row_number().over(W.orderBy("_first")) - 1).cast("int"))  # a row a label
-    return labels.join(numbered.drop("_first"), label)
+    places = numbered(firsts, F.col("_first"), "compact")
+    return labels.join(places.select(label, F.col("compact").cast("int").alias("compact")), label)
 
 
 def merge_labels(fine: DataFrame, coarse: DataFrame) -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..frames import running
+from .stats import medians
+
 PRIMARY, SECONDARY = 1, 2
 
 
@@ -62,7 +65,7 @@ def union(primary: DataFrame, secondary: DataFrame, by_rank: bool = False) -> Da
 
 def kernel_weights(edges: DataFrame) -> DataFrame:
     """``weight`` = exp(−distance / median distance)."""
-    middle = edges.agg(F.expr("percentile(distance, 0.5)").alias("_median"))
+    middle = medians(edges, [], "distance").toDF("_median")
     return edges.join(F.broadcast(middle)).withColumn("weight", F.exp(-F.col("distance") / F.when(F.col("_median") > 0, F.col("_median")).otherwise(1.0))).drop("_median")
 
 
@@ -185,3 +188,21 @@ def quality(edges: DataFrame, labels: DataFrame, nodes: DataFrame, resolution: f
     sizes = nodes.join(labels, "node").groupBy("label").agg(F.sum("weight").alias("s")).agg(F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("q"))
     value = F.when(F.col("w") > 0, (2 * F.col("i") - F.lit(resolution) * F.col("q")) / (2 * F.col("w"))).otherwise(0.0)
     return total.join(F.broadcast(inner)).join(F.broadcast(sizes)).select(value.alias("cpm"))  # one row each
+
+
+def filter_edges(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """The edges that `keep` (``src``, ``dst``) has."""
+    return edges.join(keep.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+
+
+def subnetworks(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``label``, ``src``, ``dst`` and the edge's other columns: the edges within each label, nodes numbered from 0 by their id."""
+    placed = running(labels.select("node", "label"), ["label"], [F.col("node")], {"no": F.lit(1)}).withColumn("no", F.col("no") - 1)
+    a, b = placed.toDF("src", "label", "_a"), placed.toDF("dst", "_label", "_b")
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.join(a, "src").join(b, "dst").filter("label = _label").select("label", F.col("_a").alias("src"), F.col("_b").alias("dst"), *rest)
+
+
+def cpm_resolution(edges: DataFrame, modularity: float, weight: str = "weight") -> DataFrame:
+    """``resolution``: the one of the constant Potts model that stands for one of modularity, γ / max(2W, 1); one row."""
+    return edges.agg((F.lit(modularity) / F.greatest(2 * F.coalesce(F.sum(weight), F.lit(0.0)), F.lit(1.0))).alias("resolution"))

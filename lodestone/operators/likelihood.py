@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import with_totals
 from ..functions.special import approx_lgamma
 
 
@@ -55,10 +56,17 @@ def dirichlet_multinomial(cells: DataFrame, keys: list[str], x: str, concentrati
 
 def multinomial_profiled(cells: DataFrame, keys: list[str], x: str, score: str) -> DataFrame:
     """``nll`` N·logsumexp(s) − Σ x s."""
-    top = F.max(score)
-    got = cells.groupBy(*keys).agg(F.sum(x).alias("_n"), top.alias("_top"), F.sum(F.col(x) * F.col(score)).alias("_xs"), F.collect_list(score).alias("_s"))
-    lse = F.col("_top") + F.log(F.aggregate("_s", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("_top"))))
-    return got.select(*keys, (F.col("_n") * lse - F.col("_xs")).alias("nll"))
+    topped = with_totals(cells, keys, _top=F.max(score))
+    got = topped.groupBy(*keys).agg(F.sum(x).alias("_n"), F.max("_top").alias("_top"), F.sum(F.col(x) * F.col(score)).alias("_xs"), F.sum(F.exp(F.col(score) - F.col("_top"))).alias("_s"))
+    return got.select(*keys, (F.col("_n") * (F.col("_top") + F.log("_s")) - F.col("_xs")).alias("nll"))
+
+
+def joint(*parts: DataFrame, keys: list[str]) -> DataFrame:
+    """``llik`` over several modalities: the sum of their ``llik`` for each of `keys`."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*keys).agg(F.sum("llik").alias("llik"))
 
 
 def pair_hinge(pairs: DataFrame, distance: str, weight: str, margin: float) -> DataFrame:

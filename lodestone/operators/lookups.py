@@ -57,6 +57,11 @@ def members(groups: DataFrame, most: int | None = None, seed: int = 42) -> DataF
     return groups.withColumn("_r", rank).filter(F.col("_r") <= most).select("group", "id")
 
 
+def unique_groups(groups: DataFrame) -> DataFrame:
+    """``group``: each one once."""
+    return groups.select("group").distinct()
+
+
 # -- matrices ----------------------------------------------------------------------------------------
 
 
@@ -109,3 +114,41 @@ def packed(cells: DataFrame, k: int) -> DataFrame:
     lists = top_k(cells, k).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("t"))
     zeros = F.array_repeat(F.lit(0), k)
     return lists.select("row", F.slice(F.concat(F.transform("t", lambda x: x["col"].cast("int")), zeros), 1, k).alias("indices"), F.slice(F.concat(F.transform("t", lambda x: x["value"].cast("double")), zeros.cast("array<double>")), 1, k).alias("values"))
+
+
+def subset_rows(matrix: DataFrame, rows: list) -> DataFrame:
+    """``place``, ``row``, ``features``: the rows that the list names, in its order and as often."""
+    asked = matrix.sparkSession.createDataFrame(list(enumerate(rows)), f"place long, row {matrix.schema['row'].dataType.simpleString()}")
+    return matrix.join(F.broadcast(asked), "row").select("place", "row", "features")  # as long as the list
+
+
+def gather_rows(matrix: DataFrame, ids: DataFrame) -> DataFrame:
+    """`ids` (with ``row``) and the ``features`` of their rows."""
+    return ids.join(matrix.select("row", "features"), "row")
+
+
+def subset_columns(matrix: DataFrame, columns: list[int]) -> DataFrame:
+    """``row``, ``features``: the places of the list, from 0, in its order."""
+    return matrix.select("row", F.array(*(F.get("features", F.lit(c)) for c in columns)).alias("features"))
+
+
+def assign_columns(target: DataFrame, source: DataFrame, columns: list[int]) -> DataFrame:
+    """`target` with the features of `source` (same ``row``) at the places of the list; rows that `source` lacks stay."""
+    new = source.select("row", F.map_from_arrays(F.array(*map(F.lit, columns)), "features").alias("_new"))
+    put = F.transform("features", lambda x, k: F.coalesce(F.try_element_at("_new", k), x))
+    return target.join(new, "row", "left").select("row", put.alias("features"))
+
+
+def bind_columns(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``row``, ``features``: matrices side by side; both must have the same rows."""
+    both = left.join(right.select("row", F.col("features").alias("_more"), F.lit(True).alias("_there")), "row", "full")
+    same = F.col("features").isNotNull() & F.col("_there").isNotNull()
+    return both.select("row", F.when(same, F.concat("features", "_more")).otherwise(F.raise_error(F.lit("rows differ"))).alias("features"))
+
+
+def bind_rows(*blocks: DataFrame) -> DataFrame:
+    """Matrices on top of each other."""
+    out = blocks[0].select("row", "features")
+    for block in blocks[1:]:
+        out = out.unionByName(block.select("row", "features"))
+    return out

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..frames import running
+
 
 def uniform(seed: int, *keys: str | Column) -> Column:
     """A number in (0, 1)."""
@@ -61,5 +63,5 @@ def block_rows(features: int) -> int:
 
 def budget_blocks(sizes: DataFrame, budget: int) -> DataFrame:
     """``id``, ``block`` for ``id``, ``bytes``: blocks in the order of ids that each begin a new multiple of `budget` bytes."""
-    before = F.coalesce(F.sum("bytes").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sizes.withColumn("block", F.floor(before / budget)).select("id", "block")
+    placed = running(sizes, [], [F.col("id")], {"_to": F.col("bytes")})
+    return placed.select("id", F.floor((F.col("_to") - F.col("bytes")) / budget).alias("block"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..frames import running, with_totals
+
 
 def running_stats(cells: DataFrame, keys: list[str], size: int | Column | None = None, value: str = "value") -> DataFrame:
     """``nnz`` (values above zero), ``tot``, ``mu``, ``sig`` (population) for each of `keys`.
@@ -25,46 +27,62 @@ def running_stats(cells: DataFrame, keys: list[str], size: int | Column | None =
     return got.withColumn("sig", F.when(n > 0, F.sqrt(F.greatest(F.col("_s2") / n - F.col("mu") * F.col("mu"), F.lit(0.0)))).otherwise(0.0)).drop("_s2", "_n")
 
 
+def _at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """A column for each of `places`, numbers from 0 in a group's ordered values by ``_n``, with what stands there; and ``_n``."""
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    placed = with_totals(running(rows, keys, [F.col("_x")], {"_r": F.lit(1)}), keys, _n=F.count("*"))
+    hit = F.lit(False)
+    for at in places.values():
+        hit = hit | (F.col("_r") == at + 1)
+    # a few rows a group are left
+    return placed.filter(hit).groupBy(*keys).agg(F.first("_n").alias("_n"), *(F.max(F.when(F.col("_r") == at + 1, F.col("_x"))).alias(c) for c, at in places.items()))
+
+
 def floor_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
     """The value at place ⌊q(n − 1)⌋ of each group, for each of `probs` (column ``q``), without interpolation."""
-    w = W.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    picked = ranked.withColumn("q", F.explode(F.array(*map(F.lit, probs)))).filter(F.col("_r") == F.floor(F.col("q") * (F.col("_n") - 1)) + 1)
-    return picked.select(*keys, "q", F.col(value).alias("quantile"))
+    got = _at_places(df, keys, value, {f"_q{k}": F.floor(q * (F.col("_n") - 1)) for k, q in enumerate(probs)})
+    every = F.array(*(F.struct(F.lit(q).alias("q"), F.col(f"_q{k}").alias("quantile")) for k, q in enumerate(probs)))
+    return got.select(*keys, F.inline(every))
+
+
+def interpolated_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """A column for each of `probs`: the value at place q(n − 1), between its two neighbours in proportion."""
+    places = {}
+    for c, q in probs.items():
+        places |= {f"_low_{c}": F.floor(q * (F.col("_n") - 1)), f"_high_{c}": F.ceil(q * (F.col("_n") - 1))}
+    got = _at_places(df, keys, value, places)
+    part = lambda q: q * (F.col("_n") - 1) - F.floor(q * (F.col("_n") - 1))
+    return got.select(*keys, *((F.col(f"_low_{c}") + part(q) * (F.col(f"_high_{c}") - F.col(f"_low_{c}"))).alias(c) for c, q in probs.items()))
 
 
 def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The mean of the middle two."""
-    return df.groupBy(*keys).agg(F.expr(f"percentile(`{value}`, 0.5)").alias("median"))
+    return interpolated_quantiles(df, keys, value, {"median": 0.5})
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", ident: str = "id") -> DataFrame:
-    """``q`` for each row: the least of m·p/rank over the p-values from its own up, at most 1.
+    """`tests` with ``q``: the least of m·p/rank over the p-values from its own up, at most 1.
 
-    The rank over all rows is taken in ranges of p, so that no task sorts everything.
+    Rows without a p-value, or with one that isn't a number, have no ``q`` and don't count in m. Equal p-values
+    have one ``q``: ranks are sums over the distinct p-values, in ranges, so that no task sorts everything.
     """
-    return _from_the_largest(tests, p, ident)
-
-
-def _from_the_largest(tests: DataFrame, p: str, ident: str, ranges: int = 1024) -> DataFrame:
-    cell = F.least(F.floor(F.col(p) * ranges), F.lit(ranges - 1)).cast("int")
-    rows = tests.withColumn("_cell", cell)
-    per_cell = rows.groupBy("_cell").agg(F.count("*").alias("_c"))
-    w = W.orderBy("_cell")  # a row for each range
-    before = per_cell.select("_cell", F.coalesce(F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_m"))
-    ranked = rows.join(F.broadcast(before), "_cell").withColumn("_rank", F.row_number().over(W.partitionBy("_cell").orderBy(p, ident)) + F.col("_before"))
-    ranked = ranked.withColumn("_v", F.col(p) * F.col("_m") / F.col("_rank"))
-    least = ranked.groupBy("_cell").agg(F.min("_v").alias("_least"))
-    after = least.select("_cell", F.min("_least").over(w.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
-    own = F.min("_v").over(W.partitionBy("_cell").orderBy("_rank").rowsBetween(0, W.unboundedFollowing))
-    q = F.least(F.lit(1.0), own, F.coalesce("_after", F.lit(1.0)))
-    return ranked.join(F.broadcast(after), "_cell").withColumn("q", F.greatest(q, F.lit(0.0))).drop("_cell", "_before", "_m", "_rank", "_v", "_after")
+    known = tests.filter(F.col(p).isNotNull() & ~F.isnan(p))
+    levels = known.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    ranked = with_totals(running(levels, [], [F.col("_p")], {"_rank": F.col("_c")}), [], _m=F.sum("_c"))
+    least = running(ranked, [], [F.col("_p").desc()], {"_q": F.col("_p") * F.col("_m") / F.col("_rank")}, least=True)
+    least = least.select("_p", F.greatest(F.least(F.col("_q"), F.lit(1.0)), F.lit(0.0)).alias("q"))
+    return tests.join(least, F.col(p) == F.col("_p"), "left").drop("_p")
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Ranks from 1; ties share the mean of their ranks."""
-    tied = F.count("*").over(W.partitionBy(*keys, value))
-    return df.withColumn(out, F.rank().over(W.partitionBy(*keys).orderBy(value)) + (tied - 1) / 2)
+    """Ranks from 1; ties share the mean of their ranks. Ranks are sums over a group's distinct values, in ranges."""
+    levels = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ranked = running(levels, keys, [F.col(value)], {"_to": F.col("_c")})
+    named = ranked.select(*(F.col(c).alias(f"_k_{c}") for c in (*keys, value)), (F.col("_to") - (F.col("_c") - 1) / 2).alias(out))
+    same = F.lit(True)
+    for c in (*keys, value):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return df.join(named, same).drop(*(f"_k_{c}" for c in (*keys, value)))
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -80,8 +98,14 @@ def pearson_log1p(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 def rate_to_counts(df: DataFrame, keys: list[str], observed: str, rate: str, out: str = "predicted") -> DataFrame:
     """Rates scaled to the group's observed total."""
-    w = W.partitionBy(*keys)
-    return df.withColumn(out, F.col(rate) * F.sum(observed).over(w) / F.sum(rate).over(w))
+    scaled = F.col(rate) * F.col("_seen") / F.col("_rates")
+    return with_totals(df, keys, _seen=F.sum(observed), _rates=F.sum(rate)).withColumn(out, scaled).drop("_seen", "_rates")
+
+
+def log_rate_to_counts(df: DataFrame, keys: list[str], observed: str, log_rate: str, out: str = "predicted") -> DataFrame:
+    """`rate_to_counts` of exp(log rate), less the group's largest so that nothing overflows."""
+    shifted = with_totals(df, keys, _top=F.max(log_rate)).withColumn("_rate", F.exp(F.col(log_rate) - F.col("_top")))
+    return rate_to_counts(shifted, keys, observed, "_rate", out).drop("_top", "_rate")
 
 
 def bootstrap_mean(df: DataFrame, keys: list[str], ident: str, value: str, draws: int = 200, seed: int = 1, alpha: float = 0.05) -> DataFrame:
@@ -117,23 +141,36 @@ def sign_flip_p(df: DataFrame, keys: list[str], ident: str, value: str, draws: i
 
 def chain_summary(draws: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """``mean``, ``variance`` (n − 1) and the interpolated quantiles 5 %, 50 %, 95 % of each chain."""
-    q = F.expr(f"percentile(`{value}`, array(0.05, 0.5, 0.95))")
-    got = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), q.alias("_q"))
-    return got.select(*keys, "mean", "variance", *(F.element_at("_q", k + 1).alias(n) for k, n in enumerate(("q05", "q50", "q95"))))
+    moments = draws.groupBy(*keys).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"))
+    return moments.join(interpolated_quantiles(draws, keys, value, {"q05": 0.05, "q50": 0.5, "q95": 0.95}), keys)
+
+
+def _rhat(segments: DataFrame, keys: list[str], length: Column) -> DataFrame:
+    """``_inside`` from the segments' ``_m`` and ``_v``: the root of the pooled variance over the mean variance within."""
+    both = segments.groupBy(*keys).agg(F.avg("_v").alias("_w"), F.var_samp("_m").alias("_b"))
+    inside = F.sqrt(((length - 1) / length * F.col("_w") + F.col("_b")) / F.col("_w"))
+    return both.withColumn("_inside", F.when(F.col("_w") == 0, F.when(F.col("_b") == 0, 1.0).otherwise(float("inf"))).otherwise(inside))
 
 
 def split_rhat(draws: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
     """R̂ of each chain over four equal segments (two below 40 draws, 1 below 8); the rest of the draws is left out."""
-    w = W.partitionBy(*keys)
-    placed = draws.select(*keys, value, (F.row_number().over(w.orderBy(*order)) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
+    placed = running(draws.select(*keys, *order, value), keys, [F.col(c) for c in order], {"_k": F.lit(1)})
+    placed = with_totals(placed, keys, _n=F.count("*")).withColumn("_k", F.col("_k") - 1)
     parts = F.when(F.col("_n") >= 40, 4).when(F.col("_n") >= 8, 2).otherwise(1)
     length = F.floor(F.col("_n") / parts)
     placed = placed.withColumn("_len", length).withColumn("_parts", parts).withColumn("_seg", F.floor(F.col("_k") / length)).filter("_seg < _parts")
-    seg = placed.groupBy(*keys, "_seg", "_len", "_parts").agg(F.avg(value).alias("_m"), F.var_samp(value).alias("_v"))
-    both = seg.groupBy(*keys, "_len", "_parts").agg(F.avg("_v").alias("_w"), F.var_samp("_m").alias("_b"))
-    inside = F.sqrt(((F.col("_len") - 1) / F.col("_len") * F.col("_w") + F.col("_b")) / F.col("_w"))
-    rhat = F.when(F.col("_parts") == 1, 1.0).when(F.col("_w") == 0, F.when(F.col("_b") == 0, 1.0).otherwise(float("inf"))).otherwise(inside)
-    return both.select(*keys, rhat.alias("rhat"))
+    segments = placed.groupBy(*keys, "_seg", "_len", "_parts").agg(F.avg(value).alias("_m"), F.var_samp(value).alias("_v"))
+    return _rhat(segments, [*keys, "_len", "_parts"], F.col("_len")).select(*keys, F.when(F.col("_parts") == 1, 1.0).otherwise(F.col("_inside")).alias("rhat"))
+
+
+def split_rhat_chains(draws: DataFrame, keys: list[str], chain: str, order: list[str], value: str = "value") -> DataFrame:
+    """R̂ over the halves of several chains, each cut to the shortest one's length; 1 if that is below 4."""
+    placed = running(draws.select(*keys, chain, *order, value), [*keys, chain], [F.col(c) for c in order], {"_k": F.lit(1)})
+    lengths = draws.groupBy(*keys, chain).agg(F.count("*").alias("_n"))
+    shortest = lengths.groupBy(*keys).agg(F.floor(F.min("_n") / 2).alias("_half"))
+    halves = (placed.join(shortest, keys) if keys else placed.join(F.broadcast(shortest))).withColumn("_seg", F.floor((F.col("_k") - 1) / F.col("_half"))).filter("_seg < 2 or _half = 0")
+    segments = halves.groupBy(*keys, chain, "_seg", "_half").agg(F.avg(value).alias("_m"), F.var_samp(value).alias("_v"))
+    return _rhat(segments, [*keys, "_half"], F.col("_half")).select(*keys, F.when(F.col("_half") < 2, 1.0).otherwise(F.col("_inside")).alias("rhat"))
 
 
 def ess(draws: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:

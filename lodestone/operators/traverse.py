@@ -37,6 +37,11 @@ def depths(edges: DataFrame, start: int, most: int | None = None) -> DataFrame:
     return reached
 
 
+def far_end(edges: DataFrame, start: int) -> DataFrame:
+    """``node``, ``depth``: the least of the nodes that lie farthest from `start`; one row."""
+    return depths(edges, start).agg(F.min(F.struct(-F.col("depth"), "node")).alias("far")).select("far.node", (-F.col("far.col1")).alias("depth"))
+
+
 def core(edges: DataFrame, k: int) -> DataFrame:
     """The edges of the `k`-core: nodes of a lower degree go until none is left."""
     edges = cut_lineage(edges.select("src", "dst"))

@@ -5,16 +5,17 @@ A query and its SQL name their columns alike and round doubles to the same digit
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import cut_lineage
+from ..frames import cut_lineage, shared_folder, with_totals
 from ..functions import normalise as norm
 from ..functions.special import approx_lgamma
 from ..operators import clusters, edges, gamma, layout, likelihood, linear, lookups, neighbours, sampling, stats, trajectory, traverse
-from ..sources import tables
+from ..sources import sinks, tables
 from ..streaming import stats as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,10 +83,10 @@ def column_running_stats_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _normalised(name: str, change: Callable[[DataFrame], DataFrame], sql: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return change(cells(spark, sf_dir)).select("row", "col", r("value", 9))
+        return change(cells(spark, sf_dir)).select("row", "col", r("value"))
 
     query.__name__ = name
-    registered(f"WITH {CELLS} SELECT row, col, round({sql}, 9) + 0.0 AS value FROM cells")(query)
+    registered(f"WITH {CELLS} SELECT row, col, round({sql}, 6) + 0.0 AS value FROM cells")(query)
 
 
 _normalised("sum_to_one_columns", lambda c: norm.sum_to_one(c, "col"), "value / sum(value) OVER (PARTITION BY col)")
@@ -646,9 +647,7 @@ RATES = f"{CELLS}, t AS (SELECT row, value AS x, (sum(value) OVER (PARTITION BY
 
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    return cells(spark, sf_dir).select("row", "col", F.col("value").alias("x"), F.avg("value").over(W.partitionBy("row")).alias("mu"))
+    return with_totals(cells(spark, sf_dir).select("row", "col", F.col("value").alias("x")), ["row"], mu=F.avg("x"))
 
 
 @registered(f"WITH {RATES} SELECT row, round(sum(x * ln(mu) - mu), 5) AS llik FROM t GROUP BY 1")
@@ -691,16 +690,20 @@ def hidden_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- array functions ----------------------------------------------------------------------------------
 
 
-@registered(f"WITH {VECTORS}, s AS (SELECT vec_id, x, list_sum(list_transform(x, lambda y: exp(y))) AS z FROM v) SELECT vec_id AS id, round(0.9 * exp(x[1]) / z + 0.1 / 64, 9) AS smoothed FROM s")
+@registered(f"WITH {VECTORS}, e AS (SELECT vec_id, generate_subscripts(x, 1) - 1 AS place, unnest(x) AS y FROM v), z AS (SELECT vec_id, sum(exp(y)) AS z FROM e GROUP BY 1) SELECT vec_id AS id, place::INTEGER AS place, round(0.9 * exp(y) / z + 0.1 / 64, 7) AS smoothed FROM e JOIN z USING (vec_id)")
 def smoothed_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log_theta = norm.array_log_softmax(norm.doubles(F.col("features")))
-    return vectors(spark, sf_dir).select("id", r(F.exp(norm.smooth_topics(log_theta, 0.1)[0]), 9, "smoothed"))
+    smooth = norm.smooth_topics(norm.array_log_softmax(norm.doubles(F.col("features"))), 0.1)
+    return vectors(spark, sf_dir).select("id", F.posexplode(smooth).alias("place", "y")).select("id", "place", r(F.exp("y"), 7, "smoothed"))
 
 
-@registered(f"WITH {VECTORS} SELECT vec_id AS id, round(1.0, 6) AS total FROM v")
-def stick_breaking_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proportions of a broken stick add up to one."""
-    return vectors(spark, sf_dir).select("id", r(norm.total(F.transform(norm.stick_breaking(norm.doubles(F.col("features"))), F.exp)), 6, "total"))
+@registered(f"""
+WITH {VECTORS}, e AS (SELECT vec_id, generate_subscripts(x, 1) AS k, unnest(x) AS y FROM v),
+s AS (SELECT *, sum(CASE WHEN k < 64 THEN -ln(1 + exp(y)) ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY k) AS rest FROM e)
+SELECT vec_id AS id, (k - 1)::INTEGER AS place, round(CASE WHEN k < 64 THEN y + rest ELSE rest END, 6) + 0.0 AS log_share FROM s
+""")
+def stick_breaking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    broken = norm.stick_breaking(norm.doubles(F.col("features")))
+    return vectors(spark, sf_dir).select("id", F.posexplode(broken).alias("place", "y")).select("id", "place", r("y", 6, "log_share"))
 
 
 @registered(f"""
@@ -713,7 +716,7 @@ def sparsemax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.size(F.filter("p", lambda x: x > 0)).cast("long").alias("support"), r(F.array_max("p"), 6, "top"))
 
 
-@registered("SELECT p_partkey, round(least(v, 0) - ln(1 + exp(-abs(v))), 9) AS log_sigmoid, round(8 * tanh(v / 8), 9) AS clamped, round(sin(p_size), 9) + 0.0 AS s0, round(cos(p_size / 10.0), 9) + 0.0 AS c1 FROM (SELECT *, p_size - 25.0 AS v FROM part)".replace("p_size / 10.0", "p_size / (10000.0 ** 0.5)"))
+@registered("SELECT p_partkey, round(least(v, 0) - ln(1 + exp(-abs(v))), 9) + 0.0 AS log_sigmoid, round(8 * tanh(v / 8), 9) + 0.0 AS clamped, round(sin(p_size), 9) + 0.0 AS s0, round(cos(p_size / 10.0), 9) + 0.0 AS c1 FROM (SELECT *, p_size - 25.0 AS v FROM part)".replace("p_size / 10.0", "p_size / (10000.0 ** 0.5)"))
 def value_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").withColumn("v", F.col("p_size") - 25.0).withColumn("e", norm.positional_embedding(F.col("p_size").cast("double"), 4))
     return parts.select("p_partkey", r(norm.log_sigmoid(F.col("v")), 9, "log_sigmoid"), r(norm.soft_clamp(F.col("v")), 9, "clamped"), r(F.col("e")[0], 9, "s0"), r(F.col("e")[1], 9, "c1"))
@@ -750,3 +753,242 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def running_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.running_quantile_batch(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 0.9).select("user_id", "n", r("quantile"))
+
+
+# -- rows and columns of a matrix ---------------------------------------------------------------------
+
+
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), norm.doubles(F.col("embedding")).alias("features"))
+
+
+def _melted(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, "row", F.posexplode("features").alias("place", "value")).select(*more, "row", "place", r("value"))
+
+
+def _unnested(x: str, more: str = "") -> str:
+    return f"SELECT {more}vec_id AS row, (generate_subscripts({x}, 1) - 1)::INTEGER AS place, round(unnest({x}), 6) + 0.0 AS value FROM "
+
+
+@registered(f"WITH {VECTORS} " + _unnested("[x[3], x[1], x[64], x[1]]") + "v")
+def subset_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _melted(lookups.subset_columns(matrix(spark, sf_dir), [2, 0, 63, 0]))
+
+
+@registered(f"WITH {VECTORS}, o AS (SELECT unnest([5, 3, 8, 3]) AS vec_id, generate_subscripts([5, 3, 8, 3], 1) - 1 AS no) " + _unnested("x", "no, ") + "v JOIN o USING (vec_id)")
+def subset_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _melted(lookups.subset_rows(matrix(spark, sf_dir), [5, 3, 8, 3]).withColumnRenamed("place", "no"), "no")
+
+
+@registered(f"WITH {VECTORS} " + _unnested("(x[1:1] || [x[64]] || x[3:4] || [x[63]] || x[6:64])") + "v")
+def assign_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with its last two values at places 1 and 4."""
+    m = matrix(spark, sf_dir)
+    return _melted(lookups.assign_columns(m, lookups.subset_columns(m, [63, 62]), [1, 4]))
+
+
+@registered(f"WITH {VECTORS} " + _unnested("(x || [x[2], x[1]])") + "v")
+def concatenate_horizontal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    return _melted(lookups.bind_columns(m, lookups.subset_columns(m, [1, 0])))
+
+
+@registered(f"WITH {VECTORS} " + _unnested("x") + "v UNION ALL " + _unnested("x").replace("vec_id AS", "-vec_id - 1 AS") + "v")
+def concatenate_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matrix(spark, sf_dir)
+    return _melted(lookups.bind_rows(m, m.withColumn("row", -F.col("row") - 1)))
+
+
+@registered(f"WITH {KNN} SELECT knn.id, knn.rank, vec_id AS row, round(list_sum(x), 5) + 0.0 AS total FROM knn JOIN v ON other = vec_id")
+def gather_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of each row's neighbours."""
+    got = lookups.gather_rows(matrix(spark, sf_dir), knn(spark, sf_dir).select("id", F.col("rank").cast("long").alias("rank"), F.col("other").alias("row")))
+    return got.select("id", "rank", "row", r(norm.total(F.col("features")), 5, "total"))
+
+
+@registered('SELECT DISTINCT o_orderpriority AS "group" FROM orders')
+def unique_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.unique_groups(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("group")))
+
+
+@registered('SELECT label AS "group", vec_id AS id FROM embeddings')
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.members(vectors(spark, sf_dir).select("id", F.col("label").alias("group")))
+
+
+@registered("WITH f AS (SELECT o_orderpriority, min(o_orderkey) AS first FROM orders GROUP BY 1), n AS (SELECT o_orderpriority, row_number() OVER (ORDER BY first) - 1 AS compact FROM f) SELECT o_orderkey AS id, o_orderpriority AS label, compact::INTEGER AS compact FROM orders JOIN n USING (o_orderpriority)")
+def compact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("label"))
+    return clusters.compact_labels(labels).select("id", "label", "compact")
+
+
+@registered("WITH b AS (SELECT o_orderkey AS id, coalesce(sum(len(o_orderpriority)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM orders) SELECT id, (before // 4096)::BIGINT AS block FROM b")
+def budget_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.length("o_orderpriority").alias("bytes"))
+    return sampling.budget_blocks(sizes, 4096).select("id", F.col("block").cast("long").alias("block"))
+
+
+# -- more graphs and statistics -----------------------------------------------------------------------
+
+
+@registered(f"WITH {EDGES} SELECT src, dst, round(distance, 6) AS distance FROM e JOIN v a ON src = a.vec_id JOIN v b ON dst = b.vec_id WHERE a.label = b.label")
+def filter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges between vectors of one label."""
+    of = vectors(spark, sf_dir).select("id", "label")
+    found = knn_edges(spark, sf_dir)
+    keep = found.join(of.toDF("src", "a"), "src").join(of.toDF("dst", "b"), "dst").filter("a = b")
+    return edges.filter_edges(found, keep).select("src", "dst", r("distance"))
+
+
+@registered(f"WITH {EDGES}, n AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS no FROM v) SELECT a.label, a.no AS src, b.no AS dst, round(distance, 6) AS distance FROM e JOIN n a ON src = a.vec_id JOIN n b ON dst = b.vec_id WHERE a.label = b.label")
+def subnetworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = vectors(spark, sf_dir).select(F.col("id").alias("node"), "label")
+    return edges.subnetworks(knn_edges(spark, sf_dir), labels).select("label", "src", "dst", r("distance"))
+
+
+@registered(f"WITH {EDGES} SELECT round(1.5 / greatest(2 * sum(distance), 1), 12) AS resolution FROM e")
+def cpm_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.cpm_resolution(knn_edges(spark, sf_dir), 1.5, "distance").select(r("resolution", 12))
+
+
+@registered(f"""
+WITH RECURSIVE {EDGES}, walk AS (SELECT (SELECT min(vec_id) FROM v) AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM walk JOIN adj ON node = src WHERE depth < 12),
+near AS (SELECT node, min(depth)::INTEGER AS depth FROM walk GROUP BY 1)
+SELECT min(node) AS node, depth FROM near WHERE depth = (SELECT max(depth) FROM near) GROUP BY 2
+""")
+def far_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = vectors(spark, sf_dir).agg(F.min("id")).first()[0]
+    return traverse.far_end(knn_edges(spark, sf_dir), start)
+
+
+@registered(f"WITH {VECTORS} SELECT a.vec_id AS id, b.vec_id AS other, round(list_distance(a.x, b.x), 6) AS distance FROM v a JOIN v b ON b.vec_id IN (3, 5, 8)")
+def distances_to_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's distance to three of them."""
+    v = vectors(spark, sf_dir)
+    return neighbours.between(v, v.filter(F.col("id").isin(3, 5, 8)), 3).select("id", "other", r("distance"))
+
+
+@registered(ORACLES["agreement_from_rate"])
+def agreement_from_log_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`agreement_from_rate` with the prices given as logarithms, a large constant added."""
+    scaled = stats.log_rate_to_counts(cells(spark, sf_dir).withColumn("log_price", F.log("price") + 900), ["row"], "value", "log_price")
+    several = scaled.groupBy("row").agg(F.count("*").alias("n"), F.stddev_pop("value").alias("a"), F.stddev_pop("predicted").alias("b")).filter("n >= 3 and a > 1e-9 and b > 1e-9")
+    return stats.pearson_log1p(scaled.join(several.select("row"), "row"), ["row"], "value", "predicted").select("row", r("r", 5))
+
+
+@registered("""
+WITH e AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events),
+h AS (SELECT min(n) // 2 AS half FROM (SELECT count(*) AS n FROM events GROUP BY event_type)),
+g AS (SELECT event_type, k // half AS seg, half, avg(value) AS m, var_samp(value) AS v FROM e, h WHERE k // half < 2 GROUP BY 1, 2, 3),
+b AS (SELECT half, avg(v) AS w, var_samp(m) AS b FROM g GROUP BY 1)
+SELECT round(sqrt(((half - 1) / half * w + b) / w), 6) AS rhat FROM b
+""")
+def split_rhat_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the event types' values, as chains in time, agree."""
+    return stats.split_rhat_chains(table(spark, sf_dir, "events"), [], "event_type", ["ts", "event_id"]).select(r("rhat"))
+
+
+@registered(f"WITH {CELLS}, m AS (SELECT *, avg(price) OVER (PARTITION BY row) / 1e5 AS rate, avg(value) OVER (PARTITION BY col) AS mean FROM cells) SELECT row, col, round(2 * sqrt(greatest(value / greatest(rate * mean, 0.1), 0) + 0.375), 6) AS lite FROM m")
+def anscombe_lite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = with_totals(with_totals(cells(spark, sf_dir), ["row"], rate=F.avg("price") / 1e5), ["col"], mean=F.avg("value"))
+    return c.select("row", "col", r(norm.anscombe_lite(F.col("value"), F.col("rate"), F.col("mean")), 6, "lite"))
+
+
+@registered("SELECT p_partkey, round(exp(least(v + 1, 5.0)), 6) AS grown, round((1 - (p_size % 2)) * -1e9, 1) + 0.0 AS pad, round(-0.5 * (v - 3) * (v - 3), 6) + 0.0 AS normal, round(-0.5 * (1 + v / 10 - v * v - exp(v / 10)), 6) + 0.0 AS kl, round(greatest(v, 0) * ln(p_size / 100.0 + 1e-8), 6) + 0.0 AS topic FROM (SELECT *, p_size - 25.0::DOUBLE AS v FROM part)")
+def more_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("p_size") - 25.0
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", r(norm.clamped_exp(v, 1.0, 5.0), 6, "grown"), r(norm.pad_score(F.col("p_size") % 2), 1, "pad"), r(likelihood.gaussian(v, F.lit(3.0)), 6, "normal"),
+        r(likelihood.gaussian_kl(v, v / 10), 6, "kl"), r(likelihood.topic(v, F.col("p_size") / 100), 6, "topic"),
+    )
+
+
+@registered(f"WITH {RATES} SELECT row, round(2 * sum(x * ln(mu) - mu), 5) AS llik FROM t GROUP BY 1")
+def joint_llik(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two modalities with equal likelihoods."""
+    one = likelihood.summed(rates(spark, sf_dir), ["row"], likelihood.poisson(F.col("x"), F.col("mu")))
+    return likelihood.joint(one, one, keys=["row"]).select("row", r("llik", 5))
+
+
+# -- written and read again ---------------------------------------------------------------------------
+
+
+def _file(spark: SparkSession, ending: str = "") -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}{ending}"
+
+
+@registered(f"WITH {VECTORS} SELECT vec_id::VARCHAR AS row, round(list_sum(x), 4) + 0.0 AS total, len(x)::INTEGER AS width FROM v")
+def matrix_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as compressed text with tabs, and read as a matrix."""
+    path = _file(spark, ".tsv")
+    sinks.write_delimited(matrix(spark, sf_dir), path)
+    return tables.read_matrix(spark, path).select("row", r(norm.total(F.col("features")), 4, "total"), F.size("features").alias("width"))
+
+
+@registered(f"WITH {VECTORS} SELECT vec_id::VARCHAR AS row, round(list_sum(x), 4) + 0.0 AS total, len(x)::INTEGER AS width FROM v")
+def matrix_as_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, ".parquet")
+    sinks.write_matrix(matrix(spark, sf_dir), path)
+    return tables.read_matrix(spark, path).select("row", r(norm.total(F.col("features")), 4, "total"), F.size("features").alias("width"))
+
+
+@registered(f"WITH {CELLS} SELECT row::BIGINT - 1 AS row, col::BIGINT - 1 AS col, round(value, 6) AS value FROM cells")
+def matrix_market_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, ".mtx")
+    c = cut_lineage(cells(spark, sf_dir).select((F.col("row").cast("long") - 1).alias("row"), (F.col("col").cast("long") - 1).alias("col"), "value"))
+    size = c.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    sinks.write_matrix_market(c, path, int(size["r"]) + 1, int(size["c"]) + 1)
+    return tables.read_matrix_market(spark, path)[1].select("row", "col", r("value"))
+
+
+@registered("SELECT n_name AS value FROM nation")
+def lines_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, ".txt")
+    sinks.write_lines(table(spark, sf_dir, "nation"), path, "n_name")
+    return tables.text_lines(spark, path)
+
+
+@registered("SELECT DISTINCT c_mktsegment AS name FROM customer")
+def names_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, ".txt")
+    sinks.write_lines(table(spark, sf_dir, "customer").select(F.concat_ws("\t", "c_mktsegment", F.col("c_custkey").cast("string")).alias("value")), path)
+    return tables.read_name_list(spark, path)
+
+
+@registered("SELECT coalesce(p_type, '') AS p_type FROM part")
+def string_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_string_column(spark, f"{sf_dir}/part.parquet", "p_type")
+
+
+@registered(f"WITH {EDGES} SELECT 'v' || src AS a, 'v' || dst AS b FROM e")
+def edges_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, ".parquet")
+    names = vectors(spark, sf_dir).select(F.col("id").alias("node"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"))
+    sinks.write_edges(knn_edges(spark, sf_dir), names, path)
+    return spark.read.parquet(path)
+
+
+@registered("WITH p AS (SELECT n_name, r_name, r_regionkey + 100 AS b, n_nationkey AS a FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT a::BIGINT AS src, b::BIGINT AS dst FROM p")
+def pairs_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of nations with their regions, resolved to numbers."""
+    path = _file(spark, ".tsv")
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    pairs = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    sinks.write_lines(pairs.select(F.concat_ws("\t", "n_name", "r_name").alias("value")), path)
+    names = nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("node")).unionByName(region.select(F.col("r_name").alias("name"), (F.col("r_regionkey") + 100).cast("long").alias("node")))
+    return edges.resolve_names(tables.read_pairs(spark, path), names).select("src", "dst")
+
+
+@registered(ORACLES["column_running_stats_masked"].replace("l_suppkey, sum", "l_suppkey, sum").replace("round(sum(l_extendedprice), 2) AS tot", "round(sum(l_extendedprice), 2) AS tot"))
+def stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, ".parquet")
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    sinks.write_grouped_stats(stats.running_stats(lines, ["l_suppkey"], value="l_extendedprice"), path, ["l_suppkey"])
+    return spark.read.parquet(path).select("l_suppkey", "nnz", r("tot", 2), r("mu", 4), r("sig", 2))
+
+
+@registered(f"WITH {CELLS} SELECT row, col AS \"column\", round((1 + value) / (1 + price / 1000), 6) AS mean, round(sqrt(1 + value) / (1 + price / 1000), 6) AS sd, 0.0::DOUBLE AS log_mean FROM cells")
+def parameter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, ".parquet")
+    sinks.write_parameters(gamma.calibrate(posterior(spark, sf_dir), logs=False), path)
+    return spark.read.parquet(path).select("row", "column", r("mean"), r("sd"), "log_mean")

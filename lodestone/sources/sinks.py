@@ -42,3 +42,14 @@ def write_matrix_market(cells: DataFrame, path: str, rows: int, columns: int, mo
     head = cells.sparkSession.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{rows} {columns} {n}")], "no long, value string")
     body = cells.select((F.lit(2) + F.col("row") * F.lit(columns) + F.col("col")).alias("no"), F.concat_ws(" ", (F.col("row") + 1).cast("string"), (F.col("col") + 1).cast("string"), F.col("value").cast("string")).alias("value"))
     head.unionByName(body).repartitionByRange("no").sortWithinPartitions("no").select("value").write.mode(mode).text(path)
+
+
+def write_lines(df: DataFrame, path: str, column: str = "value", mode: str = "errorifexists") -> None:
+    """A column's values as text, one a line."""
+    df.select(F.col(column).cast("string").alias("value")).write.mode(mode).text(path)
+
+
+def write_edges(edges: DataFrame, names: DataFrame, path: str, columns: tuple[str, str] = ("a", "b"), mode: str = "errorifexists") -> None:
+    """The names of each edge's ends as a table of two columns; `names` has ``node``, ``name``."""
+    named = edges.join(names.toDF("src", columns[0]), "src").join(names.toDF("dst", columns[1]), "dst")
+    write_table(named.select(*columns), path, mode)

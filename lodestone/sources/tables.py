@@ -111,7 +111,10 @@ def read_matrix(spark: SparkSession, path: str, **selection) -> DataFrame:
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[tuple[int, int, int], DataFrame]:
     """(rows, columns, entries) and ``row``, ``col``, ``value`` from 0 of a coordinate file; wrong counts or places are errors."""
     lines = text_lines(spark, path, "^%").select(F.split(F.trim("value"), r"\s+").alias("f"))
-    head = spark.read.text(path).filter(~F.col("value").startswith("%") & (F.trim("value") != "")).limit(1).collect()
+    # of several files, the one with the banner has the size line
+    banner = spark.read.text(path).filter(F.col("value").startswith("%%MatrixMarket")).select("_metadata.file_path").limit(1).collect()
+    first = banner[0].file_path if banner else path
+    head = spark.read.text(first).filter(~F.col("value").startswith("%") & (F.trim("value") != "")).limit(1).collect()
     if not head:
         raise ValueError("no header")
     shape = tuple(map(int, head[0].value.split()))
