@@ -932,10 +932,10 @@ def matrix_as_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_matrix(spark, path).select("row", r(norm.total(F.col("features")), 4, "total"), F.size("features").alias("width"))
 
 
-@registered(f"WITH {CELLS} SELECT row::BIGINT - 1 AS row, col::BIGINT - 1 AS col, round(value, 6) AS value FROM cells")
+@registered(f"WITH {CELLS} SELECT row::BIGINT AS row, col::BIGINT AS col, round(value, 6) AS value FROM cells")
 def matrix_market_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _file(spark, ".mtx")
-    c = cut_lineage(cells(spark, sf_dir).select((F.col("row").cast("long") - 1).alias("row"), (F.col("col").cast("long") - 1).alias("col"), "value"))
+    c = cut_lineage(cells(spark, sf_dir).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "value"))
     size = c.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
     sinks.write_matrix_market(c, path, int(size["r"]) + 1, int(size["c"]) + 1)
     return tables.read_matrix_market(spark, path)[1].select("row", "col", r("value"))
