@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..frames import running, with_totals
+from ..frames import cut_lineage, drop, running, with_totals
+
+#: Autocorrelations of a chain that one pass takes; even.
+LAGS = 64
 
 
 def running_stats(cells: DataFrame, keys: list[str], size: int | Column | None = None, value: str = "value") -> DataFrame:
@@ -173,35 +176,59 @@ def split_rhat_chains(draws: DataFrame, keys: list[str], chain: str, order: list
     return _rhat(segments, [*keys, "_half"], F.col("_half")).select(*keys, F.when(F.col("_half") < 2, 1.0).otherwise(F.col("_inside")).alias("rhat"))
 
 
+def _lagged_sums(rows: DataFrame, keys: list[str], first: int) -> DataFrame:
+    """``_cs``: the sums of products of values that lie `first`, `first` + 1, … positions apart, LAGS of them, by `keys`.
+
+    Positions are cut into blocks; a block meets the two blocks in which its partners lie, so a group holds three
+    blocks' values, however long the chain.
+    """
+    block, back = F.floor(F.col("_k") / LAGS), first // LAGS
+    copies = F.array(F.struct(block.alias("b"), F.lit(True).alias("own")), *(F.struct((block - back - i).alias("b"), F.lit(False).alias("own")) for i in (0, 1)))
+    placed = rows.withColumn("_c", F.explode(copies)).filter("_c.b >= 0")
+    value = F.struct("_k", "_x")
+    sides = [F.transform(F.array_sort(F.collect_list(F.when(own, value))), lambda s: s["_x"]).alias(name) for name, own in (("_own", F.col("_c.own")), ("_far", ~F.col("_c.own")))]
+    met = placed.groupBy(*keys, F.col("_c.b").alias("_b")).agg(*sides).filter((F.size("_own") > 0) & (F.size("_far") > 0))
+    own = F.transform("_own", lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(LAGS - 1)), lambda lag: F.aggregate(own, F.lit(0.0), lambda a, s: a + s["x"] * F.coalesce(F.get("_far", s["i"] + lag), F.lit(0.0))))
+    by_lag = met.select(*keys, F.posexplode(sums).alias("_lag", "_s")).groupBy(*keys, "_lag").agg(F.sum("_s").alias("_s"))
+    return by_lag.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_lag", "_s"))), lambda s: s["_s"]).alias("_cs"))
+
+
 def ess(draws: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:
-    """Effective sample size by the initial monotone positive sequence of paired autocorrelations.
+    """``n``, ``ess``: effective sample size by the initial monotone positive sequence of paired autocorrelations.
 
-    A chain is one group, handed to one task as arrays; its length is the number of draws, not of the data.
+    Lags are taken LAGS at a time, and a chain goes on until its first pair that is not positive. Null draws are left
+    out; a chain of fewer than 4 draws, or of equal ones, counts in full.
     """
-    import numpy as np
-    import pandas as pd
-
-    def of(chain: np.ndarray) -> float:
-        n = len(chain)
-        x = chain - chain.mean()
-        if n < 4 or not (x * x).sum() > 0:
-            return float(n)
-        size = 1 << (2 * n - 1).bit_length()
-        f = np.fft.rfft(x, size)
-        rho = np.fft.irfft(f * np.conj(f), size)[:n]
-        rho = rho / rho[0]
-        tau, last = -1.0, np.inf
-        for k in range(0, n - 1, 2):
-            pair = rho[k] + rho[k + 1]
-            if pair <= 0:
-                break
-            last = min(last, pair)
-            tau += 2 * last
-        return float(min(n, n / max(tau, 1e-12)))
-
-    chains = draws.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda s: s["_v"]).alias("_vs"))
-    sized = F.pandas_udf(lambda s: pd.Series([of(np.asarray(v, float)) for v in s]), "double")
-    return chains.select(*keys, F.size("_vs").alias("n"), sized("_vs").alias("ess"))
+    named = {c: f"_id_{i}" for i, c in enumerate(keys)}
+    placed = running(draws.filter(F.col(value).isNotNull()).select(*keys, *order, F.col(value).cast("double").alias("_v")), keys, [F.col(c) for c in order], {"_k": F.lit(1)})
+    placed = with_totals(placed, keys, _n=F.count("*"), _m=F.avg("_v"))
+    rows = cut_lineage(placed.select(*keys, F.col("_n").alias("n"), (F.col("_k") - 1).alias("_k"), (F.col("_v") - F.col("_m")).alias("_x")))
+    found = rows.groupBy(*keys, "n").agg(F.sum(F.col("_x") * F.col("_x")).alias("_all"))
+    start = F.struct(F.lit(-1.0).alias("tau"), F.lit(float("inf")).alias("last"), ((F.col("n") >= 4) & (F.col("_all") > 0)).alias("on"))
+    state, first = cut_lineage(found.withColumn("_t", start)), 0
+    same = F.lit(True)
+    for c, as_ in named.items():
+        same = same & F.col(c).eqNullSafe(F.col(as_))
+    while not (going := state.filter("_t.on")).isEmpty():
+        ids = going.select(*(F.col(c).alias(as_) for c, as_ in named.items()))
+        live = rows.join(ids, same, "left_semi") if keys else rows
+        sums = _lagged_sums(live, keys, first).withColumnsRenamed(named)
+
+        def pair(t: Column, m: Column) -> Column:
+            rho = (F.get("_cs", 2 * m) + F.get("_cs", 2 * m + 1)) / F.col("_all")
+            on = t["on"] & (rho > 0) & (2 * m + 1 + first < F.col("n"))
+            last = F.when(on, F.least(t["last"], rho)).otherwise(t["last"])
+            return F.struct(F.when(on, t["tau"] + 2 * last).otherwise(t["tau"]).alias("tau"), last.alias("last"), F.coalesce(on, F.lit(False)).alias("on"))
+
+        steps = F.aggregate(F.sequence(F.lit(0), F.lit(LAGS // 2 - 1)), F.col("_t"), pair)
+        joined = state.join(sums, same, "left") if keys else state.join(F.broadcast(sums))
+        later = cut_lineage(joined.select(*keys, "n", "_all", F.when(F.col("_t.on"), steps).otherwise(F.col("_t")).alias("_t")))
+        drop(state)
+        state, first = later, first + LAGS
+    drop(rows)
+    size = F.when((F.col("n") >= 4) & (F.col("_all") > 0), F.least(F.col("n").cast("double"), F.col("n") / F.greatest("_t.tau", F.lit(1e-12))))
+    return state.select(*keys, "n", F.coalesce(size, F.col("n").cast("double")).alias("ess"))
 
 
 def mcse_proportion(hits: Column, n: Column) -> Column:

@@ -212,7 +212,15 @@ def chain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.chain_summary(table(spark, sf_dir, "events"), ["user_id"]).select("user_id", r("variance", 7), *(r(c) for c in ("mean", "q05", "q50", "q95")))
 
 
-@registered()
+@registered("""
+WITH p AS (SELECT user_id, value - avg(value) OVER (PARTITION BY user_id) AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+c AS (SELECT a.user_id, a.n, b.k - a.k AS lag, sum(a.x * b.x) AS c FROM p a JOIN p b ON a.user_id = b.user_id AND b.k >= a.k GROUP BY 1, 2, 3),
+z AS (SELECT user_id, n, c AS z FROM c WHERE lag = 0),
+g AS (SELECT user_id, n, lag // 2 AS m, sum(c) AS c FROM c WHERE lag // 2 * 2 + 1 < n GROUP BY 1, 2, 3),
+q AS (SELECT user_id, min(g.c / z) OVER (PARTITION BY user_id ORDER BY m) AS low FROM g JOIN z USING (user_id)),
+t AS (SELECT user_id, 2 * sum(CASE WHEN low > 0 THEN low ELSE 0 END) - 1 AS tau FROM q GROUP BY 1)
+SELECT user_id, n, round(CASE WHEN n < 4 OR NOT z > 0 THEN n ELSE least(n, n / greatest(tau, 1e-12)) END, 6) AS ess FROM z LEFT JOIN t USING (user_id)
+""")
 def chain_ess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.ess(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "n", r("ess"))
 
@@ -409,7 +417,16 @@ def kernel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", r("weight"))
 
 
-@registered()
+@registered(f"""
+WITH RECURSIVE {KNN}, m AS MATERIALIZED (SELECT id, list(distance ORDER BY distance, other) AS d, coalesce(min(CASE WHEN distance > 0 THEN distance END), 0) AS rho, log2(count(*) + 1) AS goal, avg(distance) AS mean FROM knn GROUP BY 1),
+b AS (SELECT id, 0 AS step, 0::DOUBLE AS low, 'inf'::DOUBLE AS high, 1::DOUBLE AS mid FROM m UNION ALL
+      SELECT id, step + 1, CASE WHEN up THEN low ELSE mid END, CASE WHEN up THEN mid ELSE high END, CASE WHEN up THEN (low + mid) / 2 WHEN high = 'inf' THEN 2 * mid ELSE (mid + high) / 2 END
+      FROM (SELECT b.*, list_sum(list_transform(d, lambda x: exp(-greatest(x - rho, 0) / mid))) > goal AS up FROM b JOIN m USING (id)) WHERE step < 64),
+s AS (SELECT id, rho, greatest(mid, 1e-3 * mean) AS sigma FROM b JOIN m USING (id) WHERE step = 64),
+w AS (SELECT id, other, CASE WHEN distance <= rho THEN 1 WHEN sigma <= 0 THEN 0 ELSE exp(-(distance - rho) / sigma) END AS w FROM knn JOIN s USING (id)),
+u AS (SELECT least(id, other) AS src, greatest(id, other) AS dst, coalesce(max(CASE WHEN id < other THEN w END), 0) AS a, coalesce(max(CASE WHEN id > other THEN w END), 0) AS b FROM w GROUP BY 1, 2)
+SELECT src, dst, round(a + b - a * b, 6) AS weight FROM u WHERE a + b - a * b > 0
+""")
 def fuzzy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.fuzzy_union(edges.memberships(knn(spark, sf_dir))).select("src", "dst", r("weight"))
 
@@ -500,17 +517,32 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.depths(knn_edges(spark, sf_dir), start).select("node", "depth")
 
 
-@registered()
+@registered(f"""
+WITH RECURSIVE {EDGES}, c AS (SELECT 0 AS step, src, dst FROM adj UNION ALL
+SELECT step + 1, src, dst FROM (SELECT *, count(*) OVER (PARTITION BY src) AS a, count(*) OVER (PARTITION BY dst) AS b FROM c) WHERE a >= 8 AND b >= 8 AND step < 200)
+SELECT src, dst FROM c WHERE step = 200 AND src < dst
+""")
 def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.core(knn_edges(spark, sf_dir), 8)
 
 
-@registered()
+@registered(f"""
+WITH RECURSIVE {EDGES}, deg AS MATERIALIZED (SELECT src AS node, count(*) AS d FROM adj GROUP BY 1), ways AS MATERIALIZED (SELECT src AS node, dst AS goes, TRUE AS pushed FROM adj UNION ALL SELECT node, node, FALSE FROM deg),
+p AS (SELECT 0 AS step, node AS source, node, 1::DOUBLE AS r FROM deg UNION ALL
+      SELECT step + 1, source, goes, sum(CASE WHEN pushed THEN 0.85 * r / d ELSE r END)
+      FROM (SELECT p.*, d, max(r / d) OVER (PARTITION BY source) AS most FROM p JOIN deg USING (node)) t JOIN ways w ON w.node = t.node AND w.pushed = (r >= 1e-3 * d) WHERE most >= 1e-3 GROUP BY step, source, goes),
+s AS (SELECT source, node, sum(0.15 * r) AS score FROM p JOIN deg USING (node) WHERE r >= 1e-3 * d GROUP BY 1, 2)
+SELECT source, rank::INTEGER AS rank, node, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, node) AS rank FROM s WHERE node <> source) WHERE rank <= 5
+""")
 def ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.personal_ranks(knn_edges(spark, sf_dir), 5, least=1e-3).select("source", "rank", "node", r("score"))
 
 
-@registered()
+@registered(f"""
+WITH RECURSIVE {EDGES}, k AS MATERIALIZED (SELECT src, dst, distance, row_number() OVER (ORDER BY distance, src, dst) AS rank FROM e), ways AS MATERIALIZED (SELECT src AS node, dst AS goes, rank FROM k UNION ALL SELECT dst, src, rank FROM k),
+lighter AS (SELECT rank AS edge, src AS node FROM k UNION SELECT edge, goes FROM lighter JOIN ways USING (node) WHERE ways.rank < edge)
+SELECT src, dst, round(distance, 6) AS weight FROM k WHERE NOT EXISTS (SELECT 1 FROM lighter WHERE edge = k.rank AND node = k.dst)
+""")
 def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.spanning_tree(knn_edges(spark, sf_dir).withColumnRenamed("distance", "weight")).select("src", "dst", r("weight"))
 
@@ -632,7 +664,12 @@ def gamma_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("row", "column", r("mean"), r("sd"), r("evidence"))
 
 
-@registered()
+@registered(f"""
+WITH {CELLS}, p AS (SELECT row, col, 1 + value AS a, 1 + price / 1000 AS b, 21 + value AS y FROM cells),
+s AS (SELECT *, list_sum(list_transform(range(20), lambda i: 1 / (a + i))) AS s1, list_sum(list_transform(range(20), lambda i: 1 / ((a + i) * (a + i)))) AS s2 FROM p)
+SELECT row, col AS "column", round(ln(y) - 1 / (2 * y) - 1 / (12 * y ** 2) + 1 / (120 * y ** 4) - 1 / (252 * y ** 6) - s1 - ln(b), 6) + 0.0 AS log_mean,
+       round(sqrt(1 / y + 1 / (2 * y ** 2) + 1 / (6 * y ** 3) - 1 / (30 * y ** 5) + 1 / (42 * y ** 7) + s2), 6) AS log_sd FROM s
+""")
 def gamma_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gamma.calibrate(posterior(spark, sf_dir)).select("row", "column", r("log_mean"), r("log_sd"))
 

@@ -158,6 +158,33 @@ def test_chains(spark):
     assert n[0] > 1200 and n[1] < 400 and n[2] == 2000
 
 
+def test_ess_of_chains_that_remember_long(spark):
+    """Against sums over whole chains; the slow one goes on over several passes."""
+    rng = np.random.default_rng(8)
+    slow, noise = np.zeros(1500), rng.normal(size=333)
+    for k in range(1, 1500):
+        slow[k] = 0.995 * slow[k - 1] + rng.normal()
+
+    def plain(v):
+        x, n = v - v.mean(), len(v)
+        rho = [(x[: n - k] * x[k:]).sum() / (x * x).sum() for k in range(n)]
+        tau, last, k = -1.0, math.inf, 0
+        while k < n - 1 and rho[k] + rho[k + 1] > 0:
+            last = min(last, rho[k] + rho[k + 1])
+            tau, k = tau + 2 * last, k + 2
+        return min(n, n / max(tau, 1e-12)), k
+
+    chains = {None: slow, 1: noise, 2: np.array([1.0, 2.0, 1.0]), 3: np.array([5.0])}
+    assert plain(slow)[1] > 2 * stats.LAGS
+    draws = [(c, k, float(x)) for c, v in chains.items() for k, x in enumerate(v)] + [(1, 999, None)]
+    got = {r.chain: (r.n, r.ess) for r in stats.ess(spark.createDataFrame(draws, "chain int, draw int, value double"), ["chain"], ["draw"]).collect()}
+    assert got[2] == (3, 3.0) and got[3] == (1, 1.0) and got[None][0] == 1500 and got[1][0] == 333
+    assert got[None][1] == pytest.approx(plain(slow)[0]) and got[1][1] == pytest.approx(plain(noise)[0])
+    one = spark.createDataFrame([d[1:] for d in draws if d[0] is None], "draw int, value double")
+    assert stats.ess(one, [], ["draw"]).first().ess == pytest.approx(plain(slow)[0])
+    assert stats.ess(one.limit(0), [], ["draw"]).count() == 0
+
+
 def test_running_quantile(spark):
     df = spark.range(5000).select(F.lit("a").alias("k"), F.col("id"), ((F.col("id") * 7919) % 10007 / F.lit(10007.0)).alias("x"))
     got = streams.running_quantile_batch(df, "k", ["id"], "x", 0.75).first()

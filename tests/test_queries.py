@@ -9,8 +9,6 @@ from lodestone.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Long loops; `test_operators.py` has them on small graphs.
-SLOW = {"communities", "spanning_tree", "ppr_topk", "force_layout", "diffusion_layout", "k_core"}
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +37,6 @@ def test_against_sql(spark, db, name):
     np.testing.assert_allclose(real, real_, rtol=1e-6, atol=2e-6)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
