@@ -62,6 +62,17 @@ def tf_idf(cells: DataFrame, row: str, column: str, columns: DataFrame, value: s
     return unit_length(weighed, column, value) if unit else weighed
 
 
+def log_background(means: DataFrame, value: str = "value", out: str = "log_share", floor: float = 1e-3) -> DataFrame:
+    """`out`: the log of each row's share of the whole, at least `floor` over the number of rows; equal shares if the whole is 0.
+
+    Values below zero and nulls count as 0.
+    """
+    kept = F.greatest(F.coalesce(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))
+    sized = with_totals(means.withColumn("_kept", kept), [], _all=F.sum("_kept"), _n=F.count("*"))
+    share = F.when(F.col("_all") > 0, F.col("_kept") / F.col("_all")).otherwise(1 / F.col("_n"))
+    return sized.withColumn(out, F.log(F.greatest(share, floor / F.col("_n")))).drop("_kept", "_all", "_n")
+
+
 def poisson_ratio(cells: DataFrame, by: str, value: str, expected: str, out: str = "ratio") -> DataFrame:
     """value / (expected · λ) where expected is above zero, λ = Σ value / Σ expected in each `by`; else the value."""
     ratio = F.when(F.col(expected) > 0, F.col(value) / (F.col(expected) * F.col("_seen") / F.col("_asked"))).otherwise(F.col(value))

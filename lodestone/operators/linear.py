@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalise import doubles
+from ..functions.normalise import dot, doubles, log_softmax
 
 
 def _rows(points: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -134,3 +134,13 @@ def nystrom_place(neighbours: DataFrame, places: DataFrame, alpha: float = 40.0)
     sigma = F.max("distance").over(W.partitionBy("id"))
     weighed = neighbours.withColumn("w", F.when(sigma > 0, F.exp(-F.pow(F.col("distance") / sigma, F.lit(alpha)))).otherwise(1.0))
     return weighed.join(places, "other").groupBy("id").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
+
+
+def topic_dictionary(features: DataFrame, topics: np.ndarray, ident: str = "id", vector: str = "features") -> DataFrame:
+    """``id``, ``topic``, ``value``: log shares of the features in each topic, by the topics' departures from their mean.
+
+    `topics` is a small matrix, a row for each topic; features are normalised over the whole table.
+    """
+    apart = np.asarray(topics, float) - np.asarray(topics, float).mean(axis=0)
+    loads = F.array(*(dot(doubles(F.col(vector)), F.lit(row.tolist())) for row in apart))
+    return log_softmax(features.select(F.col(ident).alias("id"), F.posexplode(loads).alias("topic", "value")), "topic")

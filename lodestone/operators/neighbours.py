@@ -183,3 +183,16 @@ def hellinger(log_a: Column, log_b: Column) -> Column:
     """Between two distributions given as logarithms."""
     half = F.zip_with(log_a, log_b, lambda x, y: F.exp(x / 2) - F.exp(y / 2))
     return F.sqrt(dot(half, half) / 2)
+
+
+def distance_quantile(points: DataFrame, q: float, distance=None, ident: str = "id", vector: str = "features", most_rows: int = 633, seed: int = 42) -> DataFrame:
+    """``quantile``: the value at place ⌊q(m − 1)⌋ of the m distances between two rows; null below two rows.
+
+    Of a table of more than `most_rows` rows that many are drawn, keyed by `ident` and `seed`: some 200,000 pairs.
+    """
+    drawn = points.select(F.col(ident).alias("a"), doubles(F.col(vector)).alias("x")).orderBy(F.xxhash64(F.lit(seed), "a"), "a").limit(most_rows)
+    drawn = cut_lineage(drawn)
+    pairs = drawn.join(F.broadcast(drawn.toDF("b", "y")), F.col("a") < F.col("b"))  # most_rows rows
+    far = pairs.select((distance or euclidean)(F.col("x"), F.col("y")).alias("_d"))
+    ranked = F.array_sort(F.collect_list("_d"))
+    return far.agg(F.get(ranked, F.floor(q * (F.count("_d") - 1)).cast("int")).alias("quantile"))

@@ -530,12 +530,12 @@ def k_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE {EDGES}, deg AS MATERIALIZED (SELECT src AS node, count(*) AS d FROM adj GROUP BY 1), ways AS MATERIALIZED (SELECT src AS node, dst AS goes, TRUE AS pushed FROM adj UNION ALL SELECT node, node, FALSE FROM deg),
 p AS (SELECT 0 AS step, node AS source, node, 1::DOUBLE AS r FROM deg UNION ALL
       SELECT step + 1, source, goes, sum(CASE WHEN pushed THEN 0.85 * r / d ELSE r END)
-      FROM (SELECT p.*, d, max(r / d) OVER (PARTITION BY source) AS most FROM p JOIN deg USING (node)) t JOIN ways w ON w.node = t.node AND w.pushed = (r >= 1e-3 * d) WHERE most >= 1e-3 GROUP BY step, source, goes),
-s AS (SELECT source, node, sum(0.15 * r) AS score FROM p JOIN deg USING (node) WHERE r >= 1e-3 * d GROUP BY 1, 2)
+      FROM (SELECT p.*, d, max(r / d) OVER (PARTITION BY source) AS most FROM p JOIN deg USING (node)) t JOIN ways w ON w.node = t.node AND w.pushed = (r >= 1e-4 * d) WHERE most >= 1e-4 GROUP BY step, source, goes),
+s AS (SELECT source, node, sum(0.15 * r) AS score FROM p JOIN deg USING (node) WHERE r >= 1e-4 * d GROUP BY 1, 2)
 SELECT source, rank::INTEGER AS rank, node, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, node) AS rank FROM s WHERE node <> source) WHERE rank <= 5
 """)
 def ppr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.personal_ranks(knn_edges(spark, sf_dir), 5, least=1e-3).select("source", "rank", "node", r("score"))
+    return traverse.personal_ranks(knn_edges(spark, sf_dir), 5).select("source", "rank", "node", r("score"))
 
 
 @registered(f"""
@@ -550,7 +550,7 @@ def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = cut_lineage(edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight"))
-    return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")), rounds=4, levels=2)
+    return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")))
 
 
 # -- sums over vectors --------------------------------------------------------------------------------
@@ -599,12 +599,12 @@ def centroid_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters.kmeans(vectors(spark, sf_dir), 10, rounds=10).select("id", "cluster", r("distance"))
+    return clusters.kmeans(vectors(spark, sf_dir), 10).select("id", "cluster", r("distance"))
 
 
 @registered()
 def batch_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = clusters.harmonise(vectors(spark, sf_dir), "label", k=5, rounds=3)
+    got = clusters.harmonise(vectors(spark, sf_dir), "label", k=5)
     return got.select("id", r(norm.total(F.col("corrected")), 6, "total"))
 
 
@@ -616,7 +616,7 @@ def anchor_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     found = clusters.anchors(v, 5)
     rows = {x.id: x.features for x in v.filter(F.col("id").isin(found)).collect()}  # the anchors alone
-    return clusters.simplex_weights(v, np.array([rows[i] for i in found], float), steps=50).select("id", r("rss"), r(F.array_max("weights"), 6, "top"))
+    return clusters.simplex_weights(v, np.array([rows[i] for i in found], float)).select("id", r("rss"), r(F.array_max("weights"), 6, "top"))
 
 
 @registered(f"""
@@ -629,23 +629,68 @@ def nystrom_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.nystrom_place(knn(spark, sf_dir), places).select("id", r("x"), r("y"))
 
 
+@registered(f"""
+WITH {VECTORS}, d AS (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(a.x, b.x) AS distance FROM v a JOIN v b ON a.label < 5 AND b.label >= 5),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other) AS rank FROM d) WHERE rank <= 5),
+w AS (SELECT id, other, exp(-((distance / greatest(max(distance) OVER (PARTITION BY id), 1e-6)) ** 2)) AS w FROM k)
+SELECT id, round(sum(w * x[1]) / sum(w), 6) + 0.0 AS x, round(sum(w * x[2]) / sum(w), 6) + 0.0 AS y FROM w JOIN v ON other = vec_id GROUP BY 1
+""")
+def placed_by_landmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the first five labels, placed by their nearest ones among the others."""
+    v = vectors(spark, sf_dir)
+    near = neighbours.between(v.filter("label < 5"), v.filter("label >= 5"), 5)
+    places = v.select(F.col("id").alias("other"), norm.doubles(F.col("features"))[0].alias("x"), norm.doubles(F.col("features"))[1].alias("y"))
+    return linear.nystrom_place(near, places, 2.0).select("id", r("x"), r("y"))
+
+
+@registered(f"""
+WITH {VECTORS}, e AS (SELECT vec_id, label, generate_subscripts(x, 1) AS k, unnest(x) AS y FROM v),
+m AS (SELECT label, k, avg(y) AS y FROM e GROUP BY 1, 2), t AS (SELECT label, k, y - avg(y) OVER (PARTITION BY k) AS y, dense_rank() OVER (ORDER BY label) - 1 AS topic FROM m),
+s AS (SELECT vec_id AS id, topic, sum(e.y * t.y) AS s FROM e JOIN t USING (k) GROUP BY 1, 2)
+SELECT id, topic::INTEGER AS topic, round(s - ln(sum(exp(s)) OVER (PARTITION BY topic)), 5) AS log_share FROM s
+""")
+def topic_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as features, the labels' means as topics."""
+    import numpy as np
+
+    v = vectors(spark, sf_dir).select("id", "label", norm.doubles(F.col("features")).alias("features"))
+    means = clusters.means_of(v.select("label", F.col("features").alias("v")), "label").orderBy("label").collect()  # a row for each label
+    return linear.topic_dictionary(v, np.array([m["mean"] for m in means])).select("id", F.col("topic").cast("int").alias("topic"), r("value", 5, "log_share"))
+
+
+@registered(f"""
+WITH {VECTORS}, d AS (SELECT list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.vec_id < b.vec_id AND a.label < 3 AND b.label < 3)
+SELECT round(max(d), 6) AS quantile FROM (SELECT d FROM d ORDER BY d LIMIT (SELECT 1 + floor(0.25 * (count(*) - 1))::BIGINT FROM d))
+""")
+def distance_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the vectors of the first three labels; of a larger table a sample."""
+    return neighbours.distance_quantile(vectors(spark, sf_dir).filter("label < 3"), 0.25).select(r("quantile"))
+
+
+@registered("WITH m AS (SELECT p_partkey, coalesce(avg(l_quantity), 0) AS v FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY 1) SELECT p_partkey, round(ln(greatest(v / sum(v) OVER (), 1e-3 / count(*) OVER ())), 6) AS log_share FROM m")
+def log_background(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    means = table(spark, sf_dir, "part").select("p_partkey").join(lines, "p_partkey", "left").groupBy("p_partkey").agg(F.avg("l_quantity").alias("value"))
+    return norm.log_background(means).select("p_partkey", r("log_share"))
+
+
 @registered()
 def diffusion_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight")
-    return layout.diffusion_map(weighted, rounds=6).select("node", r("x"), r("y"))
+    return layout.diffusion_map(weighted).select("node", r("x"), r("y"))
 
 
 @registered()
 def force_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight")
     start = vectors(spark, sf_dir).select(F.col("id").alias("node"), (20 * sampling.uniform(1, "id") - 10).alias("x"), (20 * sampling.uniform(2, "id") - 10).alias("y"))
-    return layout.attract_repel(weighted, start, rounds=5).select("node", r("x", 3), r("y", 3))
+    return layout.attract_repel(weighted, start).select("node", r("x", 3), r("y", 3))
 
 
 @registered()
 def pseudotime(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
-    nodes, tree = trajectory.principal_graph(v, 12, rounds=5)
+    nodes, tree = trajectory.principal_graph(v, 12)
     return trajectory.pseudotime(v, nodes, tree, 0).select("id", "edge", r("along", 4), r("time", 4))
 
 

@@ -279,3 +279,21 @@ def test_orders_in_ranges(spark):
     assert {i: (r.total, r["at"]) for i, r in got.items()} == want
     ids = frames.numbered(df.select("id"), F.col("id"), "no").collect()
     assert all(r.id == r.no for r in ids) and len(ids) == 2000
+
+
+def test_background_shares(spark):
+    df = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", -5.0), ("d", None)], "k string, value double")
+    got = {r.k: r.log_share for r in normalise.log_background(df).collect()}
+    assert got == pytest.approx({"a": math.log(0.75), "b": math.log(0.25), "c": math.log(1e-3 / 4), "d": math.log(1e-3 / 4)})
+    none = normalise.log_background(df.withColumn("value", F.lit(0.0))).collect()
+    assert [r.log_share for r in none] == pytest.approx([math.log(0.25)] * 4)
+    assert normalise.log_background(df.limit(0)).count() == 0
+
+
+def test_quantile_of_distances(spark):
+    x = np.random.default_rng(5).normal(size=(60, 3))
+    far = np.sort([np.linalg.norm(x[i] - x[j]) for i in range(60) for j in range(i + 1, 60)])
+    assert neighbours.distance_quantile(points(spark, x), 0.3).first().quantile == pytest.approx(far[int(0.3 * (len(far) - 1))])
+    drawn = neighbours.distance_quantile(points(spark, x), 0.5, most_rows=40).first().quantile
+    assert abs(drawn - np.median(far)) < 0.4
+    assert neighbours.distance_quantile(points(spark, x[:1]), 0.5).first().quantile is None
