@@ -83,19 +83,25 @@ def personal_ranks(edges: DataFrame, top: int, *, restart: float = 0.15, least:
     return ranked.filter(F.col("rank") <= top).select("source", "rank", "node", F.col("s").alias("score"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0, rounds: int = 20, levels: int = 5) -> DataFrame:
+def communities(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0, rounds: int = 20, levels: int = 5, objective: str = "modularity") -> DataFrame:
     """``node``, ``label``: communities of high modularity, by moving nodes in parallel and contracting.
 
     In each round half of the nodes (by a hash of node and round) may move to the neighbouring community with
     the largest gain, weight to it − k·K·resolution / 2W; then the communities become nodes. All is joins and
-    groupings; `nodes` has ``node``, `edges` a ``weight``.
+    groupings; `nodes` has ``node``, `edges` a ``weight``. With `objective` "cpm", the constant Potts model, k and K
+    are numbers of nodes and the gain is the weight − k·K·resolution.
     """
+    if objective not in ("modularity", "cpm"):
+        raise ValueError(f"no such objective: {objective}")
     graph = cut_lineage(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = graph.agg(F.sum("weight")).first()[0]
     members = cut_lineage(nodes.select("node", F.col("node").alias("label")))
     if not total:
         return members
-    masses = cut_lineage(degrees(graph, "weight").toDF("node", "k"))
+    masses, price = degrees(graph, "weight").toDF("node", "k"), resolution / (2 * total)
+    if objective == "cpm":
+        masses, price = masses.withColumn("k", F.lit(1.0)), resolution
+    masses = cut_lineage(masses)
     for level in range(levels):
         labels = cut_lineage(masses.select("node", F.col("node").alias("label")))
         around = cut_lineage(both_ways(graph).filter("src <> dst"))
@@ -105,8 +111,8 @@ def communities(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0,
             own = masses.join(labels, "node").join(mass, "label").select(F.col("node").alias("src"), "k", "label", F.col("mass").alias("mine"))
             scored = toward.join(own, "src").join(mass.toDF("to", "mass"), "to")
             rest = F.when(F.col("to") == F.col("label"), F.col("mass") - F.col("k")).otherwise(F.col("mass"))
-            gain = F.col("w") - F.col("k") * rest * resolution / (2 * total)
-            best = scored.groupBy("src").agg(F.max(F.struct(gain.alias("g"), (-F.col("to")).alias("t"))).alias("best"), F.max(F.when(F.col("to") == F.col("label"), gain)).alias("stay"), F.first(-F.col("k") * (F.col("mine") - F.col("k")) * resolution / (2 * total)).alias("alone"))
+            gain = F.col("w") - F.col("k") * rest * price
+            best = scored.groupBy("src").agg(F.max(F.struct(gain.alias("g"), (-F.col("to")).alias("t"))).alias("best"), F.max(F.when(F.col("to") == F.col("label"), gain)).alias("stay"), F.first(-F.col("k") * (F.col("mine") - F.col("k")) * price).alias("alone"))
             moves = best.filter((F.col("best.g") > F.coalesce("stay", "alone") + 1e-12) & (F.pmod(F.xxhash64("src", F.lit(r), F.lit(level)), F.lit(2)) == 0)).select(F.col("src").alias("node"), (-F.col("best.t")).alias("to"))
             moves = cut_lineage(moves)
             if moves.isEmpty() and r > 1:
@@ -123,6 +129,25 @@ def communities(edges: DataFrame, nodes: DataFrame, *, resolution: float = 1.0,
     return members
 
 
+def tuned_communities(edges: DataFrame, nodes: DataFrame, groups: int, *, resolution: float = 1.0, tries: int = 20, objective: str = "cpm", **options) -> DataFrame:
+    """``node``, ``label``: of communities at up to `tries` resolutions, those whose number comes nearest to `groups`.
+
+    Resolutions between 1e-6 and 10 are halved by their logarithms, from `resolution` on; nodes without edges count.
+    """
+    low, high = 1e-6, 10.0
+    best, off = None, None
+    for _ in range(tries):
+        labels = communities(edges, nodes, resolution=resolution, objective=objective, **options)
+        n = labels.select("label").distinct().count()
+        if off is None or abs(n - groups) < off:
+            best, off = labels, abs(n - groups)
+        low, high = (low, resolution) if n > groups else (resolution, high)
+        if off == 0 or high < low * 1.0001:
+            break
+        resolution = (low * high) ** 0.5
+    return best
+
+
 def spanning_tree(edges: DataFrame) -> DataFrame:
     """``src``, ``dst``, ``weight``: a minimum spanning forest, by each part's lightest edge to another, round by round."""
     graph = cut_lineage(edges.select("src", "dst", "weight"))

@@ -553,6 +553,14 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")))
 
 
+@registered()
+def communities_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Under the constant Potts model, at the resolution that stands for a modularity of 1 on equal degrees."""
+    weighted = cut_lineage(edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight"))
+    mean = weighted.agg(F.sum("weight")).first()[0] / (edges.degrees(weighted).count() ** 2) * 2  # of a pair of nodes
+    return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")), resolution=mean, objective="cpm")
+
+
 # -- sums over vectors --------------------------------------------------------------------------------
 
 

@@ -105,6 +105,18 @@ def test_communities_of_cliques(spark):
     assert all(len({labels[10 * c + a] for a in range(8)}) == 1 for c in range(4))
 
 
+def test_resolution_is_tuned_to_a_number_of_communities(spark):
+    pairs = [(a + 10 * c, b + 10 * c) for c in range(4) for a in range(8) for b in range(a + 1, 8)] + [(7, 10), (17, 20), (27, 30)]
+    nodes = spark.createDataFrame([(a + 10 * c,) for c in range(4) for a in range(8)], "node long")
+    graph = edge_list(spark, pairs)
+    alone = traverse.communities(graph, nodes, resolution=2.0, rounds=8, levels=2, objective="cpm")
+    assert alone.select("label").distinct().count() == 32  # an edge weighs less than two nodes cost
+    labels = {r.node: r.label for r in traverse.tuned_communities(graph, nodes, 4, resolution=2.0, rounds=8, levels=2).collect()}
+    assert len(set(labels.values())) == 4 and all(len({labels[10 * c + a] for a in range(8)}) == 1 for c in range(4))
+    with pytest.raises(ValueError):
+        traverse.communities(graph, nodes, objective="other")
+
+
 def test_kmeans_finds_blobs(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(loc=c, scale=0.1, size=(30, 2)) for c in ((0, 0), (5, 5), (0, 5))])
