@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..frames import components, cut_lineage, numbered
-from .edges import both_ways, degrees
+from ..frames import components, cut_lineage, drop, numbered, with_totals
+from .edges import both_ways, contract, degrees
+
+#: Of two groups that wait at the same neighbour, the weaker link is at least this share of the other.
+STRONG = 0.5
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -148,6 +151,60 @@ def tuned_communities(edges: DataFrame, nodes: DataFrame, groups: int, *, resolu
     return best
 
 
+def _merges(graph: DataFrame, sizes: DataFrame, draw: int) -> DataFrame:
+    """``direct``, ``link``, ``a`` < ``b``: the groups that merge in a round of `coarsened`, each in one row at most."""
+    sized = graph.join(sizes.toDF("src", "_m"), "src").join(sizes.toDF("dst", "_n"), "dst")
+    edge = F.struct((F.col("weight") / (F.col("_m") * F.col("_n"))).alias("link"), F.xxhash64("src", "dst", F.lit(draw)).alias("tie"), "src", "dst")
+    ends = F.array(*(F.struct(F.col(x).alias("node"), F.col(y).alias("other")) for x, y in (("src", "dst"), ("dst", "src"))))
+    picks = sized.withColumn("e", edge).select("e", F.explode(ends).alias("end")).groupBy("end.node").agg(F.max(F.struct("e", "end.other")).alias("pick"))
+    picks = cut_lineage(picks.select("node", "pick.other", "pick.e"))
+    mutual = picks.groupBy("e").agg(F.count("*").alias("picked")).filter("picked = 2").select(F.lit(True).alias("direct"), "e.link", F.col("e.src").alias("a"), F.col("e.dst").alias("b"))
+    mutual = cut_lineage(mutual)
+    taken = mutual.select(F.explode(F.array("a", "b")).alias("node"))
+    waiting = picks.join(taken, "node", "left_anti").join(taken.toDF("other"), "other").select("node", "other", "e.link")
+    # those that wait at a hub are dealt to parts of about a thousand, and paired by link within
+    dealt = with_totals(waiting, ["other"], n=F.count("*")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(draw)), F.ceil(F.col("n") / 1000)))
+    place = F.row_number().over(W.partitionBy("other", "part").orderBy(F.desc("link"), "node"))
+    pairs = dealt.withColumn("slot", F.floor((place - 1) / 2)).groupBy("other", "part", "slot").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("link").alias("link"), F.max("link").alias("top"))
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.col("link") >= STRONG * F.col("top"))).select(F.lit(False).alias("direct"), "link", "a", "b")
+    out = cut_lineage(mutual.unionByName(pairs))
+    drop(picks, mutual)
+    return out
+
+
+def coarsened(edges: DataFrame, nodes: DataFrame, target: int, *, seed: int = 42) -> DataFrame:
+    """``node``, ``label``: groups of `nodes`, `target` of them or as few as the graph allows; the label is the least node.
+
+    In each round a group picks the neighbour that it is most strongly linked to (``weight`` / product of the
+    sizes, so that small groups come first); groups that pick each other merge. Groups whose pick is taken wait
+    for the next round, or pair up with one that waits at the same neighbour with a link of at least half as
+    much, so a hub does not hold the rounds back. The last round takes its strongest merges. Nodes without edges
+    stay alone; ties go by a hash of `seed`. Edges of other nodes are left out.
+    """
+    members = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    sizes = cut_lineage(nodes.select("node", F.lit(1).cast("long").alias("size")))
+    graph = cut_lineage(contract(edges, members))
+    count, draw = members.count(), seed
+    while count > target:
+        merges, draw = _merges(graph, sizes, draw), draw + 1
+        n = merges.count()
+        if n == 0:
+            break
+        chosen = merges
+        if n > count - target:
+            order = F.struct(~F.col("direct"), -F.col("link"), F.col("a"))
+            chosen, n = numbered(merges, order, "no").filter(F.col("no") < count - target), count - target
+        labels = cut_lineage(sizes.join(chosen.select(F.col("b").alias("node"), F.col("a").alias("to")), "node", "left").select("node", "size", F.coalesce("to", "node").alias("label")))
+        to = labels.select(F.col("node").alias("_at"), F.col("label").alias("_to"))
+        old = members, sizes, graph, merges, labels
+        members = cut_lineage(members.toDF("node", "_at").join(to, "_at").select("node", F.col("_to").alias("label")))
+        sizes = cut_lineage(labels.groupBy("label").agg(F.sum("size").alias("size")).toDF("node", "size"))
+        graph = cut_lineage(contract(graph, labels.select("node", "label")))
+        drop(*old)
+        count -= n
+    return members
+
+
 def spanning_tree(edges: DataFrame) -> DataFrame:
     """``src``, ``dst``, ``weight``: a minimum spanning forest, by each part's lightest edge to another, round by round."""
     graph = cut_lineage(edges.select("src", "dst", "weight"))

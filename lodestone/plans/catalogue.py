@@ -561,6 +561,16 @@ def communities_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")), resolution=mean, objective="cpm")
 
 
+@registered()
+def coarsened_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth as many groups as vectors, by heavy edges of the fuzzy graph, and the means of the vectors in each."""
+    points = vectors(spark, sf_dir)
+    graph = cut_lineage(edges.fuzzy_union(edges.memberships(knn(spark, sf_dir))))
+    labels = traverse.coarsened(graph, points.select(F.col("id").alias("node")), max(1, points.count() // 10))
+    means = lookups.group_means(lookups.melt(points).select("row", "col", "value"), labels.toDF("row", "group"))
+    return means.select("group", "col", r("value"), "size")
+
+
 # -- sums over vectors --------------------------------------------------------------------------------
 
 

@@ -117,6 +117,26 @@ def test_resolution_is_tuned_to_a_number_of_communities(spark):
         traverse.communities(graph, nodes, objective="other")
 
 
+def test_coarsening_reaches_its_target(spark):
+    pairs = [(a + 10 * c, b + 10 * c, 1.0) for c in range(4) for a in range(8) for b in range(a + 1, 8)] + [(7, 10, 0.01), (17, 20, 0.01), (27, 30, 0.01)]
+    graph = spark.createDataFrame(pairs, "src long, dst long, weight double")
+    nodes = spark.createDataFrame([(a + 10 * c,) for c in range(4) for a in range(8)] + [(99,)], "node long")
+    for target in (33, 5):
+        labels = {r.node: r.label for r in traverse.coarsened(graph, nodes, target).collect()}
+        groups = {}
+        for node, label in labels.items():
+            groups.setdefault(label, []).append(node)
+        assert len(labels) == 33 and len(groups) == target and all(label == min(g) for label, g in groups.items())
+        assert all(len({node // 10 for node in g}) == 1 for g in groups.values())  # no group spans two cliques
+    assert len({r.label for r in traverse.coarsened(graph, nodes, 1).collect()}) == 2  # a piece each
+    star = edge_list(spark, [(0, k) for k in range(1, 40)])
+    leaves = spark.createDataFrame([(k,) for k in range(40)], "node long")
+    sizes = [r["count"] for r in traverse.coarsened(star, leaves, 20).groupBy("label").count().collect()]
+    assert sorted(sizes) == [2] * 20  # leaves that wait at the hub pair up in the first round
+    assert traverse.coarsened(star.limit(0), leaves, 3).select("label").distinct().count() == 40
+    assert traverse.coarsened(star, leaves.limit(0), 3).count() == 0
+
+
 def test_kmeans_finds_blobs(spark):
     rng = np.random.default_rng(4)
     x = np.vstack([rng.normal(loc=c, scale=0.1, size=(30, 2)) for c in ((0, 0), (5, 5), (0, 5))])
