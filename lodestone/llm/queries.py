@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprints, line_dedup, mixing, near_dedup, pii, quality_rules, secret_scan, substring_dedup, token_counts
+from . import bpe_codec, fingerprints, hard_negatives, language_id, line_dedup, mixing, near_dedup, pii, quality_rules, secret_scan, substring_dedup, token_counts, vector_codes
 from .spans import written
 
 
@@ -157,6 +157,80 @@ FROM sets JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
 """
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(embeddings(spark, sf_dir).withColumn("label", label))
+
+
+OP11_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs = documents(spark, sf_dir).withColumn("held_out", F.coalesce(held, F.lit(False)))
+    model = language_id.fit(docs.filter(~F.col("held_out")), ident="doc_id", text="text", lang="lang")
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.encode(embeddings(spark, sf_dir))
+    digits = F.array_join(F.regexp_extract_all(F.lower(F.hex("code")), F.lit("(..)")), "")
+    coded = vector_codes.with_label_error(coded)
+    return coded.select("vec_id", digits.alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds written out one after the other."""
+    found = """
+dist{r} AS MATERIALIZED (
+  SELECT vec_id, p, k, sum((x.v - b.v) * (x.v - b.v)) AS d FROM numbers x JOIN book{r} b USING (p, d0) GROUP BY vec_id, p, k
+), at{r} AS MATERIALIZED (SELECT vec_id, p, arg_min(k, (d, k)) AS k, min(d) AS d FROM dist{r} GROUP BY vec_id, p)"""
+    moved = """, book{s} AS MATERIALIZED (
+  SELECT b.p, b.k, b.d0, coalesce(m.v, b.v) AS v FROM book{r} b LEFT JOIN (
+    SELECT p, k, d0, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS v FROM numbers JOIN at{r} USING (vec_id, p) GROUP BY p, k, d0
+  ) m USING (p, k, d0)
+),"""
+    steps = "".join(found.format(r=r) + moved.format(r=r, s=r + 1) for r in range(rounds)) + found.format(r=rounds)
+    return f"""
+WITH kept AS (
+  SELECT * FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbers AS MATERIALIZED (
+  SELECT vec_id, i * {parts} // len(embedding) AS p, i % (len(embedding) // {parts}) AS d0, floor(4096 * embedding[i + 1]::DOUBLE)::BIGINT AS v
+  FROM (SELECT *, unnest(range(len(embedding))) AS i FROM kept)
+), firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT {entries}
+), book0 AS MATERIALIZED (SELECT p, k, d0, v FROM numbers JOIN firsts USING (vec_id)), {steps}
+, coded AS (
+  SELECT vec_id, string_agg(printf('%02x', k::INTEGER), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM at{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY p, k, d0)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_source_mix": op2_source_mix,
@@ -168,5 +242,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_language_id": op12_language_id,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_source_mix": OP2_SQL, "op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_vector_codes": _op13_sql()}
