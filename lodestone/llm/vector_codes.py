@@ -193,7 +193,7 @@ def encode(
         size = books.size
         moved = books.copy()
         for k, count in enumerate(flat[size + j] for j in range(books.shape[0] * books.shape[1])):
-            if count:
+            if count and sub:
                 moved.reshape(-1, sub)[k] = [flat[k * sub + j] // count for j in range(sub)]
         drift = np.sqrt(((moved - books) ** 2).sum(2)) * (1 + 1e-12)
         books = moved
