@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..frames import cut_lineage, shared_folder, with_totals
 from ..functions import normalise as norm
 from ..functions.special import approx_lgamma
-from ..operators import clusters, edges, gamma, layout, likelihood, linear, lookups, neighbours, sampling, stats, trajectory, traverse
+from ..operators import branching, clusters, edges, gamma, layout, likelihood, linear, lookups, neighbours, refined, sampling, stats, trajectory, traverse
 from ..sources import sinks, tables
 from ..streaming import stats as streams
 
@@ -561,6 +561,37 @@ def communities_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.communities(weighted, vectors(spark, sf_dir).select(F.col("id").alias("node")), resolution=mean, objective="cpm")
 
 
+@registered("SELECT vec_id AS node, true AS whole, true AS least_name, true AS no_worse FROM embeddings")
+def refined_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each vector: is its community connected and named by its least member, and are all together worth no less than the given labels are?"""
+    graph = cut_lineage(edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight"))
+    points = vectors(spark, sf_dir).select(F.col("id").alias("node"), F.lit(1.0).alias("weight"), "label")
+    mean = graph.agg(F.sum("weight")).first()[0] / max(1, points.count()) ** 2 * 2  # of a pair of nodes
+    labels = refined.refined_communities(graph, points, resolution=mean, passes=1)
+    worth = lambda found: edges.quality(graph, found, points, mean * 2 * graph.agg(F.sum("weight")).first()[0])
+    better = worth(labels).withColumnRenamed("cpm", "own").join(F.broadcast(worth(points.select("node", "label"))))  # one row each
+    parts = refined.connected_parts(graph, labels).withColumnRenamed("label", "part")
+    groups = with_totals(labels.join(parts, "node"), ["label"], first=F.min("part"), last=F.max("part"), least=F.min("node"))
+    checked = groups.select("node", (F.col("first") == F.col("last")).alias("whole"), (F.col("label") == F.col("least")).alias("least_name"))
+    return checked.join(F.broadcast(better.select((F.col("own") >= F.col("cpm")).alias("no_worse"))))
+
+
+LINK = 1.05
+
+
+@registered(f"""
+WITH RECURSIVE {EDGES}, k AS MATERIALIZED (SELECT src, dst, distance, row_number() OVER (ORDER BY distance, src, dst) AS rank FROM e WHERE distance < {LINK}), ways AS MATERIALIZED (SELECT src AS node, dst AS goes, rank FROM k UNION ALL SELECT dst, src, rank FROM k),
+lighter AS (SELECT rank AS edge, src AS node FROM k UNION SELECT edge, goes FROM lighter JOIN ways USING (node) WHERE ways.rank < edge)
+SELECT src, dst, round(distance, 6) AS distance FROM k WHERE NOT EXISTS (SELECT 1 FROM lighter WHERE edge = k.rank AND node = k.dst)
+""")
+def branching_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of the branching of nearest neighbours, whose arcs weigh as much in either direction: those of a spanning forest."""
+    arcs = edges.both_ways(knn_edges(spark, sf_dir)).select("src", "dst", (-F.col("distance")).alias("weight"))
+    found = branching.max_branching(arcs, vectors(spark, sf_dir).select(F.col("id").alias("node"), F.lit(-LINK).alias("affinity")))
+    links = found.filter("parent IS NOT NULL")
+    return links.select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"), r(-F.col("weight"), 6, "distance"))
+
+
 @registered()
 def coarsened_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth as many groups as vectors, by heavy edges of the fuzzy graph, and the means of the vectors in each."""
