@@ -120,23 +120,25 @@ def numbered(rows: DataFrame, order: Column, name: str) -> DataFrame:
     return placed.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
-def running(rows: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], least: bool = False) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[Column], values: dict[str, Column], least: bool = False, total: str | None = None) -> DataFrame:
     """`rows` with a column for each of `values`: the sum (or the least) over the rows of the same `keys` up to and with the row.
 
-    `order` should leave no ties. A hot key is split into ranges; only what ranges add up to meets by key.
+    `order` should leave no ties. A hot key is split into ranges; only what ranges add up to meets by key. `total` names
+    a further column, with the first value's sum (or least) over all rows of the same `keys`.
     """
     fold = F.min if least else F.sum
     placed = ranged(rows.withColumns({f"_v_{c}": v for c, v in values.items()}), *(F.col(c) for c in keys), *order)
     parts = placed.groupBy(*keys, "_part").agg(*(fold(f"_v_{c}").alias(f"_s_{c}") for c in values))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(*(F.col(c).alias(f"_k_{c}") for c in keys), F.col("_part").alias("_range"), *(fold(f"_s_{c}").over(earlier).alias(f"_b_{c}") for c in values))
+    whole = [fold(f"_s_{next(iter(values))}").over(W.partitionBy(*keys)).alias(total)] if total else []
+    parts = parts.select(*(F.col(c).alias(f"_k_{c}") for c in keys), F.col("_part").alias("_range"), *(fold(f"_s_{c}").over(earlier).alias(f"_b_{c}") for c in values), *whole)
     same = F.col("_part") == F.col("_range")
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     within = W.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(W.unboundedPreceding, 0)
     out = placed.withColumns({c: fold(f"_v_{c}").over(within) for c in values}).join(parts, same)
     out = out.withColumns({c: F.least(c, f"_b_{c}") if least else F.col(c) + F.coalesce(f"_b_{c}", F.lit(0)) for c in values})
-    return out.select(*(c for c in rows.columns if c not in values), *values)
+    return out.select(*(c for c in rows.columns if c not in values), *values, *([total] if total else []))
 
 
 def with_totals(rows: DataFrame, keys: list[str], **totals: Column) -> DataFrame:

@@ -31,14 +31,18 @@ def running_stats(cells: DataFrame, keys: list[str], size: int | Column | None =
 
 
 def _at_places(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
-    """A column for each of `places`, numbers from 0 in a group's ordered values by ``_n``, with what stands there; and ``_n``."""
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
-    placed = with_totals(running(rows, keys, [F.col("_x")], {"_r": F.lit(1)}), keys, _n=F.count("*"))
+    """A column for each of `places`, numbers from 0 in a group's ordered values by ``_n``, with what stands there; and ``_n``.
+
+    Distinct values are counted first, so that equal ones, however many, are one row of a range.
+    """
+    levels = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
+    placed = running(levels, keys, [F.col("_x")], {"_to": F.col("_c")}, total="_n")
+    here = lambda at: (at < F.col("_to")) & (at >= F.col("_to") - F.col("_c"))
     hit = F.lit(False)
     for at in places.values():
-        hit = hit | (F.col("_r") == at + 1)
+        hit = hit | here(at)
     # a few rows a group are left
-    return placed.filter(hit).groupBy(*keys).agg(F.first("_n").alias("_n"), *(F.max(F.when(F.col("_r") == at + 1, F.col("_x"))).alias(c) for c, at in places.items()))
+    return placed.filter(hit).groupBy(*keys).agg(F.first("_n").alias("_n"), *(F.max(F.when(here(at), F.col("_x"))).alias(c) for c, at in places.items()))
 
 
 def floor_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
@@ -71,7 +75,7 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", ident: str = "id") -> Dat
     """
     known = tests.filter(F.col(p).isNotNull() & ~F.isnan(p))
     levels = known.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
-    ranked = with_totals(running(levels, [], [F.col("_p")], {"_rank": F.col("_c")}), [], _m=F.sum("_c"))
+    ranked = running(levels, [], [F.col("_p")], {"_rank": F.col("_c")}, total="_m")
     least = running(ranked, [], [F.col("_p").desc()], {"_q": F.col("_p") * F.col("_m") / F.col("_rank")}, least=True)
     least = least.select("_p", F.greatest(F.least(F.col("_q"), F.lit(1.0)), F.lit(0.0)).alias("q"))
     return tests.join(least, F.col(p) == F.col("_p"), "left").drop("_p")

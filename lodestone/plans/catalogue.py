@@ -15,7 +15,7 @@ from ..frames import cut_lineage, shared_folder, with_totals
 from ..functions import normalise as norm
 from ..functions.special import approx_lgamma
 from ..operators import branching, clusters, edges, gamma, layout, likelihood, linear, lookups, neighbours, refined, sampling, stats, trajectory, traverse
-from ..sources import sinks, tables
+from ..sources import ordered, sinks, tables
 from ..streaming import stats as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,16 +81,18 @@ def column_running_stats_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("l_suppkey", "nnz", r("tot", 2), r("mu", 4), r("sig", 2))
 
 
-def _normalised(name: str, change: Callable[[DataFrame], DataFrame], sql: str) -> None:
+def _normalised(name: str, change: Callable[[DataFrame], DataFrame], sql: str, exact: bool = False) -> None:
+    """`exact`: quotients of whole numbers, which are the same on both sides, and can be ties at any number of digits."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return change(cells(spark, sf_dir)).select("row", "col", r("value"))
+        return change(cells(spark, sf_dir)).select("row", "col", F.col("value") if exact else r("value"))
 
     query.__name__ = name
-    registered(f"WITH {CELLS} SELECT row, col, round({sql}, 6) + 0.0 AS value FROM cells")(query)
+    registered(f"WITH {CELLS} SELECT row, col, {sql if exact else f'round({sql}, 6) + 0.0'} AS value FROM cells")(query)
 
 
-_normalised("sum_to_one_columns", lambda c: norm.sum_to_one(c, "col"), "value / sum(value) OVER (PARTITION BY col)")
-_normalised("sum_to_one_rows", lambda c: norm.sum_to_one(c, "row"), "value / sum(value) OVER (PARTITION BY row)")
+_normalised("sum_to_one_columns", lambda c: norm.sum_to_one(c, "col"), "value / sum(value) OVER (PARTITION BY col)", exact=True)
+_normalised("sum_to_one_rows", lambda c: norm.sum_to_one(c, "row"), "value / sum(value) OVER (PARTITION BY row)", exact=True)
 _normalised("unit_length_columns", lambda c: norm.unit_length(c, "col"), "value / greatest(sqrt(sum(value * value) OVER (PARTITION BY col)), 1e-8)")
 _normalised("centre_rows", lambda c: norm.centre(c, "row"), "value - avg(value) OVER (PARTITION BY row) + 0.0")
 _normalised("scale_columns", lambda c: norm.scale(c, "col"), "CASE WHEN stddev_pop(value) OVER (PARTITION BY col) > 0 THEN (value - avg(value) OVER (PARTITION BY col)) / stddev_pop(value) OVER (PARTITION BY col) ELSE value - avg(value) OVER (PARTITION BY col) END + 0.0")
@@ -322,11 +324,11 @@ def matrix_of_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"""
 WITH {CELLS}, g AS (SELECT p_partkey AS row, p_brand AS "group" FROM part), n AS (SELECT "group", count(*) AS size FROM g GROUP BY 1)
-SELECT "group", col, round(sum(value) / size, 6) AS value, size FROM cells JOIN g USING (row) JOIN n USING ("group") GROUP BY "group", col, size
+SELECT "group", col, sum(value) / size AS value, size FROM cells JOIN g USING (row) JOIN n USING ("group") GROUP BY "group", col, size
 """)
 def group_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row"), F.col("p_brand").alias("group"))
-    return lookups.group_means(cells(spark, sf_dir), groups).select("group", "col", r("value"), "size")
+    return lookups.group_means(cells(spark, sf_dir), groups).select("group", "col", "value", "size")
 
 
 # -- neighbours and graphs ----------------------------------------------------------------------------
@@ -576,7 +578,7 @@ def refined_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.join(F.broadcast(better.select((F.col("own") >= F.col("cpm")).alias("no_worse"))))
 
 
-LINK = 1.05
+LINK = 1.1
 
 
 @registered(f"""
@@ -1118,6 +1120,25 @@ def stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("l_suppkey", "nnz", r("tot", 2), r("mu", 4), r("sig", 2))
 
 
+@registered("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS no, o_orderstatus AS row, o_custkey::DOUBLE AS customer, round(o_totalprice, 4) AS price FROM orders")
+def lines_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as lines of several files, whose names repeat, read again with their numbers."""
+    path = _file(spark, ".tsv")
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("\t", "o_orderstatus", F.col("o_custkey").cast("string"), F.col("o_totalprice").cast("string")).alias("value"))
+    ordered.write_in_order(lines, path, F.col("o_orderkey"))
+    rows, _ = ordered.read_delimited(spark, path, header=None)
+    return rows.select("no", "row", F.get("features", F.lit(0)).alias("customer"), r(F.get("features", F.lit(1)), 4, "price"))
+
+
+@registered("SELECT (row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR AS row, (o_custkey % 7)::DOUBLE AS a, (o_custkey % 2)::DOUBLE AS b FROM orders")
+def rows_without_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix of parquet files without row names, most of whose rows repeat."""
+    path = _file(spark, ".parquet")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).alias("a"), (F.col("o_custkey") % 2).alias("b"))
+    sinks.write_table(orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("a", "b"), path)
+    return tables.read_matrix(spark, path).select("row", F.get("features", F.lit(0)).alias("a"), F.get("features", F.lit(1)).alias("b"))
+
+
 @registered(f"WITH {CELLS} SELECT row, col AS \"column\", round((1 + value) / (1 + price / 1000), 6) AS mean, round(sqrt(1 + value) / (1 + price / 1000), 6) AS sd, 0.0::DOUBLE AS log_mean FROM cells")
 def parameter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _file(spark, ".parquet")

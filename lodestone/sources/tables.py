@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..frames import numbered
+from .ordered import numbered_lines, numbered_rows
+
 NUMERIC = (T.FloatType, T.DoubleType, T.IntegerType, T.LongType)
 
 
@@ -32,7 +35,8 @@ def text_lines(spark: SparkSession, path: str, comments: str = "^#") -> DataFram
 
 def header_of(spark: SparkSession, path: str) -> str | None:
     """The first line after ``##`` lines, without one leading ``#``: what `read_table` takes as header."""
-    first = spark.read.text(path).filter(~F.col("value").startswith("##") & (F.trim("value") != "")).limit(1).collect()
+    file = spark.read.text(path).select(F.min("_metadata.file_path")).first()[0]
+    first = spark.read.text(file or path).filter(~F.col("value").startswith("##") & (F.trim("value") != "")).limit(1).collect()
     return first[0].value.removeprefix("#") if first else None
 
 
@@ -52,7 +56,10 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None)
     delimiter = detect_delimiter(head)
     every = [x.strip().strip("\"'") for x in (head.split() if delimiter == r"\s+" else head.split(delimiter))]
     names = _checked(columns or every, every)
-    rows = text_lines(spark, path).filter(F.col("value") != head)
+    # the header is the first line of its kind; lines that equal it further down are rows
+    lines = numbered_lines(spark, path).filter(~F.col("value").startswith("##") & (F.trim("value") != ""))
+    first = lines.agg(F.min("no")).first()[0]
+    rows = lines.filter((F.col("no") > first) & ~F.col("value").startswith("#"))
     fields = rows.select(split_fields(F.col("value"), delimiter).alias("f"))
     return fields.select(*(F.coalesce(F.get("f", F.lit(every.index(c))), F.lit("")).alias(c) for c in names))
 
@@ -83,7 +90,8 @@ def read_string_column(spark: SparkSession, path: str, column: str) -> DataFrame
 def matrix_of(df: DataFrame, row_name: str | None = None, indices: list[int] | None = None, names: list[str] | None = None) -> DataFrame:
     """``row``, ``features`` of a table's numeric columns; `indices` and `names` together select their union.
 
-    Without `row_name` the first text column names rows; without any, rows are numbered by a digest of theirs.
+    Without `row_name` the first text column names rows; without any they are numbered from 0 in the order of their
+    values, so that equal rows have keys of their own. (`read_matrix` numbers in the order of files.)
     """
     place = first_string_column(df)
     row_name = row_name or (df.columns[place] if place is not None else None)
@@ -93,14 +101,22 @@ def matrix_of(df: DataFrame, row_name: str | None = None, indices: list[int] | N
         numeric = [c for c in numeric if c in set(chosen)]
     if not numeric:
         raise ValueError("no numeric columns")
-    row = F.col(f"`{row_name}`").cast("string") if row_name else F.sha1(F.to_json(F.struct(*numeric)))
-    return df.select(row.alias("row"), F.array(*(F.col(f"`{c}`").cast("double") for c in numeric)).alias("features"))
+    features = F.array(*(F.col(f"`{c}`").cast("double") for c in numeric)).alias("features")
+    if row_name:
+        return df.select(F.col(f"`{row_name}`").cast("string").alias("row"), features)
+    return numbered(df.select(features), F.col("features"), "row").select(F.col("row").cast("string").alias("row"), "features")
 
 
 def read_matrix(spark: SparkSession, path: str, **selection) -> DataFrame:
-    """``row``, ``features``: a matrix by its path's ending; text has row names first and no header."""
+    """``row``, ``features``: a matrix by its path's ending; text has row names first and no header.
+
+    Rows of parquet without names are numbered from 0 in the order of files and rows.
+    """
     if is_parquet(path):
-        return matrix_of(spark.read.parquet(path), **selection)
+        df = spark.read.parquet(path)
+        if not selection.get("row_name") and first_string_column(df) is None:
+            return matrix_of(numbered_rows(spark, path, "_no"), "_no", **{k: v for k, v in selection.items() if k != "row_name"})
+        return matrix_of(df, **selection)
     line = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
     if not line:
         return spark.createDataFrame([], "row string, features array<double>")
