@@ -136,6 +136,28 @@ def nystrom_place(neighbours: DataFrame, places: DataFrame, alpha: float = 40.0)
     return weighed.join(places, "other").groupBy("id").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("y")) / F.sum("w")).alias("y"))
 
 
+def nystrom_basis(points: DataFrame, landmarks: int, *, ident: str = "id", vector: str = "features", seed: int = 42, least: float = 1e-10) -> DataFrame:
+    """``id``, ``basis``: coordinates U of the rows X with UUᵀ near XXᵀ, from `landmarks` rows L drawn by a hash of the id.
+
+    U = XLᵀ(LLᵀ)^-½, where directions of LLᵀ with less than `least` of its largest eigenvalue are left out: one pass,
+    with landmarks × width numbers in the driver. Exact if the landmarks span the rows. Columns go by falling eigenvalue.
+    """
+    rows = _rows(points, ident, vector)
+    drawn = np.array([r.v for r in rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(landmarks).collect()], float)
+    if not drawn.size:
+        return rows.select("id", F.array().cast("array<double>").alias("basis")).limit(0)
+    values, vectors = top_eigen(drawn @ drawn.T, len(drawn))
+    kept = values > least * max(values[0], 1e-300)
+    turn = drawn.T @ vectors[:, kept] / np.sqrt(values[kept])
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((x @ turn).tolist(), pa.list_(pa.float64()))], ["id", "basis"])
+
+    return rows.mapInArrow(project, "id long, basis array<double>")
+
+
 def topic_dictionary(features: DataFrame, topics: np.ndarray, ident: str = "id", vector: str = "features") -> DataFrame:
     """``id``, ``topic``, ``value``: log shares of the features in each topic, by the topics' departures from their mean.
 

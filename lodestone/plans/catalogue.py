@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..frames import cut_lineage, shared_folder, with_totals
 from ..functions import normalise as norm
 from ..functions.special import approx_lgamma
-from ..operators import branching, clusters, edges, gamma, layout, likelihood, linear, lookups, neighbours, refined, sampling, stats, trajectory, traverse
+from ..operators import archetypes, branching, cell_index, clusters, curves, edges, gamma, layout, likelihood, linear, lookups, neighbours, refined, sampling, stats, trajectory, traverse
 from ..sources import ordered, sinks, tables
 from ..streaming import stats as streams
 
@@ -569,8 +569,8 @@ def refined_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = cut_lineage(edges.kernel_weights(knn_edges(spark, sf_dir)).select("src", "dst", "weight"))
     points = vectors(spark, sf_dir).select(F.col("id").alias("node"), F.lit(1.0).alias("weight"), "label")
     mean = graph.agg(F.sum("weight")).first()[0] / max(1, points.count()) ** 2 * 2  # of a pair of nodes
-    labels = refined.refined_communities(graph, points, resolution=mean, passes=1)
-    worth = lambda found: edges.quality(graph, found, points, mean * 2 * graph.agg(F.sum("weight")).first()[0])
+    labels = refined.refined_communities(graph, points.select("node"), resolution=mean, passes=1)
+    worth = lambda found: edges.quality(graph, found, points.select("node", "weight"), mean * 2 * graph.agg(F.sum("weight")).first()[0])
     better = worth(labels).withColumnRenamed("cpm", "own").join(F.broadcast(worth(points.select("node", "label"))))  # one row each
     parts = refined.connected_parts(graph, labels).withColumnRenamed("label", "part")
     groups = with_totals(labels.join(parts, "node"), ["label"], first=F.min("part"), last=F.max("part"), least=F.min("node"))
@@ -604,6 +604,82 @@ def coarsened_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.select("group", "col", r("value"), "size")
 
 
+@registered(f"WITH {EDGES} SELECT src, dst, round(40 * (2 - distance) / (SELECT max(2 - distance) FROM e), 4) AS expected, true AS near, true AS spread FROM e")
+def edge_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each edge of nearest neighbours, weighed by 2 − distance, is used in 40 rounds, and in the first half of them."""
+    weighed = knn_edges(spark, sf_dir).withColumn("weight", 2 - F.col("distance"))
+    shares = weighed.withColumn("share", F.col("weight") / weighed.agg(F.max("weight")).first()[0])
+    uses = lambda rounds: sum((layout.used_in(k, "share", 42, "src", "dst").cast("int") for k in rounds), F.lit(0))
+    off = lambda rounds: F.abs(uses(rounds) - len(rounds) * F.col("share")) < 1
+    return shares.select("src", "dst", r(40 * F.col("share"), 4, "expected"), off(range(40)).alias("near"), off(range(20)).alias("spread"))
+
+
+@registered(f"""
+WITH {EDGES}, g AS (SELECT label, k, avg(y) AS m FROM (SELECT label, generate_subscripts(x, 1) AS k, unnest(x) AS y FROM v) GROUP BY 1, 2), means AS (SELECT label, list(m ORDER BY k) AS m FROM g GROUP BY 1),
+own AS (SELECT vec_id AS node, label FROM v), near AS (SELECT DISTINCT a.label, b.label AS "group" FROM adj JOIN own a ON src = a.node JOIN own b ON dst = b.node UNION SELECT label, label FROM own),
+apart AS (SELECT vec_id, list_distance(x, m) AS d, n."group"::DOUBLE AS x, (n."group" * n."group")::DOUBLE AS y FROM v JOIN near n USING (label) JOIN means ON means.label = n."group"),
+s AS (SELECT *, max(d) FILTER (k <= 5) OVER (PARTITION BY vec_id) AS sigma FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, x) AS k FROM apart)), w AS (SELECT *, exp(-power(d / sigma, 10)) AS w FROM s)
+SELECT vec_id AS node, round(sum(w * x) / sum(w), 4) AS x, round(sum(w * y) / sum(w), 4) AS y FROM w GROUP BY 1
+""")
+def placed_by_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors placed by the labels near them, each label at (label, label²)."""
+    points = vectors(spark, sf_dir)
+    labels = points.select(F.col("id").alias("node"), "label")
+    means = clusters.means_of(points.select("label", F.transform("features", lambda x: x.cast("double")).alias("v")), "label")
+    places = labels.select(F.col("label").alias("node")).distinct().select("node", F.col("node").cast("double").alias("x"), (F.col("node") * F.col("node")).cast("double").alias("y"))
+    linked = edges.contract(knn_edges(spark, sf_dir).withColumn("weight", F.lit(1.0)), labels)
+    return layout.place_members(points, labels, means, linked, places).select("node", r("x", 4), r("y", 4))
+
+
+@registered("SELECT vec_id AS node, true AS placed FROM embeddings")
+def multilevel_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors laid out from coarse to fine over the fuzzy graph of their neighbours."""
+    graph = cut_lineage(edges.fuzzy_union(edges.memberships(knn(spark, sf_dir))))
+    places = layout.multilevel_layout(vectors(spark, sf_dir), graph, rounds=20, refine=5)
+    sound = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < 1e6)
+    return places.select("node", (sound("x") & sound("y")).alias("placed"))
+
+
+@registered(f"WITH {KNN} SELECT id, rank, other, round(distance, 6) AS distance FROM knn WHERE id % 50 = 0")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all vectors is saved; then every fiftieth is searched by its name, in all cells, which is exact."""
+    path = _file(spark, "")
+    cell_index.build(vectors(spark, sf_dir), path)
+    names = vectors(spark, sf_dir).filter("id % 50 = 0").select("id")
+    found = cell_index.search_by_name(spark, path, names, K, probes=cell_index.MOST_CELLS)
+    return found.select("id", F.col("rank").cast("long").alias("rank"), "other", r("distance"))
+
+
+@registered(f"WITH {VECTORS} SELECT vec_id AS id, round(list_inner_product(x, x), 4) AS size FROM v")
+def landmark_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinates from as many landmarks as twice the width, which span the vectors, so that lengths are kept."""
+    basis = linear.nystrom_basis(vectors(spark, sf_dir), 128)
+    return basis.select("id", r(norm.dot(F.col("basis"), F.col("basis")), 4, "size"))
+
+
+@registered("SELECT vec_id AS id, true AS convex, true AS no_worse FROM embeddings")
+def archetype_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are the weights of four archetypes convex, and is the loss no larger than that of the rows which they started at?"""
+    points = vectors(spark, sf_dir)
+    found = archetypes.fit(points, 4, rounds=3)
+    weighed = clusters.simplex_weights(points, found.places)
+    total = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x)
+    convex = F.forall("weights", lambda x: x >= -1e-9) & (F.abs(total - 1) < 1e-9)
+    return weighed.select("id", convex.alias("convex"), F.lit(found.losses[-1] <= found.losses[0]).alias("no_worse"))
+
+
+@registered("SELECT vec_id AS id, true AS on_curve FROM embeddings")
+def lineage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors on the principal curves of a tree of eight nodes: is each row's time on the curve of one of its lineages?"""
+    points = vectors(spark, sf_dir)
+    nodes, links = trajectory.principal_graph(points, 8, rounds=5)
+    fitted = curves.fit_curves(points, nodes, links, 0, rounds=3)
+    ends = F.array(*(F.lit(float(a[-1])) for a in fitted.along))
+    time = F.get("times", F.col("branch"))
+    sound = (F.col("time") == time) & (F.col("time") >= 0) & (F.col("time") <= F.get(ends, F.col("branch")) + 1e-9) & F.get("shares", F.col("branch")).isNotNull()
+    return curves.curve_times(points, fitted).select("id", F.coalesce(sound, F.lit(False)).alias("on_curve"))
+
+
 # -- sums over vectors --------------------------------------------------------------------------------
 
 
