@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..frames import cut_lineage, shared_folder, with_totals
 from ..functions import normalise as norm
 from ..functions.special import approx_lgamma
-from ..operators import archetypes, branching, cell_index, clusters, curves, edges, gamma, layout, likelihood, linear, lookups, neighbours, refined, sampling, stats, trajectory, traverse
+from ..operators import archetypes, branching, cell_index, clusters, curves, edges, epochs, gamma, layout, likelihood, linear, lookups, neighbours, refined, sampling, stats, trajectory, traverse
 from ..sources import ordered, sinks, tables
 from ..streaming import stats as streams
 
@@ -680,6 +680,18 @@ def lineage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.curve_times(points, fitted).select("id", F.coalesce(sound, F.lit(False)).alias("on_curve"))
 
 
+@registered("""
+WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS no FROM orders)
+SELECT no // 64 AS batch, count(*) AS size, min(o_orderkey) AS first, max(o_orderkey) AS last, (SELECT count(*) FROM k AS s WHERE s.no // 64 = k.no // 64) AS shuffled FROM k GROUP BY 1
+""")
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in batches of 64, in their order; and how many orders the batch of the same number has in a shuffle."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    inorder = epochs.ordered_batches(orders, F.col("o_orderkey"), 64).groupBy("batch").agg(F.count("*").alias("size"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+    shuffled = epochs.shuffled_batches(orders, "o_orderkey", 64).groupBy("batch").agg(F.count_distinct("o_orderkey").alias("shuffled"))
+    return inorder.join(shuffled, "batch")
+
+
 # -- sums over vectors --------------------------------------------------------------------------------
 
 
