@@ -1,9 +1,9 @@
 """Secrets in texts: assignments and key formats, and strings of high entropy.
 
-A window slides over each candidate, a long run of key characters. The sum of n * log2(n) over the window's
-character counts is kept up to date as one character leaves and one enters; it gives the window's Shannon
-entropy. A candidate is a secret if its best window reaches the limit of its character class and no
-allow-list pattern fits it.
+A window slides over each candidate, a long run of key characters. The counts of its characters are kept, and with them
+the sum of n * log2(n), as one character leaves and one enters; that gives the window's Shannon entropy. How many of its
+characters are digits, small and capital letters is kept likewise, and tells the limit that the entropy must reach. A
+candidate is a secret if one of its windows reaches its limit; windows that overlap a part on the allow-list don't count.
 """
 
 from __future__ import annotations
@@ -23,48 +23,71 @@ BASE = {
 }
 WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
-#: Least entropy in bits of a window, by character class: the first pattern that fits tells it.
-LEAST_BITS = ((r"^(?:[0-9a-f]++|[0-9A-F]++)$", 3.0), (r"^(?:[0-9a-z]++|[0-9A-Z]++)$", 3.85), (r"", 3.9))
-#: No secret: numbers, words of letters, paths and identifiers made of such, counted alphabets, placeholders, UUIDs.
+#: The characters of candidates, and the class of each: digits, letters that are hexadecimal digits and other ones, small and capital, and the rest.
+ALPHABET = "".join(map(chr, (*range(48, 58), *range(97, 123), *range(65, 91)))) + "+/_=-"
+CLASSES = [0] * 10 + [1] * 6 + [2] * 20 + [3] * 6 + [4] * 20 + [5] * 5
+#: Least entropy in bits of a window of digits and letters that are all hexadecimal, or all of one case; and of any other.
+HEX_BITS, CASE_BITS, ANY_BITS = 3.0, 3.85, 3.9
+#: Candidates that are no secret: numbers, words of letters, paths and identifiers made of such, UUIDs.
 #: Repeated groups are possessive: java.util.regex goes one call deeper for each repetition of others.
 ALLOWED = (
     r"^[0-9]+$",
     r"^[A-Z]?[a-z]+$|^[A-Z]+$",
     r"^(?:[A-Za-z]++[-_/])++[A-Za-z]*+$",
-    r"(?i)abcdefgh|01234567|example|placeholder|changeme|xxxxxx",
     r"^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
 )
+#: Parts that no secret's window has in it: counted alphabets and placeholders.
+ALLOWED_PARTS = r"(?i)abcdefgh|01234567|example|placeholder|changeme|x{6,}+"
 
 
-def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits a character, of any `window` characters in a row of `value`."""
+def _slide(value: Column, window: int) -> Column:
+    """struct<best, random>: the highest entropy of a window of `value`, and whether a window reaches its limit."""
     terms = F.array(*(F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)))
+    kinds = F.array(*map(F.lit, CLASSES))
+    term = lambda n: F.element_at(terms, n + 1)
+    one = lambda yes: F.when(yes, 1).otherwise(0)
+    # places in the alphabet; those that leave, 0 while the window fills up
+    enters = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)))
+    leaves = F.concat(F.array_repeat(F.lit(0), window), enters)
+    pairs = F.transform(enters, lambda c, i: F.struct(c.alias("enters"), F.get(leaves, i).alias("leaves"), (i >= window - 1).alias("full")))
+
+    def step(acc: Column, x: Column) -> Column:
+        goes, comes, counts = x["leaves"], x["enters"], acc["counts"]
+        gone = F.when(goes > 0, F.get(counts, goes - 1)).otherwise(0)
+        had = F.get(counts, comes - 1) - one(goes == comes)
+        total = acc["total"] - F.when(goes > 0, term(gone) - term(gone - 1)).otherwise(0.0) + term(had + 1) - term(had)
+        moved = F.transform(counts, lambda n, k: n + one(k + 1 == comes) - one(k + 1 == goes))
+        kind_in, kind_out = F.get(kinds, comes - 1), F.when(goes > 0, F.get(kinds, goes - 1)).otherwise(-1)
+        of = F.transform(acc["of"], lambda n, k: n + one(k == kind_in) - one(k == kind_out))
+        return F.struct(moved.alias("counts"), of.alias("of"), total.alias("total"), acc["best"].alias("best"), acc["random"].alias("random"), x["full"].alias("full"))
+
+    def judged(acc: Column) -> Column:
+        bits = F.lit(math.log2(window)) - acc["total"] / window
+        n = lambda k: F.get(acc["of"], F.lit(k))
+        mixed = (n(0) > 0) & (n(0) < window)
+        least = F.when(mixed & ((n(0) + n(1) == window) | (n(0) + n(3) == window)), HEX_BITS).when(mixed & ((n(0) + n(1) + n(2) == window) | (n(0) + n(3) + n(4) == window)), CASE_BITS).otherwise(ANY_BITS)
+        best = F.when(acc["full"], F.greatest(acc["best"], bits)).otherwise(acc["best"])
+        random = acc["random"] | (acc["full"] & (bits >= least))
+        return F.struct(acc["counts"].alias("counts"), acc["of"].alias("of"), acc["total"].alias("total"), best.alias("best"), random.alias("random"), acc["full"].alias("full"))
+
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    start = F.struct(zeros(len(ALPHABET)).alias("counts"), zeros(6).alias("of"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"), F.lit(False).alias("random"), F.lit(False).alias("full"))
+    # a step's struct is made once and then judged: each lambda's argument is a value
+    once = lambda acc, x: F.element_at(F.transform(F.array(step(acc, x)), judged), 1)
+    return F.aggregate(pairs, start, once, lambda acc: F.struct(acc["best"].alias("best"), acc["random"].alias("random")))
 
-    def count(text: Column, c: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, c, F.lit("")))
-
-    def step(acc: Column, c: Column) -> Column:
-        full = F.length(acc["held"]) >= window
-        leaves = F.substring(acc["held"], 1, 1)
-        gone = count(acc["held"], leaves)
-        rest = F.when(full, acc["held"].substr(F.lit(2), F.lit(window))).otherwise(acc["held"])
-        total = acc["total"] - F.when(full, F.element_at(terms, gone + 1) - F.element_at(terms, gone)).otherwise(0.0)
-        had = count(rest, c)
-        total = total + F.element_at(terms, had + 2) - F.element_at(terms, had + 1)
-        held = F.concat(rest, c)
-        bits = F.lit(math.log2(window)) - total / window
-        return F.struct(held.alias("held"), total.alias("total"), F.when(F.length(held) >= window, F.greatest(acc["best"], bits)).otherwise(acc["best"]).alias("best"))
 
-    start = F.struct(F.lit("").alias("held"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.split(value, ""), start, step, lambda acc: acc["best"])
+def window_entropy(value: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy, in bits a character, of any `window` characters in a row of `value`."""
+    return _slide(value, window)["best"]
 
 
 def is_random(value: Column) -> Column:
-    least = F.coalesce(*(F.when(value.rlike(pattern), bits) for pattern, bits in LEAST_BITS))
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)
-    return F.when(allowed, False).otherwise(window_entropy(value) >= least)
+    pieces = F.filter(F.split(value, ALLOWED_PARTS), lambda p: F.length(p) >= WINDOW)
+    return F.when(allowed, False).otherwise(F.exists(pieces, lambda p: _slide(p, WINDOW)["random"]))
 
 
 def scan(docs: DataFrame) -> DataFrame:

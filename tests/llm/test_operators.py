@@ -125,6 +125,11 @@ def test_added_spans(spark):
     personal = [(s.kind, s.value) for s in pii.find_personal(df).first().found]
     assert personal == [("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("ssn", "123-45-6789"), ("local_phone", "(555) 123-4567")]
     assert [(s.kind, s.value) for s in secret_scan.scan(df).first().found] == [("entropy", "kZ8xQ2mN7pL4vR9tY3wB6")]
+    # a part on the allow-list hides the windows that it overlaps, not the rest
+    key = "kZ8xQ2mN7pL4vR9tY3wB6"
+    parts = [f"example{key}", f"{key}xxxxxx", f"{key}01234567/path", f"{key[:12]}EXAMPLE{key[12:]}", "id-12345678901234567890-98765"]
+    found = secret_scan.scan(spark.createDataFrame([(k, p) for k, p in enumerate(parts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[s.value for s in r.found] for r in found] == [[p] for p in parts[:3]] + [[], []]
 
 
 def test_window_entropy_is_the_best_window(spark):
@@ -362,12 +367,17 @@ def test_added_secrets_against_every_window(spark):
         return max(-sum(t[k : k + w].count(c) / w * np.log2(t[k : k + w].count(c) / w) for c in set(t[k : k + w])) for k in range(len(t) - w + 1))
 
     def secret(t):
-        if any(re.search(p, t) for p in ("^[0-9]+$", "^[A-Z]?[a-z]+$|^[A-Z]+$", "(?i)abcdefgh|01234567|example|placeholder|changeme|xxxxxx", "^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$")):
+        if any(re.search(p, t) for p in ("^[0-9]+$", "^[A-Z]?[a-z]+$|^[A-Z]+$", "^(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$")):
             return False
         if all(x.isascii() and x.isalpha() for x in re.split("[-_/]", t)[:-1]) and re.fullmatch("[A-Za-z]*", re.split("[-_/]", t)[-1]) and len(re.split("[-_/]", t)) > 1:
             return False
-        least = 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else 3.85 if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t) else 3.9
-        return bits(t) >= least - 1e-12
+        pieces = re.split("(?i)abcdefgh|01234567|example|placeholder|changeme|x{6,}", t)
+        return any(bits(v) >= least(v) - 1e-12 for p in pieces for v in {p[k : k + w] for k in range(len(p) - w + 1)})
+
+    def least(v):
+        if re.fullmatch("[0-9]+|[A-Za-z]+", v):
+            return 3.9
+        return 3.0 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else 3.85 if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", v) else 3.9
 
     got = {r.doc_id: [(s.start, s.end) for s in r.found if s.kind == "entropy"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
