@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import with_totals
+from ..functions.normalise import dot, doubles
 from ..functions.special import approx_lgamma
 
 
@@ -85,3 +87,71 @@ def hidden_cells(rows: DataFrame, features: int, rate: float, epoch: int = 0, se
     many = min(max(round(rate * features), 1), max(features - 1, 1))
     drawn = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda f: F.struct(F.xxhash64(F.lit(seed), F.lit(epoch), F.col("row"), f).alias("h"), f.alias("f")))
     return rows.select("row", F.explode(F.slice(F.array_sort(drawn), 1, many)).alias("t")).select("row", F.col("t.f").alias("feature"))
+
+
+# -- features and modules outside a dictionary ---------------------------------------------------------
+
+
+def topic_scores(features: DataFrame, topics: np.ndarray, ident: str = "id", vector: str = "features") -> DataFrame:
+    """``feature``, ``topic``, ``score``: products of the features' vectors with those of the topics, a small matrix with a row for each."""
+    scores = F.array(*(dot(doubles(F.col(vector)), F.lit(np.asarray(row, float).tolist())) for row in topics))
+    return features.select(F.col(ident).alias("feature"), F.posexplode(scores).alias("topic", "score"))
+
+
+def normalisers(scores: DataFrame) -> DataFrame:
+    """``topic``, ``top``, ``sum``: the largest score and Σ exp(score − top) over the features, which `merged` adds up."""
+    topped = with_totals(scores.select("topic", "score"), ["topic"], top=F.max("score"))
+    return topped.groupBy("topic").agg(F.max("top").alias("top"), F.sum(F.exp(F.col("score") - F.col("top"))).alias("sum"))
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """The normalisers of all features of several tables that have none in common; a row for each topic and part meets."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    met = every.groupBy("topic").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "sum")).alias("parts"))
+    return met.select("topic", "top", F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["sum"] * F.exp(p["top"] - F.col("top"))).alias("sum"))
+
+
+def shares_of(scores: DataFrame, found: DataFrame) -> DataFrame:
+    """``topic``, ``feature``, ``beta``: the features' shares of each topic, normalised over what `found` (`normalisers`) has seen."""
+    return scores.join(found, "topic").select("topic", "feature", (F.exp(F.col("score") - F.col("top")) / F.col("sum")).alias("beta"))
+
+
+def module_dictionary(dictionary: DataFrame, members: DataFrame) -> DataFrame:
+    """``topic``, ``module``, ``beta``: shares of modules, each the sum over its features (``feature``, ``module``)."""
+    return dictionary.join(members.select("feature", "module"), "feature").groupBy("topic", "module").agg(F.sum("beta").alias("beta"))
+
+
+def unseen_parts(theta: DataFrame, modules: DataFrame, totals: DataFrame, visible: DataFrame, members: DataFrame, least: float = 1e-6) -> DataFrame:
+    """``row``, ``module``, ``rate``, ``unseen``, ``share``: what a row's context has not seen of each module.
+
+    ``unseen`` is the module's total (`totals`: ``row``, ``module``, ``x``; absent ones are 0) less the counts of its visible features
+    (`visible`: ``row``, ``feature``, ``x``), ``share`` what these leave of it (`members`: ``feature``, ``module``, ``share``, a
+    feature's part of its module), ``rate`` Σ θβ. Modules whose share is not above `least` are left out.
+    """
+    rates = topic_rates(theta, modules.withColumnRenamed("module", "feature")).withColumnRenamed("feature", "module")
+    seen = visible.join(members, "feature").groupBy("row", "module").agg(F.sum("x").alias("seen"), F.sum("share").alias("seen_share"))
+    met = rates.join(totals.groupBy("row", "module").agg(F.sum("x").alias("x")), ["row", "module"], "left").join(seen, ["row", "module"], "left")
+    left = F.coalesce("x", F.lit(0.0)) - F.coalesce("seen", F.lit(0.0))
+    out = met.select("row", "module", "rate", F.greatest(left, F.lit(0.0)).alias("unseen"), (1 - F.coalesce("seen_share", F.lit(0.0))).alias("share"))
+    return out.filter(F.col("share") > least)
+
+
+def score_unseen_nb(parts: DataFrame, sizes: DataFrame, log_dispersion: Column, offsets: DataFrame | None = None) -> DataFrame:
+    """``row``, ``llik``, ``scored``: unseen counts under the negative binomial with mean size · rate · share, and the number of modules.
+
+    `parts` is from `unseen_parts`, `sizes` has ``row`` and ``size``, `offsets` a factor ``offset`` for each ``row``, ``module``.
+    """
+    met = parts.join(sizes, "row")
+    mean = F.col("rate") * F.col("share") * F.col("size")
+    if offsets is not None:
+        met = met.join(offsets, ["row", "module"], "left")
+        mean = mean * F.coalesce("offset", F.lit(1.0))
+    return met.groupBy("row").agg(F.sum(negative_binomial(F.col("unseen"), mean, log_dispersion)).alias("llik"), F.count("*").alias("scored"))
+
+
+def score_unseen_multinomial(parts: DataFrame) -> DataFrame:
+    """``row``, ``llik`` Σ unseen · ln(rate · share), and ``scored``."""
+    element = F.col("unseen") * F.log(F.col("rate") * F.col("share") + 1e-20)
+    return parts.groupBy("row").agg(F.sum(element).alias("llik"), F.count("*").alias("scored"))

@@ -682,7 +682,7 @@ def lineage_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("""
 WITH k AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS no FROM orders)
-SELECT no // 64 AS batch, count(*) AS size, min(o_orderkey) AS first, max(o_orderkey) AS last, (SELECT count(*) FROM k AS s WHERE s.no // 64 = k.no // 64) AS shuffled FROM k GROUP BY 1
+SELECT no // 64 AS batch, count(*) AS size, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS shuffled FROM k GROUP BY 1
 """)
 def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in batches of 64, in their order; and how many orders the batch of the same number has in a shuffle."""
@@ -881,6 +881,24 @@ def nb_llik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.summed(rates(spark, sf_dir), ["row"], likelihood.negative_binomial(F.col("x"), F.col("mu"), F.lit(1.0))).select("row", r("llik", 5))
 
 
+@registered("""
+WITH t AS (SELECT l_orderkey AS row, l_returnflag AS module, sum(l_quantity) AS x FROM lineitem GROUP BY 1, 2), sizes AS (SELECT row, sum(x) AS size FROM t GROUP BY 1),
+seen AS (SELECT l_orderkey AS row, l_returnflag AS module, sum(l_quantity) AS seen, 0.5 AS seen_share FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2),
+m AS (SELECT l_returnflag AS module, count(*) AS n FROM lineitem GROUP BY 1), beta AS (SELECT module, n / sum(n) OVER () AS rate FROM m),
+parts AS (SELECT s.row, b.module, rate, greatest(coalesce(x, 0) - coalesce(seen, 0), 0) AS unseen, 1 - coalesce(seen_share, 0) AS share FROM sizes s CROSS JOIN beta b LEFT JOIN t ON t.row = s.row AND t.module = b.module LEFT JOIN seen ON seen.row = s.row AND seen.module = b.module)
+SELECT row, round(sum(unseen * ln(rate * share + 1e-20)), 4) AS llik, count(*) AS scored FROM parts GROUP BY 1
+""")
+def unseen_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of an order by return flag that its finished lines don't show, under the flags' shares of all lines."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_returnflag").alias("module"), F.concat("l_returnflag", "l_linestatus").alias("feature"), "l_linestatus", F.col("l_quantity").alias("x"))
+    modules = with_totals(lines.groupBy("module").agg(F.count("*").alias("n")), [], all=F.sum("n")).select(F.lit(0).alias("topic"), "module", (F.col("n") / F.col("all")).alias("beta"))
+    theta = lines.select("row").distinct().select("row", F.lit(0).alias("topic"), F.lit(1.0).alias("theta"))
+    visible = lines.filter("l_linestatus = 'F'").groupBy("row", "feature").agg(F.sum("x").alias("x"))
+    members = lines.select("module").distinct().select(F.concat("module", F.lit("F")).alias("feature"), "module", F.lit(0.5).alias("share"))
+    parts = likelihood.unseen_parts(theta, modules, lines.select("row", "module", "x"), visible, members)
+    return likelihood.score_unseen_multinomial(parts).select("row", r("llik", 4), "scored")
+
+
 @registered(f"WITH {RATES} SELECT row, round({_LG.format('sum(mu)')} - {_LG.format('sum(x) + sum(mu)')} + sum({_LG.format('x + mu')} - {_LG.format('mu')}), 4) AS llik FROM t GROUP BY 1")
 def dirichlet_llik(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.dirichlet_multinomial(rates(spark, sf_dir), ["row"], "x", "mu").select("row", r("llik", 4))
