@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.normalise import dot, doubles, squared_distance
-from ..frames import cut_lineage
+from ..frames import cut_lineage, numbered
+from .stats import floor_quantiles
 
 BLOCK = 2048
 OUT = "id long, other long, distance double"
@@ -185,14 +186,20 @@ def hellinger(log_a: Column, log_b: Column) -> Column:
     return F.sqrt(dot(half, half) / 2)
 
 
-def distance_quantile(points: DataFrame, q: float, distance=None, ident: str = "id", vector: str = "features", most_rows: int = 633, seed: int = 42) -> DataFrame:
-    """``quantile``: the value at place ⌊q(m − 1)⌋ of the m distances between two rows; null below two rows.
+def distance_quantile(points: DataFrame, q: float, distance=None, ident: str = "id", vector: str = "features", most_pairs: int = 200_000, seed: int = 42) -> DataFrame:
+    """``quantile``: the value at place ⌊q(m − 1)⌋ of the distances of m pairs of different rows; null below two rows.
 
-    Of a table of more than `most_rows` rows that many are drawn, keyed by `ident` and `seed`: some 200,000 pairs.
+    All pairs, if there are no more than `most_pairs`; of a larger table that many, drawn from all rows one by one.
     """
-    drawn = points.select(F.col(ident).alias("a"), doubles(F.col(vector)).alias("x")).orderBy(F.xxhash64(F.lit(seed), "a"), "a").limit(most_rows)
-    drawn = cut_lineage(drawn)
-    pairs = drawn.join(F.broadcast(drawn.toDF("b", "y")), F.col("a") < F.col("b"))  # most_rows rows
-    far = pairs.select((distance or euclidean)(F.col("x"), F.col("y")).alias("_d"))
-    ranked = F.array_sort(F.collect_list("_d"))
-    return far.agg(F.get(ranked, F.floor(q * (F.count("_d") - 1)).cast("int")).alias("quantile"))
+    rows = cut_lineage(numbered(points.select(F.col(ident).alias("a"), doubles(F.col(vector)).alias("x")), F.col("a"), "no").select("no", "x"))
+    n = rows.count()
+    left, right = rows.toDF("i", "x"), rows.toDF("j", "y")
+    if n * (n - 1) // 2 <= most_pairs:
+        pairs = left.join(F.broadcast(right), F.col("i") < F.col("j"))  # some 600 rows
+    else:
+        place = lambda k, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(m))
+        drawn = rows.sparkSession.range(most_pairs).select(place(0, n).alias("i"), place(1, n - 1).alias("j"))
+        drawn = drawn.withColumn("j", F.col("j") + (F.col("j") >= F.col("i")).cast("int"))
+        pairs = drawn.join(left, "i").join(right, "j")
+    far = pairs.select((distance or euclidean)(F.col("x"), F.col("y")).alias("d"))
+    return floor_quantiles(far, [], "d", [q]).select("quantile")

@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 from ..frames import components, cut_lineage, drop, numbered, with_totals
 from .edges import both_ways, contract, degrees
 
-#: Of two groups that wait at the same neighbour, the weaker link is at least this share of the other.
-STRONG = 0.5
+#: Fixed value: two groups are paired at a common neighbour if the weaker of their links to it is at least this share of the stronger.
+PAIRED = 0.5
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -166,20 +166,22 @@ def _merges(graph: DataFrame, sizes: DataFrame, draw: int) -> DataFrame:
     dealt = with_totals(waiting, ["other"], n=F.count("*")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(draw)), F.ceil(F.col("n") / 1000)))
     place = F.row_number().over(W.partitionBy("other", "part").orderBy(F.desc("link"), "node"))
     pairs = dealt.withColumn("slot", F.floor((place - 1) / 2)).groupBy("other", "part", "slot").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.min("link").alias("link"), F.max("link").alias("top"))
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.col("link") >= STRONG * F.col("top"))).select(F.lit(False).alias("direct"), "link", "a", "b")
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.col("link") >= PAIRED * F.col("top"))).select(F.lit(False).alias("direct"), "link", "a", "b")
     out = cut_lineage(mutual.unionByName(pairs))
     drop(picks, mutual)
     return out
 
 
 def coarsened(edges: DataFrame, nodes: DataFrame, target: int, *, seed: int = 42) -> DataFrame:
-    """``node``, ``label``: groups of `nodes`, `target` of them or as few as the graph allows; the label is the least node.
-
-    In each round a group picks the neighbour that it is most strongly linked to (``weight`` / product of the
-    sizes, so that small groups come first); groups that pick each other merge. Groups whose pick is taken wait
-    for the next round, or pair up with one that waits at the same neighbour with a link of at least half as
-    much, so a hub does not hold the rounds back. The last round takes its strongest merges. Nodes without edges
-    stay alone; ties go by a hash of `seed`. Edges of other nodes are left out.
+    """``node``, ``label``: a partition of `nodes` into about `target` groups, each named by its least node.
+
+    A round is three joins over the edges and two groupings. The first grouping finds every group's best edge, by
+    ``weight`` over the product of both sizes; edges that are the best of both their ends are merges. The second deals
+    the groups whose best neighbour merges with another one to that neighbour, in parts of about a thousand, and merges
+    them two by two there, in the order of their links (`PAIRED`). Then merged groups are contracted. If a round has
+    more merges than are needed, the first ones in the order of kind and link are taken. It ends above `target` when no
+    group has a neighbour left. Nodes without edges keep a group of their own, edges of nodes that aren't in `nodes`
+    don't count, and equal links are ordered by a hash of `seed`.
     """
     members = cut_lineage(nodes.select("node", F.col("node").alias("label")))
     sizes = cut_lineage(nodes.select("node", F.lit(1).cast("long").alias("size")))

@@ -326,6 +326,6 @@ def test_quantile_of_distances(spark):
     x = np.random.default_rng(5).normal(size=(60, 3))
     far = np.sort([np.linalg.norm(x[i] - x[j]) for i in range(60) for j in range(i + 1, 60)])
     assert neighbours.distance_quantile(points(spark, x), 0.3).first().quantile == pytest.approx(far[int(0.3 * (len(far) - 1))])
-    drawn = neighbours.distance_quantile(points(spark, x), 0.5, most_rows=40).first().quantile
+    drawn = neighbours.distance_quantile(points(spark, x), 0.5, most_pairs=780).first().quantile
     assert abs(drawn - np.median(far)) < 0.4
     assert neighbours.distance_quantile(points(spark, x[:1]), 0.5).first().quantile is None
