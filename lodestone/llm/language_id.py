@@ -180,16 +180,19 @@ def train(pieces: list[tuple[str, bytes]], *, units: int = UNITS, steps: int = S
 def fit(docs: DataFrame, *, ident: str, text: str, lang: str, most_docs: int = MOST_DOCS, pieces: int = PIECES, piece: int = PIECE, steps: int = STEPS, units: int = UNITS) -> Model:
     """A model of the languages of labelled documents.
 
-    The fit looks at no more than `pieces` pieces of `piece` code points of `most_docs` documents a language, those with
-    the least hash of their id, and pieces at places that follow from the id. Rows with a null language or text, or with
-    a text without letters, aren't looked at. Ties and repeated rows may be drawn as often as they are there. Without
-    any rows there are no languages.
+    The fit looks at no more than `pieces` pieces of `piece` code points of `most_docs` documents a language: of some eight
+    times as many, drawn from all by a hash of the id, those with the least hash; and pieces at places that follow from the
+    id. A row is counted and drawn where it is read, so what meets by language doesn't grow with the table. Rows with a
+    null language or text, or with a text without letters, aren't looked at. Ties and repeated rows may be drawn as often
+    as they are there. Without any rows there are no languages. The driver holds the sample and a row for each language.
     """
-    key = F.col(ident).cast("string")
-    n = F.length(text)
-    places = [F.substring(F.col(text), F.pmod(F.xxhash64(key, F.lit(k)), F.greatest(n - piece, F.lit(0)) + 1).cast("int") + 1, F.lit(piece)) for k in range(pieces)]
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("h"), F.array(*places).alias("pieces"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "pieces"))  # a task passes on no more than `most_docs` rows a language
+    key, n = F.col("key"), F.length("text")
+    places = [F.substring(F.col("text"), F.pmod(F.xxhash64(key, F.lit(k)), F.greatest(n - piece, F.lit(0)) + 1).cast("int") + 1, F.lit(piece)) for k in range(pieces)]
+    known = docs.select(F.col(ident).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang IS NOT NULL")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))  # a row for each language
+    near = known.join(F.broadcast(sizes), "lang").withColumn("draw", F.pmod(F.xxhash64(key), F.lit(1 << 40)) / (1 << 40)).filter(F.col("draw") < 8 * most_docs / F.col("size"))
+    rows = near.filter(F.col("text").rlike(r"\p{L}")).select("lang", "draw", F.array(*places).alias("pieces"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("draw", "pieces"))  # of some 8 · `most_docs` rows a language
     drawn = rows.withColumn("_r", rank).filter(F.col("_r") <= most_docs).select("lang", "_r", "pieces").collect()
     drawn = sorted(drawn, key=lambda r: (r.lang, r["_r"]))
     return train([(r.lang, p.encode("utf-8", "replace")) for r in drawn for p in r.pieces if p], steps=steps, units=units)
