@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,6 +47,15 @@ def drop(*frames: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of an Arrow column without nulls as a matrix, and which of its places they have; shorter ones end in zeros, as do null components."""
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    there = np.arange(lengths.max(initial=0)) < lengths[:, None]
+    x = np.zeros(there.shape)
+    x[there] = pc.fill_null(column.flatten().cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    return x, there
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links with the same components as those of the batches: each node with its least one, as far as a task sees."""
     parent: dict = {}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..frames import numbered
+from ..frames import HELD, matrix, numbered
 from ..functions.normalise import doubles
 
 ROWS = ("id", "v")
@@ -38,9 +38,51 @@ def _assigned(rows: DataFrame, centroids: np.ndarray, cosine: bool = False) -> D
 
 
 def means_of(assigned: DataFrame, by: str = "cluster") -> DataFrame:
-    """`by`, ``n`` and ``mean`` of the vectors: sums of places, merged from partial sums."""
-    placed = assigned.select(by, F.posexplode("v").alias("pos", "x")).groupBy(by, "pos").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    return placed.groupBy(by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("m")))), lambda t: t["m"]).alias("mean"))
+    """`by`, ``n`` and ``mean`` of the vectors ``v``: each task adds up its rows by label, and only sums of tasks meet.
+
+    A null label is one of its own, null vectors count for nothing, null components count as 0.
+    """
+    kind = assigned.schema[by].dataType.simpleString()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        numbers, of = 0, None
+
+        def sums() -> pa.RecordBatch:
+            s, n = zip(*held.values(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(held), of), pa.array(s, pa.list_(pa.float64())), pa.array(n, pa.list_(pa.int64()))], ["_by", "s", "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            of = batch.column(0).type
+            x, there = matrix(batch.column(1))
+            labels = batch.column(0).dictionary_encode(null_encoding="encode")
+            codes = labels.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(codes[order]) != 0))
+            s, n = np.add.reduceat(x[order], starts), np.add.reduceat(there[order].astype(np.int64), starts)
+            for label, a, b in zip(labels.dictionary.take(pa.array(codes[order][starts])).to_pylist(), s, n, strict=True):
+                if label in held:
+                    c, d = held[label]
+                    if len(c) < len(a):
+                        (c, a), (d, b) = (a, c), (b, d)
+                    c[: len(a)] += a
+                    d[: len(b)] += b
+                    a, b = c, d
+                else:
+                    numbers += len(a)
+                held[label] = a, b
+            if numbers > HELD:
+                yield sums()
+                held, numbers = {}, 0
+        if held:
+            yield sums()
+
+    rows = assigned.filter("v is not null").select(F.col(by).alias("_by"), "v").mapInArrow(partial, f"_by {kind}, s array<double>, n array<long>")
+    placed = rows.select("_by", F.posexplode(F.arrays_zip("s", "n")).alias("pos", "t")).groupBy("_by", "pos").agg(F.sum("t.s").alias("s"), F.sum("t.n").alias("n")).filter("n > 0")
+    means = F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("s") / F.col("n")).alias("m")))), lambda t: t["m"])
+    return placed.groupBy("_by").agg(F.max("n").alias("n"), means.alias("mean")).withColumnRenamed("_by", by)
 
 
 def fit_centroids(rows: DataFrame, k: int, *, seed: int = 42, rounds: int = 100, cosine: bool = False, most_rows: int | None = None, tolerance: float = 0.0) -> np.ndarray:

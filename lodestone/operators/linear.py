@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import HELD, matrix
 from ..functions.normalise import dot, doubles, log_softmax
 
 
@@ -36,11 +37,36 @@ def summed(df: DataFrame, width: int, add, column: str) -> np.ndarray:
 
 
 def gram(points: DataFrame, vector: str = "features") -> DataFrame:
-    """``i``, ``j``, ``g``: Σ v_i v_j over all rows, i ≤ j, from 0."""
-    v = points.select(doubles(F.col(vector)).alias("v"))
-    width = F.size("v")
-    pairs = v.select("v", F.explode(F.sequence(F.lit(0), width - 1)).alias("i")).select(F.col("i"), F.element_at("v", F.col("i") + 1).alias("x"), F.posexplode(F.slice("v", F.col("i") + 1, width)).alias("_k", "y"))
-    return pairs.groupBy("i", (F.col("i") + F.col("_k")).alias("j")).agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+    """``i``, ``j``, ``g``: Σ v_i v_j over all rows, i ≤ j, from 0; null vectors are left out, null components count as 0.
+
+    Tasks add up products and give a number a pair of places. Where that is more than `HELD` numbers, the rows are
+    read once for each band of places i.
+    """
+    v = points.select(doubles(F.col(vector)).alias("v")).filter("v is not null")
+    first = v.select(F.size("v").alias("n")).first()
+    width = max(1, first.n if first else 0)
+    step = max(1, HELD // width)
+
+    def band(low: int, high: int | None) -> DataFrame:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((0, 0))
+            for batch in batches:
+                x, _ = matrix(batch.column(0))
+                g = x[:, low:high].T @ x
+                if total.shape[1] < g.shape[1]:
+                    total, g = g, total
+                total[: g.shape[0], : g.shape[1]] += g
+            i, j = np.triu_indices(total.shape[0], low, total.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(i + low), pa.array(j), pa.array(total[i, j])], ["i", "j", "x"])
+
+        return v.mapInArrow(partial, "i long, j long, x double")
+
+    lows = range(0, width, step)
+    bands = [band(low, low + step if low + step < width else None) for low in lows]
+    sums = bands[0]
+    for more in bands[1:]:
+        sums = sums.unionByName(more)
+    return sums.groupBy(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")).agg(F.sum("x").alias("g"))
 
 
 def geometry(points: DataFrame, vector: str = "features") -> DataFrame:
