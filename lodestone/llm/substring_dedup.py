@@ -6,7 +6,7 @@ stands around them. A window that an earlier document (or an earlier place of th
 grows word by word while the words beside it are those beside the kept window; chosen windows are so close that
 nothing more than `NEXT` - 1 words is ever left to grow. A run of repeated words goes if it has enough of them,
 so that short phrases which many texts share by nature stay. A whole line of `LINE` code points is a unit too, and
-a repeat of it goes at any number of words. Where a script has no spaces, each character counts as a word.
+a repeat of it goes at any number of words. Units are told apart by digests of 128 bits. Where a script has no spaces, each character counts as a word.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +27,19 @@ from .line_dedup import LOWER
 #: Words of the shortest run that goes, of a window, and the windows of which one is chosen.
 RUN, WINDOW, NEXT = 16, 9, 8
 #: Bits that stand for a word beside a window, and how many such words a long holds.
-BITS, HELD = 12, 5
+BITS, HELD = 16, 4
 SIDE = NEXT - 1
 #: Code points of the shortest line that is a unit, and of the shortest run that goes.
 LINE = 20
+#: Bytes of the longest word that is hashed with the others of its text, by a sum of powers.
+SUMMED = 64
 WORDS = [f"c{k}" for k in range(-(-2 * SIDE // HELD))]
 DROP, OPEN, PART = 0, 1, 2
 
 _white = np.zeros(256, bool)
 _white[[32, *range(9, 14)]] = True
 _letters = _mixed(np.arange(256) + (1 << 41))
-_factors = _mixed(np.arange(WINDOW) + (1 << 42)) | np.uint64(1)
+_factors = _mixed(np.arange(2 * WINDOW) + (1 << 42)).reshape(2, WINDOW) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -70,22 +73,24 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Units:
-    """A lowered text's words and its units: ``keys`` of chosen windows and then of lines, the words from ``at`` to ``to``, and ``beside``."""
+    """A lowered text's words and its units: ``keys`` (two numbers each) of chosen windows and then of lines, the words from ``at`` to ``to``, and ``beside``."""
 
-    def __init__(self, text: bytes):
+    def __init__(self, text: bytes, least_line: int = LINE):
         raw = np.frombuffer(text, np.uint8)
         self.starts, self.ends = words_of(raw)
         n = len(self.starts)
-        self.at, self.keys = np.empty(0, np.int64), np.empty(0, np.uint64)
-        words = _ranges(_letters[raw], self.starts, self.ends) if n else self.keys
+        self.at, self.keys = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+        words = _ranges(_letters[raw], self.starts, self.ends) if n else np.empty(0, np.uint64)
+        for k in np.flatnonzero(self.ends - self.starts > SUMMED).tolist():
+            words[k] = xxhash.xxh3_64_intdigest(text[self.starts[k] : self.ends[k]])
         if n >= WINDOW + NEXT - 1:
             count = n - WINDOW + 1
-            windows = _mixed(sum(words[j : j + count] * f for j, f in enumerate(_factors)))
+            windows, second = (_mixed(sum(words[j : j + count] * f for j, f in enumerate(factors))) for factors in _factors)
             least = np.lib.stride_tricks.sliding_window_view(windows, NEXT).argmin(axis=1) + np.arange(count - NEXT + 1)
             chosen = np.zeros(count, bool)
             chosen[least] = True
             self.at = np.flatnonzero(chosen)
-            self.keys = windows[self.at]
+            self.keys = np.stack([windows[self.at], second[self.at]], axis=1)
         short = np.zeros(n + 2 * SIDE, np.int64)  # 0 stands for no word
         short[SIDE : SIDE + n] = np.maximum(words >> np.uint64(64 - BITS), 1)
         offsets = np.array([*range(SIDE - 1, -1, -1), *range(SIDE + WINDOW, 2 * SIDE + WINDOW)])
@@ -99,13 +104,23 @@ class Units:
         line = np.append(0, np.cumsum(raw == 10))[self.starts]
         first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
         to = np.append(first[1:], n)
-        long_ = self.chars[to] - self.chars[first] - (to < n) >= LINE
+        long_ = self.chars[to] - self.chars[first] - (to < n) >= least_line
         first, to = first[long_], to[long_]
         self.at, self.to = np.append(self.at, first), np.append(self.to, to)
-        self.keys = np.append(self.keys, _mixed(_ranges(words, first, to)))
+        digests = b"".join(xxhash.xxh3_128_digest(words[a:b].tobytes()) for a, b in zip(first.tolist(), to.tolist(), strict=True))
+        self.keys = np.append(self.keys, np.frombuffer(digests, np.uint64).reshape(-1, 2), axis=0)
         self.beside = np.append(self.beside, np.zeros((len(first), 2 * SIDE), np.int64), axis=0)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct key, and for each place the number of its key."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    new = np.append(True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1))[: len(keys)]
+    same = np.empty(len(keys), np.int64)
+    same[order] = np.cumsum(new) - 1
+    return order[new], same
+
+
 def packed(beside: np.ndarray) -> list[np.ndarray]:
     out = []
     for k in range(len(WORDS)):
@@ -118,10 +133,10 @@ def unpacked(longs: list[np.ndarray]) -> np.ndarray:
     return np.stack([(longs[j // HELD] >> (BITS * (j % HELD))) & ((1 << BITS) - 1) for j in range(2 * SIDE)], axis=1)
 
 
-KEYS = f"h long, doc long, text_id long, at int, {', '.join(f'{c} long' for c in WORDS)}"
+KEYS = f"h1 long, h2 long, doc long, text_id long, at int, {', '.join(f'{c} long' for c in WORDS)}"
 
 
-def _hashes(docs: DataFrame) -> DataFrame:
+def _hashes(docs: DataFrame, least_line: int) -> DataFrame:
     """A row for each document and unit, with the words beside the unit's first place."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,15 +145,15 @@ def _hashes(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(begin, 512)
                 keys, at, beside = [], [], []
                 for text in batch.column(2).cast(pa.binary()).to_pylist():
-                    mine = Units(text.translate(LOWER))
-                    found, first = np.unique(mine.keys, return_index=True)
-                    keys.append(found)
+                    mine = Units(text.translate(LOWER), least_line)
+                    first, _ = _distinct(mine.keys)
+                    keys.append(mine.keys[first])
                     at.append(first)
                     beside.append(mine.beside[first])
                 sizes = [len(x) for x in keys]
                 doc, text_id = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
-                columns = [np.concatenate(keys).view(np.int64), ~doc, text_id, np.concatenate(at).astype(np.int32), *packed(np.concatenate(beside))]  # the least id comes first
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "doc", "text_id", "at", *WORDS])
+                columns = [*np.concatenate(keys).view(np.int64).T, ~doc, text_id, np.concatenate(at).astype(np.int32), *packed(np.concatenate(beside))]  # the least id comes first
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "text_id", "at", *WORDS])
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("text_id"), text.alias("text"))
@@ -147,51 +162,53 @@ def _hashes(docs: DataFrame) -> DataFrame:
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads sorted rows; gives rows to drop with the words beside the kept one, rows of the first hash, which may have begun next door, and what is known of the first and the last hash."""
-    names = ["kind", "h", "doc", "text_id", "at", *WORDS]
-    first, top = None, None  # the partition's first hash; (h, doc, words beside) of the kept row of the present one
+    names = ["kind", "h1", "h2", "doc", "text_id", "at", *WORDS]
+    first, top = None, None  # the partition's first hash; (h1, h2, doc, words beside) of the kept row of the present one
 
     def known(row: tuple) -> pa.RecordBatch:
-        columns = [PART, row[0], row[1], None, None, *row[2:]]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k in (0, 4) else pa.int64()) for k, x in enumerate(columns)], names)
+        columns = [PART, *row[:3], None, None, *row[3:]]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if k in (0, 5) else pa.int64()) for k, x in enumerate(columns)], names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, doc, text_id, at, *beside = (c.to_numpy() for c in batch.columns)
-        new = np.append(True, h[1:] != h[:-1])
-        if top is not None and top[0] == h[0]:
+        h1, h2, doc, text_id, at, *beside = (c.to_numpy() for c in batch.columns)
+        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))
+        if top is not None and top[:2] == (h1[0], h2[0]):
             new[0] = False
         begins = np.flatnonzero(new)
         if top is None:
-            first = int(h[0])
-            yield known((first, int(doc[0]), *(int(c[0]) for c in beside)))
+            first = int(h1[0]), int(h2[0])
+            yield known((*first, int(doc[0]), *(int(c[0]) for c in beside)))
         run = np.cumsum(new)  # 0: the run that the last batch left
-        kept = [np.concatenate([[0 if top is None else top[k + 1]], c[begins]])[run] for k, c in enumerate((doc, *beside))]
-        open_, drop = h == first, (doc != kept[0]) & (h != first)
+        kept = [np.concatenate([[0 if top is None else top[k + 2]], c[begins]])[run] for k, c in enumerate((doc, *beside))]
+        open_ = (h1 == first[0]) & (h2 == first[1])
+        drop = (doc != kept[0]) & ~open_
         for kind, rows, words in ((DROP, drop, kept[1:]), (OPEN, open_, beside)):
             if rows.any():
-                columns = [np.full(int(rows.sum()), kind, np.int32), *(c[rows].astype(c.dtype) for c in (h, doc, text_id, at, *words))]
+                columns = [np.full(int(rows.sum()), kind, np.int32), *(c[rows].astype(c.dtype) for c in (h1, h2, doc, text_id, at, *words))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-        top = (int(h[-1]), *(int(c[-1]) for c in kept))
-    if top is not None and top[0] != first:
+        top = (int(h1[-1]), int(h2[-1]), *(int(c[-1]) for c in kept))
+    if top is not None and top[:2] != first:
         yield known(top)
 
 
 def _repeats(keys: DataFrame) -> DataFrame:
     """``doc``, ``text_id``, ``at`` of the rows of `keys` that an earlier document has too, and the words beside its copy."""
-    ordered = keys.repartitionByRange(F.col("h"), F.col("doc").desc()).sortWithinPartitions(F.col("h"), F.col("doc").desc())
+    order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
+    ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
     read = cut_lineage(ordered.mapInArrow(_stream, f"kind int, {KEYS}"))
-    tops = read.filter(F.col("kind") == PART).groupBy("h").agg(F.max(F.struct("doc", *WORDS)).alias("top"))
+    tops = read.filter(F.col("kind") == PART).groupBy("h1", "h2").agg(F.max(F.struct("doc", *WORDS)).alias("top"))
     # two hashes a partition at most: small by construction
-    settled = read.filter(F.col("kind") == OPEN).drop(*WORDS).join(F.broadcast(tops), "h").filter(F.col("doc") != F.col("top.doc"))
+    settled = read.filter(F.col("kind") == OPEN).drop(*WORDS).join(F.broadcast(tops), ["h1", "h2"]).filter(F.col("doc") != F.col("top.doc"))
     return read.filter(F.col("kind") == DROP).select("doc", "text_id", "at", *WORDS).unionByName(settled.select("doc", "text_id", "at", *(F.col(f"top.{c}").alias(c) for c in WORDS)))
 
 
-def _removed(mine: Units, at: np.ndarray, beside: np.ndarray, least_words: int) -> list[tuple[int, int]]:
+def _removed(mine: Units, at: np.ndarray, beside: np.ndarray, least_words: int, least_line: int = LINE) -> list[tuple[int, int]]:
     """Runs of words (first, end) that go, for the units `at` which an earlier document has with these words `beside`."""
     if not len(mine.keys):
         return []
-    _, first, same = np.unique(mine.keys, return_index=True, return_inverse=True)
+    first, same = _distinct(mine.keys)
     kept = first[same]  # the first place of the same text
     repeat, words = kept != np.arange(len(kept)), mine.beside[kept]
     earlier = np.full(len(first), -1)
@@ -204,7 +221,7 @@ def _removed(mine: Units, at: np.ndarray, beside: np.ndarray, least_words: int)
     lines = repeat & (np.arange(len(repeat)) >= mine.windows)
     goes = _covered(len(mine.starts), mine.at[lines], mine.to[lines])
     for a, b in _runs(_covered(len(goes), (mine.at - before)[repeat], (mine.to + after)[repeat])):
-        if b - a >= least_words and mine.chars[b] - mine.chars[a] >= LINE:
+        if b - a >= least_words and mine.chars[b] - mine.chars[a] >= least_line:
             goes[a:b] = True
     return _runs(goes)
 
@@ -221,16 +238,22 @@ def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, *, least_words: int = RUN) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, least_words: int = RUN, least_line: int = LINE) -> DataFrame:
     """``doc_id``, ``n_units``, ``removed``, ``kept_text`` for each row of `docs`.
 
     ``removed`` is array<struct<start, end, words>>: the repeated passages in code points of the original text,
     end exclusive; ``kept_text`` is the rest. Texts are compared with A-Z lowered and white space as single
     spaces. The earliest place is that of the least ``doc_id``, and within it the first; rows that repeat a
-    ``doc_id`` are one document. Rows without ``doc_id`` lose nothing to others; null texts have no units.
-    Words beside a window are compared by `BITS` bits: an end takes a word too many with a chance of 1 in 4,095.
+    ``doc_id`` are one document. Rows without ``doc_id`` lose nothing to others, but to earlier places of their own
+    text; null and empty texts have no units, an empty table gives no rows, other columns aren't looked at. A very
+    long text is hashed whole in one task, by arrays of its words; its marks are one row.
+
+    Repeats of fewer than `least_words` words or `least_line` code points stay, unless they are whole lines of
+    `least_line` or more. Lower limits remove more: all whole lines at `least_line` 1, and runs down to the
+    `WINDOW` words of a unit; a run of fewer than `RUN` words may have no chosen window in common and then stays.
+    Words beside a window are compared by `BITS` bits: an end takes a word too many with a chance of 1 in 65,535.
     """
-    marks = _repeats(_hashes(docs)).groupBy("doc", "text_id").agg(F.collect_list(F.struct("at", *WORDS)).alias("marks"))
+    marks = _repeats(_hashes(docs, least_line)).groupBy("doc", "text_id").agg(F.collect_list(F.struct("at", *WORDS)).alias("marks"))
     marks = marks.select((-F.col("doc") - 1).alias("_doc"), F.col("text_id").alias("_text"), "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +265,8 @@ def remove_repeats(docs: DataFrame, *, least_words: int = RUN) -> DataFrame:
                 at, *longs = (marked.field(k).to_numpy(zero_copy_only=False) for k in range(1 + len(WORDS)))
                 for no, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                     a, b = offsets[no], offsets[no + 1]
-                    mine = Units(text.translate(LOWER))
-                    runs = [(int(mine.starts[x]), int(mine.ends[y - 1]), y - x) for x, y in _removed(mine, at[a:b], unpacked([c[a:b] for c in longs]), least_words)]
+                    mine = Units(text.translate(LOWER), least_line)
+                    runs = [(int(mine.starts[x]), int(mine.ends[y - 1]), y - x) for x, y in _removed(mine, at[a:b], unpacked([c[a:b] for c in longs]), least_words, least_line)]
                     counts.append(len(mine.keys))
                     place = np.cumsum(np.append(0, (np.frombuffer(text, np.uint8) & 0xC0) != 0x80)) if runs else None
                     spans.append([{"start": int(place[a]), "end": int(place[b]), "words": w} for a, b, w in runs])

@@ -263,6 +263,34 @@ def test_repeated_lines_and_text_without_spaces(spark):
     assert [[texts[i][s.start : s.end] for s in got[i].removed] for i in range(5)] == [[], [line.upper()], [], [han], [han]]
 
 
+def test_words_and_lines_that_fool_sums_of_powers(spark):
+    """Thue-Morse sequences and their complements have the same sum of powers modulo 2^64 from 2,048 terms on."""
+    bits = [bin(k).count("1") % 2 for k in range(4096)]
+    tail = " " + " ".join(f"w{k}" for k in range(15))
+    words = ["".join("ab"[b ^ c] for b in bits) for c in (0, 1)]
+    lines = [" ".join(("yes", "not")[b ^ c] for b in bits) for c in (0, 1)]
+    docs = [(k, w + "\n" + "\n".join(f"{k} {w} {n} something else" for n in range(3))) for k, w in enumerate(words)] + [(2 + k, line) for k, line in enumerate(lines)] + [(4, "x" + tail), (5, words[0] + tail)]
+    units = [substring_dedup.Units(w.encode()) for w in words]
+    assert (units[0].keys != units[1].keys).all()
+    lined = [substring_dedup.Units(line.encode()) for line in lines]
+    assert (lined[0].keys[-1] != lined[1].keys[-1]).any()
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert not got[1].removed and got[1].kept_text == docs[1][1]
+
+
+def test_limits_of_repeats_are_parameters(spark):
+    rng = random.Random(21)
+    some = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    shared, line = some(14), "Read more"
+    docs = [(k, some(20) + " " + shared + " " + some(20) + "\n" + line) for k in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    removed = lambda **limits: [[docs[r.doc_id][1][s.start : s.end] for s in r.removed] for r in substring_dedup.remove_repeats(df, **limits).orderBy("doc_id").collect()]
+    assert removed() == [[], []]
+    assert removed(least_line=5) == [[], [line]]
+    found = removed(least_words=9)
+    assert found[0] == [] and found[1] in ([], [shared])
+
+
 def test_fingerprints_read_the_whole_text():
     rng = random.Random(14)
     some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
