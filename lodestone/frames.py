@@ -29,11 +29,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df`, written to a table in the shared folder and read from it, so that a lost executor costs no recomputation."""
+#: With this, Spark deletes a query's shuffle files when the query ends, not when the driver next collects garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut_lineage(df: DataFrame, release: bool = False) -> DataFrame:
+    """`df`, written to a table in the shared folder and read from it, so that a lost executor costs no recomputation.
+
+    With `release` the shuffle files behind the table are deleted once it is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE)
+    try:
+        spark.conf.set(RELEASE, "true" if release else before)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

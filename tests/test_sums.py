@@ -1,10 +1,12 @@
-"""Sums that tasks hold before they meet: means by label and products of places."""
+"""Sums that tasks hold before they meet: means by label and products of places; tables whose shuffles are released."""
 
 from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.frames import RELEASE, cut_lineage
 from lodestone.operators import clusters, linear
 
 VECTORS = [(k, "ab"[k % 2] if k % 5 else None, [float(k % 7), k / 3, -1.0 * k, 2.5]) for k in range(300)]
@@ -34,3 +36,10 @@ def test_vectors_of_several_widths_and_none(spark):
     assert (row.label, row.n, row["mean"]) == (1, 3, [7 / 3, 4.0, 6.0])
     assert {(r.i, r.j): r.g for r in linear.gram(df, "v").collect()} == {(0, 0): 21.0, (0, 1): 26.0, (0, 2): 24.0, (1, 1): 34.0, (1, 2): 30.0, (2, 2): 36.0}
     assert clusters.means_of(df.limit(0), "label").count() == 0 and linear.gram(df.limit(0), "v").count() == 0
+
+
+def test_released_tables_can_be_read_and_the_setting_stays(spark):
+    before, df = spark.conf.get(RELEASE), spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    table = cut_lineage(df, release=True)
+    assert spark.conf.get(RELEASE) == before
+    assert table.agg(F.sum("count")).first()[0] == df.agg(F.sum("count")).first()[0] == 1000
