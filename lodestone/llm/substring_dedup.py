@@ -197,7 +197,7 @@ def _repeats(keys: DataFrame) -> DataFrame:
     """``doc``, ``text_id``, ``at`` of the rows of `keys` that an earlier document has too, and the words beside its copy."""
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
     ordered = keys.repartitionByRange(*order).sortWithinPartitions(*order)
-    read = cut_lineage(ordered.mapInArrow(_stream, f"kind int, {KEYS}"))
+    read = cut_lineage(ordered.mapInArrow(_stream, f"kind int, {KEYS}"), release=True)
     tops = read.filter(F.col("kind") == PART).groupBy("h1", "h2").agg(F.max(F.struct("doc", *WORDS)).alias("top"))
     # two hashes a partition at most: small by construction
     settled = read.filter(F.col("kind") == OPEN).drop(*WORDS).join(F.broadcast(tops), ["h1", "h2"]).filter(F.col("doc") != F.col("top.doc"))
