@@ -40,12 +40,15 @@ def cut_lineage(df: DataFrame, release: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    before = spark.conf.get(RELEASE)
-    try:
-        spark.conf.set(RELEASE, "true" if release else before)
+    if release:
+        before = spark.conf.get(RELEASE)
+        spark.conf.set(RELEASE, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(RELEASE, before)
+    else:
         df.write.parquet(path)
-    finally:
-        spark.conf.set(RELEASE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
