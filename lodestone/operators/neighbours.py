@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,6 +20,8 @@ from ..frames import cut_lineage, numbered
 from .stats import floor_quantiles
 
 BLOCK = 2048
+#: Rows and numbers that a task holds of either table.
+ROWS, NUMBERS = 1 << 17, 1 << 23
 OUT = "id long, other long, distance double"
 #: Queries on which the number of probed cells is measured, the share of their true neighbours that must lie in
 #: these cells, and the least number.
@@ -29,34 +32,141 @@ def _matrix(vectors: list) -> np.ndarray:
     return np.array(vectors, float)
 
 
-def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, others: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k nearest of `points` for each query, as (query id, id, distance) columns."""
-    out_q, out_i, out_d = [], [], []
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of an Arrow column as a matrix; what shorter ones lack isn't a number, nor are nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    there = np.arange(lengths.max(initial=0)) < lengths[:, None]
+    x = np.full(there.shape, np.nan)
+    x[there] = pc.fill_null(column.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    return x
+
+
+def _kinds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each kind of equal rows, and the kind of each row."""
+    if not x.size:
+        return np.zeros(min(len(x), 1), int), np.zeros(len(x), int)
+    raw = np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel()
+    _, first, kind = np.unique(raw, return_index=True, return_inverse=True)
+    return first, kind.ravel()
+
+
+def _first_of_kind(kind: np.ndarray, most: int) -> np.ndarray:
+    """Whether a row is among the first `most` of its kind."""
+    order = np.argsort(kind, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(kind[order]) != 0)) if len(kind) else np.zeros(0, int)
+    place = np.arange(len(kind)) - np.repeat(starts, np.diff(np.append(starts, len(kind))))
+    out = np.empty(len(kind), bool)
+    out[order] = place < most
+    return out
+
+
+def _improve(best_d: np.ndarray, best_i: np.ndarray, rows: np.ndarray, queries: np.ndarray, at: np.ndarray, points: np.ndarray) -> None:
+    """Put those of `points` (places `at`, ascending) into the lists of `rows` that are nearer than what these hold.
+
+    Squared distances by products only tell which points can be among the nearest, with room for rounding; these are
+    scored by differences. Products are of 32 bits where that leaves few points, else of 64.
+    """
+    keep = best_d.shape[1]
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        top = max(np.abs(points).max(initial=0), np.abs(queries[rows]).max(initial=0))
+        scale = 2.0 ** -np.ceil(np.log2(top)) if top > 0 else 1.0
+        middle = points.mean(0) if top < 1e100 else 0.0
+        p = (points - middle) * scale
+        lengths = (p * p).sum(1)
+        wide = {np.float64: np.column_stack([p, lengths]).T}
+        wide[np.float32] = wide[np.float64].astype(np.float32)
+        for start in range(0, len(rows), 256):
+            mine = rows[start : start + 256]
+            exact = queries[mine]
+            q = (exact - middle) * scale
+            own = (q * q).sum(1)
+            turned = np.column_stack([-2 * q, np.ones(len(q))])
+            room = {kind: 8 * (p.shape[1] + 8) * np.finfo(kind).eps * (own + lengths.max() + 1e-30) for kind in wide}
+            kind, a, width = np.float32, 0, BLOCK
+            while a < len(p):
+                b = min(a + width, len(p))
+                limit = (best_d[mine, -1] * scale) ** 2 - own
+                unset = ~np.isfinite(limit)
+                if kind is np.float32 and (64 * room[kind] > limit + own).any():
+                    kind = np.float64
+                rough = turned.astype(kind) @ wide[kind][:, a:b]
+                if unset.any() and b - a >= keep:
+                    limit[unset] = np.partition(rough[unset], keep - 1, axis=1)[:, keep - 1] + room[kind][unset]
+                if kind is np.float32:  # rounded upwards
+                    limit = limit + np.abs(limit) * 1e-6
+                r, c = np.nonzero(rough <= (limit + room[kind]).astype(kind)[:, None])
+                for low in range(0, len(r), 1 << 17):
+                    # whole rows, or parts of one
+                    _merge(best_d, best_i, mine, exact, r[low : low + (1 << 17)], c[low : low + (1 << 17)] + a, at, points)
+                a, width = b, min(2 * width, 8 * BLOCK)
+
+
+def _merge(best_d: np.ndarray, best_i: np.ndarray, mine: np.ndarray, exact: np.ndarray, r: np.ndarray, c: np.ndarray, at: np.ndarray, points: np.ndarray) -> None:
+    d = np.sqrt(((points[c] - exact[r]) ** 2).sum(1))
+    d = np.where(np.isfinite(d), d, np.inf)
+    near = d <= best_d[mine[r], -1]
+    r, c, d = r[near], c[near], d[near]
+    if not len(r):
+        return
+    keep = best_d.shape[1]
+    some, r = np.unique(r, return_inverse=True)
+    to = mine[some]
+    row = np.concatenate([np.repeat(np.arange(len(some)), keep), r])
+    d = np.concatenate([best_d[to].ravel(), d])
+    i = np.concatenate([best_i[to].ravel(), at[c]])
+    order = np.lexsort((i, d, row))
+    starts = np.searchsorted(row[order], np.arange(len(some)))
+    first = order[(starts[:, None] + np.arange(keep)).ravel()].reshape(-1, keep)
+    best_d[to], best_i[to] = d[first], i[first]
+
+
+def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray, k: int, others: bool, homes: np.ndarray | None = None, visits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of `points` for each query, as (query id, id, distance) columns.
+
+    With `homes`, the cells of the points, and `visits`, which of the cells a query visits, it meets the points of these only.
+    Equal queries are searched once, and of equal points only as many are looked at as a list can hold.
+    """
+    nothing = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if not len(query_ids) or not len(ids):
+        return nothing
+    if queries.shape[1] != points.shape[1]:  # a side whose vectors are all shorter
+        width = max(queries.shape[1], points.shape[1])
+        queries, points = (np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=np.nan) for x in (queries, points))
     order = np.argsort(ids, kind="stable")
     ids, points = ids[order], points[order]
-    for start in range(0, len(queries), 256):
-        q, q_ids = queries[start : start + 256], query_ids[start : start + 256]
-        # a shortlist by the Gram matrix, rescored by differences
-        with np.errstate(invalid="ignore", over="ignore"):
-            rough = (q * q).sum(1)[:, None] + (points * points).sum(1)[None, :] - 2 * q @ points.T
-        rough = np.where(np.isfinite(rough), rough, np.inf)
-        if others:
-            rough[q_ids[:, None] == ids[None, :]] = np.nan
-        short = min(len(ids), 2 * k + 16)
-        for r in range(len(q)):
-            own = rough[r]
-            near = np.argpartition(np.where(np.isnan(own), np.inf, own), short - 1)[:short]
-            near = np.sort(near[~np.isnan(own[near])])
-            with np.errstate(invalid="ignore", over="ignore"):
-                d = np.sqrt(((points[near] - q[r]) ** 2).sum(1))
-            d = np.where(np.isfinite(d), d, np.inf)
-            best = np.argsort(d, kind="stable")[:k]
-            out_q.append(np.full(len(best), q_ids[r]))
-            out_i.append(ids[near[best]])
-            out_d.append(d[best])
-    if not out_q:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_d)
+    homes = None if homes is None else homes[order]
+    # a list has room for the query's own id, which is left out afterwards
+    keep = k + (np.unique(ids, return_counts=True)[1].max() if others else 0)
+    kind = _kinds(points)[1]
+    stay = _first_of_kind(kind, keep)
+    ids, points, homes = ids[stay], points[stay], None if homes is None else homes[stay]
+    first, kind = _kinds(queries)
+    queries, visits = queries[first], None if visits is None else visits[first]
+    best_d, best_i = np.full((len(first), keep), np.inf), np.full((len(first), keep), len(ids))
+    whole_p, whole_q = np.isfinite(points).all(1), np.isfinite(queries).all(1)
+    for cell in [None] if homes is None else np.unique(homes):
+        here = np.full(len(ids), True) if homes is None else homes == cell
+        come = np.full(len(queries), True) if homes is None else visits[:, cell]
+        at = np.flatnonzero(here & whole_p)
+        if len(at) and (come & whole_q).any():
+            _improve(best_d, best_i, np.flatnonzero(come & whole_q), queries, at, points[at])
+        # what isn't finite is infinitely far, and comes in the order of ids
+        for rows, odd in ((come & whole_q, here & ~whole_p), (come & ~whole_q, here)):
+            last = np.flatnonzero(odd)[:keep]
+            if len(last) and rows.any():
+                rows = np.flatnonzero(rows)
+                i = np.column_stack([best_i[rows], np.tile(last, (len(rows), 1))])
+                d = np.column_stack([best_d[rows], np.full((len(rows), len(last)), np.inf)])
+                order = np.lexsort((i, d), axis=1)[:, :keep]
+                best_i[rows], best_d[rows] = np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
+    found = best_i[kind]
+    there = found < len(ids)
+    other = ids[np.minimum(found, len(ids) - 1)]
+    if others:
+        there &= other != query_ids[:, None]
+    there &= np.cumsum(there, axis=1) <= k
+    return np.repeat(query_ids, there.sum(1)), other[there], best_d[kind][there]
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -64,36 +174,60 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _rows(points: DataFrame, ident: str, vector: str) -> DataFrame:
+    """``id``, ``v``; single precision stays so until distances are taken, which halves what is shuffled."""
+    v = F.col(vector)
+    single = points.select(v.alias("v")).schema["v"].dataType.simpleString() == "array<float>"
+    return points.select(F.col(ident).cast("long").alias("id"), (v if single else doubles(v)).alias("v"))
+
+
+def _shares(m: int, n: int, width: int, tasks: int) -> tuple[int, int]:
+    """Into how many parts m queries, and n points, go: each is sent once for each part of the other.
+
+    As few as tasks can hold, but at least so many that there are `tasks` pairs of parts, if parts have `BLOCK` rows.
+    """
+    held = max(BLOCK, min(ROWS, NUMBERS // max(1, width)))
+    share = lambda count, least: max(1, -(-count // held), min(-(-count // BLOCK), least))
+    queries = share(m, int(np.ceil(np.sqrt(tasks))))
+    points = share(n, -(-tasks // queries))
+    return share(m, -(-tasks // points)), points
+
+
+def _part(n: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
 def _blocked(left: DataFrame, right: DataFrame, k: int, others: bool) -> DataFrame:
-    """Each block of queries against each block of points: a task holds two blocks, and passes on k rows a query."""
-    blocks = max(1, -(-right.count() // BLOCK))
-    query_blocks = max(1, -(-left.count() // BLOCK))
+    """Parts of the queries against parts of the points: a task holds one of each, and passes on k rows a query."""
+    m = left.count()
+    n, width = right.agg(F.count("*"), F.max(F.size("v"))).first()
+    query_parts, parts = _shares(m, n, width or 1, 2 * left.sparkSession.sparkContext.defaultParallelism)
+    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    queries = left.select("id", "v", _part(query_parts).alias("query_part"), numbers(parts).alias("part"))
+    points = right.select("id", "v", numbers(query_parts).alias("query_part"), _part(parts).alias("part"))
 
-    def packed(df: DataFrame, n: int) -> DataFrame:
-        return df.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "v").groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = _nearest(a["id"].to_numpy(), _vectors(a["v"]), b["id"].to_numpy(), _vectors(b["v"]), k, others)
+        return pa.table(dict(zip(("id", "other", "distance"), found, strict=True)))
 
-    points = packed(right, blocks).toDF("block", "ids_b", "vs_b")
-    queries = packed(left, query_blocks).toDF("query_block", "ids_a", "vs_a").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return _met(queries, points, query_parts * parts, search)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids_a, vs_a, ids_b, vs_b in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                found = _nearest(np.array(ids_a), _matrix(vs_a), np.array(ids_b), _matrix(vs_b), k, others)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["id", "other", "distance"])
 
-    met = queries.join(points, "block").select("ids_a", "vs_a", "ids_b", "vs_b").repartition(max(1, blocks * query_blocks))
-    return met.mapInArrow(search, OUT)
+def _met(queries: DataFrame, points: DataFrame, pairs: int, search) -> DataFrame:
+    """What `search` finds in each pair of parts; more tasks than pairs, so that few hold two."""
+    a, b = (d.repartition(4 * pairs, "query_part", "part").groupBy("query_part", "part") for d in (queries, points))
+    return a.cogroup(b).applyInArrow(search, OUT)
 
 
 def exact(points: DataFrame, k: int, ident: str = "id", vector: str = "features") -> DataFrame:
     """``id``, ``rank``, ``other``, ``distance``: the `k` nearest others of each row."""
-    rows = points.select(F.col(ident).cast("long").alias("id"), doubles(F.col(vector)).alias("v"))
+    rows = _rows(points, ident, vector)
     return _best(_blocked(rows, rows, k, True), k).select("id", "rank", "other", "distance")
 
 
 def between(queries: DataFrame, points: DataFrame, k: int, ident: str = "id", vector: str = "features") -> DataFrame:
     """The `k` nearest of `points` for each of `queries`, another table; equal ids aren't left out."""
-    left, right = (d.select(F.col(ident).cast("long").alias("id"), doubles(F.col(vector)).alias("v")) for d in (queries, points))
+    left, right = (_rows(d, ident, vector) for d in (queries, points))
     return _best(_blocked(left, right, k, False), k).select("id", "rank", "other", "distance")
 
 
