@@ -262,38 +262,92 @@ def _probes_needed(rows: DataFrame, centroids: np.ndarray, k: int) -> int:
 def by_cells(points: DataFrame, k: int, cells: int | None = None, probes: int | None = None, ident: str = "id", vector: str = "features", seed: int = 20240517) -> DataFrame:
     """`exact`, but each row looks only in the `probes` nearest of about √n cells; with all of them it is exact.
 
-    Cells are assigned by an equi-join on the cell, so that each task holds a cell. The centroids are fitted on
+    Cells are put together to parts of about as many rows as a task can hold, and a large cell is cut into several. A row
+    is sent once to each part in which it visits cells, with their numbers. The centroids are fitted on
     at most 256 rows a cell; every row is indexed. Without `probes`, the number is what the data needs: the least,
     from `PROBES` on, with which `TRIED` rows (the first by a hash of the id) find `REACHED` of their true neighbours.
     """
     from .clusters import fit_centroids
 
     rows = points.select(F.col(ident).cast("long").alias("id"), doubles(F.col(vector)).alias("v"))
-    n = rows.count()
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
     cells = max(1, min(cells or int(np.ceil(np.sqrt(n))), n))
     centroids = fit_centroids(rows, cells, seed=seed, rounds=10, most_rows=256 * cells)
+    if not len(centroids):
+        return exact(points, k, ident, vector)
     probes = min(probes or _probes_needed(rows, centroids, k), cells)
+    return _best(_visited(_rows(points, ident, vector), _rows(points, ident, vector), centroids, probes, k, True, n, n, width or 1), k).select("id", "rank", "other", "distance")
+
+
+def _near_cells(column: pa.Array, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """Numbers of the `probes` nearest centroids of each vector, the nearest first."""
+    v = _vectors(column)
+    v = np.pad(v, ((0, 0), (0, max(0, centroids.shape[1] - v.shape[1]))), constant_values=np.nan)
+    with np.errstate(invalid="ignore", over="ignore"):
+        d = (v * v).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2 * v @ centroids.T
+    return np.argsort(np.where(np.isfinite(d), d, np.inf), axis=1, kind="stable")[:, :probes]
+
+
+def _visited(left: DataFrame, right: DataFrame, centroids: np.ndarray, probes: int, k: int, others: bool, m: int, n: int, width: int) -> DataFrame:
+    """The k nearest of `right` in the `probes` nearest cells of each row of `left`, of each part of the cells."""
+    vector = left.schema["v"].dataType.simpleString()
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1).to_pylist()).reshape(batch.num_rows, -1)
-            d = (v * v).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2 * v @ centroids.T
-            near = np.argsort(np.where(np.isfinite(d), d, np.inf), axis=1, kind="stable")[:, :probes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.tolist(), pa.list_(pa.int32()))], ["id", "v", "cells"])
-
-    placed = rows.mapInArrow(probe, "id long, v array<double>, cells array<int>")
-    # a cell is searched in slices of its members, so that a large one isn't one task
-    slices = F.pmod(F.xxhash64("id"), F.lit(max(1, n // (cells * BLOCK)))).cast("int")
-    homes = placed.select(F.element_at("cells", 1).alias("cell"), slices.alias("slice"), "id", "v").groupBy("cell", "slice").agg(F.collect_list("id").alias("ids_b"), F.collect_list("v").alias("vs_b"))
-    visits = placed.select("id", "v", F.explode("cells").alias("cell")).groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(max(1, n * probes // (cells * BLOCK)))).alias("part")).agg(F.collect_list("id").alias("ids_a"), F.collect_list("v").alias("vs_a"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_near_cells(batch.column(1), centroids, 1)[:, 0], pa.int32())], ["id", "v", "cell"])
+
+    homes = right.mapInArrow(home, f"id long, v {right.schema['v'].dataType.simpleString()}, cell int")
+    sizes = np.zeros(len(centroids), int)
+    for row in homes.groupBy("cell").count().collect():  # a row for each cell
+        sizes[row["cell"]] = row["count"]
+    query_parts, parts = _shares(m, n, width, 2 * left.sparkSession.sparkContext.defaultParallelism)
+    # the first part of each cell, and in how many parts it lies; both grow with the cell's number
+    held, part, filled = max(1, -(-n // parts)), 0, 0
+    first, slices = np.zeros(len(sizes), int), np.maximum(1, -(-sizes // held))
+    for cell, size in enumerate(sizes):
+        if filled and filled + size > held:
+            part, filled = part + 1, 0
+        first[cell] = part
+        part, filled = (part + int(slices[cell]), 0) if slices[cell] > 1 else (part, filled + int(size))
+    parts = part + 1
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids_a, vs_a, ids_b, vs_b in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                found = _nearest(np.array(ids_a), _matrix(vs_a), np.array(ids_b), _matrix(vs_b), k, True)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["id", "other", "distance"])
+            for low in range(0, batch.num_rows, 1024):
+                some = batch.slice(low, 1024)
+                near = np.sort(_near_cells(some.column(1), centroids, probes), axis=1)
+                row, cell = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+                times = slices[cell]
+                ends = np.cumsum(times)
+                to = np.repeat(first[cell], times) + np.arange(ends[-1]) - np.repeat(ends - times, times)
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                starts = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(to) != 0)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(cell, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(pa.array(row[starts])) for c in (0, 1)), pa.array(to[starts], pa.int32()), lists], ["id", "v", "part", "cells"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first[cell] + batch.column(3).to_numpy() % slices[cell], pa.int32())], ["id", "v", "cell", "part"])
+
+    queries = left.mapInArrow(go, f"id long, v {vector}, part int, cells array<int>").withColumn("query_part", _part(query_parts))
+    dealt = homes.withColumn("no", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(deal, f"{homes.schema.simpleString()[7:-1].replace(':', ' ')}, part int")
+    points = dealt.withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+
+    def search(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if a.num_rows and b.num_rows:
+            at, lists = b["cell"].to_numpy(), a["cells"].combine_chunks()
+            low, high = at.min(), at.max()
+            asked, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+            known = (asked >= low) & (asked <= high)
+            visits = np.zeros((a.num_rows, high - low + 1), bool)
+            visits[row[known], asked[known] - low] = True
+            found = _nearest(a["id"].to_numpy(), _vectors(a["v"]), b["id"].to_numpy(), _vectors(b["v"]), k, others, at - low, visits)
+        return pa.table(dict(zip(("id", "other", "distance"), found, strict=True)))
 
-    return _best(visits.join(homes, "cell").select("ids_a", "vs_a", "ids_b", "vs_b").mapInArrow(search, OUT), k).select("id", "rank", "other", "distance")
+    return _met(queries, points, query_parts * parts, search)
 
 
 # -- distances of given pairs ------------------------------------------------------------------------
