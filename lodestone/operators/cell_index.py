@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..frames import cut_lineage, drop
 from ..functions.normalise import doubles
 from .clusters import fit_centroids
-from .neighbours import BLOCK, OUT, _best, _matrix, _nearest
+from .neighbours import BLOCK, _best, _matrix, _visited
 
 #: Rows a cell on which centroids are fitted; cells for whose centroids a driver has room.
 FITTED, MOST_CELLS = 256, 1 << 16
@@ -77,27 +77,22 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, *, probes
     """``id``, ``rank``, ``other``, ``distance``: the `k` nearest rows of the index among the `probes` nearest cells of each query.
 
     With as many probes as cells it is exact. `others` leaves out the row with the query's own id. Queries without an
-    id or with a vector that isn't whole find nothing.
+    id or with a vector that isn't whole find nothing. A query is sent once to each part of the cells, with the numbers of those
+    it visits: a row for each cell with the vector in it compresses so well that Spark took the table for small, and broadcast it.
     """
     centroids = _centroids(spark, path)
     rows = queries.select(F.col(ident).cast("long").alias("id"), doubles(F.col(vector)).alias("v")).filter(F.col("id").isNotNull() & _finite())
     if not centroids.size:
         return spark.createDataFrame([], "id long, rank int, other long, distance double")
-    visits = cut_lineage(rows.mapInArrow(_assigner(centroids, probes), "id long, v array<double>, cells array<int>").select("id", "v", F.explode("cells").alias("cell")))
-    asked = visits.groupBy("cell").agg(F.count("*").alias("asked"))  # a row for each cell
-    wanted = [r.cell for r in asked.select("cell").collect()]
-    homes = members(spark, path, wanted).groupBy("cell", "slice").agg(F.collect_list("id").alias("ids_b"), F.collect_list("v").alias("vs_b"))  # about BLOCK rows
-    part = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col("asked") / BLOCK), F.lit(1)))
-    blocks = visits.join(asked, "cell").groupBy("cell", part.alias("part")).agg(F.collect_list("id").alias("ids_a"), F.collect_list("v").alias("vs_a"))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids_a, vs_a, ids_b, vs_b in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                found = _nearest(np.array(ids_a), _matrix(vs_a), np.array(ids_b), _matrix(vs_b), k, others)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["id", "other", "distance"])
-
-    met = blocks.join(homes, "cell").select("ids_a", "vs_a", "ids_b", "vs_b")
-    return _best(met.mapInArrow(find, OUT), k).select("id", "rank", "other", "distance")
+    rows = cut_lineage(rows)
+    near = rows.mapInArrow(_assigner(centroids, probes), "id long, v array<double>, cells array<int>").select(F.explode("cells").alias("cell"))
+    wanted = [r.cell for r in near.distinct().collect()]  # a row for each cell
+    sizes = np.zeros(len(centroids), int)
+    for r in spark.read.parquet(f"{path}/centroids").collect():
+        sizes[r.cell] = r.members
+    sizes[np.setdiff1d(np.arange(len(sizes)), wanted)] = 0
+    homes = members(spark, path, wanted if len(wanted) < len(sizes) else None)
+    return _best(_visited(rows, rows.count(), homes, sizes, centroids, probes, k, others), k).select("id", "rank", "other", "distance")
 
 
 def vectors_of(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:

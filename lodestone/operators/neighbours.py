@@ -270,13 +270,25 @@ def by_cells(points: DataFrame, k: int, cells: int | None = None, probes: int |
     from .clusters import fit_centroids
 
     rows = points.select(F.col(ident).cast("long").alias("id"), doubles(F.col(vector)).alias("v"))
-    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    n = rows.count()
     cells = max(1, min(cells or int(np.ceil(np.sqrt(n))), n))
     centroids = fit_centroids(rows, cells, seed=seed, rounds=10, most_rows=256 * cells)
     if not len(centroids):
         return exact(points, k, ident, vector)
     probes = min(probes or _probes_needed(rows, centroids, k), cells)
-    return _best(_visited(_rows(points, ident, vector), _rows(points, ident, vector), centroids, probes, k, True, n, n, width or 1), k).select("id", "rank", "other", "distance")
+    queries = _rows(points, ident, vector)
+    kind = queries.schema["v"].dataType.simpleString()
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_near_cells(batch.column(1), centroids, 1)[:, 0], pa.int32())], ["id", "v", "cell"])
+
+    homes = queries.mapInArrow(home, f"id long, v {kind}, cell int")
+    sizes = np.zeros(len(centroids), int)
+    for row in homes.groupBy("cell").count().collect():  # a row for each cell
+        sizes[row["cell"]] = row["count"]
+    return _best(_visited(queries, n, homes, sizes, centroids, probes, k, True), k).select("id", "rank", "other", "distance")
 
 
 def _near_cells(column: pa.Array, centroids: np.ndarray, probes: int) -> np.ndarray:
@@ -288,20 +300,14 @@ def _near_cells(column: pa.Array, centroids: np.ndarray, probes: int) -> np.ndar
     return np.argsort(np.where(np.isfinite(d), d, np.inf), axis=1, kind="stable")[:, :probes]
 
 
-def _visited(left: DataFrame, right: DataFrame, centroids: np.ndarray, probes: int, k: int, others: bool, m: int, n: int, width: int) -> DataFrame:
-    """The k nearest of `right` in the `probes` nearest cells of each row of `left`, of each part of the cells."""
-    vector = left.schema["v"].dataType.simpleString()
+def _visited(left: DataFrame, m: int, homes: DataFrame, sizes: np.ndarray, centroids: np.ndarray, probes: int, k: int, others: bool) -> DataFrame:
+    """The k nearest in the `probes` nearest cells of each of the `m` rows of `left`, of each part of the cells.
 
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_near_cells(batch.column(1), centroids, 1)[:, 0], pa.int32())], ["id", "v", "cell"])
-
-    homes = right.mapInArrow(home, f"id long, v {right.schema['v'].dataType.simpleString()}, cell int")
-    sizes = np.zeros(len(centroids), int)
-    for row in homes.groupBy("cell").count().collect():  # a row for each cell
-        sizes[row["cell"]] = row["count"]
-    query_parts, parts = _shares(m, n, width, 2 * left.sparkSession.sparkContext.defaultParallelism)
+    `homes` has ``id``, ``v`` and ``cell``, and `sizes` of them in each cell; a cell of size 0 isn't read by the query.
+    """
+    vector, kind = left.schema["v"].dataType.simpleString(), homes.schema["v"].dataType.simpleString()
+    n = int(sizes.sum())
+    query_parts, parts = _shares(m, n, centroids.shape[1], 2 * left.sparkSession.sparkContext.defaultParallelism)
     # the first part of each cell, and in how many parts it lies; both grow with the cell's number
     held, part, filled = max(1, -(-n // parts)), 0, 0
     first, slices = np.zeros(len(sizes), int), np.maximum(1, -(-sizes // held))
@@ -332,7 +338,7 @@ def _visited(left: DataFrame, right: DataFrame, centroids: np.ndarray, probes: i
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(first[cell] + batch.column(3).to_numpy() % slices[cell], pa.int32())], ["id", "v", "cell", "part"])
 
     queries = left.mapInArrow(go, f"id long, v {vector}, part int, cells array<int>").withColumn("query_part", _part(query_parts))
-    dealt = homes.withColumn("no", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(deal, f"{homes.schema.simpleString()[7:-1].replace(':', ' ')}, part int")
+    dealt = homes.select("id", "v", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("no")).mapInArrow(deal, f"id long, v {kind}, cell int, part int")
     points = dealt.withColumn("query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:

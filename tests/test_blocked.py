@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodestone.operators import neighbours
+from lodestone.operators import cell_index, neighbours
 
 
 def brute(ids, x, k):
@@ -55,3 +55,14 @@ def test_a_row_is_sent_to_few_parts():
         assert n <= neighbours.ROWS * min(queries, points)
     assert neighbours._shares(512, 720_000, 64, 24) == (1, 24)
     assert neighbours._shares(720_000, 3, 64, 24) == (24, 1)
+
+
+def test_a_search_of_an_index_broadcasts_nothing(spark, tmp_path):
+    ids, x = cloud(300, 2)
+    points = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, features array<double>")
+    cell_index.build(points, str(tmp_path / "i"))
+    found = cell_index.search_by_name(spark, str(tmp_path / "i"), points.filter("id % 5 = 0").select("id"), 4, probes=cell_index.MOST_CELLS)
+    true = brute(ids, x, 5)
+    assert lists(found) == {int(i): [o for o in true[i] if o != ids[3]][:4] for i in ids if i % 5 == 0 and i != ids[3]}
+    for visits in ("BroadcastExchange", "BroadcastHashJoin"):
+        assert visits not in cell_index.search(spark, str(tmp_path / "i"), points, 4, probes=5)._jdf.queryExecution().executedPlan().toString()
