@@ -62,7 +62,7 @@ def personal_ranks(edges: DataFrame, top: int, *, restart: float = 0.15, least:
     """``source``, ``rank``, ``node``, ``score``: the `top` nodes by personalised PageRank from each source.
 
     Residuals above `least` times the degree are pushed on, all of them in each round. A source has at most
-    1 / (least · restart) of them, however large the graph.
+    1 / (least · restart) of them, however large the graph. Scores that agree to 12 places are ties; the smaller node comes first.
     """
     around = both_ways(edges.select("src", "dst"))
     d = degrees(edges).withColumnRenamed("degree", "d")
@@ -82,7 +82,9 @@ def personal_ranks(edges: DataFrame, top: int, *, restart: float = 0.15, least:
         rest = cut_lineage(stay.unionByName(spread).groupBy("source", "node").agg(F.sum("r").alias("r")))
     if score is None:
         return start.sparkSession.createDataFrame([], "source long, rank int, node long, score double")
-    ranked = score.filter("node <> source").withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("s"), "node")))
+    # scores that are the same but for the order in which they were added up are ties, and go by node
+    place = W.partitionBy("source").orderBy(F.round("s", 12).desc(), "node")
+    ranked = score.filter("node <> source").withColumn("rank", F.row_number().over(place))
     return ranked.filter(F.col("rank") <= top).select("source", "rank", "node", F.col("s").alias("score"))
 
 
