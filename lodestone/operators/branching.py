@@ -2,16 +2,22 @@
 
 By rounds over tables. In each, every node takes its best incoming arc, or stays a root where none is worth more. If
 that closes cycles, pointers are doubled until all nodes of a cycle know it; each cycle becomes one node, whose
-incoming arcs are worth what they gain over the arc that they would replace; and so on, until there is no cycle. Going
+incoming arcs are worth what they gain over the arc that they would replace; and so on, until there is no cycle, or few
+arcs are left (`FEW`): these are dealt to tasks by component, which do the same rounds on arrays, as the last rounds are many and small. Going
 back, the arc that a contracted cycle has taken replaces one of its own, and the others stay.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cut_lineage, drop, numbered
+from ..frames import components, cut_lineage, drop, numbered
+
+#: Arcs from which on rounds are left to tasks, each with whole components.
+FEW = 1 << 18
 
 
 def _doubled(ahead: DataFrame) -> DataFrame:
@@ -48,6 +54,85 @@ def _cycles(picks: DataFrame) -> DataFrame:
     return out
 
 
+def _last(*keys: np.ndarray, of: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of the rows with equal values of `of`, the one with the largest keys, the first key first."""
+    order = np.lexsort((*reversed(keys), *reversed(of)))
+    differ = np.zeros(max(0, len(order) - 1), bool)
+    for c in of:
+        differ |= np.diff(c[order]) != 0
+    return order[np.append(differ, True)[: len(order)]]
+
+
+def _rounds(node: np.ndarray, affinity: np.ndarray, into: np.ndarray, arcs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The arc (its ends among the given nodes) that each node takes, and whether it takes one: the rounds of `max_branching`."""
+    n = len(node)
+    src, dst = np.searchsorted(node, arcs[0]), np.searchsorted(node, arcs[1])
+    weight, out, land = arcs[2:]
+    # the given nodes at which arcs end, and where they are
+    given, where = np.unique(np.concatenate([land, into]), return_index=True)
+    at = np.concatenate([dst, np.arange(n)])[where]
+    affinity, into, log = affinity.copy(), into.copy(), []
+    while True:
+        best = _last(weight, -src, out, land, of=(dst,))
+        best = best[weight[best] > affinity[dst[best]]]
+        to = dst[best]
+        parent, out_of, in_to, cost = np.full(n, n), np.zeros(n, np.int64), into.copy(), np.zeros(n)
+        parent[to], out_of[to], in_to[to], cost[to] = src[best], out[best], land[best], weight[best]
+        ahead, low = np.append(parent, n), np.minimum(np.arange(n + 1), np.append(parent, n))
+        for _ in range(n.bit_length() + 1):
+            ahead, low = ahead[ahead], np.minimum(low, low[ahead])
+        cycle = np.arange(n)
+        on = np.unique(ahead)
+        on = on[on < n]
+        log.append((on, low[on], at, parent < n, out_of, in_to))
+        if not len(on):
+            break
+        cycle[on] = low[on]
+        gone = np.zeros(n)
+        gone[on] = cost[on]
+        weight = weight - gone[dst]
+        src, dst, at = cycle[src], cycle[dst], cycle[at]
+        affinity = affinity - gone
+        root = _last(affinity, -into, of=(cycle,))
+        affinity[cycle[root]], into[cycle[root]] = affinity[root], into[root]
+        stay = np.flatnonzero((src != dst) & (weight > affinity[dst]))
+        stay = stay[_last(weight[stay], -out[stay], -land[stay], of=(dst[stay], src[stay]))]
+        src, dst, weight, out, land = src[stay], dst[stay], weight[stay], out[stay], land[stay]
+    _, _, _, takes, out_of, in_to = log.pop()
+    for on, low, was, took, own_out, own_in in reversed(log):
+        # a cycle's arc replaces that of the node where it lands; the others keep theirs
+        heads = np.unique(low)
+        landed = was[np.searchsorted(given, in_to[heads])]
+        new = takes[heads], out_of[heads], in_to[heads]
+        takes[on], out_of[on], in_to[on] = took[on], own_out[on], own_in[on]
+        takes[landed], out_of[landed], in_to[landed] = new
+    return takes, out_of, in_to
+
+
+def _in_tasks(graph: DataFrame, alone: DataFrame) -> DataFrame:
+    """``node``, ``from``, ``into``: what each node takes; components of `graph` are dealt to tasks."""
+    roots = components(graph.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    deal = F.pmod(F.xxhash64(F.coalesce("root", "node")), F.lit(2 * graph.sparkSession.sparkContext.defaultParallelism)).cast("int").alias("deal")
+    dealt = cut_lineage(alone.select("node").join(roots, "node", "left").select("node", deal))
+    arcs = graph.join(dealt.withColumnRenamed("node", "dst"), "dst").select(F.col("deal").alias("part"), "src", "dst", "weight", "from", "into")
+
+    def solve(a: pa.Table, b: pa.Table) -> pa.Table:
+        a = a.sort_by("node")
+        node, affinity, into = (a[c].to_numpy() for c in ("node", "affinity", "into"))
+        takes, out, land = _rounds(node, affinity, into, tuple(b[c].to_numpy() for c in ("src", "dst", "weight", "from", "into")))
+        return pa.table({"node": node, "from": pa.array(out, pa.int64(), mask=~takes), "into": land})
+
+    found = alone.join(dealt, "node").groupBy("deal").cogroup(arcs.groupBy("part")).applyInArrow(solve, "node long, from long, into long")
+    chosen = cut_lineage(found)
+    drop(roots, dealt)
+    return chosen
+
+
+def _worth(arcs: DataFrame, alone: DataFrame) -> DataFrame:
+    """The arcs that are worth more than what their end is worth as a root: no other one is ever taken."""
+    return arcs.join(alone.select(F.col("node").alias("dst"), "affinity"), "dst").filter("weight > affinity").drop("affinity")
+
+
 def max_branching(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node``, ``parent``, ``weight``, ``root``, ``tree``: the branching with the largest sum of arc weights and of its roots' affinities.
 
@@ -61,11 +146,15 @@ def max_branching(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     given = arcs.filter("src <> dst").groupBy("src", "dst").agg(F.max(F.col("weight").cast("double")).alias("weight"))
     given = cut_lineage(given.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi"))
     # arcs and affinities of this level; `from` and `into` are the ends that the arc has among the given nodes
-    graph = cut_lineage(given.select("src", "dst", "weight", F.col("src").alias("from"), F.col("dst").alias("into")))
+    graph = cut_lineage(_worth(given.select("src", "dst", "weight", F.col("src").alias("from"), F.col("dst").alias("into")), names))
     alone = cut_lineage(names.select("node", "affinity", F.col("node").alias("into")))
     at = cut_lineage(known.select("node", F.col("node").alias("at")))
     log: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     while True:
+        if graph.count() <= FEW:
+            chosen = _in_tasks(graph, alone)
+            drop(graph, alone, at)
+            break
         order = F.struct("weight", (-F.col("src")).alias("_s"), "from", "into", "src")
         best = graph.groupBy(F.col("dst").alias("node")).agg(F.max(order).alias("b"))
         takes = F.col("b.weight") > F.col("affinity")
@@ -84,9 +173,10 @@ def max_branching(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
         moved = graph.join(target, "dst", "left").join(cycles.toDF("src", "_s"), "src", "left")
         moved = moved.select(F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst"), (F.col("weight") - F.coalesce("cost", F.lit(0.0))).alias("weight"), "from", "into").filter("src <> dst")
         keep = F.max(F.struct("weight", (-F.col("from")).alias("_f"), (-F.col("into")).alias("_i"), "from", "into"))
-        next_graph = cut_lineage(moved.groupBy("src", "dst").agg(keep.alias("b")).select("src", "dst", "b.weight", "b.from", "b.into"))
         shrunk = alone.join(cost, "node", "left").select(F.coalesce("cycle", "node").alias("node"), (F.col("affinity") - F.coalesce("cost", F.lit(0.0))).alias("affinity"), "into")
         next_alone = cut_lineage(shrunk.groupBy("node").agg(F.max(F.struct("affinity", (-F.col("into")).alias("_i"), "into")).alias("b")).select("node", "b.affinity", "b.into"))
+        merged = moved.groupBy("src", "dst").agg(keep.alias("b")).select("src", "dst", "b.weight", "b.from", "b.into")
+        next_graph = cut_lineage(_worth(merged, next_alone))
         # of the given nodes in cycles, where they were at this level: where an arc into the cycle has landed
         landed = cut_lineage(at.join(cycles.withColumnRenamed("node", "at"), "at").select(F.col("node").alias("into"), "at", "cycle"))
         next_at = cut_lineage(at.join(cycles.withColumnRenamed("node", "at"), "at", "left").select("node", F.coalesce("cycle", "at").alias("at")))

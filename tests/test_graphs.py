@@ -154,3 +154,20 @@ def test_branchings_by_hand(spark):
     assert of([(0, 1, 1.0), (0, 1, 3.0), (1, 1, 9.0), (7, 0, 9.0)], [0.0, 2.0]) == {0: None, 1: 0}
     none = branching.max_branching(graph_of(spark, nested), spark.createDataFrame([], "node long, affinity double"))
     assert none.count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 40, 1 << 18])
+def test_branchings_end_in_tasks(spark, monkeypatch, few):
+    """A chain of links of growing length has a round for each link, which took a dozen jobs each; rounds on tables, in tasks, or both agree."""
+    monkeypatch.setattr(branching, "FEW", few)
+    chain = [(k, k + 1, -1.0 - k / 100) for k in range(8 if few == 0 else 30)]
+    arcs = [*chain, *((b, a, w) for a, b, w in chain)]
+    n = len(chain) + 1
+    context = spark.sparkContext
+    context.setJobGroup(f"branching {few}", "")
+    found = branching.max_branching(graph_of(spark, arcs), spark.createDataFrame([(k, -10.0) for k in range(n)], "node long, affinity double")).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup(f"branching {few}"))
+    context.setJobGroup("", "")
+    is_forest(found)
+    assert sorted(r.weight for r in found if r.parent is not None) == sorted(w for _, _, w in chain)
+    assert few < 1 << 18 or jobs < 100
