@@ -174,11 +174,11 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _rows(points: DataFrame, ident: str, vector: str) -> DataFrame:
+def _rows(points: DataFrame, ident: str, vector: str, *more: Column) -> DataFrame:
     """``id``, ``v``; single precision stays so until distances are taken, which halves what is shuffled."""
     v = F.col(vector)
     single = points.select(v.alias("v")).schema["v"].dataType.simpleString() == "array<float>"
-    return points.select(F.col(ident).cast("long").alias("id"), (v if single else doubles(v)).alias("v"))
+    return points.select(F.col(ident).cast("long").alias("id"), (v if single else doubles(v)).alias("v"), *more)
 
 
 def _shares(m: int, n: int, width: int, tasks: int) -> tuple[int, int]:
@@ -356,6 +356,39 @@ def _visited(left: DataFrame, m: int, homes: DataFrame, sizes: np.ndarray, centr
     return _met(queries, points, query_parts * parts, search)
 
 
+def within(points: DataFrame, by: str, ident: str = "id", vector: str = "features") -> DataFrame:
+    """``src`` < ``dst``, ``distance`` of all pairs of rows with the same `by`, null where a vector or a component is.
+
+    The rows of a value are dealt to parts of `BLOCK`, and a task holds two parts, so that a frequent value isn't one task.
+    The result grows with the square of the rows of a value.
+    """
+    whole = F.coalesce(F.forall("v", lambda x: x.isNotNull()), F.lit(False)).alias("whole")
+    rows = _rows(points, ident, vector, F.col(by).alias("by")).filter("by is not null").select("id", "by", "v", whole)
+    sizes = rows.groupBy("by").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "by").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    left = dealt.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("by", "part", "other", "id", "v", "whole")
+    right = dealt.select("by", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("a"), F.col("part").alias("b"), "id", "v", "whole").toDF("by_", "part_", "other_", "id", "v", "whole")
+
+    def measure(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
+        x, y = _vectors(a["v"]), _vectors(b["v"])
+        once = bool(a.num_rows and b.num_rows and a.column("part")[0] == a.column("other")[0])
+        src, dst, far, null = [], [], [], []
+        whole_a, whole_b = a["whole"].to_numpy(), b["whole"].to_numpy()
+        for n, own in enumerate(ids_a):
+            at = np.flatnonzero(ids_b > own if once else ids_b != own)
+            with np.errstate(invalid="ignore", over="ignore"):
+                far.append(np.sqrt(((y[at] - x[n]) ** 2).sum(1)))
+            src.append(np.minimum(ids_b[at], own))
+            dst.append(np.maximum(ids_b[at], own))
+            null.append(~(whole_b[at] & whole_a[n]))
+        if not src:
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "distance": pa.array(np.concatenate(far), mask=np.concatenate(null))})
+
+    return left.groupBy("by", "part", "other").cogroup(right.groupBy("by_", "part_", "other_")).applyInArrow(measure, "src long, dst long, distance double")
+
+
 # -- distances of given pairs ------------------------------------------------------------------------
 
 

@@ -408,8 +408,7 @@ SELECT src, dst, round(min(distance), 6) AS distance, bit_or(s) AS source FROM (
 """)
 def edge_union_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbours united with pairs of the same label, distances ranked within each source."""
-    v = vectors(spark, sf_dir).select("id", "label", norm.doubles(F.col("features")).alias("x"))
-    same = v.toDF("src", "label", "x").join(v.toDF("dst", "label", "y"), "label").filter("src < dst").select("src", "dst", neighbours.euclidean(F.col("x"), F.col("y")).alias("distance"))
+    same = neighbours.within(vectors(spark, sf_dir), "label")
     got = edges.union(knn_edges(spark, sf_dir), cut_lineage(same), by_rank=True)
     return got.select("src", "dst", r("distance"), F.col("source").cast("int").alias("source"))
 

@@ -66,3 +66,18 @@ def test_a_search_of_an_index_broadcasts_nothing(spark, tmp_path):
     assert lists(found) == {int(i): [o for o in true[i] if o != ids[3]][:4] for i in ids if i % 5 == 0 and i != ids[3]}
     for visits in ("BroadcastExchange", "BroadcastHashJoin"):
         assert visits not in cell_index.search(spark, str(tmp_path / "i"), points, 4, probes=5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_a_label_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 20)
+    ids, x = cloud(120, 4)
+    labels = [None if i % 11 == 0 else int(i > 90) for i in ids]
+    points = spark.createDataFrame([(int(i), v.tolist(), b) for i, v, b in zip(ids, x, labels, strict=True)] + [(500, None, 1)], "id long, features array<double>, label int")
+    of = {int(i): (v, b) for i, v, b in zip(ids, x, labels, strict=True)} | {500: (None, 1)}
+    found = neighbours.within(points, "label").collect()
+    assert sorted((r.src, r.dst) for r in found) == sorted((a, b) for a in of for b in of if a < b and of[a][1] is not None and of[a][1] == of[b][1])
+    for r in found:
+        if r.dst == 500:
+            assert r.distance is None
+        else:
+            np.testing.assert_allclose(r.distance, np.sqrt(((of[r.src][0] - of[r.dst][0]) ** 2).sum()), rtol=1e-12)
