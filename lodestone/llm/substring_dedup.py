@@ -26,13 +26,15 @@ from .line_dedup import LOWER
 
 #: Words of the shortest run that goes, of a window, and the windows of which one is chosen.
 RUN, WINDOW, NEXT = 16, 9, 8
-#: Bits that stand for a word beside a window, and how many such words a long holds.
-BITS, HELD = 16, 4
+#: Bits that stand for a word beside a window, their type, and how many such words a long holds.
+BITS, SHORT, HELD = 16, "<u2", 4
 SIDE = NEXT - 1
 #: Code points of the shortest line that is a unit, and of the shortest run that goes.
 LINE = 20
 #: Bytes of the longest word that is hashed with the others of its text, by a sum of powers.
 SUMMED = 64
+#: Bytes of short texts that are hashed at a time.
+TOGETHER = 1 << 16
 WORDS = [f"c{k}" for k in range(-(-2 * SIDE // HELD))]
 DROP, OPEN, PART = 0, 1, 2
 
@@ -58,13 +60,16 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First bytes and ends of the words of a text in UTF-8."""
-    edges = np.flatnonzero(np.diff((~_white[raw]).astype(np.int8), prepend=0, append=0))
+    edges = np.flatnonzero(np.diff((~_white[raw]).view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts) or raw.max() < 0xE0:
-        return starts, ends
     # Thai, Lao, Burmese and Khmer, kana and ideographs: the first byte alone, or with the second one
-    second = np.append(raw[1:], 0)
-    single = (raw >= 0xE3) & (raw <= 0xE9) | (raw == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (raw == 0xE1) & ((second <= 0x81) | (second >= 0x9E) & (second <= 0x9F)) | (raw == 0xF0) & (second >= 0xA0)
+    wide = np.flatnonzero(raw >= 0xE0)
+    lead, second = raw[wide], np.append(raw, 0)[wide + 1]
+    wide = wide[(lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (lead == 0xE1) & ((second <= 0x81) | (second >= 0x9E) & (second <= 0x9F)) | (lead == 0xF0) & (second >= 0xA0)]
+    if not len(wide):
+        return starts, ends
+    single = np.zeros(len(raw), bool)
+    single[wide] = True
     chars = np.flatnonzero(((raw & 0xC0) != 0x80) & ~_white[raw])
     alone = single[chars]
     begins = alone | np.append(False, alone[:-1])
@@ -73,64 +78,97 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Units:
-    """A lowered text's words and its units: ``keys`` (two numbers each) of chosen windows and then of lines, the words from ``at`` to ``to``, and ``beside``."""
+    """The words of lowered texts, laid end to end, and each text's units: its chosen windows and then its lines.
 
-    def __init__(self, text: bytes, least_line: int = LINE):
-        raw = np.frombuffer(text, np.uint8)
+    A unit has two numbers in ``keys``, its ``text`` and the words from ``at`` to ``to``; ``first`` has the first unit of
+    each text. Nothing reaches from one text into the next, and a text's units are the same whatever lies beside it.
+    """
+
+    def __init__(self, *texts: bytes, least_line: int = LINE):
+        raw = np.frombuffer(b"\n".join(texts), np.uint8)
+        self.texts = len(texts)
+        #: The first byte and the first word of each text.
+        self.begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
         self.starts, self.ends = words_of(raw)
-        n = len(self.starts)
-        self.at, self.keys = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
-        words = _ranges(_letters[raw], self.starts, self.ends) if n else np.empty(0, np.uint64)
+        self.bounds = np.searchsorted(self.starts, self.begins)
+        n, of = len(self.starts), np.repeat(np.arange(self.texts), np.diff(self.bounds))
+        words = _ranges(_letters[raw], self.starts, self.ends)
         for k in np.flatnonzero(self.ends - self.starts > SUMMED).tolist():
-            words[k] = xxhash.xxh3_64_intdigest(text[self.starts[k] : self.ends[k]])
-        if n >= WINDOW + NEXT - 1:
-            count = n - WINDOW + 1
-            windows, second = (_mixed(sum(words[j : j + count] * f for j, f in enumerate(factors))) for factors in _factors)
-            least = np.lib.stride_tricks.sliding_window_view(windows, NEXT).argmin(axis=1) + np.arange(count - NEXT + 1)
-            chosen = np.zeros(count, bool)
-            chosen[least] = True
-            self.at = np.flatnonzero(chosen)
-            self.keys = np.stack([windows[self.at], second[self.at]], axis=1)
-        short = np.zeros(n + 2 * SIDE, np.int64)  # 0 stands for no word
-        short[SIDE : SIDE + n] = np.maximum(words >> np.uint64(64 - BITS), 1)
-        offsets = np.array([*range(SIDE - 1, -1, -1), *range(SIDE + WINDOW, 2 * SIDE + WINDOW)])
-        self.beside = short[self.at[:, None] + offsets]
-        self.to, self.windows = self.at + WINDOW, len(self.at)
-        if not n:
-            return
-        chars = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+            words[k] = xxhash.xxh3_64_intdigest(raw[self.starts[k] : self.ends[k]].tobytes())
+        at, keys = self._windows(words, of)
+        #: Bits of each word, with words that are none (0) between texts.
+        self._short = np.zeros(n + SIDE * (self.texts + 1) + WINDOW, SHORT)
+        self._short[np.arange(n) + SIDE * (of + 1)] = np.maximum(words >> np.uint64(64 - BITS), 1)
+        #: Code points before each byte.
+        self.points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+        spaced = np.append(self.starts[1:] > self.ends[:-1], False)[:n]
+        spaced[self.bounds[1:][np.diff(self.bounds) > 0] - 1] = False
         #: Code points before each word, with white space as single spaces.
-        self.chars = np.append(0, np.cumsum(chars[self.ends] - chars[self.starts] + np.append(self.starts[1:] > self.ends[:-1], False)))
-        line = np.append(0, np.cumsum(raw == 10))[self.starts]
-        first = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
-        to = np.append(first[1:], n)
-        long_ = self.chars[to] - self.chars[first] - (to < n) >= least_line
-        first, to = first[long_], to[long_]
-        self.at, self.to = np.append(self.at, first), np.append(self.to, to)
-        digests = b"".join(xxhash.xxh3_128_digest(words[a:b].tobytes()) for a, b in zip(first.tolist(), to.tolist(), strict=True))
-        self.keys = np.append(self.keys, np.frombuffer(digests, np.uint64).reshape(-1, 2), axis=0)
-        self.beside = np.append(self.beside, np.zeros((len(first), 2 * SIDE), np.int64), axis=0)
-
-
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of each distinct key, and for each place the number of its key."""
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    new = np.append(True, (keys[order[1:]] != keys[order[:-1]]).any(axis=1))[: len(keys)]
-    same = np.empty(len(keys), np.int64)
-    same[order] = np.cumsum(new) - 1
-    return order[new], same
-
-
-def packed(beside: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for k in range(len(WORDS)):
-        part = beside[:, k * HELD : (k + 1) * HELD]
-        out.append((part << (BITS * np.arange(part.shape[1]))).sum(axis=1))
-    return out
-
-
-def unpacked(longs: list[np.ndarray]) -> np.ndarray:
-    return np.stack([(longs[j // HELD] >> (BITS * (j % HELD))) & ((1 << BITS) - 1) for j in range(2 * SIDE)], axis=1)
+        self.chars = np.append(0, np.cumsum(self.points[self.ends] - self.points[self.starts] + spaced))
+        line = np.unique(np.append(0, np.searchsorted(self.starts, np.flatnonzero(raw == 10))))
+        line = line[line < n]
+        to = np.append(line[1:], n)[: len(line)]
+        long_ = self.chars[to] - self.chars[line] - spaced[to - 1] >= least_line
+        line, to = line[long_], to[long_]
+        held = words.tobytes()
+        digests = b"".join(xxhash.xxh3_128_digest(held[a:b]) for a, b in zip((8 * line).tolist(), (8 * to).tolist(), strict=True))
+        text = of[np.append(at, line)]
+        order = np.argsort(text, kind="stable")
+        self.at, self.to, self.text = np.append(at, line)[order], np.append(at + WINDOW, to)[order], text[order]
+        self.is_line = order >= len(at)
+        self.keys = np.append(keys, np.frombuffer(digests, np.uint64).reshape(-1, 2), axis=0)[order]
+        self.first = np.searchsorted(self.text, np.arange(self.texts + 1))
+
+    @staticmethod
+    def _windows(words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first words of the chosen windows, and their keys."""
+        runs, count = len(words) - WINDOW - NEXT + 2, len(words) - WINDOW + 1
+        if runs <= 0:
+            return np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+        windows, second = (_mixed(sum(words[j : j + count] * f for j, f in enumerate(factors))) for factors in _factors)
+        least, place = windows[:runs].copy(), np.arange(runs)
+        for j in range(1, NEXT):
+            less = windows[j : j + runs] < least
+            place[less] = np.flatnonzero(less) + j
+            np.minimum(least, windows[j : j + runs], out=least)
+        chosen = np.zeros(count, bool)
+        chosen[place[of[:runs] == of[WINDOW + NEXT - 2 :]]] = True
+        at = np.flatnonzero(chosen)
+        return at, np.stack([windows[at], second[at]], axis=1)
+
+    def beside(self, units: np.ndarray) -> np.ndarray:
+        """Bits of the words beside each of `units`, before and then after it, the nearest first; none beside a line."""
+        out = np.zeros((len(units), HELD * len(WORDS)), SHORT)
+        place = self.at[units] + SIDE * (self.text[units] + 1)
+        for k, j in enumerate([*range(-1, -SIDE - 1, -1), *range(WINDOW, WINDOW + SIDE)]):
+            out[:, k] = self._short[place + j]
+        out[self.is_line[units]] = 0
+        return out
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first place of each distinct key of a text, and for each unit the number of its key."""
+        one, two = self.keys.T
+        order = np.argsort(one, kind="stable")
+        same = one[order[1:]] == one[order[:-1]]
+        if (same & (two[order[1:]] != two[order[:-1]])).any():
+            order = np.lexsort((self.text, two, one))
+            same = (self.keys[order[1:]] == self.keys[order[:-1]]).all(axis=1)
+        new = np.append(True, ~same | (self.text[order[1:]] != self.text[order[:-1]]))[: len(one)]
+        number = np.empty(len(one), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return order[new], number
+
+
+def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Begins and ends of parts of `texts` that are laid end to end: about `TOGETHER` bytes, or one longer text."""
+    begin, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > begin and size + len(text) > TOGETHER:
+            yield begin, k
+            begin, size = k, 0
+        size += len(text)
+    if texts:
+        yield begin, len(texts)
 
 
 KEYS = f"h1 long, h2 long, doc long, text_id long, at int, {', '.join(f'{c} long' for c in WORDS)}"
@@ -143,16 +181,18 @@ def _hashes(docs: DataFrame, least_line: int) -> DataFrame:
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
-                keys, at, beside = [], [], []
-                for text in batch.column(2).cast(pa.binary()).to_pylist():
-                    mine = Units(text.translate(LOWER), least_line)
-                    first, _ = _distinct(mine.keys)
+                texts = [text.translate(LOWER) for text in batch.column(2).cast(pa.binary()).to_pylist()]
+                keys, row, at, beside = [], [], [], []
+                for a, b in _parts(texts):
+                    mine = Units(*texts[a:b], least_line=least_line)
+                    first, _ = mine.distinct()
                     keys.append(mine.keys[first])
-                    at.append(first)
-                    beside.append(mine.beside[first])
-                sizes = [len(x) for x in keys]
-                doc, text_id = (np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))
-                columns = [*np.concatenate(keys).view(np.int64).T, ~doc, text_id, np.concatenate(at).astype(np.int32), *packed(np.concatenate(beside))]  # the least id comes first
+                    row.append(a + mine.text[first])
+                    at.append(first - mine.first[mine.text[first]])
+                    beside.append(mine.beside(first).view(np.int64))
+                row = np.concatenate(row)
+                doc, text_id = (batch.column(k).to_numpy()[row] for k in (0, 1))
+                columns = [*np.concatenate(keys).view(np.int64).T, ~doc, text_id, np.concatenate(at).astype(np.int32), *np.concatenate(beside).T]  # the least id comes first
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "text_id", "at", *WORDS])
 
     text = F.coalesce("text", F.lit(""))
@@ -204,38 +244,39 @@ def _repeats(keys: DataFrame) -> DataFrame:
     return read.filter(F.col("kind") == DROP).select("doc", "text_id", "at", *WORDS).unionByName(settled.select("doc", "text_id", "at", *(F.col(f"top.{c}").alias(c) for c in WORDS)))
 
 
-def _removed(mine: Units, at: np.ndarray, beside: np.ndarray, least_words: int, least_line: int = LINE) -> list[tuple[int, int]]:
-    """Runs of words (first, end) that go, for the units `at` which an earlier document has with these words `beside`."""
-    if not len(mine.keys):
-        return []
-    first, same = _distinct(mine.keys)
-    kept = first[same]  # the first place of the same text
-    repeat, words = kept != np.arange(len(kept)), mine.beside[kept]
+def _removed(mine: Units, marked: np.ndarray, beside: np.ndarray, least_words: int, least_line: int = LINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of words (text, first, end) that go, for the units `marked` which an earlier document has with these words `beside`."""
+    first, same = mine.distinct()
+    kept = first[same]  # the first place of the same unit
     earlier = np.full(len(first), -1)
-    earlier[same[at]] = np.arange(len(at))
+    earlier[same[marked]] = np.arange(len(marked))
     other = earlier[same]
-    repeat |= other >= 0
+    repeats = np.flatnonzero((kept != np.arange(len(kept))) | (other >= 0))
+    other = other[repeats]
+    words = mine.beside(kept[repeats])
     words[other >= 0] = beside[other[other >= 0]]
-    grown = (words == mine.beside) & (words > 0)
-    before, after = (np.cumprod(x, axis=1).sum(axis=1) for x in (grown[:, :SIDE], grown[:, SIDE:]))
-    lines = repeat & (np.arange(len(repeat)) >= mine.windows)
-    goes = _covered(len(mine.starts), mine.at[lines], mine.to[lines])
-    for a, b in _runs(_covered(len(goes), (mine.at - before)[repeat], (mine.to + after)[repeat])):
-        if b - a >= least_words and mine.chars[b] - mine.chars[a] >= least_line:
-            goes[a:b] = True
-    return _runs(goes)
+    grown = (words == mine.beside(repeats)) & (words > 0)
+    before, after = (np.cumprod(x, axis=1).sum(axis=1) for x in (grown[:, :SIDE], grown[:, SIDE : 2 * SIDE]))
+    # a place that never goes lies between texts
+    starts, ends = (x[repeats] + mine.text[repeats] for x in (mine.at, mine.to))
+    size = len(mine.starts) + mine.texts
+    lines = mine.is_line[repeats]
+    a, b = _runs(_covered(size, starts - before, ends + after))
+    text = np.searchsorted(mine.bounds + np.arange(mine.texts + 1), a, side="right") - 1
+    enough = (b - a >= least_words) & (mine.chars[b - text] - mine.chars[a - text] >= least_line)
+    a, b = _runs(_covered(size, np.append(a[enough], starts[lines]), np.append(b[enough], ends[lines])))
+    text = np.searchsorted(mine.bounds + np.arange(mine.texts + 1), a, side="right") - 1
+    return text, a - text, b - text
 
 
 def _covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    change = np.zeros(size + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, ends, -1)
+    change = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
     return np.cumsum(change[:-1]) > 0
 
 
-def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+def _runs(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.flatnonzero(np.diff(covered.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    return edges[::2], edges[1::2]
 
 
 def remove_repeats(docs: DataFrame, *, least_words: int = RUN, least_line: int = LINE) -> DataFrame:
@@ -245,8 +286,8 @@ def remove_repeats(docs: DataFrame, *, least_words: int = RUN, least_line: int =
     end exclusive; ``kept_text`` is the rest. Texts are compared with A-Z lowered and white space as single
     spaces. The earliest place is that of the least ``doc_id``, and within it the first; rows that repeat a
     ``doc_id`` are one document. Rows without ``doc_id`` lose nothing to others, but to earlier places of their own
-    text; null and empty texts have no units, an empty table gives no rows, other columns aren't looked at. A very
-    long text is hashed whole in one task, by arrays of its words; its marks are one row.
+    text; null and empty texts have no units, an empty table gives no rows, other columns aren't looked at. Short texts
+    are hashed many at a time; a very long one is hashed whole in one task, by arrays of its words, and its marks are one row.
 
     Repeats of fewer than `least_words` words or `least_line` code points stay, unless they are whole lines of
     `least_line` or more. Lower limits remove more: all whole lines at `least_line` 1, and runs down to the
@@ -260,20 +301,27 @@ def remove_repeats(docs: DataFrame, *, least_words: int = RUN, least_line: int =
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):
                 batch = whole.slice(begin, 512)
-                counts, spans, rest = [], [], []
                 offsets, marked = batch.column(2).offsets.to_numpy(), batch.column(2).values
                 at, *longs = (marked.field(k).to_numpy(zero_copy_only=False) for k in range(1 + len(WORDS)))
-                for no, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                    a, b = offsets[no], offsets[no + 1]
-                    mine = Units(text.translate(LOWER), least_line)
-                    runs = [(int(mine.starts[x]), int(mine.ends[y - 1]), y - x) for x, y in _removed(mine, at[a:b], unpacked([c[a:b] for c in longs]), least_words, least_line)]
-                    counts.append(len(mine.keys))
-                    place = np.cumsum(np.append(0, (np.frombuffer(text, np.uint8) & 0xC0) != 0x80)) if runs else None
-                    spans.append([{"start": int(place[a]), "end": int(place[b]), "words": w} for a, b, w in runs])
-                    ends = [0, *(x for a, b, _ in runs for x in (a, b)), len(text)]
-                    rest.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
-                span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(rest, pa.binary()).cast(pa.string())], ["doc_id", "n_units", "removed", "kept_text"])
+                beside = np.stack(longs, axis=1).view(SHORT)
+                texts = batch.column(1).cast(pa.binary()).to_pylist()
+                rest, units, spans = list(texts), [], []
+                for a, b in _parts(texts):
+                    mine = Units(*(text.translate(LOWER) for text in texts[a:b]), least_line=least_line)
+                    units.append(np.diff(mine.first))
+                    low, high = offsets[a], offsets[b]
+                    place = np.repeat(mine.first[:-1], np.diff(offsets[a : b + 1])) + at[low:high]
+                    of, x, y = _removed(mine, place, beside[low:high], least_words, least_line)
+                    start, end, origin = mine.starts[x], mine.ends[y - 1], mine.begins[of]
+                    spans.append(np.stack([a + of, mine.points[start] - mine.points[origin], mine.points[end] - mine.points[origin], y - x]))
+                    for no in np.unique(of).tolist():
+                        text, k = texts[a + no], of == no
+                        ends = [0, *np.stack([start[k], end[k]], axis=1).ravel() - mine.begins[no], len(text)]
+                        rest[a + no] = b"".join(text[p:q] for p, q in zip(ends[::2], ends[1::2], strict=True))
+                of, *fields = np.concatenate(spans, axis=1)
+                struct = pa.StructArray.from_arrays([pa.array(c, pa.int32()) for c in fields], ["start", "end", "words"])
+                removed = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(texts) + 1)), pa.int32()), struct)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(units), pa.int64()), removed, pa.array(rest, pa.binary()).cast(pa.string())], ["doc_id", "n_units", "removed", "kept_text"])
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_text_id"))

@@ -278,6 +278,34 @@ def test_words_and_lines_that_fool_sums_of_powers(spark):
     assert not got[1].removed and got[1].kept_text == docs[1][1]
 
 
+def test_repeats_of_short_texts_are_hashed_together(spark, monkeypatch):
+    """Many texts at a time, a few arrays in all; each text's units and removed runs are those it has alone."""
+    rng = random.Random(33)
+    pieces = ["\n", " \n\n", " ", "é ", "漢字", "ก", "x" * 70 + " ", "The cat sat on the mat ", "Share this page with friends\n", "one two three four five six seven eight nine ten "]
+    texts = ["", " ", *("".join(rng.choice(pieces) + f"w{rng.randrange(40)}" * rng.randrange(2) for _ in range(rng.randrange(40))) for _ in range(300))]
+    lowered = [t.lower().encode() for t in texts]
+    calls, words_of = [], substring_dedup.words_of
+    monkeypatch.setattr(substring_dedup, "words_of", lambda raw: calls.append(len(raw)) or words_of(raw))
+    parts = [substring_dedup.Units(*lowered[a:b]) for a, b in substring_dedup._parts(lowered)]
+    assert len(calls) <= 2 + sum(map(len, lowered)) // (substring_dedup.TOGETHER // 2)
+    alone, k = [substring_dedup.Units(t) for t in lowered], 0
+    for part in parts:
+        units = np.arange(len(part.keys))
+        runs = list(zip(*substring_dedup._removed(part, units[:0], part.beside(units[:0]), 9), strict=True))
+        for no in range(part.texts):
+            mine, here = alone[k], units[part.first[no] : part.first[no + 1]]
+            assert (part.keys[here] == mine.keys).all() and (part.at[here] - part.bounds[no] == mine.at).all() and (part.to[here] - part.bounds[no] == mine.to).all()
+            assert (part.beside(here) == mine.beside(np.arange(len(mine.keys)))).all()
+            want = list(zip(*substring_dedup._removed(mine, units[:0], mine.beside(units[:0]), 9), strict=True))
+            assert [(0, a - part.bounds[no], b - part.bounds[no]) for n, a, b in runs if n == no] == want
+            k += 1
+    assert k == len(texts) and sum(len(m.keys) for m in alone) > 1000
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    together = sorted(map(tuple, substring_dedup.remove_repeats(df.repartition(3)).collect()))
+    split = sorted(map(tuple, substring_dedup.remove_repeats(df.repartition(40)).collect()))
+    assert together == split and sum(len(r[2]) for r in together) > 50
+
+
 def test_limits_of_repeats_are_parameters(spark):
     rng = random.Random(21)
     some = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
