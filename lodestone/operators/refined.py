@@ -23,7 +23,10 @@ UNITS = 1 << 30
 
 
 def _moved(graph: DataFrame, masses: DataFrame, labels: DataFrame, price: float, unit: float, rounds: int, seed: int) -> DataFrame:
-    """`labels` (``node``, ``label``) after up to `rounds` rounds in which half of the nodes may move, to a neighbour's label or to one of their own."""
+    """`labels` (``node``, ``label``) after up to `rounds` rounds in which half of the nodes may move, to a neighbour's label or to one of their own.
+
+    Of two rounds a node has its turn in one; if nothing moves in both, no node gains by moving.
+    """
     around = cut_lineage(both_ways(graph))
     start, quiet = labels, 0
     for r in range(rounds):
@@ -40,12 +43,13 @@ def _moved(graph: DataFrame, masses: DataFrame, labels: DataFrame, price: float,
         )
         stays, leaves = F.coalesce("stay", "unlinked"), F.col("best.g") < 0
         to = F.when(leaves, F.struct(F.col("src").alias("node"), F.lit(seed + r + 1).alias("round"))).otherwise(F.col("best.to"))
-        moves = best.filter((F.greatest("best.g", F.lit(0.0)) > stays + 1e-9) & (uniform(seed, F.lit(r), "src") < 0.5)).select(F.col("src").alias("node"), to.alias("to"))
+        turn = (uniform(seed, F.lit(r // 2), "src") < 0.5) == F.lit(r % 2 == 0)
+        moves = best.filter((F.greatest("best.g", F.lit(0.0)) > stays + 1e-9) & turn).select(F.col("src").alias("node"), to.alias("to"))
         new = cut_lineage(labels.select("node", "label").join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")))
         quiet = quiet + 1 if new.filter("moved").isEmpty() else 0
         drop(*([labels] if labels is not start else []))
         labels = new
-        if quiet == 2:  # those that wait for their half have had their turn, mostly
+        if quiet >= 2 and r % 2 == 1:
             break
     drop(around)
     return labels
@@ -91,7 +95,11 @@ def _refined(graph: DataFrame, masses: DataFrame, labels: DataFrame, price: floa
 
 
 def _one_pass(graph: DataFrame, masses: DataFrame, members: DataFrame, price: float, unit: float, rounds: int, levels: int, theta: float, seed: int) -> DataFrame:
-    """``node``, ``label`` after one way from the nodes up; `members` has the labels to start from."""
+    """``node``, ``label`` after one way from the nodes up; `members` has the labels to start from.
+
+    At the end the nodes move by themselves once more: a node that lower levels left in the wrong group went with it.
+    """
+    nodes_graph, nodes_masses = graph, masses
     at = cut_lineage(masses.select("node", F.col("node").alias("at")))  # of each node, its node at the level
     first = lambda c: F.struct(F.col(c).alias("node"), F.lit(0).alias("round"))
     labels = cut_lineage(members.select("node", first("label").alias("label")))
@@ -103,8 +111,11 @@ def _one_pass(graph: DataFrame, masses: DataFrame, members: DataFrame, price: fl
         of = ref.select("node", "ref")
         before, after = masses.count(), ref.select("ref").distinct().count()
         if before == after or level + 1 == levels:
-            out = cut_lineage(at.join(final.toDF("at", "_l"), "at").select("node", F.col("_l").alias("label")))
+            found = cut_lineage(at.join(final.toDF("at", "_l"), "at").select("node", F.col("_l").alias("label")))
             drop(moved, ref, at, *([labels] if moved is not labels else []), *owned)
+            last = _moved(nodes_graph, nodes_masses, found, price, unit, rounds, seed + 1000 * levels)
+            out = cut_lineage(last.select("node", "label"))
+            drop(last, *([found] if last is not found else []))
             return out
         placed = final.join(of, "node")
         names = placed.groupBy("label").agg(F.min("ref").alias("name"))
