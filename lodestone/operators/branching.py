@@ -5,6 +5,9 @@ that closes cycles, pointers are doubled until all nodes of a cycle know it; eac
 incoming arcs are worth what they gain over the arc that they would replace; and so on, until there is no cycle, or few
 arcs are left (`FEW`): these are dealt to tasks by component, which do the same rounds on arrays, as the last rounds are many and small. Going
 back, the arc that a contracted cycle has taken replaces one of its own, and the others stay.
+
+Where all arcs weigh the same in either direction, a cycle is two nodes, and a round would add few nodes to what has grown. There the branching is
+a spanning forest turned away from its roots: in each round every part takes its best edge, which leaves at most half of the parts.
 """
 
 from __future__ import annotations
@@ -109,7 +112,38 @@ def _rounds(node: np.ndarray, affinity: np.ndarray, into: np.ndarray, arcs: tupl
     return takes, out_of, in_to
 
 
-def _in_tasks(graph: DataFrame, alone: DataFrame) -> DataFrame:
+def _spanned(node: np.ndarray, affinity: np.ndarray, into: np.ndarray, edges: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_rounds`, of edges that weigh the same in either direction: the heaviest spanning tree of the nodes and of a place that all roots hang on."""
+    n = len(node)
+    a, b = (np.append(np.searchsorted(node, edges[0]), np.arange(n)), np.append(np.searchsorted(node, edges[1]), np.full(n, n)))
+    worth, src, dst = (np.append(x, y) for x, y in zip(edges[2:], (affinity, into, into), strict=True))
+    order = np.lexsort((dst, src, np.arange(len(worth)) < len(worth) - n, -worth))
+    part, around = list(range(n + 1)), [[] for _ in range(n + 1)]
+
+    def top(x: int) -> int:
+        while part[x] != x:
+            part[x] = x = part[part[x]]
+        return x
+
+    for e, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        s, t = top(x), top(y)
+        if s != t:
+            part[s] = t
+            around[x].append((y, e, False))
+            around[y].append((x, e, True))
+    takes, out_of, in_to = np.zeros(n + 1, bool), np.zeros(n + 1, np.int64), np.append(into, 0)
+    ways = [(n, -1)]
+    while ways:
+        x, came = ways.pop()
+        for y, e, forth in around[x]:  # an edge's second end is y's own where it leads forth, from b to a
+            if e != came:
+                ways.append((y, e))
+                if x != n:
+                    takes[y], out_of[y], in_to[y] = True, dst[e] if forth else src[e], src[e] if forth else dst[e]
+    return takes[:n], out_of[:n], in_to[:n]
+
+
+def _in_tasks(graph: DataFrame, alone: DataFrame, solved=_rounds) -> DataFrame:
     """``node``, ``from``, ``into``: what each node takes; components of `graph` are dealt to tasks."""
     roots = components(graph.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     deal = F.pmod(F.xxhash64(F.coalesce("root", "node")), F.lit(2 * graph.sparkSession.sparkContext.defaultParallelism)).cast("int").alias("deal")
@@ -119,7 +153,7 @@ def _in_tasks(graph: DataFrame, alone: DataFrame) -> DataFrame:
     def solve(a: pa.Table, b: pa.Table) -> pa.Table:
         a = a.sort_by("node")
         node, affinity, into = (a[c].to_numpy() for c in ("node", "affinity", "into"))
-        takes, out, land = _rounds(node, affinity, into, tuple(b[c].to_numpy() for c in ("src", "dst", "weight", "from", "into")))
+        takes, out, land = solved(node, affinity, into, tuple(b[c].to_numpy() for c in ("src", "dst", "weight", "from", "into")))
         return pa.table({"node": node, "from": pa.array(out, pa.int64(), mask=~takes), "into": land})
 
     found = alone.join(dealt, "node").groupBy("deal").cogroup(arcs.groupBy("part")).applyInArrow(solve, "node long, from long, into long")
@@ -133,22 +167,76 @@ def _worth(arcs: DataFrame, alone: DataFrame) -> DataFrame:
     return arcs.join(alone.select(F.col("node").alias("dst"), "affinity"), "dst").filter("weight > affinity").drop("affinity")
 
 
-def max_branching(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node``, ``parent``, ``weight``, ``root``, ``tree``: the branching with the largest sum of arc weights and of its roots' affinities.
+def _even(given: DataFrame) -> bool:
+    """Whether each arc has one back that weighs as much."""
+    pairs = given.groupBy(F.least("src", "dst"), F.greatest("src", "dst")).agg(F.count("weight").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high"))
+    return pairs.filter((F.col("n") != 2) | (F.col("low") != F.col("high")) | F.isnan("high")).isEmpty()
 
-    `arcs` has ``src``, ``dst``, ``weight``; `nodes` has ``node`` and ``affinity``, what it is worth to leave the node a
-    root. ``parent`` and ``weight`` are null at a root. Trees are numbered from 0 in the order of their roots. Ties go
-    to the root, then to the smaller ``src``. Loops and arcs of other nodes are left out; of several arcs between the
-    same nodes the heaviest counts.
+
+def _forest(given: DataFrame, names: DataFrame) -> DataFrame:
+    """``node``, ``from``, ``into``: what each node takes of arcs that weigh the same in either direction.
+
+    A part of the forest takes its best edge, or its best root where no edge is worth more; then its affinity counts as
+    infinite, and others may join it, but it takes no more. Ties go to the root, then to the smaller ends. Parts that hang
+    together by what they took become one. Going back, the way from where a part is entered up to its top is turned round.
     """
-    names = cut_lineage(nodes.groupBy("node").agg(F.max(F.col("affinity").cast("double")).alias("affinity")))
-    known = names.select("node")
-    given = arcs.filter("src <> dst").groupBy("src", "dst").agg(F.max(F.col("weight").cast("double")).alias("weight"))
-    given = cut_lineage(given.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi"))
+
+    def _worthy(edges: DataFrame, alone: DataFrame) -> DataFrame:
+        own = alone.select("node", "affinity")
+        return edges.join(own.toDF("a", "_a"), "a").join(own.toDF("b", "_b"), "b").filter(F.col("weight") > F.least("_a", "_b")).select("a", "b", "weight", "src", "dst")
+
+    alone = cut_lineage(names.select("node", "affinity", F.col("node").alias("into")))
+    at = cut_lineage(names.select("node", F.col("node").alias("at")))
+    graph = cut_lineage(_worthy(given.filter("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight", "src", "dst"), alone))
+    log: list[tuple[DataFrame, DataFrame]] = []
+    while graph.count() > FEW:
+        cost = (-F.col("weight")).alias("cost")
+        ends = (F.struct(cost, "src", "dst", F.col(x).alias("node"), F.col(y).alias("parent"), F.col(s).alias("into"), F.col(t).alias("from")) for x, y, s, t in (("a", "b", "src", "dst"), ("b", "a", "dst", "src")))
+        best = graph.select(F.explode(F.array(*ends)).alias("e")).groupBy("e.node").agg(F.min("e").alias("e"))
+        takes = -F.col("e.cost") > F.col("affinity")
+        picks = alone.withColumnRenamed("into", "home").join(best, "node", "left").select("node", "affinity", "home", *(F.when(takes, F.col(f"e.{c}")).alias(c) for c in ("parent", "from", "into")))
+        picks = cut_lineage(picks)
+        # of two parts that took the same edge the smaller one is the top
+        back = picks.select(F.col("node").alias("parent"), F.col("parent").alias("_back"))
+        top = F.col("parent").isNull() | (F.col("_back").eqNullSafe(F.col("node")) & (F.col("node") < F.col("parent")))
+        worth = F.when(F.col("parent").isNull(), float("inf")).otherwise(F.col("affinity")).alias("worth")
+        ups = cut_lineage(picks.join(back, "parent", "left").select("node", worth, "home", "from", "into", F.when(~top, F.col("parent")).alias("parent")))
+        found = _roots(ups.select("node", "parent"))
+        part = found.select("node", "root")
+        grown = ups.join(part, "node").groupBy("root").agg(F.max(F.struct("worth", (-F.col("home")).alias("_h"), "home")).alias("b"))
+        next_alone = cut_lineage(grown.select(F.col("root").alias("node"), F.col("b.worth").alias("affinity"), F.col("b.home").alias("into")))
+        joined = graph.join(part.toDF("a", "_a"), "a").join(part.toDF("b", "_b"), "b").filter("_a <> _b")
+        few = joined.groupBy(F.least("_a", "_b"), F.greatest("_a", "_b")).agg(F.min(F.struct(cost, "src", "dst", F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("e"))
+        next_graph = cut_lineage(_worthy(few.select("e.a", "e.b", (-F.col("e.cost")).alias("weight"), "e.src", "e.dst"), next_alone))
+        next_at = cut_lineage(at.join(part.toDF("at", "root"), "at").select("node", F.col("root").alias("at")))
+        log.append((ups, at))
+        drop(graph, alone, picks, found)
+        graph, alone, at = next_graph, next_alone, next_at
+    chosen = _in_tasks(graph.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight", F.col("src").alias("from"), F.col("dst").alias("into")), alone, _spanned)
+    drop(graph, alone, at)
+    for ups, at in reversed(log):
+        entered = cut_lineage(chosen.select("from", "into").join(at.toDF("into", "node"), "into").select("node", "from", "into"))
+        ahead = cut_lineage(ups.filter("parent IS NOT NULL").select("node", "parent"))
+        way = cut_lineage(entered.select("node"))
+        while not (more := cut_lineage(way.join(ahead, "node").select(F.col("parent").alias("node")))).isEmpty():
+            longer = cut_lineage(way.unionByName(more))
+            doubled = cut_lineage(ahead.join(ahead.toDF("parent", "_to"), "parent").select("node", F.col("_to").alias("parent")))
+            drop(way, more, ahead)
+            way, ahead = longer, doubled
+        turned = ups.join(way, "node").filter("parent IS NOT NULL").select(F.col("parent").alias("node"), F.col("into").alias("from"), F.col("from").alias("into"))
+        kept = ups.join(way, "node", "left_anti").select("node", "from", "into")
+        opened = cut_lineage(entered.unionByName(turned).unionByName(kept))
+        drop(chosen, ups, at, entered, ahead, way, more)
+        chosen = opened
+    return chosen
+
+
+def _contracted(given: DataFrame, names: DataFrame) -> DataFrame:
+    """``node``, ``from``, ``into``: what each node takes, by contracting cycles."""
     # arcs and affinities of this level; `from` and `into` are the ends that the arc has among the given nodes
     graph = cut_lineage(_worth(given.select("src", "dst", "weight", F.col("src").alias("from"), F.col("dst").alias("into")), names))
     alone = cut_lineage(names.select("node", "affinity", F.col("node").alias("into")))
-    at = cut_lineage(known.select("node", F.col("node").alias("at")))
+    at = cut_lineage(names.select("node", F.col("node").alias("at")))
     log: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     while True:
         if graph.count() <= FEW:
@@ -191,6 +279,22 @@ def max_branching(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
         opened = cut_lineage(outside.unionByName(broken).unionByName(kept))
         drop(chosen, picks, cycles, landed)
         chosen = opened
+    return chosen
+
+
+def max_branching(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node``, ``parent``, ``weight``, ``root``, ``tree``: the branching with the largest sum of arc weights and of its roots' affinities.
+
+    `arcs` has ``src``, ``dst``, ``weight``; `nodes` has ``node`` and ``affinity``, what it is worth to leave the node a
+    root. ``parent`` and ``weight`` are null at a root. Trees are numbered from 0 in the order of their roots. Ties go
+    to the root, then to the smaller ``src`` (to the smaller ends, where all arcs weigh the same in either direction). Loops
+    and arcs of other nodes are left out; of several arcs between the same nodes the heaviest counts.
+    """
+    names = cut_lineage(nodes.groupBy("node").agg(F.max(F.col("affinity").cast("double")).alias("affinity")))
+    known = names.select("node")
+    given = arcs.filter("src <> dst").groupBy("src", "dst").agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    given = cut_lineage(given.join(known.toDF("src"), "src", "left_semi").join(known.toDF("dst"), "dst", "left_semi"))
+    chosen = _forest(given, names) if _even(given) else _contracted(given, names)
     parents = chosen.select("node", F.col("from").alias("parent"))
     parents = cut_lineage(parents.join(given.select(F.col("dst").alias("node"), F.col("src").alias("parent"), "weight"), ["node", "parent"], "left"))
     roots = _roots(parents)

@@ -171,3 +171,54 @@ def test_branchings_end_in_tasks(spark, monkeypatch, few):
     is_forest(found)
     assert sorted(r.weight for r in found if r.parent is not None) == sorted(w for _, _, w in chain)
     assert few < 1 << 18 or jobs < 100
+
+
+@pytest.mark.parametrize("few", [0, 6, 1 << 18])
+def test_even_arcs_make_spanning_forests(spark, monkeypatch, few):
+    """Arcs that weigh the same in either direction, with ties, copies of nodes and unlike roots, by Kruskal's steps on the nodes and a place for roots."""
+    monkeypatch.setattr(branching, "FEW", few)
+    rng = np.random.default_rng(11)
+    links, affinity, want, worth = {}, {}, set(), {}
+    for g in range(40):
+        n = int(rng.integers(1, 12))
+        own = {tuple(sorted(map(int, p))): -float(rng.integers(0, 4)) for p in rng.integers(0, n, (3 * n, 2)) if p[0] != p[1]}
+        links |= {(100 * g + a, 100 * g + b): w for (a, b), w in own.items()}
+        affinity |= {100 * g + k: float(x) for k, x in enumerate(rng.integers(-5, 1, n) if g % 2 else [-9.0] * n)}
+    top = {x: x for x in [*affinity, None]}
+
+    def part(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    keyed = [((-w, 1, a, b), a, b) for (a, b), w in links.items()] + [((-w, 0, k, k), k, None) for k, w in affinity.items()]
+    for key, a, b in sorted(keyed, key=lambda e: e[0]):
+        if part(a) != part(b):
+            top[part(a)] = part(b)
+            want.add((a, b))
+            worth[a // 100] = worth.get(a // 100, 0.0) - key[0]
+    arcs = [(a, b, w) for (a, b), w in links.items()] + [(b, a, w) for (a, b), w in links.items()]
+    found = branching.max_branching(graph_of(spark, arcs), spark.createDataFrame(list(affinity.items()), "node long, affinity double")).collect()
+    is_forest(found)
+    assert {(r.node, None) if r.parent is None else (min(r.node, r.parent), max(r.node, r.parent)) for r in found} == want
+    assert all(r.parent is None or r.weight == links[min(r.node, r.parent), max(r.node, r.parent)] for r in found)
+    small = [g for g in worth if sum(k // 100 == g for k in affinity) < 6]
+    for g in small:
+        own = [(a - 100 * g, b - 100 * g, w) for a, b, w in arcs if a // 100 == g]
+        assert worth[g] == best_branching(sum(k // 100 == g for k in affinity), own, [w for k, w in affinity.items() if k // 100 == g])
+    assert len(small) > 5
+
+
+def test_even_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of links of growing length and a hub with links of growing length took a round for each link."""
+    monkeypatch.setattr(branching, "FEW", 0)
+    links = [(k, k + 1, -1.0 - k / 100) for k in range(40)] + [(100, 101 + k, -1.0 - k / 100) for k in range(40)]
+    context = spark.sparkContext
+    context.setJobGroup("even chains", "")
+    nodes = spark.createDataFrame([(k, -10.0) for k in [*range(41), *range(100, 141)]], "node long, affinity double")
+    found = branching.max_branching(graph_of(spark, [*links, *((b, a, w) for a, b, w in links)]), nodes).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("even chains"))
+    context.setJobGroup("", "")
+    is_forest(found)
+    assert sorted((min(r.node, r.parent), max(r.node, r.parent)) for r in found if r.parent is not None) == sorted((a, b) for a, b, _ in links)
+    assert jobs < 150
