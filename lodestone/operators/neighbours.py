@@ -6,7 +6,7 @@ aren't finite come last.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -361,37 +361,70 @@ def _visited(left: DataFrame, m: int, homes: DataFrame, sizes: np.ndarray, centr
     return _met(queries, points, query_parts * parts, search)
 
 
-def within(points: DataFrame, by: str, ident: str = "id", vector: str = "features") -> DataFrame:
+def within(points: DataFrame, by: str, ident: str = "id", vector: str = "features", known: DataFrame | None = None, then: tuple[Callable, str] | None = None) -> DataFrame:
     """``src`` < ``dst``, ``distance`` of all pairs of rows with the same `by`, null where a vector or a component is.
 
     The rows of a value are dealt to parts of `BLOCK`, and a task holds two parts, so that a frequent value isn't one task.
-    The result grows with the square of the rows of a value.
+    The result grows with the square of the rows of a value. With `known` (``src``, ``dst``, ``distance``, each pair once)
+    there is a further column ``known``: its distance of the pair, null if it doesn't have it. With `then`, a function from
+    batches to batches as `mapInArrow` takes and the schema of these, the result is what it makes of them where they are made.
     """
     whole = F.coalesce(F.forall("v", lambda x: x.isNotNull()), F.lit(False)).alias("whole")
     rows = _rows(points, ident, vector, F.col(by).alias("by")).filter("by is not null").select("id", "by", "v", whole)
     sizes = rows.groupBy("by").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = rows.join(sizes, "by").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     left = dealt.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).select("by", "part", "other", "id", "v", "whole")
+    marked = known is not None  # a task can't hold a table
+    if marked:
+        ends = F.array(*(F.struct(F.col(x).alias("id"), F.struct(F.col(y).alias("id"), "distance").alias("to")) for x, y in (("src", "dst"), ("dst", "src"))))
+        near = known.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.collect_list("e.to").alias("near"))
+        left = left.join(near, "id", "left").select("by", "part", "other", "id", "v", "whole", "near")
     right = dealt.select("by", F.explode(F.sequence(F.lit(0), F.col("part"))).alias("a"), F.col("part").alias("b"), "id", "v", "whole").toDF("by_", "part_", "other_", "id", "v", "whole")
+    schema = "src long, dst long, distance double" + (", known double" if marked else "")
+    made, schema = then or (iter, schema)
+    types = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    kinds = pa.schema([(name, types[kind]) for name, kind in map(str.split, schema.split(","))])
 
     def measure(a: pa.Table, b: pa.Table) -> pa.Table:
+        once = bool(a.num_rows and b.num_rows and a.column("part")[0] == a.column("other")[0])
+        a, b = a.sort_by("id"), b.sort_by("id")
         ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
         x, y = _vectors(a["v"]), _vectors(b["v"])
-        once = bool(a.num_rows and b.num_rows and a.column("part")[0] == a.column("other")[0])
-        src, dst, far, null = [], [], [], []
-        whole_a, whole_b = a["whole"].to_numpy(), b["whole"].to_numpy()
-        for n, own in enumerate(ids_a):
-            at = np.flatnonzero(ids_b > own if once else ids_b != own)
-            with np.errstate(invalid="ignore", over="ignore"):
-                far.append(np.sqrt(((y[at] - x[n]) ** 2).sum(1)))
-            src.append(np.minimum(ids_b[at], own))
-            dst.append(np.maximum(ids_b[at], own))
-            null.append(~(whole_b[at] & whole_a[n]))
-        if not src:
-            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst), "distance": pa.array(np.concatenate(far), mask=np.concatenate(null))})
-
-    return left.groupBy("by", "part", "other").cogroup(right.groupBy("by_", "part_", "other_")).applyInArrow(measure, "src long, dst long, distance double")
+        width = max(x.shape[1], y.shape[1])
+        x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1])), constant_values=np.nan) for v in (x, y))
+        # a row meets those from `starts` on, and its pairs begin at `begins`
+        starts = np.searchsorted(ids_b, ids_a, "right") if once else np.zeros(len(ids_a), int)
+        ends = np.cumsum(len(ids_b) - starts)
+        begins = ends - (len(ids_b) - starts)
+        far, some = np.empty(ends[-1] if len(ends) else 0), np.empty((256, width))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for n, (start, begin) in enumerate(zip(starts.tolist(), begins.tolist(), strict=True)):
+                for low in range(start, len(ids_b), 256):
+                    mine = y[low : low + 256]
+                    square = np.subtract(mine, x[n], out=some[: len(mine)])
+                    np.multiply(square, square, out=square)
+                    square.sum(1, out=far[begin + low - start : begin + low - start + len(mine)])
+            np.sqrt(far, out=far)
+        row = np.repeat(np.arange(len(ids_a)), len(ids_b) - starts)
+        other = np.arange(len(far)) - np.repeat(begins - starts, len(ids_b) - starts)
+        src, dst = ids_a[row], ids_b[other]
+        whole_a, whole_b = (np.asarray(t["whole"].to_numpy(), bool) for t in (a, b))
+        null = None if whole_a.all() and whole_b.all() else ~(whole_a[row] & whole_b[other])
+        out = {"src": np.minimum(src, dst), "dst": np.maximum(src, dst), "distance": pa.array(far, mask=null)}
+        if marked:
+            old = np.full(len(far), np.nan)
+            near = a["near"].combine_chunks()
+            of = np.repeat(np.arange(len(ids_a)), pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False))
+            near = near.flatten()
+            to = near.field("id").to_numpy()
+            place = np.searchsorted(ids_b, to)
+            met = np.flatnonzero(np.append(ids_b, 0)[place] == to) if len(ids_b) else np.zeros(0, int)
+            met = met[(place[met] < len(ids_b)) & (place[met] >= starts[of[met]])]
+            old[begins[of[met]] + place[met] - starts[of[met]]] = near.field("distance").to_numpy()[met]
+            out["known"] = pa.array(old, mask=np.isnan(old))
+        return pa.Table.from_batches(list(made(iter(pa.table(out).combine_chunks().to_batches()))), kinds)
+
+    return left.groupBy("by", "part", "other").cogroup(right.groupBy("by_", "part_", "other_")).applyInArrow(measure, schema)
 
 
 # -- distances of given pairs ------------------------------------------------------------------------

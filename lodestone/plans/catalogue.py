@@ -408,8 +408,7 @@ SELECT src, dst, round(min(distance), 6) AS distance, bit_or(s) AS source FROM (
 """)
 def edge_union_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest neighbours united with pairs of the same label, distances ranked within each source."""
-    same = neighbours.within(vectors(spark, sf_dir), "label")
-    got = edges.union(knn_edges(spark, sf_dir), cut_lineage(same), by_rank=True)
+    got = edges.union_within(knn_edges(spark, sf_dir), vectors(spark, sf_dir), "label", 6)
     return got.select("src", "dst", r("distance"), F.col("source").cast("int").alias("source"))
 
 
