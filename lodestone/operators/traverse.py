@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from ..frames import components, cut_lineage, drop, numbered, with_totals
 from .edges import both_ways, contract, degrees
 
+#: Residuals are added up in whole numbers of 1 / UNIT, so that the order of addition doesn't tell in their last digits.
+UNIT = 2.0**58
 #: Fixed value: two groups are paired at a common neighbour if the weaker of their links to it is at least this share of the stronger.
 PAIRED = 0.5
 
@@ -63,12 +65,13 @@ def personal_ranks(edges: DataFrame, top: int, *, restart: float = 0.15, least:
 
     Residuals above `least` times the degree are pushed on, all of them in each round. A source has at most
     1 / (least · restart) of them, however large the graph. Scores that agree to 12 places are ties; the smaller node comes first.
+    Sums don't depend on the order of rows: nodes that lie alike have the same score to the last digit, in each run.
     """
     around = both_ways(edges.select("src", "dst"))
     d = degrees(edges).withColumnRenamed("degree", "d")
     start = d.select(F.col("node").alias("source")) if sources is None else sources
     rest = cut_lineage(start.select("source", F.col("source").alias("node"), F.lit(1.0).alias("r")).join(d.select("node"), "node", "left_semi"))
-    score = None
+    score = last = None
     while True:
         sized = rest.join(d, "node")
         pushed = sized.filter(F.col("r") >= least * F.col("d"))
@@ -76,13 +79,17 @@ def personal_ranks(edges: DataFrame, top: int, *, restart: float = 0.15, least:
             break
         gained = pushed.select("source", "node", (restart * F.col("r")).alias("s"))
         score = gained if score is None else score.unionByName(gained)
-        score = cut_lineage(score.groupBy("source", "node").agg(F.sum("s").alias("s")))
+        grown = cut_lineage(score.groupBy("source", "node").agg(F.sum("s").alias("s")))  # at most two rows a node
         spread = pushed.join(around.toDF("node", "to"), "node").select("source", F.col("to").alias("node"), ((1 - restart) * F.col("r") / F.col("d")).alias("r"))
         stay = sized.filter(F.col("r") < least * F.col("d")).select("source", "node", "r")
-        rest = cut_lineage(stay.unionByName(spread).groupBy("source", "node").agg(F.sum("r").alias("r")))
+        units = F.sum(F.rint(F.col("r") * UNIT).cast("long"))
+        left = cut_lineage(stay.unionByName(spread).groupBy("source", "node").agg((units / UNIT).alias("r")))
+        drop(rest, *([] if last is None else [last]))
+        score, last, rest = grown, grown, left
+    drop(rest)
     if score is None:
         return start.sparkSession.createDataFrame([], "source long, rank int, node long, score double")
-    # scores that are the same but for the order in which they were added up are ties, and go by node
+    # scores that are the same but for rounding are ties, and go by node
     place = W.partitionBy("source").orderBy(F.round("s", 12).desc(), "node")
     ranked = score.filter("node <> source").withColumn("rank", F.row_number().over(place))
     return ranked.filter(F.col("rank") <= top).select("source", "rank", "node", F.col("s").alias("score"))
