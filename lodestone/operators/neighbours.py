@@ -20,6 +20,8 @@ from ..frames import cut_lineage, numbered
 from .stats import floor_quantiles
 
 BLOCK = 2048
+#: Pairs that are made at once, of those of two parts.
+PAIRS = 1 << 19
 #: Rows and numbers that a task holds of either table.
 ROWS, NUMBERS = 1 << 17, 1 << 23
 OUT = "id long, other long, distance double"
@@ -392,37 +394,45 @@ def within(points: DataFrame, by: str, ident: str = "id", vector: str = "feature
         x, y = _vectors(a["v"]), _vectors(b["v"])
         width = max(x.shape[1], y.shape[1])
         x, y = (np.pad(v, ((0, 0), (0, width - v.shape[1])), constant_values=np.nan) for v in (x, y))
-        # a row meets those from `starts` on, and its pairs begin at `begins`
+        # a row meets those from `starts` on
         starts = np.searchsorted(ids_b, ids_a, "right") if once else np.zeros(len(ids_a), int)
-        ends = np.cumsum(len(ids_b) - starts)
-        begins = ends - (len(ids_b) - starts)
-        far, some = np.empty(ends[-1] if len(ends) else 0), np.empty((256, width))
-        with np.errstate(invalid="ignore", over="ignore"):
-            for n, (start, begin) in enumerate(zip(starts.tolist(), begins.tolist(), strict=True)):
-                for low in range(start, len(ids_b), 256):
-                    mine = y[low : low + 256]
-                    square = np.subtract(mine, x[n], out=some[: len(mine)])
-                    np.multiply(square, square, out=square)
-                    square.sum(1, out=far[begin + low - start : begin + low - start + len(mine)])
-            np.sqrt(far, out=far)
-        row = np.repeat(np.arange(len(ids_a)), len(ids_b) - starts)
-        other = np.arange(len(far)) - np.repeat(begins - starts, len(ids_b) - starts)
-        src, dst = ids_a[row], ids_b[other]
         whole_a, whole_b = (np.asarray(t["whole"].to_numpy(), bool) for t in (a, b))
-        null = None if whole_a.all() and whole_b.all() else ~(whole_a[row] & whole_b[other])
-        out = {"src": np.minimum(src, dst), "dst": np.maximum(src, dst), "distance": pa.array(far, mask=null)}
+        some = np.empty((256, width))
         if marked:
-            old = np.full(len(far), np.nan)
             near = a["near"].combine_chunks()
             of = np.repeat(np.arange(len(ids_a)), pc.fill_null(pc.list_value_length(near), 0).to_numpy(zero_copy_only=False))
             near = near.flatten()
-            to = near.field("id").to_numpy()
-            place = np.searchsorted(ids_b, to)
-            met = np.flatnonzero(np.append(ids_b, 0)[place] == to) if len(ids_b) else np.zeros(0, int)
-            met = met[(place[met] < len(ids_b)) & (place[met] >= starts[of[met]])]
-            old[begins[of[met]] + place[met] - starts[of[met]]] = near.field("distance").to_numpy()[met]
-            out["known"] = pa.array(old, mask=np.isnan(old))
-        return pa.Table.from_batches(list(made(iter(pa.table(out).combine_chunks().to_batches()))), kinds)
+            place = np.searchsorted(ids_b, near.field("id").to_numpy())
+            met = np.flatnonzero((place < len(ids_b)) & (place >= starts[of]))
+            met = met[ids_b[place[met]] == near.field("id").to_numpy()[met]]
+            of, place, old_far = of[met], place[met], near.field("distance").to_numpy()[met]
+
+        def pairs(top: int, end: int) -> pa.RecordBatch:
+            """Those of the rows from `top` to `end`."""
+            counts = len(ids_b) - starts[top:end]
+            begins = np.cumsum(counts) - counts
+            far = np.empty(counts.sum())
+            with np.errstate(invalid="ignore", over="ignore"):
+                for n, start, begin in zip(range(top, end), starts[top:end].tolist(), begins.tolist(), strict=True):
+                    for low in range(start, len(ids_b), 256):
+                        mine = y[low : low + 256]
+                        square = np.subtract(mine, x[n], out=some[: len(mine)])
+                        np.multiply(square, square, out=square)
+                        square.sum(1, out=far[begin + low - start : begin + low - start + len(mine)])
+                np.sqrt(far, out=far)
+            row = np.repeat(np.arange(top, end), counts)
+            other = np.arange(len(far)) - np.repeat(begins - starts[top:end], counts)
+            src, dst = ids_a[row], ids_b[other]
+            null = None if whole_a.all() and whole_b.all() else ~(whole_a[row] & whole_b[other])
+            out = {"src": np.minimum(src, dst), "dst": np.maximum(src, dst), "distance": pa.array(far, mask=null)}
+            if marked:
+                old, own = np.full(len(far), np.nan), slice(*np.searchsorted(of, [top, end]))
+                old[begins[of[own] - top] + place[own] - starts[of[own]]] = old_far[own]
+                out["known"] = pa.array(old, mask=np.isnan(old))
+            return pa.RecordBatch.from_pydict(out)
+
+        step = max(1, PAIRS // max(1, len(ids_b)))
+        return pa.Table.from_batches(list(made(pairs(n, min(n + step, len(ids_a))) for n in range(0, len(ids_a), step))), kinds)
 
     return left.groupBy("by", "part", "other").cogroup(right.groupBy("by_", "part_", "other_")).applyInArrow(measure, schema)
 

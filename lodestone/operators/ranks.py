@@ -21,8 +21,8 @@ from ..frames import cut_lineage, drop
 
 #: Low bits that a cell leaves out of a value, and bits of a cell's number within its chunk: 2^26 cells from a power of two to the next.
 LOW, WIDE = 26, 16
-#: Chunks that a task holds, rows that it counts at once, and rows that are ordered at once.
-HELD, SOME, ORDERED = 2048, 1 << 21, 1 << 18
+#: Rows that are ordered at once.
+ORDERED = 1 << 18
 
 
 class Cuts(NamedTuple):
@@ -43,39 +43,31 @@ def _keys(column: pa.Array) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+    """The cells of the rows, in chunks: the places in it, in order, of two bytes each."""
+    for batch in batches:
+        cells = np.sort(_keys(batch.column(2)) >> LOW)
+        if len(cells):
+            starts = np.flatnonzero(np.append(True, np.diff(cells >> WIDE) != 0))
+            places = np.split((cells & ((1 << WIDE) - 1)).astype(np.uint16), starts[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(cells[starts] >> WIDE), pa.array([p.tobytes() for p in places], pa.binary())], ["chunk", "places"])
+
 
-    def add(some: list[np.ndarray]) -> None:
-        cells = np.sort(np.concatenate(some))
-        starts = np.flatnonzero(np.append(True, np.diff(cells >> WIDE) != 0))
-        for own in np.split(cells, starts[1:]):
-            held.setdefault(int(own[0] >> WIDE), np.zeros(1 << WIDE, np.uint32))[:] += np.bincount(own & ((1 << WIDE) - 1), minlength=1 << WIDE).astype(np.uint32)
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows each cell has, of chunks that come with all their rows, one after another."""
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([zlib.compress(c.tobytes(), 1) for c in held.values()], pa.binary())], ["chunk", "counts"])
+    def row(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([int(total.sum())]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["chunk", "n", "counts"])
 
-    some, n = [], 0
+    last, total = None, np.zeros(1 << WIDE, np.int64)
     for batch in batches:
-        if batch.num_rows:
-            some.append(_keys(batch.column(2)) >> LOW)
-            n += batch.num_rows
-        if n >= SOME:
-            add(some)
-            some, n = [], 0
-        if len(held) > HELD:
-            yield rows()
-            held.clear()
-    if n:
-        add(some)
-    if held:
-        yield rows()
-
-
-def _summed(table: pa.Table) -> pa.Table:
-    total = np.zeros(1 << WIDE, np.int64)
-    for counts in table["counts"]:
-        total += np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
-    return pa.table({"chunk": table["chunk"][:1], "n": [int(total.sum())], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        for chunk, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if last is not None and chunk != last:
+                yield row(last, total)
+                total = np.zeros(1 << WIDE, np.int64)
+            last = chunk
+            np.add.at(total, np.frombuffer(places.as_buffer(), np.uint16), 1)
+    if last is not None:
+        yield row(last, total)
 
 
 def cuts(made: Callable[[Callable, str], DataFrame], digits: int) -> Cuts:
@@ -85,8 +77,8 @@ def cuts(made: Callable[[Callable, str], DataFrame], digits: int) -> Cuts:
     rows, with the schema of that. At most 10^digits + 1 of them, which the driver holds. Rows of the cells with a cut are
     shuffled once: with many more rows than values a small part of all, unless values are tied by the hundred.
     """
-    counted = made(_counted, "chunk long, counts binary")
-    counted = cut_lineage(counted.groupBy("chunk").applyInArrow(_summed, "chunk long, n long, counts binary"), release=True)
+    counted = made(_counted, "chunk long, places binary").repartition("chunk").sortWithinPartitions("chunk")
+    counted = cut_lineage(counted.mapInArrow(_summed, "chunk long, n long, counts binary"), release=True)
     sizes = sorted((r["chunk"], r["n"]) for r in counted.select("chunk", "n").collect())  # a row a chunk
     n = sum(size for _, size in sizes)
     nothing = np.empty(0, np.int64)
